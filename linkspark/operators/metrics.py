@@ -12,7 +12,7 @@ from linkspark.operators.skew import Agg, running
 
 # Bucket bounds (seconds) of the page-crawl histogram, and the customary default ones.
 CRAWL_BOUNDS = (0.5, 1.0, 2.0, 5.0, 10.0, 30.0)
-DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
+DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
 def seconds(interval: str) -> int:
