@@ -8,6 +8,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 # A word: letters, marks, digits; single dots and apostrophes inside it belong to it.
 # The possessive group keeps matching iterative, so a very long word cannot exhaust the stack.
@@ -34,7 +35,7 @@ def tokens(text: Column, analyzer: str = "english") -> Column:
     return stem_words(kept)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stem_words(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: [stem(w) for w in ws])
 
@@ -154,7 +155,7 @@ def swap_distance(a: str, b: str) -> int:
     return last[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([swap_distance(x, y) for x, y in zip(a, b)])
 

@@ -20,6 +20,7 @@ BOOSTS = {"title": 3.0, "content": 1.0}
 MAX_EXPANSIONS = 50
 DEFAULT_SIZE, MAX_SIZE = 20, 100
 SCORE_DIGITS = 6
+MAX_BROADCAST_QUERY = 10_000  # characters: at most 5 000 terms
 
 
 @dataclass(frozen=True)
@@ -102,8 +103,13 @@ def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int = MAX_EXPA
             .select("field", "qterm", "term", "edits", "weight", "df"))
 
 
-def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[str, float] = BOOSTS) -> DataFrame:
-    """(query_id, doc_id, score): BM25 summed over terms, best boosted field wins."""
+def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[str, float] = BOOSTS,
+          few_terms: bool = False) -> DataFrame:
+    """(query_id, doc_id, score): BM25 summed over terms, best boosted field wins.
+
+    ``few_terms`` says that the query side is known to be small (one query of bounded length times
+    MAX_EXPANSIONS), so it is broadcast and the postings are filtered where they are read.
+    """
     qterms = query_terms(queries, index.analyzer)
     if fuzzy:
         expanded = expand_terms(qterms, index.terms)
@@ -119,6 +125,8 @@ def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.join(fields, "field").select(
         "query_id", "field", "term", (F.col("weight") * idf).alias("weight"), "mean_length")
+    if few_terms:
+        weighted = F.broadcast(weighted)
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     part = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
     boost = F.lit(1.0)
@@ -158,7 +166,7 @@ def search(index: Index, pages: DataFrame, query: str, job_id: str | None = None
         raise ValueError(f"size must be 1..{MAX_SIZE}")
     spark = pages.sparkSession
     queries = _one(spark, query)
-    found = score(index, queries, fuzzy)
+    found = score(index, queries, fuzzy, few_terms=len(query) <= MAX_BROADCAST_QUERY)
     if job_id is not None:
         found = found.join(pages.filter(F.col("job_id") == job_id).select("doc_id"), "doc_id", "left_semi")
     hits = found.orderBy(F.desc("score"), "doc_id").limit(size)

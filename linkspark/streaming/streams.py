@@ -108,16 +108,18 @@ class _Bucket(StatefulProcessor):
         self.full = handle.getValueState("full", schema, ttlDurationMs=self.ttl * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "request_id"])
+        # requests are served as they arrive: sorted within an Arrow batch, batch after batch
         full = self.full.get()[0] if self.full.exists() else 0
-        starts = []
-        for t in (batch["t"] * self.p).tolist():
-            starts.append(max(t, full - (self.burst - 1) * self.s))
-            full = max(full, t) + self.s
+        for batch in rows:
+            batch = batch.sort_values(["t", "request_id"])
+            waits = []
+            for t in (batch["t"] * self.p).tolist():
+                start = max(t, full - (self.burst - 1) * self.s)
+                full = max(full, t) + self.s
+                waits.append((start - t) / (self.p * 1e6))
+            yield pd.DataFrame({"domain": key[0], "request_id": batch["request_id"].to_numpy(),
+                                "wait_seconds": waits})
         self.full.update((full,))
-        yield pd.DataFrame({
-            "domain": key[0], "request_id": batch["request_id"].to_numpy(),
-            "wait_seconds": [(s - t * self.p) / (self.p * 1e6) for s, t in zip(starts, batch["t"])]})
 
     def close(self) -> None:
         pass
