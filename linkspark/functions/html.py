@@ -1,14 +1,11 @@
-"""HTML rules as column expressions: titles, main text, anchors, character references."""
+"""HTML rules as SQL expressions: titles, main text, anchors, character references."""
 
 from __future__ import annotations
 
 import json
 from html.entities import html5
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from linkspark.functions.urls import let
+from linkspark.functions.sql import lam, let, raw, struct, text
 
 MAX_CONTENT = 50_000  # characters of main text a page record keeps
 MAX_ANCHOR_TEXT = 200
@@ -17,9 +14,12 @@ MAX_ANCHOR_TEXT = 200
 BOILERPLATE_TAGS = ("script", "style", "nav", "footer", "header")
 
 _COMMENT = r"(?s)<!--.*?-->"
-_TAG = r"<[A-Za-z/!?][^>]*>"
+# inside a tag, quotes count after '=' only, and may hold '>'
+_IN_TAG = r"(?:[^>=]++|=\s*+\x22[^\x22]*+\x22|=\s*+\x27[^\x27]*+\x27|=)*+>"
+_TAG = rf"<[A-Za-z/!?]{_IN_TAG}"
 _SPACE = r"(?U)[\s\x{FEFF}]+"
-_OPEN_ANCHOR = r"""<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_EDGE_SPACE = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
+_OPEN_ANCHOR = rf"<a\s{_IN_TAG}"
 _ANCHOR = rf"(?is){_OPEN_ANCHOR}.*?(?=</a\b|<a\s|\z)"
 
 # The standard table of named references; the map is searched in order, so frequent names lead.
@@ -30,102 +30,96 @@ _BARE = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reve
 _C1 = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
 
 
-def _numeric(piece: Column) -> Column:
+def _numeric(piece: str) -> str:
     """'#65;rest' or '#x41;rest' with the reference replaced by its character."""
-    def character(p: Column) -> Column:
-        return (F.when((p == 0) | (p > 0x10FFFF) | p.between(0xD800, 0xDFFF), "\ufffd")
-                .when(p.between(0x80, 0x9F), F.substr(F.lit(_C1), p - 0x7F, F.lit(1)))
-                .otherwise(F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")))
+    def character(p: str) -> str:
+        return (f"CASE WHEN {p} = 0 OR {p} > 1114111 OR {p} BETWEEN 55296 AND 57343 THEN '\\ufffd' "
+                f"WHEN {p} BETWEEN 128 AND 159 THEN substr({text(_C1)}, {p} - 127, 1) "
+                f"ELSE decode(unhex(lpad(hex({p}), 8, '0')), 'UTF-32') END")
 
-    def build(code: Column) -> Column:
-        point = F.when(F.lower(code).startswith("x"), F.conv(F.substr(code, F.lit(2)), 16, 10)).otherwise(code)
-        rest = F.regexp_replace(piece, r"^#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});?", "")
-        return F.when(code == "", F.concat(F.lit("&"), piece)).otherwise(
-            F.concat(let(point.cast("int"), character), rest))
+    def build(code: str) -> str:
+        point = f"CAST(IF(lower({code}) LIKE 'x%', conv(substr({code}, 2), 16, 10), {code}) AS int)"
+        rest = f"regexp_replace({piece}, {raw(r'^#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});?')}, '')"
+        return f"IF({code} = '', concat('&', {piece}), concat({let(point, character)}, {rest}))"
 
-    return let(F.regexp_extract(piece, r"^#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})", 1), build)
+    return let(f"regexp_extract({piece}, {raw(r'^#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})')}, 1)", build)
 
 
-def decode_entities(text: Column, attribute: bool = False) -> Column:
+def decode_entities(value: str, attribute: bool = False) -> str:
     """Replace character references in one pass, so ``&amp;lt;`` becomes ``&lt;``."""
-    table = F.from_json(F.lit(_TABLE), "map<string,string>")
+    table = f"from_json({text(_TABLE)}, 'map<string,string>')"
     # inside attributes a reference without ';' counts only before other characters
-    bare = rf"^({_BARE})" + (r"(?![=A-Za-z0-9;])" if attribute else "")
+    bare = raw(rf"^({_BARE})" + (r"(?![=A-Za-z0-9;])" if attribute else ""))
+
+    def unclosed(p: str) -> str:
+        return let(f"regexp_extract({p}, {bare}, 1)", lambda n: f"""IF({n} = '', concat('&', {p}),
+          concat(element_at({table}, {n}), substr({p}, length({n}) + 1)))""")
 
-    def named(p: Column, name: Column) -> Column:
-        char = F.try_element_at(table, name)
-        return F.when(name != "", let(char, lambda c: F.when(c.isNull(), unclosed(p)).otherwise(
-            F.concat(c, F.substr(p, F.length(name) + 2))))).otherwise(unclosed(p))
+    def named(p: str) -> str:
+        return let(f"regexp_extract({p}, {raw('^([A-Za-z][A-Za-z0-9]*);')}, 1)", lambda n: let(
+            f"IF({n} = '', NULL, try_element_at({table}, {n}))",
+            lambda c: f"IF({c} IS NULL, {unclosed(p)}, concat({c}, substr({p}, length({n}) + 2)))"))
 
-    def unclosed(p: Column) -> Column:
-        return let(F.regexp_extract(p, bare, 1), lambda n: F.when(n == "", F.concat(F.lit("&"), p)).otherwise(
-            F.concat(F.element_at(table, n), F.substr(p, F.length(n) + 1))))
+    def piece(p: str, i: str) -> str:
+        return f"CASE WHEN {i} = 0 THEN {p} WHEN startswith({p}, '#') THEN {_numeric(p)} ELSE {named(p)} END"
 
-    def piece(p: Column, i: Column) -> Column:
-        return (F.when(i == 0, p).when(p.startswith("#"), _numeric(p))
-                .otherwise(let(F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1), lambda n: named(p, n))))
+    return let(value, lambda v: f"""IF(contains({v}, '&'),
+      array_join(transform(split({v}, '&'), {lam(piece, 2)}), ''), {v})""")
 
-    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), piece), "")).otherwise(text)
 
+def _drop_element(html: str, tag: str) -> str:
+    return f"regexp_replace({html}, {raw(rf'(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)')}, '')"
 
-def _drop_element(html: Column, tag: str) -> Column:
-    return F.regexp_replace(html, rf"(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)", "")
+
+def _visible(html: str) -> str:
+    """Without scripts, styles and comments, whose text is not markup."""
+    for tag in BOILERPLATE_TAGS[:2]:
+        html = _drop_element(html, tag)
+    return f"regexp_replace({html}, {raw(_COMMENT)}, '')"
 
 
-def _collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, _SPACE, " "))
+def _collapse(value: str) -> str:
+    return f"trim(regexp_replace({value}, {raw(_SPACE)}, ' '))"
 
 
-def title(html: Column) -> Column:
+def title(html: str) -> str:
     """First title, references decoded, white space collapsed; '' when there is none."""
-    raw = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title", 1)
-    return _collapse(decode_entities(raw))
+    pattern = raw(r"(?is)<title\b[^>]*>(.*?)</title")
+    return _collapse(decode_entities(f"regexp_extract({html}, {pattern}, 1)"))
 
 
-def main_text(html: Column, max_chars: int = MAX_CONTENT) -> Column:
+def main_text(html: str, max_chars: int = MAX_CONTENT) -> str:
     """Body text without boilerplate elements. Tags vanish without leaving a space."""
-    rest = html
-    for tag in BOILERPLATE_TAGS[:2]:
-        rest = _drop_element(rest, tag)
-    rest = F.regexp_replace(rest, _COMMENT, "")
-
-    def body(h: Column) -> Column:
-        return F.when(h.rlike(r"(?i)<body\b"), F.regexp_replace(h, r"(?is)^.*?<body\b[^>]*>", "")).otherwise(
-            _drop_element(_drop_element(h, "head"), "title"))
+    def body(h: str) -> str:
+        start, up_to = raw(r"(?i)<body\b"), raw(r"(?is)^.*?<body\b[^>]*>")
+        return f"""IF({h} RLIKE {start}, regexp_replace({h}, {up_to}, ''),
+          {_drop_element(_drop_element(h, 'head'), 'title')})"""
 
-    rest = let(rest, body)
+    rest = let(_visible(html), body)
     for tag in BOILERPLATE_TAGS[2:]:
         rest = _drop_element(rest, tag)
-    text = _collapse(decode_entities(F.regexp_replace(rest, _TAG, "")))
-    return F.substring(text, 1, max_chars)
+    plain = decode_entities(f"regexp_replace({rest}, {raw(_TAG)}, '')")
+    return f"left({_collapse(plain)}, {max_chars})"
 
 
-def _attribute(open_tag: Column, name: str) -> Column:
-    raw = F.regexp_extract(
-        open_tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return decode_entities(F.regexp_replace(raw, r"""^["']|["']$""", ""), attribute=True)
+def _attribute(open_tag: str, name: str) -> str:
+    quoted = raw(rf"(?is)\s{name}\s*=\s*(\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s\x22\x27>]+)")
+    marks = raw(r"^[\x22\x27]|[\x22\x27]$")
+    return decode_entities(f"regexp_replace(regexp_extract({open_tag}, {quoted}, 1), {marks}, '')", attribute=True)
 
 
-def anchors(html: Column) -> Column:
+def anchors(html: str) -> str:
     """array<struct<pos,href,text,rel>> of every anchor with a non-empty href, in document order."""
-    rest = html
-    for tag in BOILERPLATE_TAGS[:2]:
-        rest = _drop_element(rest, tag)
-    rest = F.regexp_replace(rest, _COMMENT, "")
-    found = F.regexp_extract_all(rest, F.lit(_ANCHOR), F.lit(0))
-
-    def read(a: Column) -> Column:
-        return let(F.regexp_extract(a, rf"(?is)^{_OPEN_ANCHOR}", 0), lambda tag: F.struct(
-            _attribute(tag, "href").alias("href"),
-            F.substring(F.regexp_replace(
-                decode_entities(F.regexp_replace(_tail_after(a, tag), _TAG, "")),
-                r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", ""), 1, MAX_ANCHOR_TEXT).alias("text"),
-            _attribute(tag, "rel").alias("rel")))
-
-    kept = F.filter(F.transform(found, read), lambda a: a["href"] != "")
-    return F.transform(kept, lambda a, i: F.struct(
-        (i + 1).alias("pos"), a["href"].alias("href"), a["text"].alias("text"), a["rel"].alias("rel")))
-
-
-def _tail_after(text: Column, head: Column) -> Column:
-    return F.substr(text, F.length(head) + 1)
+    found = f"regexp_extract_all({_visible(html)}, {raw(_ANCHOR)}, 0)"
+
+    def read(a: str) -> str:
+        def fields(tag: str) -> str:
+            inner = f"regexp_replace(substr({a}, length({tag}) + 1), {raw(_TAG)}, '')"
+            return struct(href=_attribute(tag, "href"),
+                          text=f"left(regexp_replace({decode_entities(inner)}, {raw(_EDGE_SPACE)}, ''), {MAX_ANCHOR_TEXT})",
+                          rel=_attribute(tag, "rel"))
+        return let(f"regexp_extract({a}, {raw(rf'(?is)^{_OPEN_ANCHOR}')}, 0)", fields)
+
+    kept = f"filter(transform({found}, {lam(read)}), {lam(lambda a: f'''{a}.href != '' ''')})"
+    numbered = lam(lambda a, i: struct(pos=f"{i} + 1", href=f"{a}.href", text=f"{a}.text", rel=f"{a}.rel"), 2)
+    return f"transform({kept}, {numbered})"

@@ -1,11 +1,8 @@
-"""URL rules as column expressions, usable on plain columns and inside array lambdas."""
+"""URL rules as SQL expressions: every function takes and gives expression text."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from linkspark.functions.sql import lam, let, raw, struct
 
 MAX_URL_LENGTH = 2048
 
@@ -20,153 +17,152 @@ STRICT_URL = (
 )
 
 # scheme, netloc, path, ;params of the last segment, ?query, #fragment
+PARTS = ("scheme", "netloc", "path", "params", "query", "fragment")
 _PARTS = (r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?"
           r"((?:[^?#]*/)?[^?#;/]*)(?:;([^?#/]*))?(?:\?([^#]*))?(?:#(.*))?$")
 _DOTS = r"(^|/)\.\.?(/|$)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def strip(c: Column) -> Column:
+def strip(c: str) -> str:
     """Drop white space (in the Unicode sense) at both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return f"regexp_replace({c}, {raw(r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$')}, '')"
 
 
-def split_url(url: Column) -> Column:
+def split_url(url: str) -> str:
     """struct(scheme, netloc, path, params, query, fragment); absent parts are ''.
 
     Generic-syntax splitting that takes any string: control characters in front are dropped,
     tabs and line ends removed, the scheme lower-cased, ``;params`` cut off the last segment.
     """
-    clean = F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
-    return let(clean, lambda u: F.struct(
-        F.lower(F.regexp_extract(u, _PARTS, 1)).alias("scheme"),
-        *[F.regexp_extract(u, _PARTS, i).alias(name) for i, name in
-          enumerate(("netloc", "path", "params", "query", "fragment"), start=2)]))
+    clean = rf"translate(regexp_replace({url}, {raw(r'^[\x00-\x20]+')}, ''), '\t\r\n', '')"
+
+    def parts(u: str) -> str:
+        found = {name: f"regexp_extract({u}, {raw(_PARTS)}, {i})" for i, name in enumerate(PARTS, 1)}
+        return struct(**{**found, "scheme": f"lower({found['scheme']})"})
+
+    return let(clean, parts)
 
 
-def join_url(u: Column) -> Column:
+def join_url(u: str) -> str:
     """Inverse of :func:`split_url` on a bound struct; empty parts leave no separator behind."""
-    scheme, netloc, path = u["scheme"], u["netloc"], u["path"]
-    empty = (path == "") & (u["params"] == "")
-    rooted = path.startswith("/")
-    web = scheme.isin("http", "https", "ftp")
+    empty = f"({u}.path = '' AND {u}.params = '')"
+    rooted = f"startswith({u}.path, '/')"
+    web = f"{u}.scheme IN ('http', 'https', 'ftp')"
 
-    def part(mark: str, name: str) -> Column:
-        return F.when(u[name] == "", "").otherwise(F.concat(F.lit(mark), u[name]))
+    def part(mark: str, name: str) -> str:
+        return f"IF({u}.{name} = '', '', concat('{mark}', {u}.{name}))"
 
-    return F.concat(
-        F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"))),
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, F.when(empty | rooted, "").otherwise("/")))
-        .when(path.startswith("//") | (web & (empty | rooted)), "//").otherwise(""),
-        path, part(";", "params"), part("?", "query"), part("#", "fragment"))
+    return f"""concat(IF({u}.scheme = '', '', concat({u}.scheme, ':')),
+      CASE WHEN {u}.netloc != '' THEN concat('//', {u}.netloc, IF({empty} OR {rooted}, '', '/'))
+           WHEN startswith({u}.path, '//') OR ({web} AND ({empty} OR {rooted})) THEN '//' ELSE '' END,
+      {u}.path, {part(';', 'params')}, {part('?', 'query')}, {part('#', 'fragment')})"""
 
 
-def _unbalanced(netloc: Column) -> Column:
-    return netloc.contains("[") != netloc.contains("]")
+def _unbalanced(netloc: str) -> str:
+    return f"contains({netloc}, '[') != contains({netloc}, ']')"
 
 
-def canonical(url: Column) -> Column:
+def canonical(url: str) -> str:
     """struct(canonical, netloc, reason): one form per resource, or NULL and why not."""
 
-    def build(u: Column) -> Column:
-        host = F.lower(u["netloc"])
-        netloc = (F.when((u["scheme"] == "http") & host.endswith(":80"),
-                         F.substr(host, F.lit(1), F.length(host) - 3))
-                  .when((u["scheme"] == "https") & host.endswith(":443"),
-                        F.substr(host, F.lit(1), F.length(host) - 4))
-                  .otherwise(host))
-        path = (F.when(u["path"] == "", "/")
-                .when((u["path"] != "/") & u["path"].endswith("/"),
-                      F.substr(u["path"], F.lit(1), F.length(u["path"]) - 1))
-                .otherwise(u["path"]))
-        query = F.when(u["query"] == "", "").otherwise(
-            F.array_join(F.array_sort(F.split(u["query"], "&")), "&"))
-        reason = (F.when(url.isNull(), "null")
-                  .when(~u["scheme"].isin("http", "https"), "scheme")
-                  .when(_unbalanced(u["netloc"]), "netloc"))
-        return F.struct(u["scheme"].alias("scheme"), netloc.alias("netloc"), path.alias("path"),
-                        u["params"].alias("params"), query.alias("query"),
-                        F.lit("").alias("fragment"), reason.alias("reason"))
-
-    def result(u: Column) -> Column:
-        good = u["reason"].isNull()
-        return F.struct(F.when(good, join_url(u)).alias("canonical"),
-                        F.when(good, u["netloc"]).alias("netloc"), u["reason"].alias("reason"))
+    def build(u: str) -> str:
+        host = f"lower({u}.netloc)"
+        return struct(
+            scheme=f"{u}.scheme",
+            netloc=f"""CASE WHEN {u}.scheme = 'http' AND endswith({u}.netloc, ':80') THEN left({host}, length({host}) - 3)
+              WHEN {u}.scheme = 'https' AND endswith({u}.netloc, ':443') THEN left({host}, length({host}) - 4)
+              ELSE {host} END""",
+            path=f"""CASE WHEN {u}.path IN ('', '/') THEN '/'
+              WHEN endswith({u}.path, '/') THEN left({u}.path, length({u}.path) - 1) ELSE {u}.path END""",
+            params=f"{u}.params",
+            query=f"IF({u}.query = '', '', array_join(array_sort(split({u}.query, '&')), '&'))",
+            fragment="''",
+            reason=f"""CASE WHEN {u}.scheme IS NULL THEN 'null'
+              WHEN {u}.scheme NOT IN ('http', 'https') THEN 'scheme'
+              WHEN {_unbalanced(f'{u}.netloc')} THEN 'netloc' END""")
+
+    def result(u: str) -> str:
+        return struct(canonical=f"IF({u}.reason IS NULL, {join_url(u)}, NULL)",
+                      netloc=f"IF({u}.reason IS NULL, {u}.netloc, NULL)", reason=f"{u}.reason")
 
     return let(let(split_url(strip(url)), build), result)
 
 
-def invalid_reason(url: Column) -> Column:
+def invalid_reason(url: str) -> str:
     """NULL for a valid URL, else the first rule it breaks: null, scheme, netloc, length."""
-    return let(split_url(url), lambda u: F.when(url.isNull(), "null")
-               .when(~u["scheme"].isin("http", "https"), "scheme")
-               .when((u["netloc"] == "") | _unbalanced(u["netloc"]), "netloc")
-               .when(F.length(url) > MAX_URL_LENGTH, "length"))
+    return let(split_url(url), lambda u: f"""CASE WHEN {url} IS NULL THEN 'null'
+      WHEN {u}.scheme NOT IN ('http', 'https') THEN 'scheme'
+      WHEN {u}.netloc = '' OR {_unbalanced(f'{u}.netloc')} THEN 'netloc'
+      WHEN length({url}) > {MAX_URL_LENGTH} THEN 'length' END""")
 
 
-def url_hash(canonical_url: Column) -> Column:
-    return F.sha2(canonical_url, 256)
+def url_hash(canonical_url: str) -> str:
+    return f"sha2({canonical_url}, 256)"
 
 
-def _without_dots(path: Column) -> Column:
+def canonical_hash(url: str) -> str:
+    return url_hash(f"{canonical(url)}.canonical")
+
+
+def host(url: str) -> str:
+    return f"lower({split_url(url)}.netloc)"
+
+
+def _without_dots(path: str) -> str:
     """Resolve '.' and '..' segments; paths without any pass through untouched."""
-    def walk(parts: Column) -> Column:
-        done = F.aggregate(
-            parts, F.array().cast("array<string>"),
-            lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
-        return F.concat(F.array_join(done, "/"), F.when(
-            F.element_at(parts, -1).isin(".", "..") & (F.size(done) > 0), "/").otherwise(""))
+    def step(acc: str, x: str) -> str:
+        return (f"CASE WHEN {x} = '..' THEN slice({acc}, 1, greatest(size({acc}) - 1, 0)) "
+                f"WHEN {x} = '.' THEN {acc} ELSE concat({acc}, array({x})) END")
+
+    def walk(parts: str) -> str:
+        done = f"aggregate({parts}, CAST(array() AS array<string>), {lam(step, 2)})"
+        return let(done, lambda d: f"""concat(array_join({d}, '/'),
+          IF(element_at({parts}, -1) IN ('.', '..') AND size({d}) > 0, '/', ''))""")
 
-    return F.when(path.rlike(_DOTS), let(F.split(path, "/"), walk)).otherwise(path)
+    return f"IF({path} RLIKE {raw(_DOTS)}, {let(f'''split({path}, '/')''', walk)}, {path})"
 
 
-def base_parts(base: Column) -> Column:
+def base_parts(base: str) -> str:
     """:func:`split_url` of a page URL plus ``dir``, the folder its relative links start from."""
-    return let(split_url(base), lambda b: F.struct(
-        base.alias("url"), b["scheme"].alias("scheme"), b["netloc"].alias("netloc"),
-        b["path"].alias("path"), b["params"].alias("params"), b["query"].alias("query"),
-        F.when(b["path"] == "", "/").otherwise(
-            F.regexp_extract(b["path"], r"(?s)^(.*/)", 1)).alias("dir")))
+    folder = raw(r"(?s)^(.*/)")
+    return let(split_url(base), lambda b: struct(
+        url=base, **{p: f"{b}.{p}" for p in PARTS[:-1]},
+        dir=f"IF({b}.path = '', '/', regexp_extract({b}.path, {folder}, 1))"))
 
 
-def resolve(base: Column, href: Column) -> Column:
+def resolve(base: str, href: str) -> str:
     """Absolute form of ``href`` on the page described by ``base`` (see :func:`base_parts`)."""
 
-    def build(h: Column) -> Column:
-        scheme = F.when(h["scheme"] == "", base["scheme"]).otherwise(h["scheme"])
-        own_host = h["netloc"] != ""
-        same_page = ~own_host & (h["path"] == "") & (h["params"] == "")
-        merged = let(F.when(h["path"].startswith("/"), h["path"]).otherwise(
-            F.regexp_replace(F.concat(base["dir"], h["path"]), "/{2,}", "/")), _without_dots)
-        joined = F.struct(
-            scheme.alias("scheme"),
-            F.when(own_host, h["netloc"]).otherwise(base["netloc"]).alias("netloc"),
-            F.when(own_host, h["path"]).when(same_page, base["path"])
-            .otherwise(F.when(merged == "", "/").otherwise(merged)).alias("path"),
-            F.when(same_page, base["params"]).otherwise(h["params"]).alias("params"),
-            F.when(same_page & (h["query"] == ""), base["query"]).otherwise(h["query"]).alias("query"),
-            h["fragment"].alias("fragment"))
-        return (F.when(href == "", base["url"])
-                .when((scheme != base["scheme"]) | ~scheme.isin("", "http", "https", "ftp"), href)
-                .otherwise(let(joined, join_url)))
+    def build(h: str) -> str:
+        scheme = f"IF({h}.scheme = '', {base}.scheme, {h}.scheme)"
+        own_host = f"{h}.netloc != ''"
+        same_page = f"({h}.netloc = '' AND {h}.path = '' AND {h}.params = '')"
+        merged = let(f"""IF(startswith({h}.path, '/'), {h}.path,
+          regexp_replace(concat({base}.dir, {h}.path), '/{{2,}}', '/'))""", _without_dots)
+        joined = struct(
+            scheme=scheme,
+            netloc=f"IF({own_host}, {h}.netloc, {base}.netloc)",
+            path=f"""CASE WHEN {own_host} THEN {h}.path WHEN {same_page} THEN {base}.path
+              ELSE {let(merged, lambda m: f"IF({m} = '', '/', {m})")} END""",
+            params=f"IF({same_page}, {base}.params, {h}.params)",
+            query=f"IF({same_page} AND {h}.query = '', {base}.query, {h}.query)",
+            fragment=f"{h}.fragment")
+        return f"""CASE WHEN {href} = '' THEN {base}.url
+          WHEN {scheme} != {base}.scheme OR {scheme} NOT IN ('', 'http', 'https', 'ftp') THEN {href}
+          ELSE {let(joined, join_url)} END"""
 
     return let(split_url(href), build)
 
 
-def unquote(c: Column) -> Column:
+def unquote(c: str) -> str:
     """Percent-decoding that leaves '+' and malformed escapes as they are."""
-    safe = F.replace(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
-    return F.when(c.contains("%"), F.try_url_decode(safe)).otherwise(c)
+    stray = raw(r"%(?![0-9A-Fa-f]{2})")
+    return f"IF(contains({c}, '%'), try_url_decode(replace(regexp_replace({c}, {stray}, '%25'), '+', '%2B')), {c})"
 
 
-def quote(c: Column) -> Column:
+def quote(c: str) -> str:
     """Percent-encode everything but unreserved characters and '/'."""
-    out = F.url_encode(c)
+    out = f"url_encode({c})"
     for found, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
-        out = F.replace(out, F.lit(found), F.lit(wanted))
+        out = f"replace({out}, '{found}', '{wanted}')"
     return out

@@ -7,6 +7,7 @@ answer is exact and does not depend on how the rows were partitioned.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
 import pandas as pd
@@ -73,51 +74,53 @@ def _admit_or_give_up(numbered: DataFrame, columns: list[str], p: int, burst: in
     Drops make the schedule depend on every earlier decision, but only until the bucket is
     surely full again: no later than ``max_wait + burst / rate`` after the last arrival. Those
     gaps cut a domain into sessions that run in parallel. A session without gaps is walked in
-    pieces of bounded size; between pieces only one number per session is handed on.
+    pieces of bounded size, one round per piece; only one number per session is handed on.
     """
     limit = round(max_wait * 1_000_000) * p
     order = ["_t", tie]
     rows = running(numbered, [domain], order, [Agg("_prev", "last", F.col("_t"), exclusive=True)], chunk_rows)
     fresh = F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= limit + burst * F.col("_s"))
-    rows = running(rows.withColumn("_fresh", fresh.cast("long")), [domain], order,
-                   [Agg("_session", "sum", F.col("_fresh"))], chunk_rows)
-    rows = running(rows.drop("_n"), [domain, "_session"], order, [Agg("_n", "count")], chunk_rows)
+    rows = running(rows.withColumn("_fresh", F.when(fresh, F.col("_n"))), [domain], order,
+                   [Agg("_first", "max", F.col("_fresh"))], chunk_rows)
+    # sessions that start within the same ``size`` rows of a domain share a block; what a long
+    # session has beyond its block is cut into further pieces
     size = chunk_rows or PIECE_ROWS
-    rows = cut(rows.withColumn("_piece", F.floor((F.col("_n") - 1) / size)))
+    block = F.floor((F.col("_first") - 1) / size)
+    rows = rows.withColumn("_block", block).withColumn("_piece", F.floor((F.col("_n") - 1) / size) - block)
+    rows = cut(rows.select(*columns, "_t", "_s", "_n", "_block", "_piece"))
     last = rows.agg(F.max("_piece")).first()[0] or 0
 
-    by = [domain, "_session"]
-    base = rows.drop("_piece", "_prev", "_fresh", "_chunk")
+    by = [domain, "_block"]
+    base = rows.drop("_piece")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", _tat long, _start long"
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_n")
-        s = int(group["_s"].iloc[0])
-        tat = int(group["_tat"].iloc[0])
-        ahead = (burst - 1) * s
-        tats, starts = [], []
-        for t in group["_t"].tolist():
-            start = max(t, tat - ahead)
-            if start - t <= limit:
-                tat = max(tat, t) + s
-                starts.append(start)
-            else:
-                starts.append(None)
-            tats.append(tat)
-        return group.assign(_tat=tats, _start=pd.array(starts, dtype="Int64"))
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tat = None, 0
+        for batch in batches:
+            tats, starts = [], []
+            for d, b, t, s, before in zip(*(batch[c].tolist() for c in (*by, "_t", "_s", "_before"))):
+                if (d, b) != key:
+                    key, tat = (d, b), before
+                start = max(t, tat - (burst - 1) * s)
+                if start - t <= limit:
+                    tat = max(tat, t) + s
+                    starts.append(start)
+                else:
+                    starts.append(None)
+                tats.append(tat)
+            yield batch.drop(columns="_before").assign(_tat=tats, _start=pd.array(starts, dtype="Int64"))
 
     done, state = None, None
     for piece in range(last + 1):
-        part = rows.filter(F.col("_piece") == piece).select(*base.columns)
+        part = rows.filter(F.col("_piece") == piece).drop("_piece")
         if state is None:
-            part = part.withColumn("_tat", F.lit(0).cast("long"))
+            part = part.withColumn("_before", F.lit(0).cast("long"))
         else:
             part = part.join(state, by)
-        part = part.withColumn("_start", F.lit(None).cast("long"))
-        result = part.groupBy(*by).applyInPandas(walk, schema)
+        result = part.repartition(*by).sortWithinPartitions(*by, "_n").mapInPandas(walk, schema)
         if last:
             result = cut(result)
-            state = result.groupBy(*by).agg(F.max_by("_tat", "_n").alias("_tat"))
+            state = result.groupBy(*by).agg(F.max_by("_tat", "_n").alias("_before"))
         done = result if done is None else done.unionByName(result)
     return done.select(*columns, F.col("_start").isNotNull().alias("admitted"), *_served(F.col("_start"), p))
 
@@ -128,7 +131,7 @@ def bucket_status(requests: DataFrame, at: Column, rate: float = RATE, burst: in
     """Bucket of each domain at a moment, after all requests up to then.
 
     ``tokens`` is what is left (negative while requests wait for tokens still to come),
-    ``last_update`` the start of the last request that has started.
+    ``full_at`` the moment the bucket is full again if nothing else arrives.
     """
     upto = requests.filter(F.col(ts) <= at)
     rows, p = _numbered(upto, rate, domain, ts, tie, None, chunk_rows)

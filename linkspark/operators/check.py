@@ -121,7 +121,7 @@ def _then(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def outcomes(responses: DataFrame, policy: str = "lenient") -> DataFrame:
     """One classified row per canonical URL of the response log."""
-    rows = classify(responses, policy).withColumn("url_hash", U.url_hash(U.canonical(F.col("url"))["canonical"]))
+    rows = classify(responses, policy).withColumn("url_hash", F.expr(U.canonical_hash("url")))
     outcome = F.struct("status_code", "is_valid", "error_type", "error_message")
     return (rows.groupBy("url_hash").agg(F.min_by(outcome, "url").alias("_o"))
             .filter("url_hash is not null").select("url_hash", "_o.*"))

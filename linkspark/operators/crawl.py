@@ -37,7 +37,7 @@ def crawl_site(linked: DataFrame, order: str = "page_id", max_links: int = MAX_C
     page = F.struct(error.isNull().alias("fetched"), status.cast("int").alias("status_code"),
                     F.when(error.isNull(), F.col("links_count")).otherwise(0).alias("links_count"),
                     F.when(error.isNull(), follow).alias("links"))
-    rows = linked.select(U.url_hash(U.canonical(F.col("url"))["canonical"]).alias("url_hash"),
+    rows = linked.select(F.expr(U.canonical_hash("url")).alias("url_hash"),
                          page.alias("_page"), F.col(order).alias("_order"))
     return rows.groupBy("url_hash").agg(F.min_by("_page", "_order").alias("_p")).select("url_hash", "_p.*")
 
@@ -57,10 +57,10 @@ def crawl(jobs: DataFrame, site: DataFrame, groups: DataFrame | None = None,
     """
     site = cut(site)
     flags = site.select("url_hash", "fetched", "status_code", "links_count")
-    seeds = cut(jobs.withColumn("url", U.canonical(F.col("url"))["canonical"]))
+    seeds = cut(jobs.withColumn("url", F.expr(f"{U.canonical('url')}.canonical")))
     live = seeds.filter("status != 'CANCELLED' and url is not null")
     deepest = live.agg(F.max("max_depth")).first()[0]
-    attempts = live.select("job_id", "url", U.url_hash(F.col("url")).alias("url_hash"),
+    attempts = live.select("job_id", "url", F.sha2("url", 256).alias("url_hash"),
                            F.lit(0).cast(ORD).alias("ord"), F.lit(None).cast("string").alias("parent_url"))
     levels: list[DataFrame] = []
     for depth in range(0 if deepest is None else deepest + 1):
@@ -93,7 +93,7 @@ def crawl(jobs: DataFrame, site: DataFrame, groups: DataFrame | None = None,
                             (F.col("ord") * (max_links + 1) + F.col("_l.rank")).cast(ORD).alias("ord"),
                             "parent_url"))
     refused = seeds.filter("status = 'CANCELLED' or url is null").select(
-        "job_id", "url", U.url_hash(F.col("url")).alias("url_hash"), F.lit(0).alias("depth"),
+        "job_id", "url", F.sha2("url", 256).alias("url_hash"), F.lit(0).alias("depth"),
         F.lit(0).cast(ORD).alias("ord"), F.lit(None).cast("string").alias("parent_url"),
         F.when(F.col("status") == "CANCELLED", "cancelled").otherwise("invalid_url").alias("outcome"),
         F.lit(0).cast("long").alias("repeats"), F.lit(0).cast("long").alias("late"),

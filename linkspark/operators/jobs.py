@@ -23,7 +23,7 @@ def intake_jobs(requests: DataFrame, created_at: Column) -> DataFrame:
     """
     depth = F.coalesce("max_depth", F.lit(DEFAULT_DEPTH)).cast("int")
     pages = F.coalesce("max_pages", F.lit(DEFAULT_PAGES)).cast("int")
-    reason = (F.when(U.invalid_reason(F.col("url")).isNotNull(), "invalid_url")
+    reason = (F.when(F.expr(U.invalid_reason("url")).isNotNull(), "invalid_url")
               .when(~depth.between(1, MAX_DEPTH), "max_depth")
               .when(~pages.between(1, MAX_PAGES), "max_pages"))
     return requests.select(
@@ -153,7 +153,7 @@ def job_summary(jobs: DataFrame, pages: DataFrame, broken: DataFrame, at: Column
 def is_visited(urls: DataFrame, pages: DataFrame, col: str = "url") -> DataFrame:
     """Add ``visited``: has this job stored a page with the same canonical URL."""
     known = pages.select("job_id", F.col("url_hash").alias("_hash")).distinct().withColumn("_hit", F.lit(True))
-    rows = urls.withColumn("_hash", U.url_hash(U.canonical(F.col(col))["canonical"]))
+    rows = urls.withColumn("_hash", F.expr(U.canonical_hash(col)))
     return (rows.join(known, ["job_id", "_hash"], "left")
             .withColumn("visited", F.coalesce("_hit", F.lit(False))).drop("_hash", "_hit"))
 

@@ -9,53 +9,52 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.functions import urls as U
+from linkspark.functions.sql import lam, let, struct
 
 CATEGORIES = ("internal", "external", "invalid")
 MAX_CHILD_LINKS = 100
 
 
-def _resolved(links: Column, base: Column) -> Column:
-    trimmed = F.transform(links, lambda l: F.struct(
-        l["pos"].alias("pos"), U.strip(l["href"]).alias("href"),
-        l["text"].alias("anchor_text"), l["rel"].alias("rel")))
-    absolute = F.transform(F.filter(trimmed, lambda l: l["href"] != ""), lambda l: F.struct(
-        U.resolve(base, l["href"]).alias("url"), l.alias("link")))
+def _resolved(links: str, base: str) -> str:
+    """struct(c, url, pos, href, anchor_text, rel) of the http(s) links; c is NULL for invalid ones."""
+    trimmed = lam(lambda l: struct(pos=f"{l}.pos", href=U.strip(f"{l}.href"), anchor_text=f"{l}.text", rel=f"{l}.rel"))
+    given = f"filter(transform({links}, {trimmed}), {lam(lambda l: f"{l}.href != ''")})"
+    absolute = lam(lambda l: struct(url=U.resolve(base, f"{l}.href"), link=l))
     # the prefix test is case sensitive and comes after joining
-    web = F.filter(absolute, lambda l: l["url"].startswith("http://") | l["url"].startswith("https://"))
-    return F.transform(web, lambda l: F.struct(
-        F.when(U.invalid_reason(l["url"]).isNull(), U.canonical(l["url"])).alias("c"),
-        l["url"].alias("url"), l["link"].alias("link")))
+    web = lam(lambda l: f"startswith({l}.url, 'http://') OR startswith({l}.url, 'https://')")
+    checked = lam(lambda l: struct(
+        c=f"IF({U.invalid_reason(f'{l}.url')} IS NULL, {U.canonical(f'{l}.url')}, NULL)", url=f"{l}.url",
+        **{f: f"{l}.link.{f}" for f in ("pos", "href", "anchor_text", "rel")}))
+    return f"transform(filter(transform({given}, {absolute}), {web}), {checked})"
 
 
-def _classified(resolved: Column, host: Column) -> Column:
+def _classified(resolved: str, host: str) -> str:
     """Category of each link; valid ones keep only their first position per canonical URL."""
-    def row(l: Column, category: Column) -> Column:
-        return F.struct(
-            l["link"]["pos"].alias("pos"), l["link"]["href"].alias("href"), l["url"].alias("url"),
-            l["c"]["canonical"].alias("canonical"), category.alias("category"),
-            l["link"]["anchor_text"].alias("anchor_text"), l["link"]["rel"].alias("rel"))
-
-    def first_only(ordered: Column) -> Column:
-        return F.filter(ordered, lambda x, i: (i == 0) | (
-            F.get(ordered, i - 1)["c"]["canonical"] != x["c"]["canonical"]))
-
-    def split(all_links: Column) -> Column:
-        valid = F.filter(all_links, lambda l: l["c"]["canonical"].isNotNull())
-        invalid = F.filter(all_links, lambda l: l["c"]["canonical"].isNull())
+    def rows(category) -> str:
+        return lam(lambda l: struct(
+            pos=f"{l}.pos", href=f"{l}.href", url=f"{l}.url", canonical=f"{l}.c.canonical",
+            category=category(l), anchor_text=f"{l}.anchor_text", rel=f"{l}.rel"))
+
+    def first_only(ordered: str) -> str:
+        keep = lam(lambda x, i: f"{i} = 0 OR get({ordered}, {i} - 1).canonical != {x}.canonical", 2)
+        return f"filter({ordered}, {keep})"
+
+    def split(links: str) -> str:
+        valid = f"filter({links}, {lam(lambda l: f'{l}.c.canonical IS NOT NULL')})"
+        invalid = f"filter({links}, {lam(lambda l: f'{l}.c.canonical IS NULL')})"
         # sorted by (canonical, pos): the first of each run is the first in the document
-        keyed = F.sort_array(F.transform(valid, lambda l: F.struct(
-            l["c"]["canonical"].alias("canonical"), l["link"]["pos"].alias("pos"),
-            l["c"].alias("c"), l["url"].alias("url"), l["link"].alias("link"))))
-        return F.sort_array(F.concat(
-            F.transform(U.let(keyed, first_only), lambda l: row(l, F.when(
-                l["c"]["netloc"] == host, "internal").otherwise("external"))),
-            F.transform(invalid, lambda l: row(l, F.lit("invalid")))))
+        keyed = lam(lambda l: struct(canonical=f"{l}.c.canonical", **{f: f"{l}.{f}" for f in (
+            "pos", "c", "url", "href", "anchor_text", "rel")}))
+        unique = let(f"sort_array(transform({valid}, {keyed}))", first_only)
+        inside = rows(lambda l: f"IF({l}.c.netloc = {host}, 'internal', 'external')")
+        outside = rows(lambda l: "'invalid'")
+        return f"sort_array(concat(transform({unique}, {inside}), transform({invalid}, {outside})))"
 
-    return U.let(resolved, split)
+    return let(resolved, split)
 
 
 def page_links(pages: DataFrame, same_domain_only: bool = False) -> DataFrame:
@@ -67,20 +66,17 @@ def page_links(pages: DataFrame, same_domain_only: bool = False) -> DataFrame:
     """
     wanted = [c for c in CATEGORIES if not (same_domain_only and c == "external")]
 
-    def of_category(links: Column, category: str) -> Column:
-        own = F.filter(links, lambda l: l["category"] == category)
-        return F.transform(own, lambda l, i: F.struct(
-            l["pos"].alias("pos"), l["href"].alias("href"), l["url"].alias("url"),
-            l["canonical"].alias("canonical"), U.url_hash(l["canonical"]).alias("url_hash"),
-            l["category"].alias("category"), (i + 1).alias("rank"),
-            l["anchor_text"].alias("anchor_text"), l["rel"].alias("rel")))
+    def of_category(links: str, category: str) -> str:
+        own = lam(lambda l: f"{l}.category = '{category}'")
+        ranked = lam(lambda l, i: struct(
+            pos=f"{l}.pos", href=f"{l}.href", url=f"{l}.url", canonical=f"{l}.canonical",
+            url_hash=U.url_hash(f"{l}.canonical"), category=f"{l}.category", rank=f"{i} + 1",
+            anchor_text=f"{l}.anchor_text", rel=f"{l}.rel"), 2)
+        return f"transform(filter({links}, {own}), {ranked})"
 
-    def ranked(links: Column) -> Column:
-        return F.concat(*[of_category(links, c) for c in wanted])
-
-    links = U.let(U.base_parts(F.col("url")), lambda b: _classified(
-        _resolved(F.col("links"), b), F.lower(b["netloc"])))
-    return pages.withColumn("links", U.let(links, ranked))
+    found = let(U.base_parts("url"), lambda b: _classified(_resolved("links", b), f"lower({b}.netloc)"))
+    ranked = let(found, lambda links: f"concat({', '.join(of_category(links, c) for c in wanted)})")
+    return pages.withColumn("links", F.expr(ranked))
 
 
 def page_edges(linked: DataFrame, *keep: str) -> DataFrame:
@@ -113,8 +109,8 @@ def filter_links(df: DataFrame, exclude: Sequence[str] = (), include: Sequence[s
     if include:
         df = df.filter(reduce(lambda a, b: a | b, [url.contains(p) for p in include]))
     if max_depth is not None:
-        segments = F.filter(F.split(U.split_url(url)["path"], "/"), lambda s: s != "")
-        df = df.filter(F.size(segments) <= max_depth)
+        segments = f"filter(split({U.split_url(col)}.path, '/'), {lam(lambda s: f"{s} != ''")})"
+        df = df.filter(f"size({segments}) <= {max_depth}")
     return df
 
 

@@ -9,6 +9,7 @@ from linkspark.functions import html as H
 from linkspark.functions import urls as U
 
 NO_RESPONSE = "No response received"
+LINKS = "array<struct<pos:int,href:string,text:string,rel:string>>"
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -17,11 +18,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Columns nobody reads are pruned, so asking for titles only costs the title pattern only.
     Pages without html (errors) get NULL title and content and no links.
     """
-    html = F.col("html")
-    links = F.coalesce(H.anchors(html), F.array().cast("array<struct<pos:int,href:string,text:string,rel:string>>"))
-    return (pages.withColumn("title", H.title(html))
-            .withColumn("content", H.main_text(html))
-            .withColumn("links", links)
+    return (pages.withColumn("title", F.expr(H.title("html")))
+            .withColumn("content", F.expr(H.main_text("html")))
+            .withColumn("links", F.expr(f"coalesce({H.anchors('html')}, CAST(array() AS {LINKS}))"))
             .withColumn("links_count", F.size("links")))
 
 
@@ -30,12 +29,11 @@ def build_page_records(extracted: DataFrame, job_id: Column, depth: Column, craw
     def given(name: str, kind: str) -> Column:
         return F.col(name) if name in extracted.columns else F.lit(None).cast(kind)
 
-    c = U.canonical(F.col("url"))
-    return (extracted.withColumn("normalized_url", c["canonical"])
+    return (extracted.withColumn("normalized_url", F.expr(f"{U.canonical('url')}.canonical"))
             .filter("normalized_url is not null")
             .select(
                 job_id.alias("job_id"), "url", "normalized_url",
-                U.url_hash(F.col("normalized_url")).alias("url_hash"),
+                F.expr(U.url_hash("normalized_url")).alias("url_hash"),
                 "title", "content", depth.cast("int").alias("depth"),
                 given("status_code", "int").alias("status_code"),
                 given("content_type", "string").alias("content_type"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import urls as U
+from linkspark.functions.sql import let, struct
 
 DEFAULT_AGENT = "linkspark/1.0"
 DEFAULT_DELAY = 1.0
@@ -22,9 +23,9 @@ def robots_groups(robots: DataFrame) -> DataFrame:
     if "status" in robots.columns:
         robots = robots.filter("status = 200")
     lines = robots.select("host", F.posexplode(F.split("body", _LINE_END)).alias("line", "raw"))
-    text = U.strip(F.regexp_replace("raw", "#.*$", ""))
-    key = F.lower(U.strip(F.regexp_extract("text", "^([^:]*):", 1)))
-    value = U.unquote(U.strip(F.regexp_extract("text", "(?s)^[^:]*:(.*)$", 1)))
+    text = F.expr(U.strip("regexp_replace(raw, '#.*$', '')"))
+    key = F.lower(F.expr(U.strip("regexp_extract(text, '^([^:]*):', 1)")))
+    value = F.expr(let(U.strip("regexp_extract(text, '(?s)^[^:]*:(.*)$', 1)"), U.unquote))
     kind = (F.when(F.col("raw") == "", "blank").when(F.col("key") == "user-agent", "agent")
             .when(F.col("key").isin("allow", "disallow", "crawl-delay", "request-rate"), "rule"))
     events = (lines.withColumn("text", text).withColumn("key", key).withColumn("value", value)
@@ -39,7 +40,7 @@ def robots_groups(robots: DataFrame) -> DataFrame:
                .filter("kind = 'agent' or (kind = 'rule' and _open = 'agent')"))
     is_rule = F.col("key").isin("allow", "disallow")
     allow = (F.col("key") == "allow") | (F.col("value") == "")
-    path = U.quote(U.let(U.split_url(F.col("value")), U.join_url))
+    path = F.expr(U.quote(let(U.split_url("value"), U.join_url)))
     delay = F.when((F.col("key") == "crawl-delay") & F.col("value").rlike(r"^\d+$"), F.col("value").cast("int"))
     rule = F.when(is_rule, F.struct(F.col("line").alias("seq"), allow.alias("allow"), path.alias("path")))
     return (grouped.groupBy("host", "grp").agg(
@@ -66,13 +67,12 @@ def robots_policy(groups: DataFrame, agent: str = DEFAULT_AGENT) -> DataFrame:
             .select("host", "_g.*"))
 
 
-def rule_target(url: Column) -> Column:
+def rule_target(url: str) -> str:
     """What rules are matched against: percent-quoted path, parameters, query and fragment."""
-    def rest(u: Column) -> Column:
-        return F.struct(F.lit("").alias("scheme"), F.lit("").alias("netloc"),
-                        *[u[f].alias(f) for f in ("path", "params", "query", "fragment")])
-    target = U.quote(U.let(U.let(U.split_url(U.unquote(url)), rest), U.join_url))
-    return F.when(target == "", "/").otherwise(target)
+    def rest(u: str) -> str:
+        return struct(scheme="''", netloc="''", **{f: f"{u}.{f}" for f in U.PARTS[2:]})
+    target = U.quote(let(let(U.split_url(U.unquote(url)), rest), U.join_url))
+    return f"coalesce(nullif({target}, ''), '/')"
 
 
 def robots_allowed(urls: DataFrame, groups: DataFrame, agent: str = DEFAULT_AGENT,
@@ -81,8 +81,8 @@ def robots_allowed(urls: DataFrame, groups: DataFrame, agent: str = DEFAULT_AGEN
     if not respect:
         return urls.withColumn("allowed", F.lit(True))
     hosts = robots_policy(groups, agent).select(F.col("host").alias("_host"), "rules")
-    judged = (urls.withColumn("_host", F.lower(U.split_url(F.col(col))["netloc"]))
-              .withColumn("_target", rule_target(F.col(col)))
+    judged = (urls.withColumn("_host", F.expr(U.host(col)))
+              .withColumn("_target", F.expr(rule_target(col)))
               .join(hosts, "_host", "left"))
     match = F.filter("rules", lambda r: (r["path"] == "*") | F.startswith(F.col("_target"), r["path"]))
     return (judged.withColumn("allowed", F.coalesce(F.get(match, F.lit(0))["allow"], F.lit(True)))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import text as T
+from linkspark.session import cut
 
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "content": 1.0}
@@ -56,9 +57,10 @@ def build_index(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str
     analyzed = analyze(df, columns, doc, analyzer)
     words = analyzed.select("field", "doc_id", F.posexplode("tokens").alias("pos", "term"))
     extra = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
-    # all tokens of a document sit in one partition, so counting is nearly done before the shuffle
-    postings = words.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), *extra)
-    lengths = analyzed.select("field", "doc_id", F.size("tokens").alias("length")).filter("length > 0")
+    # all tokens of a document sit in one partition, so counting is nearly done before the shuffle;
+    # the text is analysed once, lengths and frequencies come from the written postings
+    postings = cut(words.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), *extra))
+    lengths = postings.groupBy("field", "doc_id").agg(F.sum("tf").cast("int").alias("length"))
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     return Index(postings, lengths, terms, analyzer)
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.functions import urls as U
+from linkspark.functions.sql import let
 
 
 def canonicalize(df: DataFrame, col: str = "url") -> DataFrame:
     """Add ``canonical`` and ``reason``; failures keep their row with a NULL canonical form."""
-    c = U.canonical(F.col(col))
-    return (df.withColumn("_c", c)
+    return (df.withColumn("_c", F.expr(U.canonical(col)))
             .withColumn("canonical", F.col("_c.canonical"))
             .withColumn("reason", F.col("_c.reason")).drop("_c"))
 
@@ -21,16 +21,14 @@ def dedupe_urls(df: DataFrame, order: str, col: str = "url") -> DataFrame:
 
     ``min_by`` is combined before the shuffle, so a URL that fills a third of the table is cheap.
     """
-    rows = canonicalize(df, col).filter("canonical is not null")
-    first = rows.groupBy("canonical").agg(
+    first = canonicalize(df, col).groupBy("canonical").agg(
         F.min_by(F.struct(*df.columns), F.col(order)).alias("_first"),
-        F.count("*").alias("copies"))
-    return first.select("_first.*", "canonical",
-                        U.url_hash(F.col("canonical")).alias("url_hash"), "copies")
+        F.count("*").alias("copies")).filter("canonical is not null")
+    return first.select("_first.*", "canonical", F.expr(U.url_hash("canonical")).alias("url_hash"), "copies")
 
 
 def with_validity(df: DataFrame, col: str = "url") -> DataFrame:
-    return df.withColumn("invalid_reason", U.invalid_reason(F.col(col)))
+    return df.withColumn("invalid_reason", F.expr(U.invalid_reason(col)))
 
 
 def audit_urls(df: DataFrame, col: str = "url") -> DataFrame:
@@ -46,24 +44,21 @@ def filter_strict_urls(df: DataFrame, col: str = "url") -> DataFrame:
 
 def with_site(df: DataFrame, col: str = "url") -> DataFrame:
     """Add ``host`` (lower-cased, with port) and ``base`` (scheme and host as written)."""
-    return (df.withColumn("_u", U.split_url(F.col(col)))
+    return (df.withColumn("_u", F.expr(U.split_url(col)))
             .withColumn("host", F.lower("_u.netloc"))
-            .withColumn("base", F.concat(F.col("_u.scheme"), F.lit("://"), F.col("_u.netloc")))
+            .withColumn("base", F.concat("_u.scheme", F.lit("://"), "_u.netloc"))
             .drop("_u"))
 
 
 def pages_per_host(df: DataFrame, col: str = "url") -> DataFrame:
-    return with_site(df, col).groupBy("host").agg(F.count("*").alias("pages"))
+    return df.groupBy(F.expr(U.host(col)).alias("host")).agg(F.count("*").alias("pages"))
 
 
 def same_site(df: DataFrame, a: str, b: str) -> DataFrame:
     """Add ``same_site``: equal host and port, whatever the scheme."""
-    def host(c: str):
-        return F.lower(U.split_url(F.col(c))["netloc"])
-    return df.withColumn("same_site", host(a) == host(b))
+    return df.withColumn("same_site", F.expr(f"{U.host(a)} = {U.host(b)}"))
 
 
 def resolve_links(df: DataFrame, base: str = "base_url", href: str = "href") -> DataFrame:
     """Add ``resolved``: every href made absolute against its page."""
-    return df.withColumn("resolved", U.let(
-        U.base_parts(F.col(base)), lambda b: U.resolve(b, F.col(href))))
+    return df.withColumn("resolved", F.expr(let(U.base_parts(base), lambda b: U.resolve(b, href))))

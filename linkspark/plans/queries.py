@@ -385,7 +385,7 @@ def dlq_backlog(spark, sf):
 
 def _job_pages(spark, sf):
     return (fx.linked(spark, sf).withColumn("job_id", fx.host())
-            .withColumn("url_hash", F.sha2(U.U.canonical(F.col("url"))["canonical"], 256))
+            .withColumn("url_hash", F.expr(U.U.canonical_hash("url")))
             .withColumn("crawled_at", fx.crawled_at()))
 
 

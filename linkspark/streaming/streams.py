@@ -23,7 +23,7 @@ IDLE_EXPIRY_SECONDS = 3600
 
 def dedupe_stream(urls: DataFrame, memory: str = "1 hour") -> DataFrame:
     """First sighting of every (job, URL); a URL is remembered for ``memory``."""
-    keyed = urls.withColumn("url_hash", U.url_hash(U.canonical(F.col("url"))["canonical"]))
+    keyed = urls.withColumn("url_hash", F.expr(U.canonical_hash("url")))
     return (keyed.filter("url_hash is not null").withWatermark("ts", memory)
             .dropDuplicatesWithinWatermark(["job_id", "url_hash"]))
 
@@ -55,8 +55,8 @@ def counters_stream(pages: DataFrame) -> DataFrame:
 def check_batch(messages: DataFrame, responses: DataFrame, policy: str = "lenient") -> DataFrame:
     """Broken links of a batch of link-check messages (``value``, ``ts``)."""
     good, _ = parse_link_jobs(messages)
-    targets = good.withColumn("canonical", U.canonical(F.col("target_url"))["canonical"])
-    edges = targets.select("*", U.url_hash(F.col("canonical")).alias("url_hash"),
+    targets = good.withColumn("canonical", F.expr(f"{U.canonical('target_url')}.canonical"))
+    edges = targets.select("*", F.sha2("canonical", 256).alias("url_hash"),
                            F.lit("external").alias("category"),
                            F.lit(None).cast("string").alias("anchor_text"))
     checked = C.check_links(edges, responses, policy)
