@@ -8,7 +8,9 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from linkspark.functions.sql import lam, let, struct
 
 # A word: letters, marks, digits; single dots and apostrophes inside it belong to it.
 # The possessive group keeps matching iterative, so a very long word cannot exhaust the stack.
@@ -118,46 +120,61 @@ def stem(word: str) -> str:
     return w
 
 
-# --- edit distance ------------------------------------------------------------------------
+# --- edit distance, as SQL expressions ----------------------------------------------------
 
-def edits_allowed(term: Column) -> Column:
+def edits_allowed(term: str) -> str:
     """0 for up to two characters, 1 for three to five, 2 beyond."""
-    return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
+    return f"CASE WHEN length({term}) <= 2 THEN 0 WHEN length({term}) <= 5 THEN 1 ELSE 2 END"
 
 
-def deletions(term: Column, most: Column) -> Column:
+def deletions(term: str, most: str) -> str:
     """``term`` and all strings left after removing up to ``most`` (0..2) characters.
 
     Two words within k edits, swaps of neighbours included, share a string left after removing
     up to k characters from each, so an equality join on these finds every fuzzy match.
     """
-    def shorter(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(
-            F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
-
-    none = F.array().cast("array<string>")
-    one = F.when((most >= 1) & (F.length(term) > 0), shorter(term)).otherwise(none)
-    two = F.when((most >= 2) & (F.length(term) > 1), F.flatten(F.transform(one, shorter))).otherwise(none)
-    return F.array_distinct(F.concat(F.array(term), one, two))
-
-
-def swap_distance(a: str, b: str) -> int:
-    """Edit distance in which swapping two neighbours counts one."""
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        before, last = last, row
-    return last[-1]
-
-
-@F.pandas_udf(IntegerType())
-def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([swap_distance(x, y) for x, y in zip(a, b)])
+    none = "CAST(array() AS array<string>)"
+    size = f"length({term})"
+    one = lam(lambda i: f"concat(left({term}, {i} - 1), substr({term}, {i} + 1))")
+
+    def second(i: str) -> str:
+        cut = lam(lambda j: f"concat(left({term}, {i} - 1), substr({term}, {i} + 1, {j} - {i} - 1), substr({term}, {j} + 1))")
+        return f"transform(sequence({i} + 1, {size}), {cut})"
+
+    return f"""array_distinct(concat(array({term}),
+      IF({most} >= 1 AND {size} >= 1, transform(sequence(1, {size}), {one}), {none}),
+      IF({most} >= 2 AND {size} >= 2, flatten(transform(sequence(1, {size} - 1), {lam(second)})), {none})))"""
+
+
+def _one_swap(a: str, b: str) -> str:
+    """The words differ by swapping two neighbours."""
+    swapped = lam(lambda i: f"{b} = concat(left({a}, {i} - 1), substr({a}, {i} + 1, 1), substr({a}, {i}, 1), substr({a}, {i} + 2))")
+    return f"(length({a}) > 1 AND length({a}) = length({b}) AND exists(sequence(1, greatest(length({a}) - 1, 1)), {swapped}))"
+
+
+def edit_distance(a: str, b: str) -> str:
+    """Edit distance in which swapping two neighbours counts one; 3 stands for three and more.
+
+    The built-in distance does not know swaps. It equals ours up to 1; at 2 a single swap makes
+    the difference. At 3 or 4 the distance is 2 only if there is a swap with at most one more
+    edit, which then lies wholly before or wholly after it.
+    """
+    def single(x: str, y: str) -> str:
+        return f"(levenshtein({x}, {y}, 1) = 1 OR {_one_swap(x, y)})"
+
+    def at(i: str, shift: str) -> str:
+        halves = struct(la=f"left({a}, {i} - 1)", lb=f"left({b}, {i} + {shift} - 1)",
+                        ra=f"substr({a}, {i} + 2)", rb=f"substr({b}, {i} + {shift} + 2)")
+        rest = let(halves, lambda h: f"(({h}.la = {h}.lb AND {single(f'{h}.ra', f'{h}.rb')}) OR "
+                                     f"({h}.ra = {h}.rb AND {single(f'{h}.la', f'{h}.lb')}))")
+        return (f"({i} + {shift} >= 1 AND substr({b}, {i} + {shift}, 2) = reverse(substr({a}, {i}, 2)) "
+                f"AND length(substr({b}, {i} + {shift}, 2)) = 2 AND {rest})")
+
+    anywhere = lam(lambda i: " OR ".join(at(i, d) for d in ("-1", "0", "1")))
+    swap_and_edit = f"exists(sequence(1, greatest(length({a}) - 1, 1)), {anywhere})"
+    return let(f"levenshtein({a}, {b}, 4)", lambda d: f"""CASE WHEN {d} BETWEEN 0 AND 1 THEN {d}
+      WHEN {d} = 2 THEN IF({_one_swap(a, b)}, 1, 2)
+      WHEN {d} IN (3, 4) AND {swap_and_edit} THEN 2 ELSE 3 END""")
 
 
 # --- highlighting -------------------------------------------------------------------------

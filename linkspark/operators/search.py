@@ -26,22 +26,27 @@ MAX_BROADCAST_QUERY = 10_000  # characters: at most 5 000 terms
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # field, term, doc_id, tf
-    lengths: DataFrame   # field, doc_id, length
-    terms: DataFrame     # field, term, df
+    postings: DataFrame  # field, term, doc_id, length (of the document's field), tf
+    fields: tuple[str, ...]
     analyzer: str
 
+    @property
+    def lengths(self) -> DataFrame:
+        return self.postings.groupBy("field", "doc_id").agg(F.max("length").alias("length"))
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+
     def save(self, path: str) -> None:
         """Postings sorted by term, so a query reads few row groups; a frequent term spans files."""
         (self.postings.repartitionByRange("field", "term", "doc_id")
-         .sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings"))
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        (self.terms.repartitionByRange("field", "term").sortWithinPartitions("field", "term")
-         .write.mode("overwrite").parquet(f"{path}/terms"))
+         .sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(path))
 
     @staticmethod
-    def load(spark: SparkSession, path: str, analyzer: str = "english") -> Index:
-        return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")], analyzer)
+    def load(spark: SparkSession, path: str, fields: tuple[str, ...] = ("title", "content"),
+             analyzer: str = "english") -> Index:
+        return Index(spark.read.parquet(path), fields, analyzer)
 
 
 def analyze(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str, analyzer: str = "english") -> DataFrame:
@@ -55,14 +60,14 @@ def analyze(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str, ana
 def build_index(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str = "doc_id",
                 analyzer: str = "english", positions: bool = False) -> Index:
     analyzed = analyze(df, columns, doc, analyzer)
-    words = analyzed.select("field", "doc_id", F.posexplode("tokens").alias("pos", "term"))
+    words = analyzed.select("field", "doc_id", F.size("tokens").alias("length"),
+                            F.posexplode_outer("tokens").alias("pos", "term")).filter("term is not null")
     extra = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
     # all tokens of a document sit in one partition, so counting is nearly done before the shuffle;
-    # the text is analysed once, lengths and frequencies come from the written postings
-    postings = cut(words.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), *extra))
-    lengths = postings.groupBy("field", "doc_id").agg(F.sum("tf").cast("int").alias("length"))
-    terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    return Index(postings, lengths, terms, analyzer)
+    # the text is analysed once, everything else comes from the written postings
+    postings = cut(words.groupBy("field", "term", "doc_id", "length").agg(F.count("*").alias("tf"), *extra))
+    names = dict(columns) if isinstance(columns, Mapping) else columns
+    return Index(postings, tuple(names), analyzer)
 
 
 def term_stats(index: Index) -> DataFrame:
@@ -73,8 +78,8 @@ def term_stats(index: Index) -> DataFrame:
 
 def query_terms(queries: DataFrame, analyzer: str = "english") -> DataFrame:
     """(query_id, qterm, qtf) of ``queries(query_id, query)``."""
-    words = queries.select("query_id", F.explode(T.tokens(F.col("query"), analyzer)).alias("qterm"))
-    return words.groupBy("query_id", "qterm").agg(F.count("*").alias("qtf"))
+    words = queries.select("query_id", F.explode_outer(T.tokens(F.col("query"), analyzer)).alias("qterm"))
+    return words.filter("qterm is not null").groupBy("query_id", "qterm").agg(F.count("*").alias("qtf"))
 
 
 def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int = MAX_EXPANSIONS) -> DataFrame:
@@ -84,19 +89,17 @@ def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int = MAX_EXPA
     the exact distance is worked out for those only. The best ``limit`` per field are kept.
     """
     wanted = qterms.select("qterm").distinct()
-    most = T.edits_allowed(F.col("qterm"))
-    left = wanted.select("qterm", F.explode(T.deletions(F.col("qterm"), most)).alias("_key"))
+    most = T.edits_allowed("qterm")
+    left = _unfolded(wanted, "qterm", most)
     # only vocabulary whose length is within reach of some query term is unfolded
-    near = wanted.select(F.explode(F.sequence(
-        F.length("qterm") - most, F.length("qterm") + most)).alias("_len")).distinct()
-    size = F.length("term")
-    words = (vocabulary.select("term").distinct().withColumn("_len", size)
+    near = wanted.select(F.explode(F.expr(
+        f"sequence(length(qterm) - ({most}), length(qterm) + ({most}))")).alias("_len")).distinct()
+    words = (vocabulary.select("term").distinct().withColumn("_len", F.length("term"))
              .join(near, "_len", "left_semi").drop("_len"))
-    reach = F.when(size >= 4, 2).when(size >= 2, 1).otherwise(0)
-    right = words.select("term", F.explode(T.deletions(F.col("term"), reach)).alias("_key"))
+    right = _unfolded(words, "term", "CASE WHEN length(term) >= 4 THEN 2 WHEN length(term) >= 2 THEN 1 ELSE 0 END")
     pairs = left.join(right, "_key").select("qterm", "term").distinct()
-    exact = (pairs.withColumn("edits", T.edit_distance("qterm", "term"))
-             .filter(F.col("edits") <= most)
+    exact = (pairs.withColumn("edits", F.expr(T.edit_distance("qterm", "term")))
+             .filter(f"edits <= {most}")
              .withColumn("weight", 1 - F.col("edits") / F.least(F.length("qterm"), F.length("term")))
              .filter("weight > 0"))
     best = Window.partitionBy("field", "qterm").orderBy(F.desc("weight"), "term")
@@ -105,6 +108,11 @@ def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int = MAX_EXPA
             .select("field", "qterm", "term", "edits", "weight", "df"))
 
 
+def _unfolded(words: DataFrame, col: str, most: str) -> DataFrame:
+    # outer, so that the optimizer does not compute the array once more to test its size
+    return words.select(col, F.explode_outer(F.expr(T.deletions(col, most))).alias("_key"))
+
+
 def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[str, float] = BOOSTS,
           few_terms: bool = False) -> DataFrame:
     """(query_id, doc_id, score): BM25 summed over terms, best boosted field wins.
@@ -131,14 +139,11 @@ def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[
         weighted = F.broadcast(weighted)
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     part = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
-    boost = F.lit(1.0)
-    for name, value in boosts.items():
-        boost = F.when(F.col("field") == name, value).otherwise(boost)
-    per_field = (index.postings.join(weighted, ["field", "term"])
-                 .join(index.lengths, ["field", "doc_id"])
-                 .groupBy("query_id", "doc_id", "field").agg((F.sum(part)).alias("_s")))
-    return per_field.groupBy("query_id", "doc_id").agg(
-        F.round(F.max(F.col("_s") * boost), SCORE_DIGITS).alias("score"))
+    sums = [F.sum(F.when(F.col("field") == f, part)) * float(boosts.get(f, 1.0)) for f in index.fields]
+    best = F.greatest(*sums) if len(sums) > 1 else sums[0]
+    # the document length sits in the posting, and one grouping serves all fields: a single shuffle
+    return (index.postings.join(weighted, ["field", "term"]).groupBy("query_id", "doc_id")
+            .agg(F.round(best, SCORE_DIGITS).alias("score")))
 
 
 def search_many(index: Index, queries: DataFrame, k: int = DEFAULT_SIZE, fuzzy: bool = True,

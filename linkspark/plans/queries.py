@@ -517,14 +517,14 @@ def _questions(spark, sf):
 @query
 def analyze_standard(spark, sf):
     rows = S.analyze(fx.table(spark, sf, "documents"), {"content": "text"}, "doc_id", "standard")
-    words = rows.select("doc_id", F.explode("tokens").alias("term"))
+    words = rows.select("doc_id", F.explode_outer("tokens").alias("term")).filter("term is not null")
     return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 @query
 def analyze_english(spark, sf):
     rows = S.analyze(fx.table(spark, sf, "documents"), {"content": "text"}, "doc_id", "english")
-    return rows.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    return rows.select(F.explode_outer("tokens").alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("tf"))
 
 
 @query

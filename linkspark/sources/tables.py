@@ -36,8 +36,8 @@ def parse_link_jobs(messages: DataFrame, value: str = "value") -> tuple[DataFram
     bad = F.col("_m").isNull() | F.col("_m._corrupt").isNotNull()
     rejected = parsed.filter(bad).drop("_m")
     good = parsed.filter(~bad).select(
-        "_m.job_id", "_m.source_url", "_m.depth", F.posexplode("_m.target_urls").alias("pos", "target_url"))
-    return good.withColumn("pos", F.col("pos") + 1), rejected
+        "_m.job_id", "_m.source_url", "_m.depth", F.posexplode_outer("_m.target_urls").alias("pos", "target_url"))
+    return good.filter("target_url is not null").withColumn("pos", F.col("pos") + 1), rejected
 
 
 def read_link_jobs(source: DataFrame) -> DataFrame:

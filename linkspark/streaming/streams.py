@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linkspark.functions import urls as U
 from linkspark.operators import check as C
@@ -17,7 +16,6 @@ from linkspark.operators.metrics import rate
 from linkspark.sources import sinks
 from linkspark.sources.tables import parse_link_jobs
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 IDLE_EXPIRY_SECONDS = 3600
 
 
@@ -96,43 +94,35 @@ def foreach_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
             .trigger(availableNow=True).start())
 
 
-class _Bucket(StatefulProcessor):
-    """One number per domain: when its bucket will be full again."""
-
-    def __init__(self, rate: float, burst: int, ttl_seconds: int):
-        self.p, self.s = _scale(rate)
-        self.burst, self.ttl = burst, ttl_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("full_at", LongType())])
-        self.full = handle.getValueState("full", schema, ttlDurationMs=self.ttl * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # requests are served as they arrive: sorted within an Arrow batch, batch after batch
-        full = self.full.get()[0] if self.full.exists() else 0
-        for batch in rows:
-            batch = batch.sort_values(["t", "request_id"])
-            waits = []
-            for t in (batch["t"] * self.p).tolist():
-                start = max(t, full - (self.burst - 1) * self.s)
-                full = max(full, t) + self.s
-                waits.append((start - t) / (self.p * 1e6))
-            yield pd.DataFrame({"domain": key[0], "request_id": batch["request_id"].to_numpy(),
-                                "wait_seconds": waits})
-        self.full.update((full,))
-
-    def close(self) -> None:
-        pass
-
-
 def admit_stream(requests: DataFrame, rate: float = RATE, burst: int = BURST,
-                 ttl_seconds: int = IDLE_EXPIRY_SECONDS) -> DataFrame:
-    """Waiting time of each request (``domain, request_id, ts``), bucket kept as state per domain.
+                 ttl_seconds: int = IDLE_EXPIRY_SECONDS, late: str = "1 hour") -> DataFrame:
+    """Waiting time of each request (``domain, request_id, ts``), served in order of arrival.
 
-    Needs the RocksDB state store. A bucket unused for ``ttl_seconds`` is forgotten, that is full.
+    The state of a domain is one number: when its bucket will be full again. It is dropped after
+    ``ttl_seconds`` without requests, which is the same as a full bucket. Requests more than
+    ``late`` behind the newest one are not served.
     """
-    rows = requests.select("domain", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return rows.groupBy("domain").transformWithStateInPandas(
-        statefulProcessor=_Bucket(rate, burst, ttl_seconds),
-        outputStructType="domain string, request_id bigint, wait_seconds double",
-        outputMode="Append", timeMode="ProcessingTime")
+    p, s = _scale(rate)
+
+    def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        full, newest = state.get if state.exists else (0, 0)
+        for batch in batches:  # Arrow batches: a busy domain is never held whole
+            batch = batch.sort_values(["t", "request_id"])
+            waits = []
+            for t in (batch["t"] * p).tolist():
+                start = max(t, full - (burst - 1) * s)
+                full = max(full, t) + s
+                waits.append((start - t) / (p * 1e6))
+            newest = max(newest, int(batch["t"].max()))
+            yield pd.DataFrame({"domain": key[0], "request_id": batch["request_id"].to_numpy(), "wait_seconds": waits})
+        state.update((full, newest))
+        state.setTimeoutTimestamp(max(newest // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    rows = requests.withWatermark("ts", late).select(
+        "domain", "request_id", "ts", F.unix_micros(F.col("ts")).alias("t"))
+    return rows.groupBy("domain").applyInPandasWithState(
+        serve, "domain string, request_id bigint, wait_seconds double", "full_at bigint, newest bigint",
+        "append", GroupStateTimeout.EventTimeTimeout)

@@ -10,15 +10,13 @@ sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (str(ROOT), os.environ.get("PYTHONPATH")) if p)
 
 from linkspark.session import build_session  # noqa: E402
-from linkspark.streaming.streams import ROCKSDB  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
-        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch")),
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB})
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("scratch"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
