@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import text as T
-from linkspark.session import cut
+from linkspark.session import cut, shuffle_partitions
 
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "content": 1.0}
@@ -94,8 +94,9 @@ def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int = MAX_EXPA
     # only vocabulary whose length is within reach of some query term is unfolded
     near = wanted.select(F.explode(F.expr(
         f"sequence(length(qterm) - ({most}), length(qterm) + ({most}))")).alias("_len")).distinct()
-    words = (vocabulary.select("term").distinct().withColumn("_len", F.length("term"))
-             .join(near, "_len", "left_semi").drop("_len"))
+    # a term unfolds into dozens of rows, so the few bytes of a vocabulary are spread wide
+    words = (vocabulary.select("term").repartition(shuffle_partitions(vocabulary), "term").distinct()
+             .withColumn("_len", F.length("term")).join(near, "_len", "left_semi").drop("_len"))
     right = _unfolded(words, "term", "CASE WHEN length(term) >= 4 THEN 2 WHEN length(term) >= 2 THEN 1 ELSE 0 END")
     pairs = left.join(right, "_key").select("qterm", "term").distinct()
     exact = (pairs.withColumn("edits", F.expr(T.edit_distance("qterm", "term")))

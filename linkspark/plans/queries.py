@@ -507,7 +507,7 @@ def _page_index(spark, sf, analyzer="standard"):
 
 
 def _document_index(spark, sf, analyzer="standard"):
-    return S.build_index(fx.table(spark, sf, "documents"), {"content": "text"}, analyzer=analyzer)
+    return S.build_index(fx.documents(spark, sf), {"content": "text"}, analyzer=analyzer)
 
 
 def _questions(spark, sf):
@@ -516,14 +516,14 @@ def _questions(spark, sf):
 
 @query
 def analyze_standard(spark, sf):
-    rows = S.analyze(fx.table(spark, sf, "documents"), {"content": "text"}, "doc_id", "standard")
+    rows = S.analyze(fx.documents(spark, sf), {"content": "text"}, "doc_id", "standard")
     words = rows.select("doc_id", F.explode_outer("tokens").alias("term")).filter("term is not null")
     return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 @query
 def analyze_english(spark, sf):
-    rows = S.analyze(fx.table(spark, sf, "documents"), {"content": "text"}, "doc_id", "english")
+    rows = S.analyze(fx.documents(spark, sf), {"content": "text"}, "doc_id", "english")
     return rows.select(F.explode_outer("tokens").alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("tf"))
 
 

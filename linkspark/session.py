@@ -51,3 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/linkspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that arrives in fewer splits than there are cores.
+
+    For text work, which costs far more than the rows weigh. A table of cluster size arrives in
+    many splits and is left alone, so nothing is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
