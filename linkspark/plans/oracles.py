@@ -173,11 +173,15 @@ ORACLES["pages_per_host"] = f"SELECT lower({_HOST}) AS host, count(*) AS pages F
 # --- pages -----------------------------------------------------------------------------------------------
 
 
-def _decoded(e: str) -> str:
-    for found, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "),
-                        ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        e = f"replace({e}, '{found}', '{char}')"
-    return e
+def _decoded(e: str, bare: bool = True) -> str:
+    """The references that occur in the given pages. In text they also count without ';' (titles are
+    cut off in the middle). A decoded '&' is kept apart until the end, so nothing is decoded twice."""
+    for name, char in (("amp", "\x01"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "),
+                       ("copy", "©"), ("middot", "·")):
+        e = f"replace({e}, '&{name};', '{char}')"
+        if bare:
+            e = f"replace({e}, '&{name}', '{char}')"
+    return f"replace({e}, '\x01', '&')"
 
 
 def _without(e: str, *tags: str) -> str:
@@ -195,7 +199,7 @@ _TEXT = (rf"left(trim(regexp_replace({_decoded(rf"regexp_replace({_BODY}, '<[A-Z
 _ANCHORS = rf"""tags AS (SELECT page_id, url, regexp_extract_all({_PLAIN}, '(?is)<a\s[^>]*>.*?</a') AS found FROM pages),
 each AS (SELECT page_id, url, unnest(found) AS a, generate_subscripts(found, 1) AS pos FROM tags),
 anchors AS (SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS pos,
-  {_decoded(r"regexp_extract(a, '(?is)\shref=.([^\x22\x27]*)', 1)")} AS href,
+  {_decoded(r"regexp_extract(a, '(?is)\shref=.([^\x22\x27]*)', 1)", bare=False)} AS href,
   left(trim({_decoded(r"regexp_replace(regexp_extract(a, '(?is)^<a\s[^>]*>(.*)</a$', 1), '<[A-Za-z/!?][^>]*>', '', 'g')")}), 200) AS text,
   '' AS rel FROM each WHERE regexp_matches(a, '(?is)\shref=.[^\x22\x27]'))"""
 
