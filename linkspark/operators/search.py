@@ -6,7 +6,7 @@ query and a million queries run through the same joins.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import text as T
+from linkspark.functions.sql import lam, text
 from linkspark.session import cut, shuffle_partitions
 
 K1, B = 1.2, 0.75
@@ -21,12 +22,14 @@ BOOSTS = {"title": 3.0, "content": 1.0}
 MAX_EXPANSIONS = 50
 DEFAULT_SIZE, MAX_SIZE = 20, 100
 SCORE_DIGITS = 6
-MAX_BROADCAST_QUERY = 10_000  # characters: at most 5 000 terms
+MAX_FEW = 64  # query terms that count as a handful
 
 
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame  # field, term, doc_id, length (of the document's field), tf
+    terms: DataFrame     # field, term, df
+    stats: DataFrame     # field, docs, mean_length: one row per field
     fields: tuple[str, ...]
     analyzer: str
 
@@ -34,19 +37,19 @@ class Index:
     def lengths(self) -> DataFrame:
         return self.postings.groupBy("field", "doc_id").agg(F.max("length").alias("length"))
 
-    @property
-    def terms(self) -> DataFrame:
-        return self.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-
     def save(self, path: str) -> None:
-        """Postings sorted by term, so a query reads few row groups; a frequent term spans files."""
+        """Sorted by term, so a query reads few row groups; a frequent term spans files."""
         (self.postings.repartitionByRange("field", "term", "doc_id")
-         .sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(path))
+         .sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings"))
+        (self.terms.repartitionByRange("field", "term")
+         .sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms"))
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def load(spark: SparkSession, path: str, fields: tuple[str, ...] = ("title", "content"),
              analyzer: str = "english") -> Index:
-        return Index(spark.read.parquet(path), fields, analyzer)
+        tables = [spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")]
+        return Index(*tables, fields, analyzer)
 
 
 def analyze(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str, analyzer: str = "english") -> DataFrame:
@@ -66,8 +69,10 @@ def build_index(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str
     # all tokens of a document sit in one partition, so counting is nearly done before the shuffle;
     # the text is analysed once, everything else comes from the written postings
     postings = cut(words.groupBy("field", "term", "doc_id", "length").agg(F.count("*").alias("tf"), *extra))
-    names = dict(columns) if isinstance(columns, Mapping) else columns
-    return Index(postings, tuple(names), analyzer)
+    terms = cut(postings.groupBy("field", "term").agg(F.count("*").alias("df")))
+    lengths = postings.groupBy("field", "doc_id").agg(F.max("length").alias("length"))
+    stats = cut(lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")))
+    return Index(postings, terms, stats, tuple(columns), analyzer)
 
 
 def term_stats(index: Index) -> DataFrame:
@@ -82,23 +87,20 @@ def query_terms(queries: DataFrame, analyzer: str = "english") -> DataFrame:
     return words.filter("qterm is not null").groupBy("query_id", "qterm").agg(F.count("*").alias("qtf"))
 
 
-def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int = MAX_EXPANSIONS) -> DataFrame:
+def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int = MAX_EXPANSIONS,
+                 few: Sequence[str] | None = None) -> DataFrame:
     """(field, qterm, term, edits, weight, df): index terms a query term may stand for.
 
     Candidates come from an equality join on shortened forms instead of comparing every pair;
     the exact distance is worked out for those only. The best ``limit`` per field are kept.
+    ``few`` gives the query terms themselves when there is only a handful: then one pass over the
+    vocabulary tests each term against them, without any join.
     """
-    wanted = qterms.select("qterm").distinct()
     most = T.edits_allowed("qterm")
-    left = _unfolded(wanted, "qterm", most)
-    # only vocabulary whose length is within reach of some query term is unfolded
-    near = wanted.select(F.explode(F.expr(
-        f"sequence(length(qterm) - ({most}), length(qterm) + ({most}))")).alias("_len")).distinct()
-    # a term unfolds into dozens of rows, so the few bytes of a vocabulary are spread wide
-    words = (vocabulary.select("term").repartition(shuffle_partitions(vocabulary), "term").distinct()
-             .withColumn("_len", F.length("term")).join(near, "_len", "left_semi").drop("_len"))
-    right = _unfolded(words, "term", "CASE WHEN length(term) >= 4 THEN 2 WHEN length(term) >= 2 THEN 1 ELSE 0 END")
-    pairs = left.join(right, "_key").select("qterm", "term").distinct()
+    if few is not None:
+        pairs = _near_literals(_words(vocabulary), few)
+    else:
+        pairs = _near_pairs(qterms.select("qterm").distinct(), vocabulary)
     exact = (pairs.withColumn("edits", F.expr(T.edit_distance("qterm", "term")))
              .filter(f"edits <= {most}")
              .withColumn("weight", 1 - F.col("edits") / F.least(F.length("qterm"), F.length("term")))
@@ -109,34 +111,54 @@ def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int = MAX_EXPA
             .select("field", "qterm", "term", "edits", "weight", "df"))
 
 
+def _words(vocabulary: DataFrame) -> DataFrame:
+    # testing or unfolding a term costs far more than its few bytes, so they are spread wide
+    return vocabulary.select("term").repartition(shuffle_partitions(vocabulary), "term").distinct()
+
+
+def _near_pairs(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    most = T.edits_allowed("qterm")
+    left = _unfolded(wanted, "qterm", most)
+    # only vocabulary whose length is within reach of some query term is unfolded
+    near = wanted.select(F.explode(F.expr(
+        f"sequence(length(qterm) - ({most}), length(qterm) + ({most}))")).alias("_len")).distinct()
+    words = _words(vocabulary).withColumn("_len", F.length("term")).join(near, "_len", "left_semi").drop("_len")
+    right = _unfolded(words, "term", "CASE WHEN length(term) >= 4 THEN 2 WHEN length(term) >= 2 THEN 1 ELSE 0 END")
+    return left.join(right, "_key").select("qterm", "term").distinct()
+
+
+def _near_literals(words: DataFrame, few: Sequence[str]) -> DataFrame:
+    close = lam(lambda q: f"abs(length({q}) - length(term)) <= {T.edits_allowed(q)} "
+                          f"AND {T.edit_distance(q, 'term')} <= {T.edits_allowed(q)}")
+    near = F.expr(f"filter(array({', '.join(text(w) for w in few)}), {close})")
+    return words.select("term", F.explode_outer(near).alias("qterm")).filter("qterm is not null")
+
+
 def _unfolded(words: DataFrame, col: str, most: str) -> DataFrame:
     # outer, so that the optimizer does not compute the array once more to test its size
     return words.select(col, F.explode_outer(F.expr(T.deletions(col, most))).alias("_key"))
 
 
 def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[str, float] = BOOSTS,
-          few_terms: bool = False) -> DataFrame:
+          few: Sequence[str] | None = None) -> DataFrame:
     """(query_id, doc_id, score): BM25 summed over terms, best boosted field wins.
 
-    ``few_terms`` says that the query side is known to be small (one query of bounded length times
-    MAX_EXPANSIONS), so it is broadcast and the postings are filtered where they are read.
+    ``few`` names the query terms when they are known to be a handful (times MAX_EXPANSIONS): then
+    the query side is broadcast and the postings are filtered where they are read.
     """
     qterms = query_terms(queries, index.analyzer)
     if fuzzy:
-        expanded = expand_terms(qterms, index.terms)
+        expanded = expand_terms(qterms, index.terms, few=few)
     else:
         expanded = index.terms.join(qterms.select(F.col("qterm").alias("term")).distinct(), "term").select(
             "field", F.col("term").alias("qterm"), "term", F.lit(1.0).alias("weight"), "df")
     top_df = expanded.groupBy("field", "qterm").agg(F.max("df").alias("df"))
     weighted = (expanded.drop("df").join(top_df, ["field", "qterm"]).join(qterms, "qterm")
                 .select("query_id", "field", "term", (F.col("weight") * F.col("qtf")).alias("weight"), "df"))
-    # one row per field, so the join below is always a small one
-    fields = index.lengths.groupBy("field").agg(
-        F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = weighted.join(fields, "field").select(
+    weighted = weighted.join(index.stats, "field").select(
         "query_id", "field", "term", (F.col("weight") * idf).alias("weight"), "mean_length")
-    if few_terms:
+    if few is not None:
         weighted = F.broadcast(weighted)
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     part = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
@@ -164,6 +186,12 @@ def _one(spark: SparkSession, query: str) -> DataFrame:
     return spark.createDataFrame([(0, query)], "query_id int, query string")
 
 
+def _handful(queries: DataFrame, analyzer: str) -> list[str] | None:
+    """The terms of the queries if there are at most MAX_FEW."""
+    found = query_terms(queries, analyzer).select("qterm").distinct().limit(MAX_FEW + 1).collect()
+    return [r.qterm for r in found] if 0 < len(found) <= MAX_FEW else None
+
+
 def search(index: Index, pages: DataFrame, query: str, job_id: str | None = None, size: int = DEFAULT_SIZE,
            fuzzy: bool = True, highlights: bool = True) -> DataFrame:
     """Best pages for one query, without their text.
@@ -172,25 +200,26 @@ def search(index: Index, pages: DataFrame, query: str, job_id: str | None = None
     """
     if not 1 <= size <= MAX_SIZE:
         raise ValueError(f"size must be 1..{MAX_SIZE}")
-    spark = pages.sparkSession
-    queries = _one(spark, query)
-    found = score(index, queries, fuzzy, few_terms=len(query) <= MAX_BROADCAST_QUERY)
+    queries = _one(pages.sparkSession, query)
+    few = _handful(queries, index.analyzer)
+    found = score(index, queries, fuzzy, few=few)
     if job_id is not None:
         found = found.join(pages.filter(F.col("job_id") == job_id).select("doc_id"), "doc_id", "left_semi")
     hits = found.orderBy(F.desc("score"), "doc_id").limit(size)
     shown = ["doc_id", "job_id", "url", "title", "depth", "status_code", "crawled_at", "score"]
     rows = hits.join(pages, "doc_id")
     if highlights:
-        rows = highlight(rows, queries, index, fuzzy)
+        rows = highlight(rows, queries, index, fuzzy, few)
         shown.append("highlights")
     return rows.select(*shown).orderBy(F.desc("score"), "doc_id")
 
 
-def highlight(hits: DataFrame, queries: DataFrame, index: Index, fuzzy: bool = True) -> DataFrame:
+def highlight(hits: DataFrame, queries: DataFrame, index: Index, fuzzy: bool = True,
+              few: Sequence[str] | None = None) -> DataFrame:
     """Add ``highlights`` (field -> fragments) to the few hit rows with ``query_id, title, content``."""
     qterms = query_terms(queries, index.analyzer)
     if fuzzy:
-        words = qterms.join(expand_terms(qterms, index.terms).select("qterm", "term"), "qterm")
+        words = qterms.join(expand_terms(qterms, index.terms, few=few).select("qterm", "term"), "qterm")
     else:
         words = qterms.withColumn("term", F.col("qterm"))
     # a query has few terms, and each at most MAX_EXPANSIONS stand-ins per field

@@ -83,6 +83,8 @@ def test_expansion_matches_comparing_every_pair(spark):
             if d <= most and weight > 0:
                 want[q, w] = (d, round(weight, 9))
     assert got == want
+    few = S.expand_terms(spark.createDataFrame([(w,) for w in wanted], "qterm string"), vocab, 10_000, few=wanted)
+    assert {(r.qterm, r.term): (r.edits, round(r.weight, 9)) for r in few.collect()} == want
     best = S.expand_terms(spark.createDataFrame([(wanted[0],)], "qterm string"), vocab, limit=3)
     assert best.count() <= 3
 
