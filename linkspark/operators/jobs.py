@@ -127,6 +127,22 @@ def job_counters(pages: DataFrame, broken: DataFrame) -> DataFrame:
             "total_pages_crawled", "total_links_found", "total_broken_links")])
 
 
+def link_totals(edges: DataFrame) -> DataFrame:
+    """Links per job told apart: found, external, and distinct targets that were checked.
+
+    ``edges(job_id, category, url_hash)``. Targets are made distinct by grouping on (job, target)
+    first, so a job with a third of all links is not gathered in one task.
+    """
+    outside = F.col("category") == "external"
+    per_target = edges.groupBy("job_id", F.when(outside, F.col("url_hash")).alias("_target")).agg(
+        F.count("*").alias("_n"))
+    known = F.col("_target").isNotNull()
+    return per_target.groupBy("job_id").agg(
+        F.sum("_n").alias("links_kept"),
+        F.coalesce(F.sum(F.when(known, F.col("_n"))), F.lit(0)).alias("external_links"),
+        F.count_if(known).alias("checked_targets"))
+
+
 def job_summary(jobs: DataFrame, pages: DataFrame, broken: DataFrame, at: Column) -> DataFrame:
     """Per job: statistics, timestamps, error, elapsed time and progress."""
     counters = job_counters(pages, broken)

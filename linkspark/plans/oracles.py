@@ -476,6 +476,9 @@ counters AS (SELECT job_id, coalesce(pages_n, 0) AS total_pages_crawled, coalesc
   FROM (SELECT job_id, count(*) AS pages_n, CAST(sum(links_count) AS BIGINT) AS links_n FROM job_pages WHERE NOT failed GROUP BY 1)
   FULL JOIN (SELECT job_id, count(*) AS broken_n FROM broken GROUP BY 1) USING (job_id))"""
 ORACLES["job_counters"] = f"WITH {_COUNTERS} SELECT * FROM counters"
+ORACLES["job_link_totals"] = f"""WITH {_EDGES}
+SELECT host AS job_id, count(*) AS links_kept, count(*) FILTER (category = 'external') AS external_links,
+  count(DISTINCT canonical) FILTER (category = 'external') AS checked_targets FROM edges GROUP BY 1"""
 ORACLES["job_summary"] = f"""WITH {_COUNTERS},
 h AS (SELECT host AS job_id, arg_min(url, page_id) AS url, min(page_id) AS first FROM p GROUP BY 1),
 j AS (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(first * 60) AS created_at,

@@ -452,6 +452,11 @@ def job_counters(spark, sf):
                           broken_links(spark, sf))
 
 
+@query
+def job_link_totals(spark, sf):
+    return J.link_totals(_edges(spark, sf).withColumn("job_id", fx.host("source_url")))
+
+
 @query
 def job_summary(spark, sf):
     rows = J.job_summary(_host_jobs(spark, sf), _job_pages(spark, sf).select("job_id", "links_count", "error"),

@@ -167,3 +167,9 @@ def test_visited_and_delete(spark):
     assert [r.job_id for r in kept["crawl_jobs"].collect()] == ["b"]
     assert [r.job_id for r in kept["crawled_pages"].collect()] == ["b"] == [r.job_id for r in kept["broken_links"].collect()]
     assert {(r.job_id, r.n) for r in kept["dead_letters"].collect()} == {(None, 1), ("b", 2), (None, 3)}
+
+
+def test_link_totals(spark):
+    rows = [("a", "internal", "h1"), ("a", "external", "h2"), ("a", "external", "h2"), ("a", "external", "h3"), ("b", "internal", "h1")]
+    out = {r.job_id: tuple(r)[1:] for r in J.link_totals(spark.createDataFrame(rows, "job_id string, category string, url_hash string")).collect()}
+    assert out == {"a": (4, 3, 2), "b": (1, 0, 0)}
