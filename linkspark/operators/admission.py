@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.operators.skew import Agg, running
-from linkspark.session import cut
+from linkspark.session import cut, lookup_table
 
 RATE, BURST, MAX_WAIT = 1.0, 5, 30.0
 PIECE_ROWS = 500_000  # rows of one domain that one task walks through at a time
@@ -36,7 +36,7 @@ def _numbered(requests: DataFrame, rate: float, domain: str, ts: str, tie: str,
     p, s = _scale(rate)
     rows = requests.withColumn("_t", micros(ts) * p).withColumn("_s", F.lit(s).cast("long"))
     if delays is not None:
-        own = delays.select(F.col("domain").alias(domain), F.col("crawl_delay").alias("_delay"))
+        own = lookup_table(delays.select(F.col("domain").alias(domain), F.col("crawl_delay").alias("_delay")))
         rows = (rows.join(own, domain, "left")
                 .withColumn("_s", F.coalesce(F.round(F.col("_delay") * 1_000_000).cast("long") * p, "_s"))
                 .drop("_delay"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.functions import urls as U
-from linkspark.session import cut
+from linkspark.session import cut, lookup_table
 
 MAX_REDIRECTS = 9  # the next redirect is refused
 TRANSIENT = ("TIMEOUT", "CONNECTION_ERROR")
@@ -133,11 +133,11 @@ def check_links(edges: DataFrame, responses: DataFrame, policy: str = "lenient",
 
     External links only, unless ``include_internal``. A target missing from the log has NULL
     ``is_valid``, or counts as broken with ``unseen_error``. The join key of a target that a third of
-    all edges point to is one row on the outcome side, so a skewed partition can be split.
+    all edges point to is one row on the (stored) outcome side, so AQE can split its partition.
     """
     wanted = ("external", "internal") if include_internal else ("external",)
     checked = edges.filter(F.col("category").isin(*wanted)).join(
-        outcomes(responses, policy), "url_hash", "left")
+        lookup_table(outcomes(responses, policy)), "url_hash", "left")
     if unseen_error is None:
         return checked
     missing = F.col("is_valid").isNull()

@@ -56,6 +56,8 @@ def crawl(jobs: DataFrame, site: DataFrame, groups: DataFrame | None = None,
     Pages without an error count against the budget; robots-denied URLs are visited, not stored.
     """
     site = cut(site)
+    if groups is not None:
+        groups = cut(groups)
     flags = site.select("url_hash", "fetched", "status_code", "links_count")
     seeds = cut(jobs.withColumn("url", F.expr(f"{U.canonical('url')}.canonical")))
     live = seeds.filter("status != 'CANCELLED' and url is not null")

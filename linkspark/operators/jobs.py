@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import urls as U
 from linkspark.operators.skew import Agg, running
 from linkspark.schemas import TERMINAL_JOB_STATUSES
+from linkspark.session import lookup_table
 
 DEFAULT_DEPTH, DEFAULT_PAGES = 3, 100
 MAX_DEPTH, MAX_PAGES = 10, 10_000
@@ -168,7 +169,8 @@ def job_summary(jobs: DataFrame, pages: DataFrame, broken: DataFrame, at: Column
 
 def is_visited(urls: DataFrame, pages: DataFrame, col: str = "url") -> DataFrame:
     """Add ``visited``: has this job stored a page with the same canonical URL."""
-    known = pages.select("job_id", F.col("url_hash").alias("_hash")).distinct().withColumn("_hit", F.lit(True))
+    known = lookup_table(pages.select("job_id", F.col("url_hash").alias("_hash")).distinct()).withColumn(
+        "_hit", F.lit(True))
     rows = urls.withColumn("_hash", F.expr(U.canonical_hash(col)))
     return (rows.join(known, ["job_id", "_hash"], "left")
             .withColumn("visited", F.coalesce("_hit", F.lit(False))).drop("_hash", "_hit"))
@@ -176,7 +178,7 @@ def is_visited(urls: DataFrame, pages: DataFrame, col: str = "url") -> DataFrame
 
 def delete_jobs(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """Tables without the jobs in ``ids``: pages and broken links go too, dead letters lose the job id."""
-    gone = ids.select("job_id").distinct()
+    gone = lookup_table(ids.select("job_id").distinct())
     kept = {}
     for name, table in tables.items():
         if name == "dead_letters":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkspark.functions import urls as U
 from linkspark.functions.sql import let, struct
+from linkspark.session import lookup_table
 
 DEFAULT_AGENT = "linkspark/1.0"
 DEFAULT_DELAY = 1.0
@@ -80,7 +81,7 @@ def robots_allowed(urls: DataFrame, groups: DataFrame, agent: str = DEFAULT_AGEN
     """Add ``allowed``. A host is one row with its rules as an array: no URL-by-rule pairs arise."""
     if not respect:
         return urls.withColumn("allowed", F.lit(True))
-    hosts = robots_policy(groups, agent).select(F.col("host").alias("_host"), "rules")
+    hosts = lookup_table(robots_policy(groups, agent).select(F.col("host").alias("_host"), "rules"))
     judged = (urls.withColumn("_host", F.expr(U.host(col)))
               .withColumn("_target", F.expr(rule_target(col)))
               .join(hosts, "_host", "left"))

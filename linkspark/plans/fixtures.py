@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkspark.operators.links import page_links
 from linkspark.operators.skew import Agg, running
-from linkspark.session import spread
+from linkspark.session import lookup_table, spread
 from linkspark.sources.tables import read_pages
 
 EPOCH_MICROS = 1_704_067_200_000_000  # 2024-01-01 00:00:00 UTC
@@ -59,7 +59,7 @@ def link_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Four links per page: two on the same host (a ring and a skip), two to other pages."""
     p = table(spark, sf, "pages").select("page_id", "url", host().alias("host"))
     ranked = running(p, ["host"], ["page_id"], [Agg("hr", "count")])
-    sizes = p.groupBy("host").agg(F.count("*").alias("hn"))
+    sizes = lookup_table(p.groupBy("host").agg(F.count("*").alias("hn")))
     n = p.agg(F.count("*").alias("n")).scalar()
     src = ranked.join(sizes, "host").withColumn("n", n)
     here = src.select("page_id", "url", "host", F.inline(F.array(

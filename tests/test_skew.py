@@ -58,3 +58,40 @@ def test_without_keys(spark):
     df = spark.range(1000).selectExpr("id", "1 as one")
     out = running(df, [], ["id"], [Agg("n", "sum", F.col("one"))], 50)
     assert all(r.n == r.id + 1 for r in out.collect())
+
+
+@pytest.fixture
+def tiny_skew(spark):
+    """Thresholds so low that the hot key of a test table counts as skewed."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def _split(df):
+    df.collect()
+    return "skew" in df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_lookups_of_a_hot_key_are_split(spark, tiny_skew):
+    from linkspark.operators import check, jobs, robots
+    n = 20_000
+    target = F.when(F.col("id") % 10 != 0, "http://hot.com/x").otherwise(F.concat(F.lit("http://h"), F.col("id"), F.lit(".com/x")))
+    edges = spark.range(0, n, 1, 8).select(F.col("id").cast("string").alias("source_url"), target.alias("canonical"),
+                                          F.lit("external").alias("category")).withColumn("url_hash", F.sha2("canonical", 256))
+    responses = edges.select(F.col("canonical").alias("url"), F.lit(404).alias("head_status"),
+                             F.lit(None).cast("int").alias("get_status"), F.lit(None).cast("string").alias("net_error"))
+    checked = check.check_links(edges, responses)
+    assert _split(checked) and checked.filter("not is_valid").count() == n
+    urls = edges.select(F.col("canonical").alias("url"))
+    groups = robots.robots_groups(spark.createDataFrame([("hot.com", "User-agent: *\nDisallow: /x")], "host string, body string"))
+    judged = robots.robots_allowed(urls, groups)
+    assert _split(judged) and judged.filter("not allowed").count() == n * 9 // 10
+    seen = jobs.is_visited(urls.withColumn("job_id", F.lit("j")), edges.withColumn("job_id", F.lit("j")).filter("canonical = 'http://hot.com/x'"))
+    assert _split(seen) and seen.filter("visited").count() == n * 9 // 10
