@@ -1,24 +1,23 @@
-"""Token-bucket admission of requests per domain.
+"""Admission of requests per domain by a token bucket, in closed form over a request log.
 
 A bucket of ``burst`` tokens refilled at ``rate`` per second serves requests in arrival order.
-Times are scaled to integers (microseconds times the denominator of the rate's period), so the
-answer is exact and does not depend on how the rows were partitioned.
+Times are whole numbers (microseconds times the numerator of the rate) in ``decimal(38,0)``, counted
+from the first request of all, so the answer is exact, cannot overflow at any length of log and does
+not depend on how the rows were partitioned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.operators.skew import Agg, running
-from linkspark.session import cut, lookup_table
+from linkspark.session import lookup_table
 
-RATE, BURST, MAX_WAIT = 1.0, 5, 30.0
-PIECE_ROWS = 500_000  # rows of one domain that one task walks through at a time
+RATE, BURST = 1.0, 5
+UNITS = "decimal(38,0)"
 
 
 def _scale(rate: float) -> tuple[int, int]:
@@ -31,118 +30,58 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _times(count: Column, unit: Column) -> Column:
+    return (count.cast("decimal(19,0)") * unit.cast("decimal(18,0)")).cast(UNITS)
+
+
 def _numbered(requests: DataFrame, rate: float, domain: str, ts: str, tie: str,
-              delays: DataFrame | None, chunk_rows: int | None) -> tuple[DataFrame, int]:
+              delays: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """Requests with arrival ``_t``, token time ``_s`` and place ``_n``; the scale and the zero of the times."""
     p, s = _scale(rate)
-    rows = requests.withColumn("_t", micros(ts) * p).withColumn("_s", F.lit(s).cast("long"))
+    first = requests.agg(F.min(micros(ts))).first()[0] or 0
+    rows = requests.withColumn("_t", _times(micros(ts) - first, F.lit(p))).withColumn("_s", F.lit(s).cast("decimal(18,0)"))
     if delays is not None:
         own = lookup_table(delays.select(F.col("domain").alias(domain), F.col("crawl_delay").alias("_delay")))
-        rows = (rows.join(own, domain, "left")
-                .withColumn("_s", F.coalesce(F.round(F.col("_delay") * 1_000_000).cast("long") * p, "_s"))
-                .drop("_delay"))
-    return running(rows, [domain], ["_t", tie], [Agg("_n", "count")], chunk_rows), p
+        per_token = (F.round(F.col("_delay") * 1_000_000).cast("decimal(12,0)") * F.lit(p)).cast("decimal(18,0)")
+        rows = rows.join(own, domain, "left").withColumn("_s", F.coalesce(per_token, "_s")).drop("_delay")
+    return running(rows, [domain], ["_t", tie], [Agg("_n", "count")]), p, first
 
 
-def admit(requests: DataFrame, rate: float = RATE, burst: int = BURST, *, max_wait: float | None = None,
-          domain: str = "domain", ts: str = "ts", tie: str = "request_id",
-          delays: DataFrame | None = None, chunk_rows: int | None = None) -> DataFrame:
-    """Add ``wait_seconds`` and ``start_at`` (and ``admitted`` with ``max_wait``).
+def admit(requests: DataFrame, rate: float = RATE, burst: int = BURST, *, domain: str = "domain", ts: str = "ts",
+          tie: str = "request_id", delays: DataFrame | None = None) -> DataFrame:
+    """Add ``wait_seconds`` and ``start_at``.
 
-    Without a wait limit the n-th request of a domain starts at the later of its arrival and
+    The n-th request of a domain starts at the later of its arrival and
     ``max(t_j - (j-1)/r, j<=n) + (n-burst)/r``: two running aggregates, no row-by-row state.
     ``delays(domain, crawl_delay)`` overrides the seconds per token of single domains.
     """
-    numbered, p = _numbered(requests, rate, domain, ts, tie, delays, chunk_rows)
-    if max_wait is not None:
-        return _admit_or_give_up(numbered, requests.columns, p, burst, max_wait, domain, tie, chunk_rows)
-    slack = F.col("_t") - (F.col("_n") - 1) * F.col("_s")
-    rows = running(numbered.withColumn("_slack", slack), [domain], ["_t", tie],
-                   [Agg("_peak", "max", F.col("_slack"))], chunk_rows)
-    start = F.greatest(F.col("_t"), F.col("_peak") + (F.col("_n") - burst) * F.col("_s"))
-    return rows.select(*requests.columns, *_served(start, p))
-
-
-def _served(start: Column, p: int) -> list[Column]:
-    return [((start - F.col("_t")) / F.lit(p * 1_000_000)).alias("wait_seconds"),
-            F.timestamp_micros((start / p).cast("long")).alias("start_at")]
-
-
-def _admit_or_give_up(numbered: DataFrame, columns: list[str], p: int, burst: int, max_wait: float,
-                      domain: str, tie: str, chunk_rows: int | None) -> DataFrame:
-    """Requests that would wait longer than ``max_wait`` are dropped and take no token.
-
-    Drops make the schedule depend on every earlier decision, but only until the bucket is
-    surely full again: no later than ``max_wait + burst / rate`` after the last arrival. Those
-    gaps cut a domain into sessions that run in parallel. A session without gaps is walked in
-    pieces of bounded size, one round per piece; only one number per session is handed on.
-    """
-    limit = round(max_wait * 1_000_000) * p
-    order = ["_t", tie]
-    rows = running(numbered, [domain], order, [Agg("_prev", "last", F.col("_t"), exclusive=True)], chunk_rows)
-    fresh = F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= limit + burst * F.col("_s"))
-    rows = running(rows.withColumn("_fresh", F.when(fresh, F.col("_n"))), [domain], order,
-                   [Agg("_first", "max", F.col("_fresh"))], chunk_rows)
-    # sessions that start within the same ``size`` rows of a domain share a block; what a long
-    # session has beyond its block is cut into further pieces
-    size = chunk_rows or PIECE_ROWS
-    block = F.floor((F.col("_first") - 1) / size)
-    rows = rows.withColumn("_block", block).withColumn("_piece", F.floor((F.col("_n") - 1) / size) - block)
-    rows = cut(rows.select(*columns, "_t", "_s", "_n", "_block", "_piece"))
-    last = rows.agg(F.max("_piece")).first()[0] or 0
-
-    by = [domain, "_block"]
-    base = rows.drop("_piece")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", _tat long, _start long"
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tat = None, 0
-        for batch in batches:
-            tats, starts = [], []
-            for d, b, t, s, before in zip(*(batch[c].tolist() for c in (*by, "_t", "_s", "_before"))):
-                if (d, b) != key:
-                    key, tat = (d, b), before
-                start = max(t, tat - (burst - 1) * s)
-                if start - t <= limit:
-                    tat = max(tat, t) + s
-                    starts.append(start)
-                else:
-                    starts.append(None)
-                tats.append(tat)
-            yield batch.drop(columns="_before").assign(_tat=tats, _start=pd.array(starts, dtype="Int64"))
-
-    done, state = None, None
-    for piece in range(last + 1):
-        part = rows.filter(F.col("_piece") == piece).drop("_piece")
-        if state is None:
-            part = part.withColumn("_before", F.lit(0).cast("long"))
-        else:
-            part = part.join(state, by)
-        result = part.repartition(*by).sortWithinPartitions(*by, "_n").mapInPandas(walk, schema)
-        if last:
-            result = cut(result)
-            state = result.groupBy(*by).agg(F.max_by("_tat", "_n").alias("_before"))
-        done = result if done is None else done.unionByName(result)
-    return done.select(*columns, F.col("_start").isNotNull().alias("admitted"), *_served(F.col("_start"), p))
+    numbered, p, first = _numbered(requests, rate, domain, ts, tie, delays)
+    slack = (F.col("_t") - _times(F.col("_n") - 1, F.col("_s"))).cast(UNITS)
+    rows = running(numbered.withColumn("_slack", slack), [domain], ["_t", tie], [Agg("_peak", "max", F.col("_slack"))])
+    start = F.greatest(F.col("_t"), (F.col("_peak") + _times(F.col("_n") - burst, F.col("_s"))).cast(UNITS))
+    return rows.withColumn("_start", start).select(
+        *requests.columns,
+        ((F.col("_start") - F.col("_t")).cast("double") / float(p * 1_000_000)).alias("wait_seconds"),
+        F.timestamp_micros(F.lit(first) + F.expr(f"_start div {p}")).alias("start_at"))
 
 
 def bucket_status(requests: DataFrame, at: Column, rate: float = RATE, burst: int = BURST, *,
-                  domain: str = "domain", ts: str = "ts", tie: str = "request_id",
-                  chunk_rows: int | None = None) -> DataFrame:
+                  domain: str = "domain", ts: str = "ts", tie: str = "request_id") -> DataFrame:
     """Bucket of each domain at a moment, after all requests up to then.
 
     ``tokens`` is what is left (negative while requests wait for tokens still to come),
     ``full_at`` the moment the bucket is full again if nothing else arrives.
     """
     upto = requests.filter(F.col(ts) <= at)
-    rows, p = _numbered(upto, rate, domain, ts, tie, None, chunk_rows)
-    now = F.unix_micros(at.cast("timestamp")) * p
+    rows, p, first = _numbered(upto, rate, domain, ts, tie, None)
+    now = _times(F.unix_micros(at.cast("timestamp")) - first, F.lit(p))
     # the moment the bucket is full again after n requests: max(t_j - (j-1)s) + n*s
-    full = F.max(F.col("_t") - (F.col("_n") - 1) * F.col("_s")) + F.count("*") * F.max("_s")
     state = rows.groupBy(domain).agg(
-        F.count("*").alias("requests"), F.max(ts).alias("last_request"),
-        full.alias("_full"), F.max("_s").alias("_s"))
-    used = F.greatest(F.col("_full") - now, F.lit(0)) / F.col("_s")
+        F.count("*").alias("requests"), F.max(ts).alias("last_request"), F.max("_s").alias("_s"),
+        F.max((F.col("_t") - _times(F.col("_n") - 1, F.col("_s"))).cast(UNITS)).alias("_peak"))
+    state = state.withColumn("_full", (F.col("_peak") + _times(F.col("requests"), F.col("_s"))).cast(UNITS))
+    used = F.greatest((F.col("_full") - now).cast("double"), F.lit(0.0)) / F.col("_s").cast("double")
     return state.select(
         domain, "requests", "last_request", (F.lit(float(burst)) - used).alias("tokens"),
-        F.timestamp_micros((F.col("_full") / p).cast("long")).alias("full_at"),
+        F.timestamp_micros(F.lit(first) + F.expr(f"_full div {p}")).alias("full_at"),
         F.lit(burst).alias("capacity"), F.lit(float(rate)).alias("rate"))

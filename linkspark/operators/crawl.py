@@ -47,8 +47,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def crawl(jobs: DataFrame, site: DataFrame, groups: DataFrame | None = None,
-          agent: str = R.DEFAULT_AGENT, max_links: int = MAX_CHILD_LINKS,
-          chunk_rows: int | None = None) -> DataFrame:
+          agent: str = R.DEFAULT_AGENT, max_links: int = MAX_CHILD_LINKS) -> DataFrame:
     """One row per (job, URL, depth) that was attempted, with the outcome of its first attempt.
 
     ``jobs(job_id, url, max_depth, max_pages, respect_robots_txt, status)``. ``repeats`` counts
@@ -82,7 +81,7 @@ def crawl(jobs: DataFrame, site: DataFrame, groups: DataFrame | None = None,
             break
         if spent:
             over = budget.filter("_n >= _left").select("job_id", "_left")
-            level = cut(_outcome(_spend(found, attempts, over, chunk_rows), depth))
+            level = cut(_outcome(_spend(found, attempts, over), depth))
         else:
             level = _outcome(found.withColumn("_stop", F.lit(None).cast(ORD))
                              .withColumn("late", F.lit(0).cast("long")), depth)
@@ -126,10 +125,10 @@ def _judge(attempts: DataFrame, levels: list[DataFrame], flags: DataFrame, live:
         "allowed", "respect_robots_txt")
 
 
-def _spend(found: DataFrame, attempts: DataFrame, over: DataFrame, chunk_rows: int | None) -> DataFrame:
+def _spend(found: DataFrame, attempts: DataFrame, over: DataFrame) -> DataFrame:
     """Where the budget of each job in ``over`` ends: attempts ordered after ``_stop`` are late."""
     counted = running(found.filter("ok").join(over, "job_id"), ["job_id"], ["ord"],
-                      [Agg("_place", "count")], chunk_rows)
+                      [Agg("_place", "count")])
     stops = cut(counted.filter("_place = _left").select("job_id", F.col("ord").alias("_stop")).unionByName(
         over.filter("_left = 0").select("job_id", F.lit(-1).cast(ORD).alias("_stop"))))
     late = (attempts.join(stops, "job_id").filter(F.col("ord") > F.col("_stop"))

@@ -47,7 +47,7 @@ def job_state(events: DataFrame, seq: str = "seq") -> DataFrame:
         F.max_by("error_message", has_error).alias("error_message"))
 
 
-def apply_cancels(events: DataFrame, seq: str = "seq", chunk_rows: int | None = None) -> DataFrame:
+def apply_cancels(events: DataFrame, seq: str = "seq") -> DataFrame:
     """Cancel events with ``decision``: rejected when the job has ended before.
 
     A cancel leaves the job ended whether it is accepted or not, so the state before an event is
@@ -55,7 +55,7 @@ def apply_cancels(events: DataFrame, seq: str = "seq", chunk_rows: int | None =
     """
     rows = events.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
     rows = running(rows, ["job_id"], ["_t", seq],
-                   [Agg("previous_status", "last", F.col("status"), exclusive=True)], chunk_rows)
+                   [Agg("previous_status", "last", F.col("status"), exclusive=True)])
     ended = F.coalesce(F.col("previous_status").isin(*TERMINAL_JOB_STATUSES), F.lit(False))
     return (rows.filter("status = 'CANCELLED'")
             .withColumn("decision", F.when(ended, "rejected").otherwise("accepted"))

@@ -78,21 +78,21 @@ def histogram_quantile(hist: DataFrame, q: float, by: Sequence[str] = ()) -> Dat
     return rows.select(*by, total.alias("observations"), read(F.col("_h")).alias("quantile"))
 
 
-def _steps(changes: Sequence[DataFrame], keys: list[str], value: str, chunk_rows: int | None) -> DataFrame:
+def _steps(changes: Sequence[DataFrame], keys: list[str], value: str) -> DataFrame:
     """Running sum of +1/-1 changes, one row per moment; many changes at once are summed first."""
     moments = reduce(DataFrame.unionByName, changes).groupBy(*keys, "ts").agg(F.sum("delta").alias("delta"))
     moments = moments.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
-    return running(moments, keys, ["_t"], [Agg(value, "sum", F.col("delta"))], chunk_rows).select(
+    return running(moments, keys, ["_t"], [Agg(value, "sum", F.col("delta"))]).select(
         *keys, "ts", value)
 
 
-def active_jobs(jobs: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def active_jobs(jobs: DataFrame) -> DataFrame:
     """Number of running jobs after every start and end (``started_at``, ``completed_at``)."""
     started = jobs.filter("started_at is not null")
     up = started.select(F.col("started_at").alias("ts"), F.lit(1).cast("long").alias("delta"))
     down = started.filter("completed_at >= started_at").select(
         F.col("completed_at").alias("ts"), F.lit(-1).cast("long").alias("delta"))
-    return _steps([up, down], [], "active", chunk_rows)
+    return _steps([up, down], [], "active")
 
 
 def active_jobs_at(jobs: DataFrame, at: Column) -> DataFrame:
@@ -101,11 +101,11 @@ def active_jobs_at(jobs: DataFrame, at: Column) -> DataFrame:
 
 
 def backlog(events: DataFrame, enqueued: str = "enqueued", finished: str = "finished",
-            queue: str = "queue", chunk_rows: int | None = None) -> DataFrame:
+            queue: str = "queue") -> DataFrame:
     """Queue depth over time from ``(queue, ts, kind)``."""
     delta = F.when(F.col("kind") == enqueued, 1).when(F.col("kind") == finished, -1)
     changes = events.select(queue, "ts", delta.cast("long").alias("delta")).filter("delta is not null")
-    return _steps([changes], [queue], "depth", chunk_rows)
+    return _steps([changes], [queue], "depth")
 
 
 def totals(events: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -48,8 +48,7 @@ def retryable(attempts: DataFrame, honour_never_retried: bool = True) -> DataFra
 
 def retry_decisions(attempts: DataFrame, max_retries: int = MAX_RETRIES, base: int = BACKOFF_BASE,
                     cap: int = BACKOFF_MAX, *, order: tuple[str, str] = ("ts", "seq"),
-                    honour_never_retried: bool = True, jitter: bool = False,
-                    chunk_rows: int | None = None) -> DataFrame:
+                    honour_never_retried: bool = True, jitter: bool = False) -> DataFrame:
     """Every finished attempt with ``retry_number`` (0 for a first run), ``decision`` and delay.
 
     ``decision`` is done, retry or dead_letter; the delay is set for retries only.
@@ -62,9 +61,9 @@ def retry_decisions(attempts: DataFrame, max_retries: int = MAX_RETRIES, base: i
             .withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
             .withColumn("_fatal", (F.col("outcome") == "FAILURE") & never))
     by = ["_t", seq]
-    rows = running(rows, ["task_id"], by, [Agg("_n", "count")], chunk_rows)
+    rows = running(rows, ["task_id"], by, [Agg("_n", "count")])
     ends = F.when((F.col("outcome") == "SUCCESS") | F.col("_fatal"), F.col("_n"))
-    rows = running(rows, ["task_id"], by, [Agg("_end", "max", ends, exclusive=True)], chunk_rows)
+    rows = running(rows, ["task_id"], by, [Agg("_end", "max", ends, exclusive=True)])
     place = F.col("_n") - F.coalesce("_end", F.lit(0)) - 1
     retry_number = F.pmod(place, F.lit(max_retries + 1)).cast("int")
     decision = (F.when(F.col("outcome") == "SUCCESS", "done")

@@ -1,21 +1,20 @@
 """Running aggregates over (key, order) that never need one key in one task.
 
-A plain window partitioned by key puts the whole key into one task. Here the order column is
-cut at its global quantiles, so a (key, chunk) group holds about one chunk of rows however the
-keys are spread. Each chunk is scanned on its own; the chunk totals, a table with one row per
-(key, chunk), give what every chunk has to add from the chunks before it.
+A plain window partitioned by key puts the whole key into one task. Here the rows are laid out by
+ranges of (key, order) and stored with the number of their range, so a hot key spreads over as many
+ranges as it needs. Each range is scanned on its own. Only the key that a range starts with can have
+rows in earlier ranges, so what has to be carried over is at most one row per range.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 1_000_000  # a window group up to this size is scanned in one piece
-FAN = 32  # bounds are looked up in two steps of at most FAN each
-MAX_CHUNKS = FAN * FAN
+from linkspark.session import cut, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -63,83 +62,26 @@ class Agg:
         return F.coalesce(here, before)
 
 
-def _search(value: Column, bound, lo: int, hi: int) -> Column:
-    """Number of bounds <= value, as a balanced tree of comparisons."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(value < bound(mid), _search(value, bound, lo, mid)).otherwise(
-        _search(value, bound, mid + 1, hi))
-
-
-def _slot(value: Column, bounds: list[float]) -> Column:
-    """2 * (bounds <= value), less one where the value equals a bound: odd slots hold one value."""
-    if not bounds:
-        return F.lit(0)
-    if len(bounds) <= FAN:
-        at = _search(value, lambda i: F.lit(bounds[i]), 0, len(bounds))
-    else:
-        rows = [bounds[i:i + FAN] for i in range(0, len(bounds), FAN)]
-        starts = [r[0] for r in rows]
-        rows = [r + [float("inf")] * (FAN - len(r)) for r in rows]
-        table = F.array(*[F.array(*[F.lit(b) for b in r]) for r in rows])
-        row = F.greatest(_search(value, lambda i: F.lit(starts[i]), 0, len(starts)) - 1, F.lit(0))
-        inner = _search(value, lambda i: F.get(F.get(table, row), F.lit(i)), 0, FAN)
-        at = row * FAN + inner
-    held = F.array(*[F.lit(b) for b in bounds])
-    return at * 2 - (F.get(held, F.greatest(at - 1, F.lit(0))) == value).cast("int")
-
-
-def chunked(df: DataFrame, order: list[str], chunk_rows: int | None = None) -> DataFrame | None:
-    """``df`` with a ``_chunk`` column that grows with ``order``; None if it is small.
-
-    ``order[0]`` must be numeric and not null. When one value of it is so frequent that it is a
-    quantile itself, its rows are cut again along ``order[1]`` (numeric as well, if given).
-    """
-    chunk_rows = chunk_rows or CHUNK_ROWS
-    rows = df.count()
-    if rows <= chunk_rows:
-        return None
-    n = min(MAX_CHUNKS, -(-rows // chunk_rows) * 2)
-    cuts = [i / n for i in range(1, n)]
-    found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts, 10_000).alias(c)
-                     for c in order[:2]]).first()
-    bounds = [sorted(set(b)) for b in found]
-    slot = _slot(F.col(order[0]).cast("double"), bounds[0])
-    if len(bounds) == 1:
-        return df.withColumn("_chunk", slot.cast("long"))
-    width = 2 * len(bounds[1]) + 1
-    tie = F.when(F.col("_slot") % 2 == 1, _slot(F.col(order[1]).cast("double"), bounds[1]))
-    return (df.withColumn("_slot", slot)
-            .withColumn("_chunk", (F.col("_slot") * width + F.coalesce(tie, F.lit(0))).cast("long"))
-            .drop("_slot"))
-
-
-def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg],
-            chunk_rows: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], aggs: list[Agg]) -> DataFrame:
     """``df`` plus one column per aggregate, running over ``order`` within ``keys``.
 
-    Keys must not be null, and ``order`` must be unique within a key for a stable answer.
-    Chunks already put on ``df`` by an earlier call are used again.
+    ``order`` must be unique within a key for a stable answer; without keys it runs over all rows.
+    Null keys form one key. ``df`` is stored once in the scratch folder.
     """
-    keep = df.columns
-    pieces = df if "_chunk" in keep else chunked(df, order, chunk_rows)
-    if pieces is None:
-        # one partition column even without keys: this path only sees small inputs
-        part = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        return df.select("*", *[_fill(a, a.local(part)).alias(a.name) for a in aggs])
-
-    by = [*keys, "_chunk"]
-    inside = Window.partitionBy(*by).orderBy(*order)
-    local = pieces.select("*", *[a.local(inside).alias(f"_l_{a.name}") for a in aggs])
-    totals = pieces.groupBy(*by).agg(*[a.total(order).alias(f"_t_{a.name}") for a in aggs])
-    # one row per (key, chunk): at most MAX_CHUNKS-scale rows for any key
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk")
-    before = totals.select(*by, *[a.before(across).alias(f"_b_{a.name}") for a in aggs])
-    merged = local.join(before, by, "left")
-    return merged.select(*[F.col(c) for c in [*keep, *(["_chunk"] if "_chunk" not in keep else [])]],
-                         *[a.merge().alias(a.name) for a in aggs])
-
-
-def _fill(agg: Agg, col: Column) -> Column:
-    return F.coalesce(col, F.lit(0)) if agg.kind == "count" else col
+    laid = df.repartitionByRange(shuffle_partitions(df), *keys, *order)
+    laid = cut(laid.withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order)
+    local = laid.select("*", *[a.local(inside).alias(f"_l_{a.name}") for a in aggs])
+
+    totals = laid.groupBy("_part", *keys).agg(*[a.total(order).alias(f"_t_{a.name}") for a in aggs])
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")  # a row per range at most
+    carried = totals.select(
+        F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[a.before(across).alias(f"_b_{a.name}") for a in aggs],
+        F.row_number().over(across).alias("_rank")).filter("_rank > 1")
+
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
+                  F.col("_part") == F.col("_p"))
+    # one row per range: the bound of what is broadcast is the number of shuffle partitions
+    merged = local.join(F.broadcast(carried), same, "left")
+    return merged.select(*df.columns, *[a.merge().alias(a.name) for a in aggs])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkspark.operators.links import page_links
 from linkspark.operators.skew import Agg, running
-from linkspark.session import lookup_table, spread
+from linkspark.session import lookup_table
 from linkspark.sources.tables import read_pages
 
 EPOCH_MICROS = 1_704_067_200_000_000  # 2024-01-01 00:00:00 UTC
@@ -22,11 +22,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_pages(spark, f"{sf}/pages.parquet"))
+    return read_pages(spark, f"{sf}/pages.parquet")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def crawled_at(page_id: str = "page_id") -> Column:

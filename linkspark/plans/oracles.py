@@ -340,15 +340,6 @@ s AS (SELECT *, greatest(t, max(t - (n - 1) * {_TOKEN}) OVER (PARTITION BY domai
   + (n - 2) * {_TOKEN}) AS start FROM q)
 SELECT domain, request_id, ts, round((start - t) / 1000000, 6) AS wait_seconds, make_timestamp(start) AS start_at FROM s"""
 
-ORACLES["admission_give_up"] = f"""WITH RECURSIVE {_QUEUE},
-sim AS (SELECT domain, n, t AS start, t + {_TOKEN} AS tat FROM q WHERE n = 1
-  UNION ALL SELECT q.domain, q.n,
-    CASE WHEN greatest(q.t, tat - {_TOKEN}) - q.t <= 14400000000 THEN greatest(q.t, tat - {_TOKEN}) END,
-    CASE WHEN greatest(q.t, tat - {_TOKEN}) - q.t <= 14400000000 THEN greatest(tat, q.t) + {_TOKEN} ELSE tat END
-  FROM sim JOIN q ON q.domain = sim.domain AND q.n = sim.n + 1)
-SELECT domain, request_id, ts, start IS NOT NULL AS admitted, round((start - t) / 1000000, 6) AS wait_seconds,
-  make_timestamp(start) AS start_at FROM q JOIN sim USING (domain, n)"""
-
 ORACLES["bucket_status"] = f"""WITH {_QUEUE},
 f AS (SELECT domain, count(*) AS requests, max(ts) AS last_request,
   max(t - (n - 1) * {_TOKEN}) + count(*) * {_TOKEN} AS full_us FROM q

@@ -265,12 +265,6 @@ def admission_schedule(spark, sf):
         "wait_seconds", F.round("wait_seconds", 6))
 
 
-@query
-def admission_give_up(spark, sf):
-    return A.admit(fx.requests(spark, sf), SIX_HOURS, 2, max_wait=14_400).withColumn(
-        "wait_seconds", F.round("wait_seconds", 6))
-
-
 @query
 def bucket_status(spark, sf):
     at = F.lit(AT).cast("timestamp_ntz")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,15 +65,22 @@ def lookup_table(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that arrives in fewer splits than there are cores.
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    For text work, which costs far more than the rows weigh. A table of cluster size arrives in
-    many splits and is left alone, so nothing is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
+_shipped: set[str] = set()
 
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: Python tasks import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="linkspark-py-"), "linkspark.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)

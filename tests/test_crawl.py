@@ -64,8 +64,8 @@ def _walk(pages, seed, max_depth, max_pages, allowed):
     return outcomes, tree
 
 
-@pytest.mark.parametrize("seed,parts,chunk_rows", [(1, 1, None), (2, 5, 4)])
-def test_like_a_queue(spark, seed, parts, chunk_rows):
+@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 5)])
+def test_like_a_queue(spark, seed, parts):
     pages = _graph(seed)
     jobs = [("all", "http://s.com/p0", 3, 1000, False), ("few", "http://S.com:80/p1#x", 4, 7, False),
             ("one", "http://s.com/p2", 2, 1, False), ("polite", "http://s.com/p3", 4, 12, True),
@@ -74,7 +74,7 @@ def test_like_a_queue(spark, seed, parts, chunk_rows):
     groups = R.robots_groups(spark.createDataFrame([("s.com", text)], "host string, body string"))
     table = spark.createDataFrame([(*j, "IN_PROGRESS") for j in jobs] + [
         ("stopped", "http://s.com/p0", 3, 9, False, "CANCELLED"), ("broken", "ftp://s.com/", 3, 9, False, "IN_PROGRESS")], JOBS)
-    result = C.crawl(table, _site(spark, pages, parts), groups, chunk_rows=chunk_rows).cache()
+    result = C.crawl(table, _site(spark, pages, parts), groups).cache()
     got = {}
     for r in C.crawl_outcomes(result, "job_id").collect():
         got.setdefault(r.job_id, {})[r.outcome] = r.attempts

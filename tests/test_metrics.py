@@ -40,8 +40,7 @@ def test_histogram_and_quantile(spark):
     assert first == pytest.approx(0.5 * 0.7 / 2)
 
 
-@pytest.mark.parametrize("chunk_rows", [5, None])
-def test_gauges(spark, chunk_rows):
+def test_gauges(spark):
     rnd = random.Random(3)
     jobs = []
     for _ in range(80):
@@ -49,12 +48,12 @@ def test_gauges(spark, chunk_rows):
         jobs.append((at(start), at(start + rnd.randrange(1, 30)) if rnd.random() < 0.8 else None))
     jobs.append((None, at(5)))
     df = spark.createDataFrame(jobs, "started_at timestamp, completed_at timestamp")
-    for r in M.active_jobs(df, chunk_rows).collect():
+    for r in M.active_jobs(df).collect():
         want = sum(s is not None and s <= r.ts and (e is None or e > r.ts) for s, e in jobs)
         assert r.active == want
         assert M.active_jobs_at(df, F.lit(r.ts)).first().active == want if rnd.random() < 0.03 else True
     events = [(rnd.choice("pq"), at(i // 2), rnd.choice(["enqueued", "finished", "other"])) for i in range(200)]
-    depth = M.backlog(spark.createDataFrame(events, "queue string, ts timestamp, kind string"), chunk_rows=chunk_rows)
+    depth = M.backlog(spark.createDataFrame(events, "queue string, ts timestamp, kind string"))
     for r in depth.collect():
         seen = [k for q, t, k in events if q == r.queue and t <= r.ts]
         assert r.depth == seen.count("enqueued") - seen.count("finished")

@@ -58,12 +58,11 @@ SCHEMA = ("task_id string, job_id string, task_name string, ts timestamp, seq lo
           "exception_class string, exception_message string")
 
 
-@pytest.mark.parametrize("max_retries,honour,chunk_rows", [(5, True, 20), (2, True, None), (5, False, 20)])
-def test_decisions(spark, max_retries, honour, chunk_rows):
+@pytest.mark.parametrize("max_retries,honour", [(5, True), (2, True), (5, False)])
+def test_decisions(spark, max_retries, honour):
     rows = _attempts(max_retries)
     shuffled = random.Random(1).sample(rows, len(rows))
-    out = R.retry_decisions(spark.createDataFrame(shuffled, SCHEMA), max_retries, honour_never_retried=honour,
-                            chunk_rows=chunk_rows).collect()
+    out = R.retry_decisions(spark.createDataFrame(shuffled, SCHEMA), max_retries, honour_never_retried=honour).collect()
     want = _decide(rows, max_retries, honour)
     assert {r.seq: (r.retry_number, r.decision) for r in out} == want
     assert all((r.backoff_seconds is not None) == (r.decision == "retry") for r in out)
@@ -104,15 +103,14 @@ EVENTS = [("a", 0, "PENDING", None), ("a", 1, "IN_PROGRESS", None), ("a", 2, "IN
           ("b", 3, "IN_PROGRESS", None), ("b", 4, "CANCELLED", None), ("c", 0, "PENDING", None)]
 
 
-@pytest.mark.parametrize("chunk_rows", [2, None])
-def test_states_and_cancels(spark, chunk_rows):
+def test_states_and_cancels(spark):
     df = spark.createDataFrame([(j, at(t), i, s, e) for i, (j, t, s, e) in enumerate(EVENTS)],
                                "job_id string, ts timestamp, seq long, status string, error_message string")
     state = {r.job_id: r for r in J.job_state(df).collect()}
     assert (state["a"].status, state["a"].started_at, state["a"].completed_at) == ("CANCELLED", at(1), at(4))
     assert (state["b"].status, state["b"].error_message, state["b"].started_at) == ("CANCELLED", "boom", at(0))
     assert (state["c"].status, state["c"].started_at, state["c"].completed_at) == ("PENDING", None, None)
-    cancels = {(r.job_id, r.ts): r.decision for r in J.apply_cancels(df, chunk_rows=chunk_rows).collect()}
+    cancels = {(r.job_id, r.ts): r.decision for r in J.apply_cancels(df).collect()}
     assert cancels == {("a", at(3)): "accepted", ("a", at(4)): "rejected", ("b", at(2)): "rejected", ("b", at(4)): "accepted"}
 
 

@@ -114,30 +114,6 @@ def test_message_stream(spark, tmp_path):
     assert len(run(rejected, tmp_path, name="bad")) == 1
 
 
-def test_admission_stream(spark, tmp_path):
-    feed = Feed(spark, tmp_path / "in", "domain string, request_id long, ts timestamp")
-    first = [("a", i, at(i // 4)) for i in range(12)] + [("b", 50 + i, at(i)) for i in range(3)]
-    second = [("a", 20 + i, at(5)) for i in range(3)]
-    feed.add(first)
-    run(X.admit_stream(feed.stream(), 1.0, 2), tmp_path)
-    feed.add(second)
-    rows = run(X.admit_stream(feed.stream(), 1.0, 2), tmp_path)
-    batch = A.admit(spark.createDataFrame(first + second, feed.schema), 1.0, 2)
-    assert {r.request_id: round(r.wait_seconds, 6) for r in rows} == {
-        r.request_id: round(r.wait_seconds, 6) for r in batch.collect()}
-
-
-def test_idle_bucket_is_forgotten(spark, tmp_path):
-    feed = Feed(spark, tmp_path / "in", "domain string, request_id long, ts timestamp")
-    feed.add([("a", 1, at(0)), ("a", 2, at(0))])
-    for i in range(3):
-        feed.add([("b", 10 + i, at(9_000 * (i + 1)))])
-    feed.add([("a", 3, at(30_000))])
-    rows = {r.request_id: r.wait_seconds for r in run(X.admit_stream(feed.stream(), 0.0001, 1, ttl_seconds=60), tmp_path)}
-    # without expiry the third request would wait for two tokens of 10 000 s each
-    assert (rows[1], rows[2], rows[3]) == (0.0, 10_000.0, 0.0)
-
-
 def test_batches_are_idempotent(spark, tmp_path):
     rows = [("j", "s", f"b{i}", None, 404, "HTTP_ERROR", "HTTP 404", 1, at(i)) for i in range(3)]
     from linkspark.schemas import BROKEN_LINKS
