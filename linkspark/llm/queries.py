@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import arc, sharding
+from linkspark.llm import arc, langid, sharding, tokenfile
 from linkspark.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def fold(n: int, id_column: str = "doc_id"):
+    """crc32 of the id as text, modulo n; null for a null id."""
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % n
+
+
+@query
+def op2_language_id(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+    model = langid.train(docs.filter("not held_out").select("text", "lang"))
+    return langid.predict(docs.drop("lang"), model).drop("text")
+
+
 @query
 def op7_jump_shards(spark, sf):
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -33,6 +46,11 @@ def op7_jump_shards(spark, sf):
         "grown_shard")
 
 
+@query
+def op8_simple8b_files(spark, sf):
+    return tokenfile.through_files(table(spark, sf, "documents").select("doc_id", "text"), end_id=2)
+
+
 @query
 def op10_arc_to_warc(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
