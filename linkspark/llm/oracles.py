@@ -2,6 +2,24 @@
 
 ORACLES: dict[str, str] = {}
 
+# ASCII lower case; words are runs of letters, digits and all beyond ASCII
+_NORM = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+ORACLES["op3_decontaminate"] = f"""WITH b AS (SELECT item_id, {_NORM} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_NORM} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM win),
+g AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+h AS (SELECT doc_id, item_id, i, size FROM g JOIN win USING (size, gram)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY doc_id),
+met AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)"""
+
 # base32 of a 40-digit hex number, five digits (20 bits, four letters) at a time
 _NIBBLES = "list_transform(range(5), lambda j: instr('0123456789abcdef', substr(hex, i * 5 + j + 1, 1)) - 1)"
 _LETTERS = """list_transform([15, 10, 5, 0],

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import arc, langid, sharding, tokenfile
+from linkspark.llm import arc, decontam, langid, sharding, tokenfile
 from linkspark.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op2_language_id(spark, sf):
     return langid.predict(docs.drop("lang"), model).drop("text")
 
 
+@query
+def op3_decontaminate(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    judged = decontam.contamination(docs, table(spark, sf, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items",
+                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 @query
 def op7_jump_shards(spark, sf):
     text = F.coalesce(F.col("text"), F.lit(""))
