@@ -20,6 +20,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)"""
 
+ORACLES["op6_substring_dedup"] = """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM g SEMI JOIN r USING (gram)),
+k AS (SELECT d.doc_id, count(*) FILTER (gone.p IS NULL) AS n, string_agg(word, ' ' ORDER BY x.p) FILTER (gone.p IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+  JOIN d USING (doc_id) LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY d.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
 # base32 of a 40-digit hex number, five digits (20 bits, four letters) at a time
 _NIBBLES = "list_transform(range(5), lambda j: instr('0123456789abcdef', substr(hex, i * 5 + j + 1, 1)) - 1)"
 _LETTERS = """list_transform([15, 10, 5, 0],
