@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import arc, decontam, langid, sharding, substring, tokenfile
+from linkspark.llm import arc, decontam, hmm, langid, sharding, substring, tokenfile
 from linkspark.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,13 @@ def op3_decontaminate(spark, sf):
                          F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@query
+def op4_hmm_lm(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(fold(5) == 1, F.lit(False)))
+    return hmm.score(docs, ~F.col("held_out"))
+
+
 @query
 def op6_substring_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
