@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import arc, decontam, hmm, langid, sharding, substring, tokenfile
+from linkspark.llm import arc, decontam, hmm, langid, minhash, sharding, substring, tokenfile
 from linkspark.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def fold(n: int, id_column: str = "doc_id"):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % n
 
 
+@query
+def op1_minhash_dedup(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op2_language_id(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
