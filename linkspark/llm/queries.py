@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import arc, decontam, hmm, langid, minhash, sharding, substring, tokenfile
+from linkspark.llm import arc, decontam, hmm, langid, minhash, packing, sharding, substring, tokenfile
 from linkspark.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,11 @@ def op8_simple8b_files(spark, sf):
     return tokenfile.through_files(table(spark, sf, "documents").select("doc_id", "text"), end_id=2)
 
 
+@query
+def op9_best_fit_packing(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents").select("doc_id", "text"), end_id=0)
+
+
 @query
 def op10_arc_to_warc(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
