@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.llm import arc, decontam, hmm, langid, minhash, packing, sharding, substring, tokenfile
+import corpus_pipeline
+from linkspark.llm import arc, decontam, hmm, langid, minhash, packing, sharding, substring, tokenfile, vptree
 from linkspark.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,12 @@ def op4_hmm_lm(spark, sf):
     return hmm.score(docs, ~F.col("held_out"))
 
 
+@query
+def op5_vptree_ann(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vptree.neighbours(rows, F.col("vec_id") % 20 == 0)
+
+
 @query
 def op6_substring_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -88,3 +95,12 @@ def op9_best_fit_packing(spark, sf):
 def op10_arc_to_warc(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return arc.pages_through_archives(pages).drop("record_id")
+
+
+@query
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
