@@ -14,8 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.rows import riding, unpacked
 from linkspark.session import cut
 
+RESULT = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
 WINDOW = 10
 MOST_GRAMS = 1_000_000
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -126,12 +128,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
     equal id and text are judged alike; rows with equal ids and other texts each by their own text. Columns of
     these names are replaced.
     """
-    kept = docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
-    found = hits(kept, items, window, key, text)
-    rows = kept.withColumn("_doc", F.xxhash64(text))
-    joined = rows.join(found, rows[key].eqNullSafe(found["_id"]) & (rows["_doc"] == found["_text"]), "left")
+    names, rest = riding(docs, text, replaced=RESULT)
+    found = hits(docs, items, window, key, text)
+    rows = docs.select(rest, F.col(text).alias("_body"), F.xxhash64(text).alias("_doc"))
+    joined = rows.join(found, rows[f"_row.{key}"].eqNullSafe(found["_id"]) & (rows["_doc"] == found["_text"]), "left")
     return joined.select(
-        *kept.columns, word_count(text).alias("n_words"), F.coalesce(covered("spans"), F.lit(0)).alias("n_hit"),
+        *unpacked(names, **{text: "_body"}), word_count("_body").alias("n_words"), F.coalesce(covered("spans"), F.lit(0)).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<first:int,end:int>>")).alias("spans"),
@@ -141,11 +143,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
 def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", window: int = WINDOW,
                   key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the contaminated documents, or (``remove="spans"``) with their texts as the normalised
-    words outside all hit spans; clean texts stay as they are."""
-    judged = contamination(docs, items, window, key, text)
+    words outside all hit spans; clean texts stay as they are. Columns named like results of
+    ``contamination`` are left out."""
+    judged, own = contamination(docs, items, window, key, text), [c for c in docs.columns if c not in RESULT]
     if remove == "documents":
-        return judged.filter("not contaminated").select(docs.columns)
+        return judged.filter("not contaminated").select(own)
     outside = F.filter(F.transform(words(text), lambda w, i: F.when(
         ~F.exists("spans", lambda s: (s["first"] <= i) & (i < s["end"])), w)), lambda w: w.isNotNull())
     clean = F.when(F.col("contaminated"), F.array_join(outside, " ")).otherwise(F.col(text))
-    return judged.withColumn(text, clean).select(docs.columns)
+    return judged.withColumn(text, clean).select(own)

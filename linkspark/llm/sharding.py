@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.rows import riding, unpacked
 from linkspark.operators.skew import Agg, running
 
 SHARDS = 40
@@ -50,8 +51,10 @@ def shard_rows(df: DataFrame, key: str, shards: int = SHARDS, order: tuple[str,
     key 0 goes. A non-integer key has to be hashed to a bigint by the caller. Columns of these names
     are replaced. The numbering never holds a shard in one task, see ``running``.
     """
-    rows = df.drop("shard", "grown_shard", "slot").withColumn("_tie", F.monotonically_increasing_id())
-    placed = rows.withColumn("shard", shard_of(F.col(key), shards)).withColumn(
-        "grown_shard", shard_of(F.col(key), shards + 1))
-    numbered = running(placed, ["shard"], [key, *order, "_tie"], [Agg("slot", "count", exclusive=True)])
-    return numbered.drop("_tie")
+    names, rest = riding(df, replaced=("shard", "grown_shard", "slot"))
+    by = [F.col(f"_row.`{c}`").alias(f"_o{i}") for i, c in enumerate((key, *order))]
+    placed = df.select(rest, F.monotonically_increasing_id().alias("_tie")).select(
+        "_row", "_tie", *by, shard_of(F.col(f"_row.`{key}`"), shards).alias("shard"),
+        shard_of(F.col(f"_row.`{key}`"), shards + 1).alias("grown_shard"))
+    numbered = running(placed, ["shard"], [*(f"_o{i}" for i in range(len(by))), "_tie"], [Agg("slot", "count", exclusive=True)])
+    return numbered.select(*unpacked(names), "shard", "grown_shard", "slot")
