@@ -95,6 +95,7 @@ def count_words(train: DataFrame, text: str = "text") -> Vocabulary:
     np.subtract.at(class_n, OWN + own % TAIL, hot_n[:OWN])
     np.subtract.at(kinds, OWN + own % TAIL, 1)
     class_n[:len(own)], class_n[END] = hot_n[:OWN], ends
+    kinds[:len(own)] = kinds[END] = 1
     kinds[OWN:END] += 1  # the unseen word
     mass = (class_n + 0.5 * kinds) / (tokens + 0.5 * (distinct + 1))
     order = np.argsort(hot)
@@ -145,7 +146,7 @@ def encode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 cuts = np.searchsorted(pairs["doc"].to_numpy(), np.arange(n + 1))
                 own, times = distinct[pairs["code"].to_numpy(np.int64)], pairs["count"].to_numpy(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[a:b], pa.array(np.diff(edges)), pa.array(n_hot.astype(np.int64)), pa.array(base), pa.array(inner),
+                    batch.column(0)[a:b], pa.array(np.diff(edges)), pa.array(n_hot.astype(np.int64)), pa.array(base, pa.float64()), pa.array(inner, pa.float64()),
                     pa.array([ids[x:y].tobytes() for x, y in zip(edges.tolist(), edges[1:].tolist())], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own, pa.int64())),
                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(times, pa.int32()))], ["row", *_ENCODED.names])
