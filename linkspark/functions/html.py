@@ -13,14 +13,18 @@ MAX_ANCHOR_TEXT = 200
 # Fixed value: elements that are not part of the main text.
 BOILERPLATE_TAGS = ("script", "style", "nav", "footer", "header")
 
-_COMMENT = r"(?s)<!--.*?-->"
 # inside a tag, quotes count after '=' only, and may hold '>'
 _IN_TAG = r"(?:[^>=]++|=\s*+\x22[^\x22]*+\x22|=\s*+\x27[^\x27]*+\x27|=)*+>"
 _TAG = rf"<[A-Za-z/!?]{_IN_TAG}"
 _SPACE = r"(?U)[\s\x{FEFF}]+"
 _EDGE_SPACE = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
-_OPEN_ANCHOR = rf"<a\s{_IN_TAG}"
-_ANCHOR = rf"(?is){_OPEN_ANCHOR}.*?(?=</a\b|<a\s|\z)"
+_ENDS = r"(?=[\s/>])"  # of an element's name: <nav-bar> is no <nav>
+_OPEN_ANCHOR = rf"<a{_ENDS}{_IN_TAG}"
+_ANCHOR = rf"(?is){_OPEN_ANCHOR}.*?(?=</a{_ENDS}|<a{_ENDS}|\z)"
+# what isn't markup, whichever starts first: comments, and the text of scripts and styles
+_HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style){_ENDS}{_IN_TAG}.*?(?:</\1{_ENDS}[^>]*>|\z)"
+# one attribute after another, so that a quoted value is never searched for names
+_ATTRIBUTE = r"(?s)[^\s=>/\x22\x27][^\s=>/]*(?:\s*=\s*(?:\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s>]+))?"
 
 # The standard table of named references; the map is searched in order, so frequent names lead.
 _FREQUENT = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot")
@@ -38,11 +42,14 @@ def _numeric(piece: str) -> str:
                 f"ELSE decode(unhex(lpad(hex({p}), 8, '0')), 'UTF-32') END")
 
     def build(code: str) -> str:
-        point = f"CAST(IF(lower({code}) LIKE 'x%', conv(substr({code}, 2), 16, 10), {code}) AS int)"
-        rest = f"regexp_replace({piece}, {raw(r'^#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});?')}, '')"
+        # leading zeros mean nothing; what is longer than any character's number is beyond the last one
+        digits = f"regexp_replace({code}, {raw('^[xX]?0*')}, '')"
+        number = f"IF(lower({code}) LIKE 'x%', conv({digits}, 16, 10), {digits})"
+        point = f"CASE WHEN {digits} = '' THEN 0 WHEN length({digits}) > 7 THEN 1114112 ELSE CAST({number} AS int) END"
+        rest = f"regexp_replace({piece}, {raw(r'^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?')}, '')"
         return f"IF({code} = '', concat('&', {piece}), concat({let(point, character)}, {rest}))"
 
-    return let(f"regexp_extract({piece}, {raw(r'^#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})')}, 1)", build)
+    return let(f"regexp_extract({piece}, {raw(r'^#([0-9]+|[xX][0-9A-Fa-f]+)')}, 1)", build)
 
 
 def decode_entities(value: str, attribute: bool = False) -> str:
@@ -67,15 +74,38 @@ def decode_entities(value: str, attribute: bool = False) -> str:
       array_join(transform(split({v}, '&'), {lam(piece, 2)}), ''), {v})""")
 
 
+def _visible(html: str) -> str:
+    """Without comments, scripts and styles, found in document order."""
+    return f"regexp_replace({html}, {raw(_HIDDEN)}, '')"
+
+
 def _drop_element(html: str, tag: str) -> str:
-    return f"regexp_replace({html}, {raw(rf'(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)')}, '')"
+    return f"regexp_replace({html}, {raw(rf'(?is)<{tag}{_ENDS}{_IN_TAG}.*?(?:</{tag}{_ENDS}[^>]*>|\z)')}, '')"
 
 
-def _visible(html: str) -> str:
-    """Without scripts, styles and comments, whose text is not markup."""
-    for tag in BOILERPLATE_TAGS[:2]:
-        html = _drop_element(html, tag)
-    return f"regexp_replace({html}, {raw(_COMMENT)}, '')"
+def _outside(html: str, tags: tuple[str, ...]) -> str:
+    """What lies outside all elements of these names, however they are nested.
+
+    The open elements are kept as a string of one letter each; an end tag closes the last open element of its
+    name and all within it, and counts for nothing if there is none. An element without end lasts to the end.
+    """
+    edge = raw(rf"(?is)</?(?:{'|'.join(tags)}){_ENDS}{_IN_TAG}")
+    letters = "".join(t[0] for t in tags)
+    assert len(set(letters)) == len(tags)
+
+    def walk(state: str, tag: str) -> str:
+        letter = f"lower(regexp_extract({tag}, {raw('^</?(.)')}, 1))"
+        last = f"instr(reverse({state}.open), {letter})"
+        after = f"""CASE WHEN NOT startswith({tag}, '</') THEN concat({state}.open, {letter})
+          WHEN {last} > 0 THEN left({state}.open, length({state}.open) - {last}) ELSE {state}.open END"""
+        return let(after, lambda o: struct(open=o, shown=f"concat({state}.shown, IF({o} = '', '1', '0'))"))
+
+    def joined(h: str) -> str:
+        flags = f"aggregate(regexp_extract_all({h}, {edge}, 0), {struct(open="''", shown="'1'")}, {lam(walk, 2)}).shown"
+        return let(flags, lambda f: f"""array_join(transform(split({h}, {edge}),
+          {lam(lambda x, i: f"IF(substr({f}, {i} + 1, 1) = '1', {x}, '')", 2)}), '')""")
+
+    return let(html, lambda h: f"IF({h} RLIKE {edge}, {joined(h)}, {h})")
 
 
 def _collapse(value: str) -> str:
@@ -84,40 +114,51 @@ def _collapse(value: str) -> str:
 
 def title(html: str) -> str:
     """First title, references decoded, white space collapsed; '' when there is none."""
-    pattern = raw(r"(?is)<title\b[^>]*>(.*?)</title")
-    return _collapse(decode_entities(f"regexp_extract({html}, {pattern}, 1)"))
+    pattern = raw(rf"(?is)<title{_ENDS}{_IN_TAG}(.*?)(?:</title{_ENDS}|\z)")
+    return _collapse(decode_entities(f"regexp_extract({_visible(html)}, {pattern}, 1)"))
 
 
-def main_text(html: str, max_chars: int = MAX_CONTENT) -> str:
+def main_text(html: str, max_chars: int | None = MAX_CONTENT) -> str:
     """Body text without boilerplate elements. Tags vanish without leaving a space."""
     def body(h: str) -> str:
-        start, up_to = raw(r"(?i)<body\b"), raw(r"(?is)^.*?<body\b[^>]*>")
+        start, up_to = raw(rf"(?i)<body{_ENDS}"), raw(rf"(?is)^.*?<body{_ENDS}{_IN_TAG}")
         return f"""IF({h} RLIKE {start}, regexp_replace({h}, {up_to}, ''),
           {_drop_element(_drop_element(h, 'head'), 'title')})"""
 
-    rest = let(_visible(html), body)
-    for tag in BOILERPLATE_TAGS[2:]:
-        rest = _drop_element(rest, tag)
-    plain = decode_entities(f"regexp_replace({rest}, {raw(_TAG)}, '')")
-    return f"left({_collapse(plain)}, {max_chars})"
+    rest = _outside(let(_visible(html), body), BOILERPLATE_TAGS[2:])
+    plain = _collapse(decode_entities(f"regexp_replace({rest}, {raw(_TAG)}, '')"))
+    return plain if max_chars is None else f"left({plain}, {max_chars})"
+
+
+def _attributes(open_tag: str, *names: str) -> list[str]:
+    """The first value of each attribute in an open tag of a one-letter or longer name, '' without one."""
+    found = f"regexp_extract_all(regexp_replace({open_tag}, {raw('^<[^\\s/>]+')}, ''), {raw(_ATTRIBUTE)}, 0)"
+
+    def value(name: str) -> str:
+        own = lam(lambda x: f"lower(regexp_extract({x}, {raw('^[^\\s=]+')}, 0)) = '{name}'")
+        given = f"regexp_extract(get(filter({found}, {own}), 0), {raw(r'(?s)=\s*(.*)$')}, 1)"
+        return decode_entities(f"coalesce(regexp_replace({given}, {raw(r'^[\x22\x27]|[\x22\x27]$')}, ''), '')", attribute=True)
+
+    return [value(n) for n in names]
 
 
-def _attribute(open_tag: str, name: str) -> str:
-    quoted = raw(rf"(?is)\s{name}\s*=\s*(\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s\x22\x27>]+)")
-    marks = raw(r"^[\x22\x27]|[\x22\x27]$")
-    return decode_entities(f"regexp_replace(regexp_extract({open_tag}, {quoted}, 1), {marks}, '')", attribute=True)
+def base_href(html: str) -> str:
+    """The address that a page's relative links start from, as its first <base href> gives it; '' without one."""
+    found = f"regexp_extract_all({_visible(html)}, {raw(rf'(?is)<base{_ENDS}{_IN_TAG}')}, 0)"
+    given = f"filter(transform({found}, {lam(lambda t: _attributes(t, 'href')[0])}), {lam(lambda h: f'{h} != {text(str())}')})"
+    return f"trim(coalesce(get({given}, 0), ''))"
 
 
-def anchors(html: str) -> str:
+def anchors(html: str, max_text: int | None = MAX_ANCHOR_TEXT) -> str:
     """array<struct<pos,href,text,rel>> of every anchor with a non-empty href, in document order."""
     found = f"regexp_extract_all({_visible(html)}, {raw(_ANCHOR)}, 0)"
 
     def read(a: str) -> str:
         def fields(tag: str) -> str:
             inner = f"regexp_replace(substr({a}, length({tag}) + 1), {raw(_TAG)}, '')"
-            return struct(href=_attribute(tag, "href"),
-                          text=f"left(regexp_replace({decode_entities(inner)}, {raw(_EDGE_SPACE)}, ''), {MAX_ANCHOR_TEXT})",
-                          rel=_attribute(tag, "rel"))
+            label = f"regexp_replace({decode_entities(inner)}, {raw(_EDGE_SPACE)}, '')"
+            href, rel = _attributes(tag, "href", "rel")
+            return struct(href=href, text=label if max_text is None else f"left({label}, {max_text})", rel=rel)
         return let(f"regexp_extract({a}, {raw(rf'(?is)^{_OPEN_ANCHOR}')}, 0)", fields)
 
     kept = f"filter(transform({found}, {lam(read)}), {lam(lambda a: f'''{a}.href != '' ''')})"

@@ -60,7 +60,8 @@ def _classified(resolved: str, host: str) -> str:
 def page_links(pages: DataFrame, same_domain_only: bool = False) -> DataFrame:
     """Replace ``links`` by resolved, deduplicated, categorised links, in document order.
 
-    Needs ``url`` and ``links array<struct<pos,href,text,rel>>``. Each link gets ``rank``, its
+    Needs ``url`` and ``links array<struct<pos,href,text,rel>>``; links are relative to ``base_href`` where the
+    table has one that isn't empty, which is relative to ``url`` itself. Each link gets ``rank``, its
     1-based place among the links of the same category on that page, so "first n internal
     links" is a plain filter later on.
     """
@@ -74,7 +75,14 @@ def page_links(pages: DataFrame, same_domain_only: bool = False) -> DataFrame:
             anchor_text=f"{l}.anchor_text", rel=f"{l}.rel"), 2)
         return f"transform(filter({links}, {own}), {ranked})"
 
-    found = let(U.base_parts("url"), lambda b: _classified(_resolved("links", b), f"lower({b}.netloc)"))
+    def against(page: str) -> str:
+        host = f"lower({page}.netloc)"
+        if "base_href" not in pages.columns:
+            return _classified(_resolved("links", page), host)
+        start = f"IF(coalesce(base_href, '') = '', {page}, {U.base_parts(U.resolve(page, 'base_href'))})"
+        return let(start, lambda b: _classified(_resolved("links", b), host))
+
+    found = let(U.base_parts("url"), against)
     ranked = let(found, lambda links: f"concat({', '.join(of_category(links, c) for c in wanted)})")
     return pages.withColumn("links", F.expr(ranked))
 

@@ -12,16 +12,19 @@ NO_RESPONSE = "No response received"
 LINKS = "array<struct<pos:int,href:string,text:string,rel:string>>"
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """Add ``title``, ``content``, ``links`` and ``links_count`` to a table with ``html``.
+def extract_pages(pages: DataFrame, max_content: int | None = H.MAX_CONTENT,
+                  max_anchor_text: int | None = H.MAX_ANCHOR_TEXT) -> DataFrame:
+    """Add ``title``, ``content``, ``links``, ``links_count`` and ``base_href`` to a table with ``html``.
 
+    Content and anchor texts are kept up to a length, as page records have them; None keeps them whole.
     Columns nobody reads are pruned, so asking for titles only costs the title pattern only.
     Pages without html (errors) get NULL title and content and no links.
     """
     return (pages.withColumn("title", F.expr(H.title("html")))
-            .withColumn("content", F.expr(H.main_text("html")))
-            .withColumn("links", F.expr(f"coalesce({H.anchors('html')}, CAST(array() AS {LINKS}))"))
-            .withColumn("links_count", F.size("links")))
+            .withColumn("content", F.expr(H.main_text("html", max_content)))
+            .withColumn("links", F.expr(f"coalesce({H.anchors('html', max_anchor_text)}, CAST(array() AS {LINKS}))"))
+            .withColumn("links_count", F.size("links"))
+            .withColumn("base_href", F.expr(H.base_href("html"))))
 
 
 def build_page_records(extracted: DataFrame, job_id: Column, depth: Column, crawled_at: Column) -> DataFrame:

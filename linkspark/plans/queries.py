@@ -174,7 +174,7 @@ def page_records(spark, sf):
 # --- links -----------------------------------------------------------------------------------
 
 def _html_edges(spark, sf, *keep):
-    rows = P.extract_pages(fx.pages(spark, sf)).select("page_id", "url", "links")
+    rows = P.extract_pages(fx.pages(spark, sf)).select("page_id", "url", "links", "base_href")
     return L.page_edges(L.page_links(rows), *keep)
 
 
