@@ -146,6 +146,33 @@ def deletions(term: str, most: str) -> str:
       IF({most} >= 2 AND {size} >= 2, flatten(transform(sequence(1, {size} - 1), {lam(second)})), {none})))"""
 
 
+PARTS = 5  # of a long word: two edits touch four of them at most, if both are swaps across a cut
+
+
+def _part(size: str, i: str) -> tuple[str, str]:
+    """Start (from 0) and length of the i-th part of a word of ``size`` letters."""
+    start = f"CAST(floor({i} * {size} / {PARTS}) AS int)"
+    return start, f"(CAST(floor(({i} + 1) * {size} / {PARTS}) AS int) - {start})"
+
+
+def parts(term: str) -> str:
+    """array<struct<size, part, piece>>: the parts of a word, with its length."""
+    start, width = _part(f"length({term})", "i")
+    return f"transform(sequence(0, {PARTS - 1}), i -> struct(length({term}) AS size, i AS part, substr({term}, {start} + 1, {width}) AS piece))"
+
+
+def near_parts(term: str) -> str:
+    """What :func:`parts` gives for some word within two edits is among these.
+
+    Such a word is at most two letters longer or shorter, one of its parts is untouched, and that part
+    stands at most two places further or earlier here. The strings add up to a fixed multiple of the word.
+    """
+    start, width = _part("n", "i")
+    return f"""array_distinct(flatten(flatten(transform(sequence(length({term}) - 2, length({term}) + 2), n ->
+      transform(sequence(0, {PARTS - 1}), i -> transform(filter(sequence(-2, 2), d -> {start} + d >= 0 AND {start} + d + {width} <= length({term})),
+        d -> struct(n AS size, i AS part, substr({term}, {start} + d + 1, {width}) AS piece)))))))"""
+
+
 def _one_swap(a: str, b: str) -> str:
     """The words differ by swapping two neighbours."""
     swapped = lam(lambda i: f"{b} = concat(left({a}, {i} - 1), substr({a}, {i} + 1, 1), substr({a}, {i}, 1), substr({a}, {i} + 2))")

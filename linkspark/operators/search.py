@@ -6,7 +6,7 @@ query and a million queries run through the same joins.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,15 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions import text as T
-from linkspark.functions.sql import lam, text
 from linkspark.session import cut, shuffle_partitions
 
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "content": 1.0}
-MAX_EXPANSIONS = 50
 DEFAULT_SIZE, MAX_SIZE = 20, 100
 SCORE_DIGITS = 6
-MAX_FEW = 64  # query terms that count as a handful
+LONG_WORD = 16  # letters from which words are cut into parts instead of shortened
 
 
 @dataclass(frozen=True)
@@ -87,28 +85,24 @@ def query_terms(queries: DataFrame, analyzer: str = "english") -> DataFrame:
     return words.filter("qterm is not null").groupBy("query_id", "qterm").agg(F.count("*").alias("qtf"))
 
 
-def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int = MAX_EXPANSIONS,
-                 few: Sequence[str] | None = None) -> DataFrame:
+def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:
     """(field, qterm, term, edits, weight, df): index terms a query term may stand for.
 
-    Candidates come from an equality join on shortened forms instead of comparing every pair;
-    the exact distance is worked out for those only. The best ``limit`` per field are kept.
-    ``few`` gives the query terms themselves when there is only a handful: then one pass over the
-    vocabulary tests each term against them, without any join.
+    Candidates come from an equality join (on shortened forms, for long words on parts) instead of
+    comparing every pair; the exact distance is worked out for those only. ``limit`` keeps the best
+    per field.
     """
     most = T.edits_allowed("qterm")
-    if few is not None:
-        pairs = _near_literals(_words(vocabulary), few)
-    else:
-        pairs = _near_pairs(qterms.select("qterm").distinct(), vocabulary)
-    exact = (pairs.withColumn("edits", F.expr(T.edit_distance("qterm", "term")))
+    exact = (_near_pairs(qterms.select("qterm").distinct(), vocabulary)
+             .withColumn("edits", F.expr(T.edit_distance("qterm", "term")))
              .filter(f"edits <= {most}")
              .withColumn("weight", 1 - F.col("edits") / F.least(F.length("qterm"), F.length("term")))
              .filter("weight > 0"))
-    best = Window.partitionBy("field", "qterm").orderBy(F.desc("weight"), "term")
-    return (vocabulary.join(exact, "term").withColumn("_rank", F.row_number().over(best))
-            .filter(F.col("_rank") <= limit)
-            .select("field", "qterm", "term", "edits", "weight", "df"))
+    found = vocabulary.join(exact, "term")
+    if limit is not None:
+        best = Window.partitionBy("field", "qterm").orderBy(F.desc("weight"), "term")
+        found = found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= limit)
+    return found.select("field", "qterm", "term", "edits", "weight", "df")
 
 
 def _words(vocabulary: DataFrame) -> DataFrame:
@@ -117,21 +111,22 @@ def _words(vocabulary: DataFrame) -> DataFrame:
 
 
 def _near_pairs(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    most = T.edits_allowed("qterm")
-    left = _unfolded(wanted, "qterm", most)
+    """(qterm, term) that may be close: every pair within the edits that the query term allows, and some more."""
+    words = _words(vocabulary)
+    short = wanted.filter(F.length("qterm") < LONG_WORD)
+    left = _unfolded(short, "qterm", T.edits_allowed("qterm"))
     # only vocabulary whose length is within reach of some query term is unfolded
-    near = wanted.select(F.explode(F.expr(
+    most = T.edits_allowed("qterm")
+    near = short.select(F.explode(F.expr(
         f"sequence(length(qterm) - ({most}), length(qterm) + ({most}))")).alias("_len")).distinct()
-    words = _words(vocabulary).withColumn("_len", F.length("term")).join(near, "_len", "left_semi").drop("_len")
-    right = _unfolded(words, "term", "CASE WHEN length(term) >= 4 THEN 2 WHEN length(term) >= 2 THEN 1 ELSE 0 END")
-    return left.join(right, "_key").select("qterm", "term").distinct()
-
+    close = words.filter(F.length("term") < LONG_WORD + 2).withColumn("_len", F.length("term")).join(near, "_len", "left_semi").drop("_len")
+    right = _unfolded(close, "term", "CASE WHEN length(term) >= 4 THEN 2 WHEN length(term) >= 2 THEN 1 ELSE 0 END")
+    one = left.join(right, "_key").select("qterm", "term")
 
-def _near_literals(words: DataFrame, few: Sequence[str]) -> DataFrame:
-    close = lam(lambda q: f"abs(length({q}) - length(term)) <= {T.edits_allowed(q)} "
-                          f"AND {T.edit_distance(q, 'term')} <= {T.edits_allowed(q)}")
-    near = F.expr(f"filter(array({', '.join(text(w) for w in few)}), {close})")
-    return words.select("term", F.explode_outer(near).alias("qterm")).filter("qterm is not null")
+    long = wanted.filter(F.length("qterm") >= LONG_WORD).select("qterm", F.inline_outer(F.expr(T.parts("qterm"))))
+    others = words.filter(F.length("term") >= LONG_WORD - 2).select("term", F.inline_outer(F.expr(T.near_parts("term"))))
+    two = long.join(others, ["size", "part", "piece"]).select("qterm", "term")
+    return one.unionByName(two).distinct()
 
 
 def _unfolded(words: DataFrame, col: str, most: str) -> DataFrame:
@@ -139,16 +134,11 @@ def _unfolded(words: DataFrame, col: str, most: str) -> DataFrame:
     return words.select(col, F.explode_outer(F.expr(T.deletions(col, most))).alias("_key"))
 
 
-def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[str, float] = BOOSTS,
-          few: Sequence[str] | None = None) -> DataFrame:
-    """(query_id, doc_id, score): BM25 summed over terms, best boosted field wins.
-
-    ``few`` names the query terms when they are known to be a handful (times MAX_EXPANSIONS): then
-    the query side is broadcast and the postings are filtered where they are read.
-    """
+def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[str, float] = BOOSTS) -> DataFrame:
+    """(query_id, doc_id, score): BM25 summed over terms, best boosted field wins."""
     qterms = query_terms(queries, index.analyzer)
     if fuzzy:
-        expanded = expand_terms(qterms, index.terms, few=few)
+        expanded = expand_terms(qterms, index.terms)
     else:
         expanded = index.terms.join(qterms.select(F.col("qterm").alias("term")).distinct(), "term").select(
             "field", F.col("term").alias("qterm"), "term", F.lit(1.0).alias("weight"), "df")
@@ -158,8 +148,6 @@ def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.join(index.stats, "field").select(
         "query_id", "field", "term", (F.col("weight") * idf).alias("weight"), "mean_length")
-    if few is not None:
-        weighted = F.broadcast(weighted)
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     part = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
     sums = [F.sum(F.when(F.col("field") == f, part)) * float(boosts.get(f, 1.0)) for f in index.fields]
@@ -186,12 +174,6 @@ def _one(spark: SparkSession, query: str) -> DataFrame:
     return spark.createDataFrame([(0, query)], "query_id int, query string")
 
 
-def _handful(queries: DataFrame, analyzer: str) -> list[str] | None:
-    """The terms of the queries if there are at most MAX_FEW."""
-    found = query_terms(queries, analyzer).select("qterm").distinct().limit(MAX_FEW + 1).collect()
-    return [r.qterm for r in found] if 0 < len(found) <= MAX_FEW else None
-
-
 def search(index: Index, pages: DataFrame, query: str, job_id: str | None = None, size: int = DEFAULT_SIZE,
            fuzzy: bool = True, highlights: bool = True) -> DataFrame:
     """Best pages for one query, without their text.
@@ -201,28 +183,27 @@ def search(index: Index, pages: DataFrame, query: str, job_id: str | None = None
     if not 1 <= size <= MAX_SIZE:
         raise ValueError(f"size must be 1..{MAX_SIZE}")
     queries = _one(pages.sparkSession, query)
-    few = _handful(queries, index.analyzer)
-    found = score(index, queries, fuzzy, few=few)
+    found = score(index, queries, fuzzy)
     if job_id is not None:
         found = found.join(pages.filter(F.col("job_id") == job_id).select("doc_id"), "doc_id", "left_semi")
-    hits = found.orderBy(F.desc("score"), "doc_id").limit(size)
+    best = found.orderBy(F.desc("score"), "doc_id").limit(size).collect()  # MAX_SIZE rows at most
+    hits = pages.sparkSession.createDataFrame(best, found.schema)
     shown = ["doc_id", "job_id", "url", "title", "depth", "status_code", "crawled_at", "score"]
-    rows = hits.join(pages, "doc_id")
+    # the ids reach the scan, so of the pages' text only what may hold a hit is read
+    rows = pages.filter(F.col("doc_id").isin([r.doc_id for r in best])).join(F.broadcast(hits), "doc_id")
     if highlights:
-        rows = highlight(rows, queries, index, fuzzy, few)
+        rows = highlight(rows, queries, index, fuzzy)
         shown.append("highlights")
     return rows.select(*shown).orderBy(F.desc("score"), "doc_id")
 
 
-def highlight(hits: DataFrame, queries: DataFrame, index: Index, fuzzy: bool = True,
-              few: Sequence[str] | None = None) -> DataFrame:
+def highlight(hits: DataFrame, queries: DataFrame, index: Index, fuzzy: bool = True) -> DataFrame:
     """Add ``highlights`` (field -> fragments) to the few hit rows with ``query_id, title, content``."""
     qterms = query_terms(queries, index.analyzer)
     if fuzzy:
-        words = qterms.join(expand_terms(qterms, index.terms, few=few).select("qterm", "term"), "qterm")
+        words = qterms.join(expand_terms(qterms, index.terms).select("qterm", "term"), "qterm")
     else:
         words = qterms.withColumn("term", F.col("qterm"))
-    # a query has few terms, and each at most MAX_EXPANSIONS stand-ins per field
     per_query = words.groupBy("query_id").agg(F.collect_set("term").alias("_terms"))
     analyzer = index.analyzer
 

@@ -72,7 +72,7 @@ def test_expansion_matches_comparing_every_pair(spark):
     words = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randrange(1, 9))) for _ in range(700)})
     vocab = spark.createDataFrame([("content", w, i % 7 + 1) for i, w in enumerate(words)], "field string, term string, df int")
     wanted = rnd.sample(words, 25) + ["zzz", "abcabcabc", "a"]
-    out = S.expand_terms(spark.createDataFrame([(w,) for w in wanted], "qterm string"), vocab, limit=10_000).collect()
+    out = S.expand_terms(spark.createDataFrame([(w,) for w in wanted], "qterm string"), vocab).collect()
     got = {(r.qterm, r.term): (r.edits, round(r.weight, 9)) for r in out}
     want = {}
     for q in wanted:
@@ -83,12 +83,26 @@ def test_expansion_matches_comparing_every_pair(spark):
             if d <= most and weight > 0:
                 want[q, w] = (d, round(weight, 9))
     assert got == want
-    few = S.expand_terms(spark.createDataFrame([(w,) for w in wanted], "qterm string"), vocab, 10_000, few=wanted)
-    assert {(r.qterm, r.term): (r.edits, round(r.weight, 9)) for r in few.collect()} == want
     best = S.expand_terms(spark.createDataFrame([(wanted[0],)], "qterm string"), vocab, limit=3)
     assert best.count() <= 3
 
 
+def test_long_words_by_parts(spark):
+    """Every word within two edits of a long one is found, and nothing grows with the square of its length."""
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcde") for _ in range(n)) for n in (14, 15, 16, 17, 18, 25, 60)]
+
+    def edited(w):
+        i = rnd.randrange(len(w) - 1)
+        return rnd.choice([w[:i] + w[i + 1:], w[:i] + "x" + w[i:], w[:i] + "y" + w[i + 1:], w[:i] + w[i + 1] + w[i] + w[i + 2:]])
+    words = sorted({w for b in base for _ in range(25) for w in (b, edited(b), edited(edited(b)), edited(edited(edited(b))))})
+    vocab = spark.createDataFrame([("content", w, 1) for w in [*words, "z" * 5000, "z" * 4998]], "field string, term string, df int")
+    asked = spark.createDataFrame([(b,) for b in [*base, "z" * 4999]], "qterm string")
+    got = {(r.qterm, r.term) for r in S.expand_terms(asked, vocab).collect() if len(r.term) < 100}
+    assert got == {(b, w) for b in base for w in words if swap_distance(b, w) <= 2}
+    assert S.expand_terms(asked, vocab).filter("length(term) > 100").count() == 2
+
+
 DOCS = [(1, "apple pie", "an apple pie with apples and cream", "j1"), (2, "banana", "bananas are not apples, they are bananas", "j1"),
         (3, "cream", "cream cream cream", "j2"), (4, "nothing", "", "j2"), (5, "aple", "misspelt aple", "j2")]
 
