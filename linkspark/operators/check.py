@@ -10,6 +10,7 @@ from linkspark.session import cut, lookup_table
 
 MAX_REDIRECTS = 9  # the next redirect is refused
 TRANSIENT = ("TIMEOUT", "CONNECTION_ERROR")
+INVALID_URL = "INVALID_URL"
 
 # Phrases that tell network errors apart, tested in this order.
 NETWORK_PHRASES = {
@@ -31,7 +32,8 @@ def _mentions(message: Column, phrases: tuple[str, ...]) -> Column:
 def net_error_type(message: Column, policy: str = "lenient") -> Column:
     phrases = dict(NETWORK_PHRASES)
     if policy == "strict":
-        phrases["DNS_ERROR"] = STRICT_DNS_PHRASES
+        # a certificate failure is met as a failed connection first, so it counts as one
+        phrases = {"TIMEOUT": phrases["TIMEOUT"], "DNS_ERROR": STRICT_DNS_PHRASES}
     kind = F.when(message.isNull(), None)
     for name, words in phrases.items():
         kind = kind.when(_mentions(message, words), name)
@@ -131,23 +133,60 @@ def check_links(edges: DataFrame, responses: DataFrame, policy: str = "lenient",
                 include_internal: bool = False, unseen_error: str | None = None) -> DataFrame:
     """Outcome of every checked link. Each target is classified once, then joined to its edges.
 
-    External links only, unless ``include_internal``. A target missing from the log has NULL
-    ``is_valid``, or counts as broken with ``unseen_error``. The join key of a target that a third of
-    all edges point to is one row on the (stored) outcome side, so AQE can split its partition.
+    External links only, unless ``include_internal``, and with them links whose category is ``external`` but
+    whose target has no canonical form: these are broken with INVALID_URL. A target missing from the log has
+    NULL ``is_valid``, or counts as broken with ``unseen_error``.
+    """
+    return check_against(edges, lookup_table(outcomes(responses, policy)), include_internal, unseen_error)
+
+
+def check_against(edges: DataFrame, known: DataFrame, include_internal: bool = False,
+                  unseen_error: str | None = None) -> DataFrame:
+    """:func:`check_links` with stored :func:`outcomes`.
+
+    The join key of a target that a third of all edges point to is one row on the stored side, so AQE can
+    split its partition; targets without a key stay out of the join.
     """
     wanted = ("external", "internal") if include_internal else ("external",)
-    checked = edges.filter(F.col("category").isin(*wanted)).join(
-        lookup_table(outcomes(responses, policy)), "url_hash", "left")
-    if unseen_error is None:
-        return checked
-    missing = F.col("is_valid").isNull()
-    return (checked.withColumn("error_type", F.when(missing, unseen_error).otherwise(F.col("error_type")))
-            .withColumn("error_message", F.when(missing, "no response logged").otherwise(F.col("error_message")))
-            .withColumn("is_valid", F.coalesce("is_valid", F.lit(False))))
+    of_interest = edges.filter(F.col("category").isin(*wanted))
+    checked = of_interest.filter("url_hash is not null").join(known, "url_hash", "left")
+    if unseen_error is not None:
+        missing = F.col("is_valid").isNull()
+        checked = (checked.withColumn("error_type", F.when(missing, unseen_error).otherwise(F.col("error_type")))
+                   .withColumn("error_message", F.when(missing, "no response logged").otherwise(F.col("error_message")))
+                   .withColumn("is_valid", F.coalesce("is_valid", F.lit(False))))
+    invalid = (of_interest.filter("url_hash is null").withColumn("status_code", F.lit(None).cast("int"))
+               .withColumn("is_valid", F.lit(False)).withColumn("error_type", F.lit(INVALID_URL))
+               .withColumn("error_message", F.lit("URL has no canonical form")))
+    return checked.unionByName(invalid)
+
+
+def unseen_targets(checked: DataFrame) -> DataFrame:
+    """Links whose target isn't in the response log; they are neither valid nor broken."""
+    return checked.filter(F.col("is_valid").isNull())
+
+
+def followed(responses: DataFrame, redirects: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+    """A response log in which every redirecting URL has the response of the page it leads to.
+
+    A chain that is too long fails as a connection, so retries treat it as one; a chain that leads to a page
+    without a response has none either. Other columns of the log are kept for URLs that do not redirect.
+    """
+    names = ["url", "head_status", "get_status", "net_error"]
+    starts = redirects.select("url").distinct()
+    ends = resolve_redirects(starts, redirects, max_redirects).select(
+        F.col("url").alias("from_url"), F.col("final_url"), F.col("refused"), F.col("error_message").alias("why"))
+    refused = ends.filter("refused").select(F.col("from_url").alias("url"), F.lit(None).cast("int").alias("head_status"),
+                                            F.lit(None).cast("int").alias("get_status"), F.col("why").alias("net_error"))
+    arrived = ends.filter("not refused").join(responses.select(F.col("url").alias("final_url"), *names[1:]), "final_url").select(
+        F.col("from_url").alias("url"), *names[1:])
+    own = responses.join(cut(starts), "url", "left_anti").select(names)
+    return own.unionByName(arrived).unionByName(refused)
 
 
 def broken_links(checked: DataFrame, job_id: Column, depth: Column, discovered_at: Column) -> DataFrame:
+    target = F.col("target_url") if "target_url" in checked.columns else F.lit(None).cast("string")
     return checked.filter(~F.col("is_valid")).select(
-        job_id.alias("job_id"), "source_url", F.col("canonical").alias("broken_url"), "anchor_text",
+        job_id.alias("job_id"), "source_url", F.coalesce("canonical", target).alias("broken_url"), "anchor_text",
         "status_code", "error_type", "error_message", depth.cast("int").alias("depth"),
         discovered_at.alias("discovered_at"))

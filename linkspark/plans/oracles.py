@@ -1,4 +1,5 @@
-"""The same results in plain SQL, written independently of the Spark jobs.
+"""SQL twins of the queries, on the same tables. Where a rule is a pattern both sides have it, so markup and URLs
+are also checked by known answers (`hard_markup`, tests).
 
 Shared pieces are common table expressions put together as text. A query without an entry here
 is checked by tests instead (stemming and highlighting have no SQL form).
@@ -75,13 +76,15 @@ def _checked_sql(policy: str = "lenient") -> str:
     dns = ("net_error LIKE '%no such host%' OR net_error LIKE '%DNS%' OR net_error LIKE '%lookup%'"
            if policy == "lenient" else
            "net_error LIKE '%Name or service not known%' OR net_error LIKE '%getaddrinfo failed%'")
+    certificate = ("WHEN net_error LIKE '%certificate%' OR net_error LIKE '%tls%' OR net_error LIKE '%x509%' THEN 'SSL_ERROR'"
+                   if policy == "lenient" else "")
     message = "net_error" if policy == "lenient" else "CASE WHEN kind = 'TIMEOUT' THEN 'Request timeout' ELSE net_error END"
     return f"""{_RESPONSES},
 effective AS (SELECT *, CASE WHEN head_status = 405 THEN get_status ELSE head_status END AS status_code,
   CASE WHEN net_error IS NULL THEN NULL
        WHEN net_error LIKE '%timeout%' OR net_error LIKE '%deadline exceeded%' THEN 'TIMEOUT'
        WHEN {dns} THEN 'DNS_ERROR'
-       WHEN net_error LIKE '%certificate%' OR net_error LIKE '%tls%' OR net_error LIKE '%x509%' THEN 'SSL_ERROR'
+       {certificate}
        ELSE 'CONNECTION_ERROR' END AS kind FROM responses),
 checked AS (SELECT url, page_id, status_code,
   CASE WHEN status_code IS NULL THEN FALSE ELSE NOT (status_code >= 400 {blocked}) END AS is_valid,
@@ -193,8 +196,9 @@ def _without(e: str, *tags: str) -> str:
 _TITLE = rf"trim(regexp_replace({_decoded(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1)")}, '\s+', ' ', 'g'))"
 _PLAIN = rf"regexp_replace({_without('html', 'script', 'style')}, '(?s)<!--.*?-->', '', 'g')"
 _BODY = _without(rf"regexp_replace({_PLAIN}, '(?is)^.*?<body\b[^>]*>', '')", "nav", "footer", "header")
-_TEXT = (rf"left(trim(regexp_replace({_decoded(rf"regexp_replace({_BODY}, '<[A-Za-z/!?][^>]*>', '', 'g')")}, "
-         rf"'\s+', ' ', 'g')), 50000)")
+_WHOLE_TEXT = (rf"trim(regexp_replace({_decoded(rf"regexp_replace({_BODY}, '<[A-Za-z/!?][^>]*>', '', 'g')")}, "
+               rf"'\s+', ' ', 'g'))")
+_TEXT = f"left({_WHOLE_TEXT}, 50000)"
 
 _ANCHORS = rf"""tags AS (SELECT page_id, url, regexp_extract_all({_PLAIN}, '(?is)<a\s[^>]*>.*?</a') AS found FROM pages),
 each AS (SELECT page_id, url, unnest(found) AS a, generate_subscripts(found, 1) AS pos FROM tags),
@@ -205,6 +209,12 @@ anchors AS (SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id OR
 
 ORACLES["page_titles"] = f"SELECT page_id, {_TITLE} AS title FROM pages"
 ORACLES["page_text"] = f"SELECT page_id, {_TEXT} AS content FROM pages"
+# what the engine has to make of the woven markup is known: `barmseen` and one more link
+ORACLES["hard_markup"] = rf"""SELECT page_id, 'Real ' || page_id AS title, content, links_count, '/deep/er/' AS base_href,
+  regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/deep/er/p' || page_id AS last_target
+FROM (SELECT page_id, url, {_TEXT} AS content FROM (SELECT page_id, url, replace(html, '</body>', '') || 'barmseeng</body>' AS html FROM pages)) t
+JOIN (WITH {_ANCHORS} SELECT p.page_id, CAST(count(a.page_id) + 1 AS INTEGER) AS links_count
+  FROM pages p LEFT JOIN anchors a USING (page_id) GROUP BY 1) c USING (page_id)"""
 ORACLES["page_anchors"] = f"WITH {_ANCHORS} SELECT page_id, url, pos, href, text, rel FROM anchors"
 ORACLES["link_counts"] = f"""WITH {_ANCHORS}
 SELECT p.page_id, CAST(count(a.page_id) AS INTEGER) AS links_count
@@ -355,6 +365,14 @@ ORACLES["link_status"] = f"""WITH {_checked_sql()}
 SELECT page_id, status_code, is_valid, error_type, error_message FROM checked"""
 ORACLES["link_status_strict"] = f"""WITH {_checked_sql('strict')}
 SELECT page_id, status_code, is_valid, error_type, error_message FROM checked"""
+ORACLES["invalid_targets"] = f"""WITH {_checked_sql()}, o AS (SELECT page_id, {canonical_sql('url')} AS canonical, is_valid, error_type, url FROM checked),
+best AS (SELECT canonical, arg_min(is_valid, url) AS is_valid, arg_min(error_type, url) AS error_type FROM o GROUP BY 1)
+SELECT page_id, 'http://[bad/' || page_id AS broken_url, 'INVALID_URL' AS error_type FROM pages WHERE page_id % 7 = 3
+UNION ALL SELECT o.page_id, canonical, best.error_type FROM o JOIN best USING (canonical) WHERE o.page_id % 7 <> 3 AND NOT best.is_valid"""
+
+ORACLES["redirected_checks"] = f"""WITH {_checked_sql()}
+SELECT p.url, c.status_code, c.is_valid, c.error_type, c.error_message
+FROM pages p JOIN checked c ON c.page_id = CASE WHEN p.page_id % 5 = 4 THEN p.page_id - 1 ELSE p.page_id END"""
 ORACLES["net_error_types"] = f"""WITH {_checked_sql()}
 SELECT error_message AS net_error, error_type, count(*) AS urls FROM checked
 WHERE error_type NOT IN ('HTTP_ERROR') GROUP BY ALL"""
@@ -504,7 +522,7 @@ def _tokens(e: str) -> str:
     return f"regexp_extract_all(lower({e}), '{_WORDS}')"
 
 
-_PAGE_INDEX = f"""docs AS (SELECT page_id AS doc_id, {_HOST} AS job_id, url, {_TITLE} AS title, {_TEXT} AS content,
+_PAGE_INDEX = f"""docs AS (SELECT page_id AS doc_id, {_HOST} AS job_id, url, {_TITLE} AS title, {_WHOLE_TEXT} AS content,
   {_CRAWLED} AS crawled_at FROM pages),
 words AS (SELECT 'title' AS field, doc_id, unnest({_tokens('title')}) AS term FROM docs
   UNION ALL SELECT 'content', doc_id, unnest({_tokens('content')}) FROM docs),
@@ -535,8 +553,7 @@ pairs AS (SELECT qterm, term, k, {_PLAIN_LETTERS.format('qterm')} AS a, {_PLAIN_
   FROM reach JOIN (SELECT DISTINCT term FROM terms) ON abs(length(qterm) - length(term)) <= k),
 near AS (SELECT qterm, term, k, {_DISTANCE} AS edits FROM pairs WHERE dl <= k),
 expanded AS (SELECT field, qterm, term, edits, 1 - edits / least(length(qterm), length(term)) AS weight, df
-  FROM near JOIN terms USING (term) WHERE edits <= k AND edits < least(length(qterm), length(term))
-  QUALIFY row_number() OVER (PARTITION BY field, qterm ORDER BY 1 - edits / least(length(qterm), length(term)) DESC, term) <= 50)"""
+  FROM near JOIN terms USING (term) WHERE edits <= k AND edits < least(length(qterm), length(term)))"""
 
 _SCORED = """blended AS (SELECT field, term, weight * qtf AS weight, query_id, max(df) OVER (PARTITION BY query_id, field, qterm) AS df
   FROM expanded JOIN qterms USING (qterm)),

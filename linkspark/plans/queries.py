@@ -19,7 +19,7 @@ from linkspark.operators import robots as B
 from linkspark.operators import search as S
 from linkspark.operators import urls as U
 from linkspark.plans import fixtures as fx
-from linkspark.session import cut
+from linkspark.session import cut, lookup_table
 from linkspark.sources import sinks, tables
 from linkspark.streaming.streams import job_sessions
 
@@ -160,6 +160,19 @@ def page_anchors(spark, sf):
     return rows.filter("_l is not null").select("page_id", "url", "_l.pos", "_l.href", "_l.text", "_l.rel")
 
 
+@query
+def hard_markup(spark, sf):
+    """Markup that misleads simple patterns, woven into every page."""
+    before = F.concat(F.lit("<!-- <script src=old> <title>Old</title> --><title data-x='>'>Real "), F.col("page_id").cast("string"),
+                      F.lit("</title><base target=_top><base data-href='/no/' href='/deep/er/'>"))
+    after = F.concat(F.lit("<!-- <style> --><nav-bar>bar</nav-bar><nav>x<nav>y</nav>z</nav><header>h<nav>n</header>m</nav><script>if (a <!-- b) </script>"
+                           "seen<a data-u=\" href='/evil'\" href=\"p"), F.col("page_id").cast("string"), F.lit("\">g</a></body>"))
+    rows = fx.pages(spark, sf).withColumn("html", F.concat(before, F.replace("html", F.lit("</body>"), F.lit("")), after))
+    found = P.extract_pages(rows).select("page_id", "url", "title", "content", "links", "links_count", "base_href")
+    last = F.expr("element_at(array_sort(links, (a, b) -> a.pos - b.pos), -1).url")
+    return L.page_links(found).select("page_id", "title", "content", "links_count", "base_href", last.alias("last_target"))
+
+
 @query
 def link_counts(spark, sf):
     return P.extract_pages(fx.pages(spark, sf)).select("page_id", "links_count")
@@ -294,6 +307,30 @@ def link_status_strict(spark, sf):
     return _status(spark, sf, "strict")
 
 
+@query
+def invalid_targets(spark, sf):
+    """Broken links of targets one in seven of which is no URL, and one in five leads on to the next page."""
+    pages = fx.table(spark, sf, "pages").select("page_id", "url")
+    n = F.col("page_id")
+    target = F.when(n % 7 == 3, F.concat(F.lit("http://[bad/"), n.cast("string"))).otherwise(F.col("url"))
+    known = V.outcomes(fx.responses(spark, sf))
+    edges = U.canonicalize(pages.withColumn("target_url", target), "target_url").select(
+        "page_id", F.col("url").alias("source_url"), "target_url", "canonical", F.sha2("canonical", 256).alias("url_hash"),
+        F.lit("external").alias("category"), F.lit(None).cast("string").alias("anchor_text"))
+    checked = V.check_against(edges, lookup_table(known))
+    return checked.filter("not is_valid").select("page_id", F.coalesce("canonical", "target_url").alias("broken_url"), "error_type")
+
+
+@query
+def redirected_checks(spark, sf):
+    """Every fifth page leads on to the one before it; what counts is the response at the end."""
+    pages = fx.table(spark, sf, "pages").select("page_id", "url")
+    before = pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("location"))
+    redirects = pages.filter("page_id % 5 = 4").join(before, "page_id").select("url", "location")
+    log = V.followed(fx.responses(spark, sf).select("url", "head_status", "get_status", "net_error"), redirects)
+    return V.classify(log).select("url", "status_code", "is_valid", "error_type", "error_message")
+
+
 @query
 def net_error_types(spark, sf):
     rows = fx.responses(spark, sf).filter("net_error is not null")
@@ -494,7 +531,7 @@ def delete_jobs_dead_letters(spark, sf):
 # --- search ------------------------------------------------------------------------------------
 
 def _page_docs(spark, sf):
-    rows = P.extract_pages(fx.pages(spark, sf))
+    rows = P.extract_pages(fx.pages(spark, sf), max_content=None)  # the whole text is searched
     return rows.select(
         F.col("page_id").alias("doc_id"), fx.host().alias("job_id"), "url", "title", "content",
         F.lit(0).alias("depth"), F.lit(200).alias("status_code"), fx.crawled_at().alias("crawled_at"))

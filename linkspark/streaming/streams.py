@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import urls as U
 from linkspark.operators import check as C
 from linkspark.operators.metrics import rate
+from linkspark.session import lookup_table
 from linkspark.sources import sinks
 from linkspark.sources.tables import parse_link_jobs
 
@@ -45,32 +46,43 @@ def counters_stream(pages: DataFrame) -> DataFrame:
         F.count("*").alias("total_pages_crawled"), F.sum("links_count").alias("total_links_found"))
 
 
-def check_batch(messages: DataFrame, responses: DataFrame, policy: str = "lenient") -> DataFrame:
-    """Broken links of a batch of link-check messages (``value``, ``ts``)."""
+def check_batch(messages: DataFrame, known: DataFrame) -> DataFrame:
+    """Checked targets of a batch of link-check messages (``value``, ``ts``) against stored outcomes.
+
+    Nothing is lost: a target that is no URL is broken with INVALID_URL, one that isn't in the log has a
+    null ``is_valid``.
+    """
     good, _ = parse_link_jobs(messages)
     targets = good.withColumn("canonical", F.expr(f"{U.canonical('target_url')}.canonical"))
     edges = targets.select("*", F.sha2("canonical", 256).alias("url_hash"),
                            F.lit("external").alias("category"),
                            F.lit(None).cast("string").alias("anchor_text"))
-    checked = C.check_links(edges, responses, policy)
+    return C.check_against(edges, known)
+
+
+def broken_in(checked: DataFrame) -> DataFrame:
     return C.broken_links(checked, F.col("job_id"), F.col("depth"), F.current_timestamp())
 
 
 def check_stream(messages: DataFrame, responses: DataFrame, out: str, checkpoint: str,
                  policy: str = "lenient"):
-    """Start checking a message stream; broken links go to ``out/links``, bad messages to ``out/rejected``.
+    """Start checking a message stream: broken links go to ``out/links``, targets that the log doesn't know to
+    ``out/unseen``, bad messages to ``out/rejected``.
 
-    Each batch overwrites its own folder and skips links reported by earlier batches, so a batch
-    that runs twice changes nothing.
+    The log is classified once, before the stream starts. Each batch overwrites its own folder and skips links
+    reported by earlier batches, so a batch that runs twice changes nothing.
     """
     spark = messages.sparkSession
+    known = lookup_table(C.outcomes(responses, policy))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            found = check_batch(batch, responses, policy)
-            sinks.append_batch(sinks.new_broken_links(found, _earlier(spark, f"{out}/links", batch_id)),
+            checked = check_batch(batch, known)
+            sinks.append_batch(sinks.new_broken_links(broken_in(checked), _earlier(spark, f"{out}/links", batch_id)),
                                f"{out}/links", batch_id)
+            unseen = C.unseen_targets(checked).select("job_id", "source_url", "depth", "target_url")
+            sinks.append_batch(unseen, f"{out}/unseen", batch_id)
             sinks.append_batch(parse_link_jobs(batch)[1], f"{out}/rejected", batch_id)
         finally:
             batch.unpersist()

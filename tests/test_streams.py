@@ -99,10 +99,12 @@ def test_link_check_stream(spark, tmp_path):
                                       "url string, head_status int, get_status int, net_error string")
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     X.check_stream(feed.stream(), responses, out, checkpoint).awaitTermination(120)
-    feed.add([("j", message), ("j", message.replace("b/2", "b/3"))])
+    feed.add([("j", message), ("j", message.replace("b/2", "b/3")), ("j", message.replace("http://b/1", "http://[b/").replace("b/2", "unseen"))])
     X.check_stream(feed.stream(), responses, out, checkpoint).awaitTermination(120)
     links = spark.read.parquet(out + "/links").collect()
-    assert sorted((r.broken_url, r.error_type) for r in links) == [("http://b/1", "HTTP_ERROR"), ("http://b/3", "TIMEOUT")]
+    assert sorted((r.broken_url, r.error_type) for r in links) == [
+        ("http://[b/", "INVALID_URL"), ("http://b/1", "HTTP_ERROR"), ("http://b/3", "TIMEOUT")]
+    assert [r.target_url for r in spark.read.parquet(out + "/unseen").collect()] == ["http://unseen"]
     assert spark.read.parquet(out + "/rejected").count() == 1
 
 
