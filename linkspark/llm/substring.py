@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import wordhash as W
+from linkspark.llm.rows import riding, unpacked
 from linkspark.session import shuffle_partitions
 
 WINDOW = 35
@@ -149,9 +150,11 @@ def _estimated(sketch, cells: int, keys: np.ndarray) -> np.ndarray:
 # --- second pass -------------------------------------------------------------------------------------
 
 _PROBE, _KNOWN, _RUN = 0, 1, 2  # a window to be grouped; one known to repeat; a stretch of known windows
-_OCCURRENCES = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()),
-                          ("print", pa.int32()), ("pos", pa.int32()), ("n", pa.int32())])
-_FOUND = pa.schema([("id", pa.int64()), ("print", pa.int32()), ("pos", pa.int32()), ("n", pa.int32())])
+# x holds the second fingerprint (of a stretch: its number of windows) in the upper half, then two bits of
+# kind and 30 bits of place, so that a row is four numbers
+_OCCURRENCES = pa.schema([("h1", pa.int64()), ("x", pa.int64()), ("id", pa.int64()), ("print", pa.int32())])
+_FOUND = pa.schema([("id", pa.int64()), ("print", pa.int32()), ("span", pa.int64())])  # span: place and number of windows
+_HALF, _PLACE = np.int64(32), np.int64((1 << 30) - 1)
 
 
 def _runs(text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +169,7 @@ def _occurrences(sketch, cells: int, size: int):
         keys, row, place = (np.concatenate([h[i] for h in held]) for i in range(3))
         ids = pa.concat_arrays([h[3] for h in held])
         prints = np.concatenate([h[4] for h in held])
-        second = (W.mixed(keys ^ _SECOND) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        second = (W.mixed(keys ^ _SECOND) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         sorted_keys = keys[order]
         same = sorted_keys[1:] == sorted_keys[:-1]
@@ -179,11 +182,11 @@ def _occurrences(sketch, cells: int, size: int):
         first, length = _runs(row[known], place[known]) if len(known) else (known, known)
         start = known[first]
         pick = np.concatenate([once, lead, start])
-        kind = np.repeat(np.array([_PROBE, _KNOWN, _RUN], np.int32), [len(once), len(lead), len(start)])
+        kind = np.repeat(np.array([_PROBE, _KNOWN, _RUN], np.int64), [len(once), len(lead), len(start)])
+        upper = np.concatenate([second[once], second[lead], length])
         yield pa.RecordBatch.from_arrays([
-            pa.array(keys[pick].view(np.int64)), pa.array(second[pick]), pa.array(kind), ids.take(pa.array(row[pick])),
-            pa.array(prints[row[pick]]), pa.array(place[pick].astype(np.int32)),
-            pa.array(np.concatenate([np.ones(len(once) + len(lead)), length]).astype(np.int32))], schema=_OCCURRENCES)
+            pa.array(keys[pick].view(np.int64)), pa.array(upper << _HALF | kind << np.int64(30) | place[pick]),
+            ids.take(pa.array(row[pick])), pa.array(prints[row[pick]])], schema=_OCCURRENCES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, n = [], 0, 0
@@ -208,33 +211,35 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences sorted by window: a probe repeats if the row before or after it is of the same window."""
     carry, carry_same = None, False
 
-    def rows(table: pa.RecordBatch, which: np.ndarray) -> pa.RecordBatch:
-        own = table.select(["id", "print", "pos", "n"]).take(pa.array(np.flatnonzero(which)))
-        return pa.RecordBatch.from_arrays(own.columns, schema=_FOUND)
+    def rows(batch: pa.RecordBatch, which: np.ndarray, n) -> pa.RecordBatch:
+        at = np.flatnonzero(which)
+        x = batch.column(1).to_numpy()[at]
+        span = (x & _PLACE) << _HALF | (x >> _HALF if n is None else n)
+        return pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(at)), batch.column(3).take(pa.array(at)), pa.array(span)], schema=_FOUND)
 
     for batch in batches:
-        kind = batch.column(2).to_numpy()
+        kind = batch.column(1).to_numpy() >> np.int64(30) & np.int64(3)
         if (kind == _RUN).any():
-            yield rows(batch, kind == _RUN)
+            yield rows(batch, kind == _RUN, None)
             batch = batch.filter(pa.array(kind != _RUN))
         if carry is not None:
             batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0] if len(batch) else carry
         if not len(batch):
             continue
-        h1, h2, kind = (batch.column(i).to_numpy() for i in range(3))
-        same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        h1, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        same = (h1[1:] == h1[:-1]) & (x[1:] >> _HALF == x[:-1] >> _HALF)
         before = np.concatenate([[carry_same], same])
-        again = before | np.concatenate([same, [False]])
-        ready = (kind == _PROBE) & again
+        ready = (x >> np.int64(30) & np.int64(3) == _PROBE) & (before | np.concatenate([same, [False]]))
         ready[-1] = False
-        yield rows(batch, ready)
+        yield rows(batch, ready, 1)
         carry, carry_same = batch.slice(len(batch) - 1), bool(before[-1])
-    if carry is not None and carry_same and carry.column(2)[0].as_py() == _PROBE:
-        yield rows(carry, np.array([True]))
+    if carry is not None and carry_same and carry.column(1)[0].as_py() >> 30 & 3 == _PROBE:
+        yield rows(carry, np.array([True]), 1)
 
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _print, spans): for each document the (first window, windows) stretches that start elsewhere too."""
+    """(_id, _print, spans): for each document the stretches of windows that start elsewhere too, each as the
+    place of the first in the upper half of a number and how many there are in the lower."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(text, F.lit("")).alias("text"), F.col(key).cast("bigint").alias("id"), F.hash(text).alias("print"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -242,10 +247,10 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     segments = [tuple(r) for r in _repeating_cells(rows, "text", cells, size).collect()]  # at most ROWS * 2**29 bits
     sketch = spark.sparkContext.broadcast((uuid.uuid4().hex, segments))
     seen = rows.mapInArrow(_occurrences(sketch, cells, size), _ddl(_OCCURRENCES))
-    laid = seen.repartition(shuffle_partitions(docs), "h1").sortWithinPartitions("h1", "h2")
+    laid = seen.repartition(shuffle_partitions(docs), "h1").sortWithinPartitions("h1", "x")
     found = laid.mapInArrow(_exact, _ddl(_FOUND))
     return found.groupBy(F.col("id").alias("_id"), F.col("print").alias("_print")).agg(
-        F.collect_set(F.struct("pos", "n")).alias("spans"))
+        F.collect_set("span").alias("spans"))
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -260,31 +265,31 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     empty texts have no words, texts of fewer than ``size`` words no window. Rows that repeat an id and its
     text are copies of each other. Columns of these names are replaced.
     """
-    kept = docs.drop("n_words", "n_removed", "kept")
-    spans = repeated_spans(kept, size, key, text)
-    rows = kept.withColumn("_hash", F.hash(text))
-    joined = rows.join(spans, F.col(key).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_print")), "left")
-    joined = joined.drop("_id", "_print", "_hash")
-    at, names = kept.columns.index(text), kept.columns
+    names, rest = riding(docs, text, replaced=("n_words", "n_removed", "kept"))
+    spans = repeated_spans(docs, size, key, text)
+    rows = docs.select(rest, F.col(text).alias("_body"), F.col(key).cast("bigint").alias("_key"), F.hash(text).alias("_hash"))
+    joined = rows.join(spans, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_print")), "left")
+    joined = joined.select("_row", "_body", "spans")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, left = [], [], []
-            for body, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+            for body, spans in zip(batch.column(1).to_pylist(), batch.column(2)):
                 own = (body or "").encode().split()
                 n_words.append(len(own))
-                if spans:
+                if spans.is_valid:
+                    span = spans.values.to_numpy()
                     edge = np.zeros(len(own) + 1, np.int64)
-                    pos = np.array([s["pos"] for s in spans])
-                    np.add.at(edge, pos, 1)
-                    np.add.at(edge, pos + np.array([s["n"] for s in spans]) + size - 1, -1)
+                    np.add.at(edge, span >> _HALF, 1)
+                    np.add.at(edge, (span >> _HALF) + (span & np.int64((1 << 32) - 1)) + size - 1, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     own = [own[i] for i in np.flatnonzero(~gone).tolist()]
                 n_removed.append(n_words[-1] - len(own))
                 left.append(b" ".join(own).decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array(n_words, pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()),
                                               pa.array(n_removed, pa.int64()), pa.array(left, pa.string())],
-                                             [*names, "n_words", "n_removed", "kept"])
+                                             ["_row", "_body", "n_words", "n_removed", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return joined.mapInArrow(cut_out, f"{fields}, n_words bigint, n_removed bigint, kept string")
+    done = joined.mapInArrow(cut_out, f"_row {joined.schema['_row'].dataType.simpleString()}, _body string, "
+                             "n_words bigint, n_removed bigint, kept string")
+    return done.select(*unpacked(names, **{text: "_body"}), "n_words", "n_removed", "kept")
