@@ -82,7 +82,9 @@ def age_text(ts: Column, at: Column) -> Column:
 
 
 def page_of(rows: DataFrame, newest: str, tie: str, skip: int, limit: int) -> DataFrame:
-    """Newest first, ``limit`` rows after ``skip``, with the ``total`` before paging.
+    """Newest first, ``limit`` rows after ``skip``, with the ``total`` before paging and how many are ``returned``.
+
+    A deep ``skip`` makes the top-n as deep; :func:`page_after` goes on from the last row seen instead.
 
     The total is a scalar subquery, so the rows themselves only go through a top-n.
     """
@@ -90,7 +92,18 @@ def page_of(rows: DataFrame, newest: str, tie: str, skip: int, limit: int) -> Da
         raise ValueError(f"limit must be 1..{MAX_LIMIT} and skip not negative")
     total = rows.agg(F.count("*").alias("total")).scalar()
     return (rows.orderBy(F.desc(newest), F.asc(tie)).offset(skip).limit(limit)
-            .withColumn("total", total))
+            .withColumn("total", total)
+            .withColumn("returned", F.greatest(F.least(F.lit(limit).cast("bigint"), F.col("total") - skip), F.lit(0).cast("bigint"))))
+
+
+def page_after(rows: DataFrame, newest: str, tie: str, last: tuple | None, limit: int) -> DataFrame:
+    """The next ``limit`` rows after the row with ``last = (newest, tie)``: a filter and a top-n, however deep."""
+    if not 1 <= limit <= MAX_LIMIT:
+        raise ValueError(f"limit must be 1..{MAX_LIMIT}")
+    if last is not None:
+        at, key = F.lit(last[0]), F.lit(last[1])
+        rows = rows.filter((F.col(newest) < at) | ((F.col(newest) == at) & (F.col(tie) > key)))
+    return rows.orderBy(F.desc(newest), F.asc(tie)).limit(limit)
 
 
 def list_jobs(jobs: DataFrame, at: Column, status: str | None = None, user_id: str | None = None,
@@ -144,9 +157,14 @@ def link_totals(edges: DataFrame) -> DataFrame:
         F.count_if(known).alias("checked_targets"))
 
 
-def job_summary(jobs: DataFrame, pages: DataFrame, broken: DataFrame, at: Column) -> DataFrame:
-    """Per job: statistics, timestamps, error, elapsed time and progress."""
-    counters = job_counters(pages, broken)
+def job_summary(jobs: DataFrame, pages: DataFrame, broken: DataFrame, at: Column, edges: DataFrame | None = None) -> DataFrame:
+    """Per job: statistics, timestamps, error, elapsed time and progress.
+
+    With ``edges`` the statistics also tell links kept, external links and distinct targets checked.
+    """
+    counters, extra = job_counters(pages, broken), ["links_kept", "external_links", "checked_targets"] if edges is not None else []
+    if edges is not None:
+        counters = counters.join(link_totals(edges), "job_id", "full")
     end = F.coalesce(F.col("completed_at"), at.cast("timestamp"))
     elapsed = F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(F.col("started_at").cast("timestamp"))
     minutes = F.floor(elapsed / 60)
@@ -157,7 +175,7 @@ def job_summary(jobs: DataFrame, pages: DataFrame, broken: DataFrame, at: Column
         "job_id", "url", "status",
         F.struct(crawled.alias("pages_crawled"), F.coalesce("total_links_found", zero).alias("links_found"),
                  F.coalesce("total_broken_links", zero).alias("broken_links"),
-                 "max_depth", "max_pages").alias("statistics"),
+                 *[F.coalesce(c, zero).alias(c) for c in extra], "max_depth", "max_pages").alias("statistics"),
         F.struct("created_at", "started_at", "completed_at").alias("timestamps"),
         F.col("error_message").alias("error"),
         F.col("_elapsed").alias("elapsed_seconds"),

@@ -21,14 +21,40 @@ def seconds(interval: str) -> int:
 
 
 def rate(events: DataFrame, window: str = "1 minute", slide: str | None = None,
-         by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    """Events per second in sliding windows, also per value of ``by``."""
+         by: Sequence[str] = (), ts: str = "ts", quiet: bool = False) -> DataFrame:
+    """Events per second in sliding windows, also per value of ``by``.
+
+    ``quiet`` adds the windows without events between the first and the last one of each group, at rate 0.
+    """
+    if quiet:
+        return _quiet(rate(events, window, slide, by, ts), seconds(slide or window), list(by))
     counted = events.groupBy(F.window(ts, window, slide or window).alias("_w"), *by).agg(
         F.count("*").alias("events"))
     return counted.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
                           *by, "events", (F.col("events") / seconds(window)).alias("per_second"))
 
 
+def _quiet(rates: DataFrame, slide: int, by: list[str]) -> DataFrame:
+    span = rates.groupBy(*by).agg(F.min("window_start").alias("_a"), F.max("window_start").alias("_b"),
+                                  F.first(F.col("window_end") - F.col("window_start")).alias("_w"))
+    starts = span.filter("_a is not null").select(
+        *by, F.explode(F.sequence("_a", "_b", F.make_interval(secs=F.lit(slide)))).alias("window_start"), "_w")
+    rows = starts.join(rates.drop("window_end"), ["window_start", *by], "left")
+    return rows.select("window_start", (F.col("window_start") + F.col("_w")).alias("window_end"), *by,
+                       F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("per_second", F.lit(0.0)).alias("per_second"))
+
+
+def percentiles(events: DataFrame, col: str, shares: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
+    """Exact and approximate percentiles, a row per share: ``share, exact, approximate``.
+
+    The exact ones hold every distinct value of a group; at large scale read the approximate ones, whose
+    rank is off by ``1 / accuracy`` of the rows at most.
+    """
+    asked = F.array(*[F.lit(float(q)) for q in shares])
+    grouped = events.groupBy(*by).agg(F.percentile(col, asked).alias("exact"), F.percentile_approx(col, asked, accuracy).alias("approximate"))
+    return grouped.select(*by, F.inline(F.arrays_zip(asked.alias("share"), "exact", "approximate")))
+
+
 def failure_rate(events: DataFrame, window: str = "5 minutes", slide: str | None = None,
                  status: str = "status", ts: str = "ts") -> DataFrame:
     """Failures per second, and their share of all task events, per window."""

@@ -19,10 +19,13 @@ def robots_groups(robots: DataFrame) -> DataFrame:
     """(host, grp, agents, is_default, rules, crawl_delay) per agent group of each robots text.
 
     Only texts fetched with status 200 count (a missing ``status`` column means they all were).
-    The windows run over the lines of a single text, so a group is never larger than one file.
+    A host has one text: the one fetched last (``fetched_at``, if there is such a column), of equals the
+    greatest. The windows run over the lines of a single text, so a group is never larger than one file.
     """
     if "status" in robots.columns:
         robots = robots.filter("status = 200")
+    fetched = F.struct(*(["fetched_at"] if "fetched_at" in robots.columns else []), "body")
+    robots = robots.groupBy("host").agg(F.max(fetched)["body"].alias("body"))
     lines = robots.select("host", F.posexplode(F.split("body", _LINE_END)).alias("line", "raw"))
     text = F.expr(U.strip("regexp_replace(raw, '#.*$', '')"))
     key = F.lower(F.expr(U.strip("regexp_extract(text, '^([^:]*):', 1)")))

@@ -476,7 +476,7 @@ FROM states LEFT JOIN last USING (job_id) WHERE status = 'IN_PROGRESS'
 ORACLES["list_jobs"] = """WITH j AS (SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CAST(o_custkey AS VARCHAR) AS user_id,
   'IN_PROGRESS' AS status, CAST(o_orderdate AS TIMESTAMP) AS created_at, count(*) OVER () AS total,
   CAST(floor(epoch(TIMESTAMP '1998-08-03 07:00:00')) - epoch(o_orderdate) AS BIGINT) AS s FROM orders WHERE o_orderstatus = 'O')
-SELECT job_id, user_id, status, created_at, total,
+SELECT job_id, user_id, status, created_at, total, greatest(least(50, total - 10), 0) AS returned,
   CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago'
        ELSE s // 86400 || 'd ago' END AS age FROM j ORDER BY created_at DESC, job_id LIMIT 50 OFFSET 10"""
 _COUNTERS = f"""{_BROKEN}, {_JOB_PAGES},
@@ -495,15 +495,18 @@ j AS (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(first * 60) AS created_at,
 e AS (SELECT *, CAST(floor(epoch(coalesce(completed_at, TIMESTAMP '2024-01-20 12:00:00'))) - floor(epoch(created_at)) AS BIGINT) AS s FROM j)
 SELECT job_id, url, CASE first % 3 WHEN 0 THEN 'IN_PROGRESS' WHEN 1 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
   coalesce(total_pages_crawled, 0) AS pages_crawled, coalesce(total_links_found, 0) AS links_found,
-  coalesce(total_broken_links, 0) AS broken_links, 3 AS max_depth, 5 AS max_pages,
+  coalesce(total_broken_links, 0) AS broken_links, coalesce(links_kept, 0) AS links_kept,
+  coalesce(external_links, 0) AS external_links, coalesce(checked_targets, 0) AS checked_targets, 3 AS max_depth, 5 AS max_pages,
   created_at, created_at AS started_at, completed_at, CASE WHEN first % 3 = 2 THEN 'seed failed' END AS error,
   s AS elapsed_seconds, CASE WHEN s < 60 THEN s || 's' ELSE s // 60 || 'm ' || s % 60 || 's' END AS elapsed,
-  round(least(100.0::DOUBLE, coalesce(total_pages_crawled, 0) / 5 * 100), 6) AS progress FROM e LEFT JOIN counters USING (job_id)"""
+  round(least(100.0::DOUBLE, coalesce(total_pages_crawled, 0) / 5 * 100), 6) AS progress FROM e LEFT JOIN counters USING (job_id)
+LEFT JOIN (SELECT host AS job_id, count(*) AS links_kept, count(*) FILTER (category = 'external') AS external_links,
+  count(DISTINCT canonical) FILTER (category = 'external') AS checked_targets FROM edges GROUP BY 1) USING (job_id)"""
 ORACLES["broken_links_page"] = f"""WITH {_BROKEN}
-SELECT *, count(*) OVER () AS total FROM broken WHERE job_id = {_ONE_JOB}
+SELECT *, count(*) OVER () AS total, greatest(least(5, count(*) OVER () - 1), 0) AS returned FROM broken WHERE job_id = {_ONE_JOB}
 ORDER BY discovered_at DESC, broken_url LIMIT 5 OFFSET 1"""
 ORACLES["pages_by_job"] = f"""WITH {_EDGES}, {_JOB_PAGES}
-SELECT job_id, url, status_code, links_count, crawled_at, count(*) OVER () AS total FROM job_pages
+SELECT job_id, url, status_code, links_count, crawled_at, count(*) OVER () AS total, greatest(least(10, count(*) OVER () - 1), 0) AS returned FROM job_pages
 WHERE job_id = {_ONE_JOB} ORDER BY crawled_at DESC, url LIMIT 10 OFFSET 1"""
 ORACLES["visited_lookup"] = f"""WITH {_EDGES}
 SELECT page_id, pos, host AS job_id, href AS url,
@@ -647,3 +650,17 @@ ORACLES["job_activity"] = """WITH g AS (SELECT CAST(user_id AS VARCHAR) AS job_i
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
 SELECT job_id, min(ts) AS started_at, max(ts) + INTERVAL 6 HOUR AS completed_at, count(*) AS pages
 FROM s GROUP BY job_id, nth"""
+ORACLES["quiet_rate"] = """WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS w, event_type FROM events WHERE value > 40),
+s AS (SELECT event_type, unnest(generate_series(min(w), max(w), INTERVAL 1 HOUR)) AS window_start FROM e GROUP BY 1),
+c AS (SELECT w AS window_start, event_type, count(*) AS n FROM e GROUP BY ALL)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, coalesce(n, 0) AS events, round(coalesce(n, 0) / 3600, 9) AS per_second
+FROM s LEFT JOIN c USING (window_start, event_type)"""
+ORACLES["value_percentiles"] = """SELECT event_type, share, round(CASE share WHEN 0.5 THEN a WHEN 0.95 THEN b ELSE c END, 6) AS exact
+FROM (SELECT event_type, quantile_cont(value, 0.5) AS a, quantile_cont(value, 0.95) AS b, quantile_cont(value, 0.99) AS c FROM events GROUP BY 1),
+  (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) q(share)"""
+# windows and sessions leave a stream once its watermark, the newest time less an hour, has passed their end
+_WATERMARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+ORACLES["stream_dedupe"] = "SELECT DISTINCT event_type AS job_id, sha256('https://shop.example/u/' || user_id) AS url_hash FROM events"
+ORACLES["stream_rate"] = f"""SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type,
+  count(*) AS events FROM events GROUP BY ALL) WHERE window_start + INTERVAL 6 HOUR <= {_WATERMARK}"""
+ORACLES["stream_completions"] = f"SELECT * FROM ({ORACLES['job_activity']}) WHERE completed_at <= {_WATERMARK}"

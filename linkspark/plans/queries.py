@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,9 @@ from linkspark.operators import robots as B
 from linkspark.operators import search as S
 from linkspark.operators import urls as U
 from linkspark.plans import fixtures as fx
-from linkspark.session import cut, lookup_table
+from linkspark.session import cut, lookup_table, scratch_dir
 from linkspark.sources import sinks, tables
-from linkspark.streaming.streams import job_sessions
+from linkspark.streaming.streams import completions_stream, dedupe_stream, job_sessions, rate_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -491,7 +492,7 @@ def job_link_totals(spark, sf):
 @query
 def job_summary(spark, sf):
     rows = J.job_summary(_host_jobs(spark, sf), _job_pages(spark, sf).select("job_id", "links_count", "error"),
-                         broken_links(spark, sf), F.lit(AT).cast("timestamp"))
+                         broken_links(spark, sf), F.lit(AT).cast("timestamp"), _edges(spark, sf).withColumn("job_id", fx.host("source_url")))
     return rows.select("job_id", "url", "status", "statistics.*", "timestamps.*", "error",
                        "elapsed_seconds", "elapsed", F.round("progress", 6).alias("progress"))
 
@@ -626,6 +627,18 @@ def error_rate_by_type(spark, sf):
     return rows.withColumn("per_second", F.round("per_second", 9))
 
 
+@query
+def quiet_rate(spark, sf):
+    rows = M.rate(_events(spark, sf).filter("value > 40"), "1 hour", by=["event_type"], quiet=True)
+    return rows.withColumn("per_second", F.round("per_second", 9))
+
+
+@query
+def value_percentiles(spark, sf):
+    rows = M.percentiles(_events(spark, sf), "value", (0.5, 0.95, 0.99), ["event_type"])
+    return rows.select("event_type", "share", F.round("exact", 6).alias("exact"))
+
+
 @query
 def failure_rate(spark, sf):
     rows = M.failure_rate(_events(spark, sf), "6 hours")
@@ -683,3 +696,39 @@ def job_activity(spark, sf):
     rows = fx.table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("crawled_at"))
     return job_sessions(rows, "6 hours")
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+def _event_stream(spark, sf):
+    """The events as a file stream, with zoned times. Only of a pattern may a stream source find a single file."""
+    kind = fx.table(spark, sf, "events").schema
+    return spark.readStream.schema(kind).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _drained(spark, stream):
+    """All that a stream emits for the files there are, read back."""
+    folder = f"{scratch_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    run = (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+           .trigger(availableNow=True).start())
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_dedupe(spark, sf):
+    urls = _event_stream(spark, sf).select(
+        F.col("event_type").alias("job_id"), F.concat(F.lit("https://Shop.example/u/"), F.col("user_id").cast("string"), F.lit("/#top")).alias("url"), "ts")
+    return _drained(spark, dedupe_stream(urls)).select("job_id", "url_hash")
+
+
+@query
+def stream_rate(spark, sf):
+    rows = _drained(spark, rate_stream(_event_stream(spark, sf), "6 hours", "6 hours", ("event_type",), "1 hour"))
+    return rows.select("window_start", "event_type", "events")
+
+
+@query
+def stream_completions(spark, sf):
+    pages = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").alias("crawled_at"))
+    return _drained(spark, completions_stream(pages, "6 hours", "1 hour"))

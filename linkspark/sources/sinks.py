@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.session import cut
+
 PAGE_KEY = ("job_id", "url_hash")
 
 
@@ -27,9 +29,45 @@ def page_doc_id() -> Column:
 
 
 def upsert_pages(new: DataFrame, existing: DataFrame, order: str = "crawled_at") -> DataFrame:
-    """Last write per page key wins; at the same time the new row wins over the stored one."""
-    both = new.withColumn("_new", F.lit(1)).unionByName(existing.withColumn("_new", F.lit(0)))
-    return latest_pages(both, order, "_new").select(*new.columns)
+    """Last write per page key wins; at the same time the new row wins over the stored one.
+
+    Winners are decided on keys, times and row numbers; page bodies go through no aggregate. Of new rows of one
+    key and time any one wins. ``new`` is stored once, so that its row numbers hold.
+    """
+    rows = cut(new.withColumn("_row", F.monotonically_increasing_id()))
+    best = rows.groupBy(*PAGE_KEY).agg(F.max(F.struct(order, "_row")).alias("_best"))
+    stored = existing.groupBy(*PAGE_KEY).agg(F.max(order).alias("_old"))
+    winners = cut(best.join(stored, list(PAGE_KEY), "left").filter(F.col("_old").isNull() | (F.col(f"_best.{order}") >= F.col("_old")))
+                  .select(*PAGE_KEY, F.col("_best._row").alias("_row")))
+    written = rows.join(winners.select("_row"), "_row", "left_semi").drop("_row")
+    kept = existing.join(winners.select(*PAGE_KEY), list(PAGE_KEY), "left_anti")
+    return written.unionByName(kept).select(*new.columns)
+
+
+def merge_pages(new: DataFrame, path: str, order: str = "crawled_at") -> None:
+    """Upsert into a stored page table that is partitioned by the first two digits of ``url_hash``.
+
+    Only partitions that ``new`` touches are read and rewritten; the first call creates the table.
+    """
+    spark, part = new.sparkSession, F.substring("url_hash", 1, 2).alias("part")
+    touched = [r[0] for r in new.select(part).distinct().collect()]  # 256 at most
+    merged = new
+    if _exists(spark, path):
+        stored = spark.read.option("basePath", path).schema(_with_part(new)).parquet(path).filter(F.col("part").isin(touched))
+        merged = upsert_pages(new, stored.select(*new.columns), order)
+    else:
+        merged = upsert_pages(new, new.filter("false"), order)
+    (cut(merged).select("*", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("part").parquet(path))
+
+
+def _with_part(df: DataFrame):
+    return df.withColumn("part", F.lit("")).schema
+
+
+def _exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def latest_pages(log: DataFrame, order: str = "crawled_at", tie: str = "batch_id") -> DataFrame:

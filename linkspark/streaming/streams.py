@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from linkspark.functions import urls as U
 from linkspark.operators import check as C
-from linkspark.operators.metrics import rate
+from linkspark.operators.metrics import rate, seconds
+from linkspark.operators.skew import Agg, running
 from linkspark.session import lookup_table
 from linkspark.sources import sinks
 from linkspark.sources.tables import parse_link_jobs
@@ -24,17 +25,31 @@ def dedupe_stream(urls: DataFrame, memory: str = "1 hour") -> DataFrame:
 
 def completions_stream(pages: DataFrame, idle: str = "30 seconds", late: str = "30 seconds") -> DataFrame:
     """A row per job when it has stored no page for ``idle``."""
-    return job_sessions(pages.withWatermark("crawled_at", late), idle)
-
-
-def job_sessions(pages: DataFrame, idle: str = "30 seconds") -> DataFrame:
-    """Batch form of :func:`completions_stream`: stretches of activity per job."""
-    grouped = pages.groupBy("job_id", F.session_window("crawled_at", idle).alias("_s")).agg(
+    grouped = pages.withWatermark("crawled_at", late).groupBy("job_id", F.session_window("crawled_at", idle).alias("_s")).agg(
         F.count("*").alias("pages"))
     return grouped.select("job_id", F.col("_s.start").alias("started_at"),
                           F.col("_s.end").alias("completed_at"), "pages")
 
 
+def job_sessions(pages: DataFrame, idle: str = "30 seconds") -> DataFrame:
+    """Batch form of :func:`completions_stream`: stretches of activity per job.
+
+    A page that comes more than ``idle`` after the one before it opens a stretch; the stretches are numbered
+    by running sums that split a job over many tasks, and counted before the shuffle.
+    """
+    at = F.unix_micros(F.col("crawled_at").cast("timestamp"))
+    rows = pages.filter("crawled_at is not null").select(
+        "job_id", "crawled_at", at.alias("_t"), F.monotonically_increasing_id().alias("_row"))
+    order = ["_t", "_row"]
+    rows = running(rows, ["job_id"], order, [Agg("_before", "last", F.col("_t"), exclusive=True)])
+    gap = seconds(idle) * 1_000_000
+    fresh = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > gap)
+    rows = running(rows.withColumn("_fresh", fresh.cast("int")), ["job_id"], order, [Agg("_nth", "sum", F.col("_fresh"))])
+    return rows.groupBy("job_id", "_nth").agg(
+        F.min("crawled_at").alias("started_at"), (F.max("crawled_at") + F.make_interval(secs=F.lit(seconds(idle)))).alias("completed_at"),
+        F.count("*").alias("pages")).drop("_nth")
+
+
 def rate_stream(events: DataFrame, window: str = "1 minute", slide: str = "15 seconds",
                 by: tuple[str, ...] = (), late: str = "1 minute") -> DataFrame:
     return rate(events.withWatermark("ts", late), window, slide, by)
