@@ -28,10 +28,18 @@ def rate(events: DataFrame, window: str = "1 minute", slide: str | None = None,
     """
     if quiet:
         return _quiet(rate(events, window, slide, by, ts), seconds(slide or window), list(by))
-    counted = events.groupBy(F.window(ts, window, slide or window).alias("_w"), *by).agg(
-        F.count("*").alias("events"))
-    return counted.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),
-                          *by, "events", (F.col("events") / seconds(window)).alias("per_second"))
+    wide, step = seconds(window), seconds(slide or window)
+    if events.isStreaming or wide % step:
+        counted = events.groupBy(F.window(ts, window, slide or window).alias("_w"), *by).agg(F.count("*").alias("events"))
+        counted = counted.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, "events")
+    else:  # count each slide once, then add neighbours: the events are not multiplied
+        slides = events.groupBy(F.window(ts, slide or window)["start"].alias("_s"), *by).agg(F.count("*").alias("_n"))
+        back = F.transform(F.sequence(F.lit(0), F.lit(wide // step - 1)), lambda i: F.make_interval(secs=i * step))
+        starts = slides.select(F.col("_s"), "_n", *by, F.explode(back).alias("_back"))
+        start = F.col("_s") - F.col("_back")
+        counted = starts.groupBy(start.alias("window_start"), *by).agg(F.sum("_n").alias("events")).select(
+            "window_start", (F.col("window_start") + F.make_interval(secs=F.lit(wide))).alias("window_end"), *by, "events")
+    return counted.select("window_start", "window_end", *by, "events", (F.col("events") / wide).alias("per_second"))
 
 
 def _quiet(rates: DataFrame, slide: int, by: list[str]) -> DataFrame:
