@@ -2,35 +2,12 @@
 
 from __future__ import annotations
 
-# Job, task and link-error vocabularies.
-JOB_STATUSES = ("PENDING", "IN_PROGRESS", "COMPLETED", "FAILED", "CANCELLED")
+# The job states that end a job.
 TERMINAL_JOB_STATUSES = ("COMPLETED", "FAILED", "CANCELLED")
-TASK_STATUSES = ("PENDING", "STARTED", "RETRY", "SUCCESS", "FAILURE")
-LINK_ERRORS = ("HTTP_ERROR", "TIMEOUT", "DNS_ERROR", "CONNECTION_ERROR", "SSL_ERROR", "INVALID_URL")
 
 PAGE_SNAPSHOT = "url string, html string, status_code int, content_type string, error string"
-RESPONSES = "url string, head_status int, get_status int, net_error string"
 ROBOTS = "host string, status int, body string"
 LINK_JOB = "job_id string, source_url string, target_urls array<string>, depth int"
-JOB_EVENTS = "job_id string, ts timestamp, status string, error_message string"
-ATTEMPTS = ("task_id string, job_id string, task_name string, ts timestamp, outcome string, "
-            "exception_class string, exception_message string")
-
-CRAWL_JOBS = (
-    "job_id string, url string, status string, max_depth int, max_pages int, "
-    "respect_robots_txt boolean, user_id string, created_at timestamp, started_at timestamp, "
-    "completed_at timestamp, total_pages_crawled bigint, total_links_found bigint, "
-    "total_broken_links bigint, error_message string")
-CRAWLED_PAGES = (
-    "job_id string, url string, normalized_url string, url_hash string, title string, "
-    "content string, depth int, status_code int, content_type string, links_count int, "
-    "crawled_at timestamp")
 BROKEN_LINKS = (
     "job_id string, source_url string, broken_url string, anchor_text string, status_code int, "
     "error_type string, error_message string, depth int, discovered_at timestamp")
-RETRY_HISTORY = (
-    "task_id string, retry_number int, exception_class string, exception_message string, "
-    "backoff_seconds int, retried_at timestamp")
-DEAD_LETTERS = (
-    "job_id string, task_id string, task_name string, exception_class string, "
-    "exception_message string, total_retries int, acknowledged boolean, final_failure_at timestamp")

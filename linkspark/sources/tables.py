@@ -10,7 +10,10 @@ from linkspark.schemas import LINK_JOB
 
 
 def read_pages(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Page snapshot from Parquet. ``error`` says why a row has no html."""
+    """Page snapshot from Parquet. ``error`` says why a row has no html.
+
+    With ``schema`` (as ``schemas.PAGE_SNAPSHOT``) the files are not asked for theirs.
+    """
     reader = spark.read.schema(schema) if schema else spark.read
     pages = reader.parquet(path)
     missing = F.col("html").isNull()
@@ -18,9 +21,9 @@ def read_pages(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return pages.withColumn("error", F.when(missing, F.coalesce(known, F.lit(NO_RESPONSE))).otherwise(known))
 
 
-def read_robots(spark: SparkSession, path: str) -> DataFrame:
+def read_robots(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Robots texts; only a text fetched with status 200 has rules, everything else allows all."""
-    robots = spark.read.parquet(path)
+    robots = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return robots.filter("status = 200") if "status" in robots.columns else robots
 
 

@@ -64,3 +64,20 @@ def test_rule_table(spark):
     rows = R.robots_rules(robots).orderBy("seq").collect()
     assert [(r.grp, r.agents, r.allow, r.path, r.crawl_delay) for r in rows] == [
         (1, ["linkspark"], False, "/a", 3), (2, ["*"], False, "/", None)]
+
+
+def test_robots_source_and_one_text_per_host(spark, tmp_path):
+    from linkspark.schemas import ROBOTS
+    from linkspark.sources.tables import read_robots
+    path = str(tmp_path / "robots")
+    rows = [("a.no", 200, "User-agent: *\nDisallow: /x"), ("b.no", 404, "User-agent: *\nDisallow: /"), ("c.no", 200, None)]
+    spark.createDataFrame(rows, ROBOTS).write.parquet(path)
+    robots = read_robots(spark, path, ROBOTS)
+    assert sorted(r.host for r in robots.collect()) == ["a.no", "c.no"]
+    urls = spark.createDataFrame([(u,) for u in ("http://a.no/x", "http://a.no/y", "http://b.no/x", "http://c.no/x")], "url string")
+    out = {r.url: r.allowed for r in R.robots_allowed(urls, R.robots_groups(robots)).collect()}
+    assert out == {"http://a.no/x": False, "http://a.no/y": True, "http://b.no/x": True, "http://c.no/x": True}
+    two = spark.createDataFrame([("a.no", "User-agent: *\nDisallow: /old", 1), ("a.no", "User-agent: *\nAllow: /old/new\nDisallow: /old", 2)],
+                                "host string, body string, fetched_at int")
+    assert [(r.seq, r.allow, r.path) for r in R.robots_rules(two).orderBy("seq").collect()] == [
+        (1, True, "/old/new"), (2, False, "/old")]
