@@ -10,9 +10,10 @@ about 10**-6, so:
 - skip: the long lists left out are not merged; they are probed, by comparing the signatures of those that met.
 
 What is asked for is who hangs together, so within a list not all pairs are formed. First everyone is compared
-with the list's most central member, then, if still apart, with another one; the lists whose members are still
-in different components are gone through in full across components, so no link that joins two is lost.
-Every link is confirmed on the full shingle sets. Components come from alternating stars, in written rounds.
+with the list's most central member, then, if still apart, with another one. Lists whose members are still in
+different components are gone through in full across components, block by block, so no link that joins two is
+lost; there a longer signature of those few documents weeds out pairs that are surely not similar enough, and
+only what is left over is ever written. Every link is confirmed on the full shingle sets. Components come from alternating stars, in written rounds.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import wordhash as W
-from linkspark.session import cut
+from linkspark.session import cut, shuffle_partitions
 
 SHINGLE, PERCENT = 5, 75
 K, MATCHES = 64, 31
+LONG, LONG_MATCHES = 512, 338  # one byte each; at a similarity of 0.75 fewer agree with odds of about 10**-6
+BLOCK = 1_024  # members of a list that one task compares with each other or with another such block
 _RNG = np.random.default_rng(3)
 _FLIP = _RNG.integers(1, 1 << 64, K, np.uint64)
 _TURN = _RNG.integers(1, 1 << 64, K, np.uint64) | np.uint64(1)
+_LONG_FLIP = _RNG.integers(1, 1 << 64, LONG, np.uint64)
+_LONG_TURN = _RNG.integers(1, 1 << 64, LONG, np.uint64) | np.uint64(1)
 _SALT = np.uint64(0x94D049BB133111EB)
 
 
@@ -49,6 +54,19 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The long signature of each text, a byte of every smallest value."""
+    for batch in batches:
+        for a, b, data, offsets in W.chunks(batch.column(1), 1 << 18):
+            _, _, prints, counts = W.words(data, offsets, lower=True)
+            sets = [shingles(prints[x:y]) for x, y in zip(counts.tolist(), counts[1:].tolist())]
+            flat, starts = np.concatenate(sets), np.cumsum([0, *[len(s) for s in sets[:-1]]])
+            out = np.empty((len(sets), LONG), np.uint8)
+            for k in range(LONG):
+                out[:, k] = np.minimum.reduceat((flat ^ _LONG_FLIP[k]) * _LONG_TURN[k], starts) >> np.uint64(20) & np.uint64(255)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([x.tobytes() for x in out], pa.binary())], ["cid", "long"])
+
+
 def _class_id(own: np.ndarray) -> int:
     """One number for a shingle set: 64 bits, the same for equal sets."""
     return int(W.mixed(np.array([W.mixed(own ^ _SALT).sum(dtype=np.uint64) + np.uint64(len(own))]))[0].astype(np.int64))
@@ -73,6 +91,60 @@ def _matching(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
+def _compare(key: int, side: np.ndarray, cid: np.ndarray, comp: np.ndarray, mask: np.ndarray, sign: np.ndarray, long: np.ndarray):
+    """Pairs across components within one block, or between two, that may be similar; each pair in one list only,
+    the first by coordinate that both are listed in."""
+    at = key >> 32
+    listed = (mask[:, None] >> np.arange(K)) & 1 > 0
+    one, other = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max()))
+    for a in range(0, len(one), 128):
+        for b in range(0, len(other), 128):
+            left, right = one[a:a + 128], other[b:b + 128]
+            apart = comp[left][:, None] != comp[right][None]
+            if side.min() == side.max():
+                apart &= left[:, None] < right[None]
+            if not apart.any():
+                continue
+            same = sign[left][:, None] == sign[right][None]
+            x, y = np.nonzero(apart & (same.sum(axis=2) >= MATCHES))
+            close = (long[left[x]] == long[right[y]]).sum(axis=1) >= LONG_MATCHES
+            x, y = x[close], y[close]
+            common = same[x, y] & listed[left[x]] & listed[right[y]]
+            first = common.argmax(axis=1) == at
+            p, q = cid[left[x[first]]], cid[right[y[first]]]
+            yield np.minimum(p, q), np.maximum(p, q)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, low, high): the groups one after another, the last of a batch with the next batch."""
+    carry: list[pa.RecordBatch] = []
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, low, high, side, cid, comp, mask = (table.column(i).to_numpy() for i in range(7))
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]])
+        edges = np.flatnonzero(fresh)
+        sign = np.frombuffer(b"".join(table.column(7).to_pylist()), "<u4").reshape(-1, K)
+        long = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint8).reshape(-1, LONG)
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            for p, q in _compare(int(key[a]), side[a:b], cid[a:b], comp[a:b], mask[a:b], sign[a:b], long[a:b]):
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        whole = pa.Table.from_batches([*carry, batch])
+        last = [whole.column(i)[-1].as_py() for i in range(3)]
+        ends = np.ones(len(whole), bool)
+        for i in range(3):
+            ends &= whole.column(i).to_numpy() == last[i]
+        done = int(np.argmax(ends))
+        yield from pairs(whole.slice(0, done)) if done else ()
+        carry = whole.slice(done).combine_chunks().to_batches()
+    if carry:
+        yield from pairs(pa.Table.from_batches(carry))
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, text of a, text of b) whose full shingle sets are similar enough."""
     last: dict[str, tuple] = {}
@@ -156,17 +228,29 @@ def _links(classes: DataFrame, texts) -> DataFrame:
         found = links if found is None else found.unionByName(links)
         comp = components(found)
 
-    # lists that still hold several components: every pair across two of them
+    # lists that still hold several components: every pair across two of them, one block against another
     here = _with_components(lists, comp)
-    mixed = cut(here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"))
-    rest = cut(here.join(mixed, "key", "left_semi").join(signs, "cid"))
-    left, right = (rest.select("key", F.col("cid").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("sign").alias(f"s{c}")) for c in "ab")
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp"))
-                       & (_matching("sa", "sb") >= MATCHES))
-    last = _confirmed(across.select("a", "b").distinct(), some)
+    mixed = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+    mixed = cut(mixed.filter("low < high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rest = cut(here.join(mixed, "key").select("key", "cid", "comp", "blocks"))
+    left = rest.select("cid").distinct()
+    coordinates = F.aggregate("own", F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", x["key"], F.lit(32)).cast("int"))))
+    profile = cut(some.join(left, "cid", "left_semi").mapInArrow(_profiles, "cid bigint, long binary").join(
+        prefix.select("cid", coordinates.alias("mask")), "cid").join(signs.select("cid", _packed("sign").alias("sign")), "cid"))
+    placed = rest.withColumn("side", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = placed.join(profile, "cid").select("key", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"),
+                                              "side", "cid", "comp", "mask", "sign", "long")
+    laid = rows.repartition(shuffle_partitions(rows), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    last = _confirmed(cut(laid.mapInArrow(_across, "a bigint, b bigint")), some)
     return found.unionByName(last)
 
 
+def _packed(sign: str) -> Column:
+    """Values below 2**32 as their bytes, little-endian."""
+    return F.unhex(F.array_join(F.transform(sign, lambda v: F.concat(*[F.lpad(F.hex(F.call_function("shiftright", v, F.lit(8 * i)) % 256), 2, "0") for i in range(4)])), ""))
+
+
 def _with_components(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return lists.withColumn("comp", F.col("cid"))
