@@ -30,7 +30,7 @@ from linkspark.session import cut, shuffle_partitions
 
 SHINGLE, PERCENT = 5, 75
 K, MATCHES = 64, 31
-LONG, LONG_MATCHES = 512, 338  # one byte each; at a similarity of 0.75 fewer agree with odds of about 10**-6
+LONG, LONG_MATCHES = 1024, 703  # one byte each; at a similarity of 0.75 fewer agree with odds of about 10**-6
 BLOCK = 1_024  # members of a list that one task compares with each other or with another such block
 _RNG = np.random.default_rng(3)
 _FLIP = _RNG.integers(1, 1 << 64, K, np.uint64)
