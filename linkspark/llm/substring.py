@@ -3,7 +3,8 @@
 First pass: every task sketches its windows, a window raising one cell in each of ROWS rows of cells; the
 partial sketches (sorted cells, difference-coded) are merged by segments of cells. The smallest of a window's
 counts is never below its true count, so a window whose cells don't all reach two is surely unique.
-Second pass: only windows estimated to repeat are grouped exactly, by 96 bits of two fingerprints. What a task
+Second pass: only windows estimated to repeat are grouped, by 96 bits of two fingerprints (64 and 32) that are
+worked out from the words independently of each other; 32 bits more than the sketch has seen. What a task
 knows to repeat from its own rows leaves it as runs, with one row for the window, so a passage found
 everywhere costs a row per task. The sketch grows with the input up to MOST_CELLS; beyond that more windows
 reach the second pass, and the result is the same.
@@ -29,7 +30,6 @@ LEAST_CELLS, MOST_CELLS = 20, 29  # as powers of two, in a row; two rows of 2**2
 SEGMENT = 20  # cells of a segment, as a power of two
 FLUSH = 4_000_000
 _ROW_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-_SECOND = np.uint64(0xBF58476D1CE4E5B9)
 _held: dict = {}  # the sketch that this worker process has unpacked last
 
 
@@ -43,13 +43,17 @@ def _cells(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 
 def _chunk_windows(data, offsets, size):
-    """(window fingerprints, their text's index, their first word's place in the text) of a chunk of texts."""
-    _, _, prints, counts = W.words(data, offsets)
+    """(window fingerprints, their text's index, their first word's place in the text, a function that returns
+    the second fingerprints of some of them) of a chunk of texts."""
+    starts, ends, prints, counts = W.words(data, offsets)
     keys = W.windows(prints, size)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(counts))
     place = np.arange(len(prints)) - counts[text]
     whole = text[:len(keys)] == text[size - 1:] if len(keys) else np.zeros(0, bool)
-    return keys[whole], text[:len(keys)][whole], place[:len(keys)][whole]
+
+    def second(hit: np.ndarray) -> np.ndarray:
+        return W.window_checks(W.checks(data, starts, ends), size)[whole][hit]
+    return keys[whole], text[:len(keys)][whole], place[:len(keys)][whole], second
 
 
 # --- first pass --------------------------------------------------------------------------------------
@@ -89,7 +93,7 @@ def _sketch(cells: int, size: int):
         keys, held = [], 0
         for batch in batches:
             for _, _, data, offsets in W.chunks(batch.column(0)):
-                own, _, _ = _chunk_windows(data, offsets, size)
+                own, *_ = _chunk_windows(data, offsets, size)
                 if len(own):
                     keys.append(own)
                     held += len(own)
@@ -169,10 +173,9 @@ def _occurrences(sketch, cells: int, size: int):
         keys, row, place = (np.concatenate([h[i] for h in held]) for i in range(3))
         ids = pa.concat_arrays([h[3] for h in held])
         prints = np.concatenate([h[4] for h in held])
-        second = (W.mixed(keys ^ _SECOND) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        same = sorted_keys[1:] == sorted_keys[:-1]
+        second = np.concatenate([h[5] for h in held]).astype(np.int64)
+        order = np.lexsort((second, keys))
+        same = (keys[order][1:] == keys[order][:-1]) & (second[order][1:] == second[order][:-1])
         twice = np.zeros(len(keys), bool)
         twice[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         lead = order[np.concatenate([[True], ~same])]
@@ -192,12 +195,12 @@ def _occurrences(sketch, cells: int, size: int):
         held, rows, n = [], 0, 0
         for batch in batches:
             for a, b, data, offsets in W.chunks(batch.column(0)):
-                keys, text, place = _chunk_windows(data, offsets, size)
+                keys, text, place, second = _chunk_windows(data, offsets, size)
                 hit = _estimated(sketch, cells, keys)
                 if not hit.any():
                     continue
                 held.append((keys[hit], text[hit] + rows, place[hit], batch.column(1)[a:b],
-                             batch.column(2)[a:b].to_numpy(zero_copy_only=False).astype(np.int32)))
+                             batch.column(2)[a:b].to_numpy(zero_copy_only=False).astype(np.int32), second(hit)))
                 rows, n = rows + b - a, n + int(hit.sum())
                 if n >= FLUSH // 4:
                     yield from emit(held)

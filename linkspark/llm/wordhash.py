@@ -15,6 +15,9 @@ _WHITE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _tables: dict[int, np.ndarray] = {}
+_PRIME = (1 << 32) - 5
+_R, _S = 0x6C8E9CF5, 0xB5297A4D
+_residues: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -31,6 +34,17 @@ def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
+def residues(base: int, n: int) -> np.ndarray:
+    """base**i modulo _PRIME for i below n at least."""
+    held = _residues.get(base)
+    if held is None or len(held) < n:
+        held, size = np.ones(1, np.uint64), max(n, 1 << 16) * 5 // 4
+        while len(held) < size:
+            held = np.concatenate([held, held * np.uint64(pow(base, len(held), _PRIME)) % np.uint64(_PRIME)])
+        _residues[base] = held
+    return held
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over the whole word."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -97,3 +111,27 @@ def windows(fingerprints: np.ndarray, size: int) -> np.ndarray:
     total = np.zeros(len(fingerprints) + 1, np.uint64)
     np.cumsum(fingerprints * powers(_Q, len(fingerprints))[:len(fingerprints)], out=total[1:])
     return mixed((total[size:] - total[:-size]) * powers(inverse(_Q), n)[:n])
+
+
+def checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Second fingerprints (32 bits) of the words that begin and end there, worked out from their bytes alone.
+
+    Polynomials over the integers modulo a prime: what makes two fingerprints of ``words`` equal says nothing here.
+    """
+    n = len(data)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    prime, values = np.uint64(_PRIME), np.zeros(n + 1, np.uint64)
+    values[:n] = (data.astype(np.uint64) + np.uint64(1)) * residues(_R, n)[:n] % prime
+    sums = np.add.reduceat(values, np.stack([starts, ends], axis=1).ravel())[::2] % prime
+    return sums * residues(pow(_R, -1, _PRIME), n)[starts] % prime
+
+
+def window_checks(checks: np.ndarray, size: int) -> np.ndarray:
+    """Second fingerprints (32 bits) of the windows of ``windows``, from those of their words."""
+    n = len(checks) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    prime, total = np.uint64(_PRIME), np.zeros(len(checks) + 1, np.uint64)
+    np.cumsum(checks * residues(_S, len(checks))[:len(checks)] % prime, out=total[1:])
+    return (total[size:] - total[:-size]) % prime * residues(pow(_S, -1, _PRIME), n)[:n] % prime

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,26 @@ def test_a_full_sketch_loses_nothing(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == _repeats(rows, 2)
 
 
+@pytest.mark.parametrize("tasks", [1, 6])
+def test_windows_with_equal_first_fingerprints_stay_apart(monkeypatch, tasks):
+    """All windows share their first fingerprint; in one task or several, the second still tells them apart."""
+    monkeypatch.setattr(substring.W, "windows", lambda prints, size: np.zeros(max(0, len(prints) - size + 1), np.uint64))
+    monkeypatch.setattr(substring, "_estimated", lambda sketch, cells, keys: np.ones(len(keys), bool))
+    rnd, words = random.Random(4), vocabulary(500)
+    passage = [rnd.choice(words) for _ in range(12)]
+    texts = [[rnd.choice(words) for _ in range(30)] for _ in range(6)]
+    for i in (1, 4):
+        texts[i][3 * i:3 * i] = passage
+    seen = Counter(tuple(t[i:i + 5]) for t in texts for i in range(len(t) - 4))
+    want = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 4) if seen[tuple(t[i:i + 5])] > 1}
+    rows = [pa.RecordBatch.from_arrays([pa.array([" ".join(t) for t in texts[a::tasks]]), pa.array(range(a, 6, tasks), pa.int64()),
+                                        pa.array([0] * len(texts[a::tasks]), pa.int32())], ["text", "id", "print"]) for a in range(tasks)]
+    passed = pa.Table.from_batches([b for batch in rows for b in substring._occurrences(None, 20, 5)(iter([batch]))])
+    laid = passed.sort_by([("h1", "ascending"), ("x", "ascending")]).combine_chunks().to_batches()
+    got = pa.Table.from_batches(list(substring._exact(iter(laid))), substring._FOUND).to_pylist()
+    assert len(want) >= 16 and {(r["id"], (r["span"] >> 32) + i) for r in got for i in range(r["span"] & 0xFFFFFFFF)} == want
+
+
 # --- decontamination -----------------------------------------------------------------------------------------
 
 def _norm(text):
