@@ -66,12 +66,14 @@ def _lower() -> np.ndarray:
 _LOWER = _lower()
 
 
-def _features(data: np.ndarray) -> list[np.ndarray]:
-    """For n = 1, 2, 3 the feature of the n bytes that end at each byte."""
+def _features(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """For n = 1, 2, 3 the feature of the n bytes that end at each byte; before each text's start lie spaces."""
     b = _LOWER[data].astype(np.uint32)
     out, code = [b], b
     for n in (1, 2):
         earlier = np.concatenate([np.full(n, 32, np.uint32), b[:-n]]) if len(b) > n else np.full(len(b), 32, np.uint32)
+        for k in range(n):  # the k-th byte of a text, or one of a text that follows as closely
+            earlier[starts[starts + k < len(b)] + k] = 32
         code = code | earlier << np.uint32(8 * n)
         out.append((code * _MIX[n]) >> np.uint32(32 - 14))
     return out
@@ -105,7 +107,7 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang") -> Model:
             for a, b in _chunks(data, offsets):
                 part = data[offsets[a]:offsets[b]]
                 which = np.repeat(labels[a:b], np.diff(offsets[a:b + 1]))
-                for n, feature in enumerate(_features(part)):
+                for n, feature in enumerate(_features(part, offsets[a:b] - offsets[a])):
                     cells = which * BUCKETS + feature
                     found = np.bincount(cells, minlength=len(languages) * BUCKETS).reshape(len(languages), BUCKETS)
                     totals[:, n * BUCKETS:(n + 1) * BUCKETS] += found
@@ -175,7 +177,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 if not len(full):
                     continue
                 sums = 0
-                for n, feature in enumerate(_features(part)):
+                for n, feature in enumerate(_features(part, starts)):
                     sums = sums + np.add.reduceat(model.odds[n * BUCKETS + feature], starts[full], axis=0)
                 margins[a + full] = sums / (len(NGRAMS) * np.diff(offsets[a:b + 1])[full, None])
             told = np.array([x is not None and bool(letter.search(x)) for x in texts.to_pylist()], bool)

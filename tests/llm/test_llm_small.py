@@ -137,6 +137,22 @@ def test_language_of_hard_rows(spark):
     assert langid.predict(docs(spark, HARD).limit(0), model).count() == 0
 
 
+def test_a_text_is_judged_alike_alone_and_in_a_batch(spark):
+    learn = [(1, "the cat and the dog sat there", "en"), (2, "le chat et le chien sont là", "fr"), (3, "o", "en"), (4, "à", "fr")]
+    short = [(i, t, None) for i, t in enumerate(["le", "t", "", "h", None, "et", "o", "the", "x", "é", "at", "sont là", "a", "a"])]
+    told = []
+    for most in ("10000", "1"):  # all texts of a table in one batch, and every text in a batch of its own
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            model = langid.train(docs(spark, learn, 1))
+            rows = langid.predict(docs(spark, short, 1), model).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        told.append((model, {r.doc_id: (r.lang_pred, round(r.score, 6), r.ambiguous) for r in rows}))
+    assert (told[0][0].odds == told[1][0].odds).all() and told[0][1] == told[1][1]
+    assert told[0][1][12] == told[0][1][13]
+
+
 def test_a_near_tie_is_flagged():
     counts = np.zeros((2, 3 * langid.BUCKETS))
     counts[0, 100], counts[1, 101] = 50, 50
