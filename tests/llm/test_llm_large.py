@@ -324,6 +324,20 @@ def test_recall(spark):
     assert all(r.score == pytest.approx(vectors[r.query_id] @ vectors[r.vec_id], abs=1e-12) for r in got)
 
 
+@pytest.mark.parametrize("kind", ["few dimensions", "groups", "unlike norms"])
+def test_recall_on_vectors_with_structure(spark, kind):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 6))
+    if kind == "groups":
+        x += 3 * rng.normal(size=(30, 6))[rng.integers(0, 30, 2000)]
+    x = x @ rng.normal(size=(6, 64))
+    x = x * np.exp(rng.normal(size=(2000, 1)) * 0.5) if kind == "unlike norms" else x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = _nearest(rows, 20)
+    got = vptree.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    assert len(got) == 20 * len(want) and sum(r.vec_id in want[r.query_id][0] for r in got) >= 0.999 * len(got)
+
+
 # --- packing -------------------------------------------------------------------------------------------------
 
 def _check_packing(rows, capacity):
