@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkspark.llm import arc, decontam, hmm, langid, minhash, packing, sharding, substring, tokenfile, vptree
+from linkspark.llm import arc, decontam, hmm, langid, minhash, packing, sharding, substring, tokenfile, urlfilter, vptree
 from linkspark.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,16 @@ def op10_arc_to_warc(spark, sf):
     return arc.pages_through_archives(pages).drop("record_id")
 
 
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+@query
+def op11_url_filter(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return urlfilter.judge_urls(pages, urlfilter.rules_of(spark, URL_RULES)).drop("url")
+
+
 @query
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
