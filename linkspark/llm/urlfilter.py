@@ -73,9 +73,14 @@ class UrlList:
         self.words = GROUP
         while self.words < min(most_words, 2 * n * BITS // 64):  # a rule sets two keys: its host, and itself
             self.words *= 2
+        # written, so that what every use of it repeats in a plan is a scan of one row
+        self.filter = cut(self._built())
 
-    def _bits(self) -> Column:
-        """The filter: an array of arrays of ``GROUP`` words."""
+    def _built(self) -> DataFrame:
+        """One row: ``bits``, the filter as an array of arrays of ``GROUP`` words, and ``lengths`` of listed paths.
+
+        There are no more lengths than characters in the longest path.
+        """
         code = F.explode(F.array(_host_code(F.col("host")), _rule_code(F.col("host"), F.col("path"))))
         codes = self.rules.select(code.alias("code")).distinct()
         lanes = F.array(*[F.struct(at.alias("word"), bit.alias("bit")) for at, bit in _lanes(F.col("code"), self.words)])
@@ -84,11 +89,8 @@ class UrlList:
         groups = every.groupBy(F.floor(F.col("word") / GROUP).alias("group")).agg(
             F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("w"))
         whole = groups.agg(F.sort_array(F.collect_list(F.struct("group", F.col("w.bits").alias("bits")))).alias("g"))
-        return whole.select(F.col("g.bits")).scalar()
-
-    def _lengths(self) -> Column:
-        """The lengths of listed paths: no more of them than characters in the longest."""
-        return self.rules.agg(F.sort_array(F.collect_set(F.length("path")))).scalar()
+        lengths = self.rules.agg(F.sort_array(F.collect_set(F.length("path")))).scalar()
+        return whole.select(F.col("g.bits").alias("bits"), lengths.alias("lengths"))
 
     def _listed(self, code: Column) -> Column:
         """Whether the filter holds a key with this hash."""
@@ -111,7 +113,8 @@ class UrlList:
 
     def possible(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``_host`` and ``_path``) plus ``_keys``: the listed rules that the filter holds possible."""
-        rows = rows.withColumn("_bits", self._bits()).withColumn("_lengths", self._lengths())
+        rows = rows.withColumn("_bits", self.filter.select("bits").scalar()).withColumn(
+            "_lengths", self.filter.select("lengths").scalar())
         rows = rows.withColumn("_hosts", F.filter(self._suffixes(), lambda h: self._listed(_host_code(h))))
         keys = F.flatten(F.transform("_hosts", lambda h: F.transform(
             F.filter("_lengths", lambda n: n <= F.length("_path")),
