@@ -214,7 +214,10 @@ def draws(key: str | Column, seed: str = SEED) -> list[Column]:
 
 
 def store(rows: DataFrame, text: str, frame: int = FRAME) -> DataFrame:
-    """``rows`` with ``text`` (null: empty) as ``frames`` and their cumulative units ``ends``, written."""
+    """``rows`` with ``text`` (null: empty) as ``frames`` and their cumulative units ``ends``.
+
+    To be written where several jobs read it; one that cuts each text once takes the frames as they come.
+    """
     def work(batch):
         writer = Frames(frame)
         data, offsets = W.buffers(batch.column(text))
@@ -224,7 +227,7 @@ def store(rows: DataFrame, text: str, frame: int = FRAME) -> DataFrame:
                 writer.flush()
             own = writer.done()
             yield own, sum(map(len, own[0]))
-    return cut(_mapped(rows, [c for c in rows.columns if c != text], _STORED, work))
+    return _mapped(rows, [c for c in rows.columns if c != text], _STORED, work)
 
 
 def outputs(stored: DataFrame, frame: int = FRAME) -> DataFrame:
