@@ -77,3 +77,24 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
     ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES["op12_collocations"] = """WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM d)),
+g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, size FROM f WHERE size > 1),
+k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:size], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = head JOIN f y ON y.lang = k.lang AND y.phrase = tail),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM s),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[j:j + m - 1], ' ') AS phrase
+  FROM (SELECT lang, a, w, m, unnest(range(1, size - m + 2)) AS j FROM c JOIN (VALUES (2), (3)) z(m) ON m < size)) GROUP BY lang, phrase),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+  FROM b JOIN n ON n.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE pick = 1 AND (longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80))
+SELECT * FROM o WHERE rank <= 2000"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkspark.llm import arc, decontam, fim, hmm, langid, minhash, packing, sharding, substring, tokenfile, urlfilter, vptree
+from linkspark.llm import arc, colloc, decontam, fim, hmm, langid, minhash, packing, sharding, substring, tokenfile, urlfilter, vptree
 from linkspark.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,11 @@ def op11_url_filter(spark, sf):
     return urlfilter.judge_urls(pages, urlfilter.rules_of(spark, URL_RULES)).drop("url")
 
 
+@query
+def op12_collocations(spark, sf):
+    return colloc.collocations(table(spark, sf, "documents").select("text", "lang"))
+
+
 @query
 def op13_fill_in_middle(spark, sf):
     return fim.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
