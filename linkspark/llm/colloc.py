@@ -28,7 +28,8 @@ from linkspark.session import cut
 
 LEAST, LONGEST, TOP, UNKNOWN = 30, 4, 2000, "und"
 MOST = 2_000_000  # phrases of one trie
-FLUSH = 1 << 22  # keys a task holds before it packs them
+CHUNK = 1 << 19  # bytes of text that are looked at together
+FLUSH = 1 << 20  # keys a task holds before it packs them
 SEGMENT = 1 << 22  # words of all texts for each segment of cells
 LEAST_BITS, MOST_BITS = 20, 28  # of a level's filter, as powers of two
 BLOCK = 16  # states whose counts are added up together, as a power of two
@@ -50,14 +51,14 @@ def _zstd():
 
 def _sections(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of texts, those longer than a chunk cut between pieces, and which text each section is of."""
-    longer = np.flatnonzero(np.diff(offsets) > W.CHUNK_BYTES)
+    longer = np.flatnonzero(np.diff(offsets) > CHUNK)
     if not len(longer):
         return offsets, np.arange(len(offsets) - 1)
     more = []
     for t in longer.tolist():
         at, end = int(offsets[t]), int(offsets[t + 1])
-        while end - at > W.CHUNK_BYTES:
-            look, step = at, W.CHUNK_BYTES
+        while end - at > CHUNK:
+            look, step = at, CHUNK
             found = np.flatnonzero(_BREAK[data[at:at + step]])[-1:]
             while not len(found) and look + step < end:  # a piece is never cut
                 look += step
@@ -100,7 +101,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[st
         offsets, text = _sections(data, offsets)
         first = 0
         while first < len(text):
-            last = int(np.searchsorted(offsets, offsets[first] + W.CHUNK_BYTES, "right")) - 1
+            last = int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1
             last = min(len(text), max(first + 1, last))
             part = data[offsets[first]:offsets[last]]
             if len(part):
@@ -308,12 +309,15 @@ def _laid_out(table: pa.Table) -> pa.Table:
     trie, states = build(table.column("lang").combine_chunks(), table.column("phrase").combine_chunks())
     n, groups = table.num_rows, trie.groups
     slice_ = table.column("slice")[0].as_py()
+
+    def followed(column: str, more: list[str]) -> pa.Array:
+        own = table.column(column).combine_chunks()
+        return pa.concat_arrays([own, pa.array(more, own.type)])
     return pa.table({
         "slice": pa.array([slice_] * (n + len(groups)), pa.int32()),
         "trie": pa.array([trie.to_bytes(), *[None] * (n + len(groups) - 1)], pa.binary()),
         "state": pa.array(np.concatenate([states, np.arange(len(groups))]), pa.int64()),
-        "lang": pa.array([*table.column("lang").to_pylist(), *groups], pa.string()),
-        "phrase": pa.array([*table.column("phrase").to_pylist(), *[""] * len(groups)], pa.string())})
+        "lang": followed("lang", groups), "phrase": followed("phrase", [""] * len(groups))})
 
 
 def tries(phrases: DataFrame, most: int = MOST) -> DataFrame:

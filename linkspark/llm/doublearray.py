@@ -14,6 +14,7 @@ import pyarrow as pa
 
 from linkspark.llm import wordhash as W
 
+CHUNK = 1 << 19  # bytes of phrases that are looked at together
 ROUNDS = 40  # tries at random places before the table grows
 
 
@@ -110,13 +111,18 @@ def build(groups: pa.Array, phrases: pa.Array) -> tuple[Trie, np.ndarray]:
 
     A phrase without words has the state of its group.
     """
-    names = sorted(set(groups.to_pylist()))
+    told = groups.dictionary_encode()
+    names = sorted(told.dictionary.to_pylist())
     number = {g: i for i, g in enumerate(names)}
-    at = np.array([number[g] for g in groups.to_pylist()], np.int64)
-    data, offsets = W.buffers(phrases)
-    _, _, prints, counts = W.words(data[offsets[0]:offsets[-1]], offsets - offsets[0])
-    alphabet, codes = np.unique(prints, return_inverse=True)
-    width, sizes = max(len(alphabet), 1), np.diff(counts)
+    at = np.array([number[g] for g in told.dictionary.to_pylist()], np.int64)[told.indices.to_numpy()] if len(told) else np.zeros(0, np.int64)
+    prints, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, _, data, offsets in W.chunks(phrases, CHUNK):
+        _, _, own, counts = W.words(data, offsets)
+        prints.append(own)
+        sizes.append(np.diff(counts))
+    alphabet, codes = np.unique(np.concatenate(prints), return_inverse=True)
+    width, sizes = max(len(alphabet), 1), np.concatenate(sizes)
+    counts = np.concatenate([[0], np.cumsum(sizes)])
     levels, nodes, depth = [], len(names), 0
     while (longer := np.flatnonzero(sizes > depth)).size:
         pairs, which = np.unique(at[longer] * width + codes[counts[:-1][longer] + depth], return_inverse=True)

@@ -110,7 +110,7 @@ def test_no_candidates(spark):
 
 
 def test_long_texts_are_cut_between_pieces(monkeypatch):
-    monkeypatch.setattr(W, "CHUNK_BYTES", 16)
+    monkeypatch.setattr(colloc, "CHUNK", 16)
     texts = ["short.", "a b c d e f g h i j k l m n o p q r s t u v. then, more: of it! and so on? yes", "", "no mark " * 9, "é,中文。" * 9]
     data, offsets = W.buffers(pa.array(texts))
     cuts, of = colloc._sections(data, offsets)
