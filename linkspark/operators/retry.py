@@ -7,10 +7,10 @@ it, and whatever the task does next starts a new one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.operators.skew import Agg, running
+from linkspark.operators.skew import Agg, Step, scan
 
 MAX_RETRIES, BACKOFF_BASE, BACKOFF_MAX, JITTER = 5, 60, 600, 0.1
 
@@ -61,9 +61,7 @@ def retry_decisions(attempts: DataFrame, max_retries: int = MAX_RETRIES, base: i
             .withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
             .withColumn("_fatal", (F.col("outcome") == "FAILURE") & never))
     by = ["_t", seq]
-    rows = running(rows, ["task_id"], by, [Agg("_n", "count")])
-    ends = F.when((F.col("outcome") == "SUCCESS") | F.col("_fatal"), F.col("_n"))
-    rows = running(rows, ["task_id"], by, [Agg("_end", "max", ends, exclusive=True)])
+    rows = scan(rows, ["task_id"], by, [Agg("_n", "count").step(by), _last_end()])
     place = F.col("_n") - F.coalesce("_end", F.lit(0)) - 1
     retry_number = F.pmod(place, F.lit(max_retries + 1)).cast("int")
     decision = (F.when(F.col("outcome") == "SUCCESS", "done")
@@ -75,6 +73,15 @@ def retry_decisions(attempts: DataFrame, max_retries: int = MAX_RETRIES, base: i
             .select(*attempts.columns, "retry_number", "decision", "backoff_seconds"))
 
 
+def _last_end() -> Step:
+    """The place of the last attempt before this one that ended an execution; a range counts from its own start."""
+    ends = F.when((F.col("outcome") == "SUCCESS") | F.col("_fatal"), F.col("_l__n"))
+    before = F.coalesce("_c__n", F.lit(0))
+    return Step("_end", lambda w: F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.max(ends),
+                lambda w: F.max(F.col("_t__end") + before).over(w),
+                F.coalesce(F.col("_l__end") + before, F.col("_c__end")))
+
+
 def retry_history(decisions: DataFrame, ts: str = "ts") -> DataFrame:
     """One row per failed attempt that was tried again."""
     return decisions.filter("decision = 'retry'").select(

@@ -586,6 +586,7 @@ SELECT field, doc_id, CAST(length AS INTEGER) AS length FROM lengths"""
 ORACLES["fuzzy_terms"] = f"""WITH {_PAGE_INDEX}, {_QUESTIONS}, {_EXPANDED}
 SELECT field, qterm, term, CAST(edits AS INTEGER) AS edits, round(weight, 6) AS weight, df FROM expanded"""
 ORACLES["search_bm25"] = _search_sql("", 20)
+ORACLES["search_saved"] = ORACLES["search_bm25"]
 ORACLES["search_job"] = _search_sql(f"WHERE job_id = {_ONE_JOB}", 5)
 ORACLES["search_many"] = f"""WITH words AS (SELECT 'content' AS field, doc_id, unnest({_tokens('text')}) AS term FROM documents),
 lengths AS (SELECT field, doc_id, count(*) AS length FROM words GROUP BY ALL),

@@ -590,6 +590,14 @@ def search_bm25(spark, sf):
     return S.search(index, docs, SEARCH, highlights=False)
 
 
+@query
+def search_saved(spark, sf):
+    index, docs = _page_index(spark, sf)
+    path = f"{scratch_dir(spark).rstrip('/')}/index/{uuid.uuid4().hex}"
+    index.save(path)
+    return S.search(S.Index.load(spark, path, analyzer="standard"), docs, SEARCH, highlights=False)
+
+
 @query
 def search_job(spark, sf):
     index, docs = _page_index(spark, sf)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import urls as U
 from linkspark.operators import check as C
 from linkspark.operators.metrics import rate, seconds
-from linkspark.operators.skew import Agg, running
+from linkspark.operators.skew import Agg, Step, scan
 from linkspark.session import lookup_table
 from linkspark.sources import sinks
 from linkspark.sources.tables import parse_link_jobs
@@ -31,20 +31,29 @@ def completions_stream(pages: DataFrame, idle: str = "30 seconds", late: str = "
                           F.col("_s.end").alias("completed_at"), "pages")
 
 
+def _stretch(gap: int) -> Step:
+    """The number of the stretch. A range takes its first row for a new one; where the range before it ends less than
+    ``gap`` earlier it isn't, and all numbers from there on are one less."""
+    fresh = F.col("_l__before").isNull() | (F.col("_t") - F.col("_l__before") > gap)
+    joins = F.coalesce(F.col("_first") - F.col("_c__before") <= gap, F.lit(False)).cast("int")
+    own = F.col("_t__nth") - joins
+    return Step("_nth", lambda w: F.sum(fresh.cast("int")).over(w), F.max("_l__nth"),
+                lambda w: F.coalesce(F.sum(own).over(w), F.lit(0)) - joins,
+                F.col("_l__nth") + F.coalesce("_c__nth", F.lit(0)))
+
+
 def job_sessions(pages: DataFrame, idle: str = "30 seconds") -> DataFrame:
     """Batch form of :func:`completions_stream`: stretches of activity per job.
 
-    A page that comes more than ``idle`` after the one before it opens a stretch; the stretches are numbered
-    by running sums that split a job over many tasks, and counted before the shuffle.
+    A page that comes more than ``idle`` after the one before it opens a stretch; the stretches are numbered in one
+    scan that splits a job over many tasks, and counted before the shuffle.
     """
     at = F.unix_micros(F.col("crawled_at").cast("timestamp"))
     rows = pages.filter("crawled_at is not null").select(
         "job_id", "crawled_at", at.alias("_t"), F.monotonically_increasing_id().alias("_row"))
     order = ["_t", "_row"]
-    rows = running(rows, ["job_id"], order, [Agg("_before", "last", F.col("_t"), exclusive=True)])
-    gap = seconds(idle) * 1_000_000
-    fresh = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > gap)
-    rows = running(rows.withColumn("_fresh", fresh.cast("int")), ["job_id"], order, [Agg("_nth", "sum", F.col("_fresh"))])
+    rows = scan(rows, ["job_id"], order, [Agg("_before", "last", F.col("_t"), exclusive=True).step(order),
+                                          _stretch(seconds(idle) * 1_000_000)], {"_first": F.min("_t")})
     return rows.groupBy("job_id", "_nth").agg(
         F.min("crawled_at").alias("started_at"), (F.max("crawled_at") + F.make_interval(secs=F.lit(seconds(idle)))).alias("completed_at"),
         F.count("*").alias("pages")).drop("_nth")

@@ -164,6 +164,74 @@ def test_search_options(spark, tmp_path):
     assert {r.doc_id for r in only.collect()} <= {3, 4, 5}
 
 
+def _zipf_docs(spark, n, seed=3):
+    """Documents of common and rare words, some alike, so that scores tie."""
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(600)]
+    weights = [1 / (i + 1) for i in range(600)]
+    rows = [(i, " ".join(rnd.choices(words, weights, k=rnd.randrange(0, 4))), " ".join(rnd.choices(words, weights, k=rnd.randrange(0, 60)))) for i in range(n)]
+    rows += [(n + i, *rows[i][1:]) for i in range(n // 10)]
+    queries = [(q, " ".join(rnd.choices(words, weights, k=rnd.randrange(1, 12)))) for q in range(30)] + [(30, "w0"), (31, "w0 w1 w2"), (32, "none")]
+    return (spark.createDataFrame(rows, "doc_id long, title string, content string"),
+            spark.createDataFrame(queries, "query_id int, query string"))
+
+
+def _ranked(found, k):
+    per = {}
+    for q, d, s in found:
+        per.setdefault(q, []).append((-s, d))
+    return {(q, i + 1, d, -s) for q, own in per.items() for i, (s, d) in enumerate(sorted(own)[:k])}
+
+
+@pytest.mark.parametrize("k,early,fuzzy", [(1, 2000, False), (5, 50, False), (10, 0, True), (400, 50, False)])
+def test_bounds_change_nothing(spark, tmp_path, monkeypatch, k, early, fuzzy):
+    monkeypatch.setattr(S, "EARLY", early)
+    docs, queries = _zipf_docs(spark, 400)
+    index = S.build_index(docs, ["title", "content"], analyzer="standard")
+    index.save(str(tmp_path / "index"), row_group=4096)
+    saved = S.Index.load(spark, str(tmp_path / "index"), analyzer="standard")
+    want = _ranked([tuple(r) for r in S.score(index, queries, fuzzy).collect()], k)
+    some = docs.filter("doc_id % 3 = 0")
+    want_some = _ranked([tuple(r) for r in S.score(index, queries, fuzzy).filter("doc_id % 3 = 0").collect()], k)
+    for own in (index, saved):
+        assert {tuple(r) for r in S.search_many(own, queries, k, fuzzy).collect()} == want
+        assert {tuple(r) for r in S.search_many(own, queries, k, fuzzy, docs=some).collect()} == want_some
+
+
+def test_few_of_the_documents_that_share_a_word_are_scored(spark):
+    docs, queries = _zipf_docs(spark, 3000)
+    index = S.build_index(docs.select("doc_id", "content"), ["content"], analyzer="standard")
+    queries = queries.filter("query_id < 30")
+    passing, _ = S.candidates(index, S.weighted_terms(index, queries, fuzzy=False), 5)
+    assert passing.count() < 0.2 * S.score(index, queries, fuzzy=False).count()
+
+
+def test_a_search_reads_the_pages_of_its_terms(spark, tmp_path):
+    docs, _ = _zipf_docs(spark, 3000)
+    path = str(tmp_path / "index")
+    S.build_index(docs, ["title", "content"], analyzer="standard").save(path, row_group=4096)
+    saved = S.Index.load(spark, path, analyzer="standard")
+    assert saved.blocks.agg(F.max(F.size("ids"))).first()[0] == S.BLOCK
+    every = saved.blocks.count()
+    asked = spark.createDataFrame([(f, t) for f in ("title", "content") for t in ("w5", "w77", "w300", "w512", "w599")], "field string, term string")
+    own = saved.of_terms(asked).blocks
+    assert own.count() > 5
+    rows = own.select("field", "term", "ids")
+    rows.collect()
+    leaves = rows._jdf.queryExecution().executedPlan().collectLeaves()
+    read = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    assert read < every / 2 and own.count() <= read
+    assert {r.term for r in rows.collect()} == {"w5", "w77", "w300", "w512", "w599"}
+
+
+def test_blocks_of_other_ids(spark, tmp_path):
+    docs = _docs(spark).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    S.build_index(docs, ["title", "content"], analyzer="standard").save(str(tmp_path / "index"))
+    saved = S.Index.load(spark, str(tmp_path / "index"), analyzer="standard")
+    assert {r.doc_id for r in S.search(saved, docs, "cream", fuzzy=False, highlights=False).collect()} == {"d1", "d3"}
+    assert saved.of_terms(spark.createDataFrame([], "field string, term string")).postings.count() == 0
+
+
 def test_positions(spark):
     index = S.build_index(_docs(spark), ["content"], analyzer="standard", positions=True)
     row = index.postings.filter("term = 'cream' and doc_id = 3").first()

@@ -1,13 +1,25 @@
 """Running aggregates: one hot key, ties, many chunks; the answer never depends on the layout."""
 import random
+from contextlib import contextmanager
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from linkspark.operators import skew
 from linkspark.operators.skew import Agg, running
 
 
+@contextmanager
+def _partitions(spark, n):
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def _rows(seed, n=3000):
     rnd = random.Random(seed)
     rows = []
@@ -102,3 +114,45 @@ def test_lookups_of_a_hot_key_are_split(spark, tiny_skew):
     assert _split(judged) and judged.filter("not allowed").count() == n * 9 // 10
     seen = jobs.is_visited(urls.withColumn("job_id", F.lit("j")), edges.withColumn("job_id", F.lit("j")).filter("canonical = 'http://hot.com/x'"))
     assert _split(seen) and seen.filter("visited").count() == n * 9 // 10
+
+
+def test_ranges_are_even_and_in_order(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(
+        F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), (F.col("id") * 7919 % 6007).alias("t"))
+    for n in (1, 2, 5, 16):
+        with _partitions(spark, n):
+            dealt = skew._dealt(rows, ["k"], ["t"]).withColumn("p", F.spark_partition_id())
+            found = dealt.groupBy("_part").agg(F.count("*").alias("n"), F.min(F.struct("k", "t")).alias("a"),
+                                               F.max(F.struct("k", "t")).alias("b"), F.countDistinct("p").alias("p"))
+            parts = found.orderBy("_part").collect()
+            assert len(parts) == n and sum(r.n for r in parts) == 6000
+            assert max(r.n for r in parts) < 2 * 6000 / n + 50 and {r.p for r in parts} == {1}
+            ends = [((r.a.k or "", r.a.t), (r.b.k or "", r.b.t)) for r in parts]
+            assert all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
+
+
+def test_steps_share_one_exchange(spark):
+    rows = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
+    w = Window.partitionBy("_part", "k").orderBy("t")
+    local = skew._dealt(rows, ["k"], ["t"]).withColumn("n", F.count("*").over(w)).withColumn("m", F.max("n").over(w))
+    plan = local._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 1 and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 7])
+def test_stretches_over_many_ranges(spark, n):
+    from linkspark.streaming.streams import job_sessions
+    rnd = random.Random(n)
+    rows = [(rnd.choice(["hot", "hot", "hot", "b", "c", None]), rnd.randrange(0, 4000)) for _ in range(700)] + [("one", 5)]
+    df = spark.createDataFrame(rows, "job_id string, s long").select("job_id", F.timestamp_seconds("s").alias("crawled_at"))
+    want = []
+    for job in {j for j, _ in rows}:
+        last = None
+        for s in sorted(s for j, s in rows if j == job):
+            if last is None or s - last > 30:
+                want.append([job, s, s, 0])
+            want[-1][2:] = [s, want[-1][3] + 1]
+            last = s
+    with _partitions(spark, n):
+        got = job_sessions(df).select("job_id", F.unix_seconds("started_at"), F.unix_seconds("completed_at") - 30, "pages").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
