@@ -2,13 +2,13 @@
 
 Texts are cut into pieces at sentence marks and line ends, and pieces into words; a phrase lies within a piece.
 Candidates come level by level. Each task counts the phrases of k words whose both parts of k - 1 words may be
-frequent, by hashed cells (a cell's count is never below that of a phrase in it), and packs the counts by segments
-of cells; segments are merged, and the cells that reach the threshold are set in a bit filter of bounded size. A
-phrase that isn't in it can't be frequent (Apriori), one that is may be. Every phrase the filters let pass is then
-named once per task, and the distinct ones are laid into double-array tries of at most ``MOST`` phrases. The tries
+frequent, by 64-bit hashes, and packs the counts by segments of hashes; segments are merged, and the hashes that
+reach the threshold are set in a bit filter of bounded size. A phrase that isn't in it can't be frequent (Apriori),
+one that is may be. Occurrences draw lots from their phrase and text, and where a phrase has its lowest it is named,
+so that names don't leave every task; the distinct ones are laid into double-array tries of at most ``MOST`` phrases. The tries
 are broadcast, one after the other; the states of all positions of a text advance together, one word at a time, the
 accepting states are counted, and the counts of all tasks are added up by ranges of states. These counts are exact
-and decide alone: filters and cells only say what is worth counting, so their size changes no result.
+and decide alone: the filters only say what is worth counting, so their size changes no result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ MOST = 2_000_000  # phrases of one trie
 CHUNK = 1 << 19  # bytes of text that are looked at together
 FLUSH = 1 << 20  # keys a task holds before it packs them
 SEGMENT = 1 << 22  # words of all texts for each segment of cells
-LEAST_BITS, MOST_BITS = 20, 28  # of a level's filter, as powers of two
+LEAST_BITS, MOST_BITS = 20, 27  # of a level's filter, as powers of two
 BLOCK = 16  # states whose counts are added up together, as a power of two
 _BREAKS = list(b".,;:!?\n\x0b\x0c\r")
 _BREAK = np.zeros(256, bool)
@@ -116,13 +116,18 @@ def _salt(langs: list[str]) -> np.ndarray:
 # --- candidates: hashed counts, level by level ---------------------------------------------------------------
 
 class Cells:
-    """How keys fall into cells: segments by their top bits, 32 bits within; and the filter over them."""
+    """How keys fall into segments, by their top bits, and what is kept by the 32 bits that follow: two bits of the
+    filter for each frequent key, and in slots the largest of their lowest lots."""
 
     def __init__(self, text_bytes: int) -> None:
         words = max(text_bytes // 6, 1)
         self.segments = min(14, max(4, (words // SEGMENT).bit_length()))
         bits = min(MOST_BITS, max(LEAST_BITS, (text_bytes // 16).bit_length()))
         self.bits = bits - self.segments  # of the filter, in a segment
+        self.slots = self.bits - 4
+
+    def empty(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(1 << (self.bits + self.segments - 3), np.uint8), np.zeros(1 << (self.slots + self.segments), "<u2")
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         return keys >> np.uint64(32 - self.segments)
@@ -132,6 +137,10 @@ class Cells:
         shift = np.uint32(32 - self.bits)
         return low >> shift, (low * _SECOND) >> shift
 
+    def named(self, most: np.ndarray, keys: np.ndarray, lots: np.ndarray) -> np.ndarray:
+        """Whether occurrences with these lots name their phrases; the one with the lowest always does."""
+        return lots <= most[keys >> np.uint64(64 - self.segments - self.slots)]
+
     def passed(self, filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
         cells = self.of(keys)
         begin = (cells >> np.uint64(32)) << np.uint64(self.bits)
@@ -142,15 +151,25 @@ class Cells:
         return out
 
 
-def _packed(low: np.ndarray, counts: np.ndarray) -> bytes:
-    gaps = np.diff(low, prepend=np.uint32(0)).astype("<u4")
-    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T)
-    return _zstd().ZstdCompressor(level=1).compress(planes.tobytes() + counts.astype(np.uint8).tobytes())
+def _packed(keys: np.ndarray, *others: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte, and what goes with them."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
+    return _zstd().ZstdCompressor(level=1).compress(b"".join([planes.tobytes(), *(x.tobytes() for x in others)]))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, counts and lots."""
+    own = np.frombuffer(_zstd().ZstdDecompressor().decompress(data), np.uint8)
+    n = len(own) // 11
+    keys = np.cumsum(np.ascontiguousarray(own[:8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+    return keys, own[8 * n:9 * n], own[9 * n:].view("<u2")
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(_zstd().ZstdDecompressor().decompress(data), np.uint8).reshape(5, -1)
-    return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), dtype=np.uint32), planes[4]
+def _lots(words: _Words, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each occurrence of a phrase, drawn from the phrase and all words of its text."""
+    totals = np.add.reduceat(np.append(words.prints, np.uint64(0)), np.minimum(words.counts[:-1], len(words.prints)))
+    return (W.mixed(keys ^ W.mixed(totals)[words.text[at]]) >> np.uint64(48)).astype(np.uint16)
 
 
 def _frequent(words: _Words, cells: Cells, filters: list[np.ndarray], salt: np.ndarray, size: int) -> np.ndarray:
@@ -158,7 +177,7 @@ def _frequent(words: _Words, cells: Cells, filters: list[np.ndarray], salt: np.n
     may, known = np.ones(len(words.prints), bool), words.whole(size)
     for level in range(1, size + 1):
         here = may & words.whole(level) if level == 1 else may[:-1] & may[1:] & words.whole(level)
-        if level <= len(filters) and filters[level - 1] is not None:
+        if level <= len(filters):
             on = np.flatnonzero(here)
             own = words.keys(level, salt)[on]
             here[on[~cells.passed(filters[level - 1], own)]] = False
@@ -169,72 +188,88 @@ def _frequent(words: _Words, cells: Cells, filters: list[np.ndarray], salt: np.n
 
 
 def _counting(cells: Cells, held, size: int):
-    """Packed counts of the phrases of ``size`` words whose parts may be frequent, up to ``LEAST``, by segments."""
-    def packs(keys: list[np.ndarray]) -> pa.RecordBatch:
-        own, counts = np.unique(np.concatenate([cells.of(k) for k in keys]), return_counts=True)
-        counts = np.minimum(counts, LEAST)  # sums of these reach the threshold when the true ones do
-        cuts = np.searchsorted(own, np.arange((1 << cells.segments) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+    """Packed counts of the phrases of ``size`` words whose parts may be frequent, up to ``LEAST``, by segments, and
+    the lowest lot of each phrase."""
+    def packs(keys: list[np.ndarray], lots: list[np.ndarray]) -> pa.RecordBatch:
+        every, lots = np.concatenate(keys), np.concatenate(lots)
+        by = np.argsort(every, kind="stable")
+        every, lots = every[by], lots[by]
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        own, lots = every[starts], np.minimum.reduceat(lots, starts).astype("<u2")
+        # sums of counts up to the threshold reach it when those of the true ones do
+        counts = np.minimum(np.diff(np.append(starts, len(every))), LEAST).astype(np.uint8)
+        edges = np.arange(1, 1 << cells.segments, dtype=np.uint64) << np.uint64(64 - cells.segments)
+        cuts = [0, *np.searchsorted(own, edges).tolist(), len(own)]
         parts = [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-        low = own.astype(np.uint32)
         return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in parts], pa.int32()), pa.array(
-            [_packed(low[a:b], counts[a:b]) for _, a, b in parts], pa.binary())], ["segment", "cells"])
+            [_packed(own[a:b], counts[a:b], lots[a:b]) for _, a, b in parts], pa.binary())], ["segment", "cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, keys, n = [np.frombuffer(x, np.uint8) if x else None for x in held.value], [], 0
+        filters, keys, lots, n = [np.frombuffer(x, np.uint8) for x in held.value], [], [], 0
         for words, langs, of in _chunks(batches):
             salt = _salt(langs)[of]
-            own = words.keys(size, salt)[_frequent(words, cells, filters, salt, size)]
+            at = np.flatnonzero(_frequent(words, cells, filters, salt, size))
+            if not len(at):
+                continue
+            own = words.keys(size, salt)[at]
             keys.append(own)
+            lots.append(_lots(words, own, at))
             n += len(own)
             if n >= FLUSH:
-                yield packs(keys)
-                keys, n = [], 0
+                yield packs(keys, lots)
+                keys, lots, n = [], [], 0
         if n:
-            yield packs(keys)
+            yield packs(keys, lots)
     return run
 
 
 def _merging(cells: Cells):
-    """The filter of one segment after another; packed counts come in sorted by segment."""
-    def bits(segment: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        low, counts = (np.concatenate(x) for x in zip(*parts))
-        by = np.argsort(low, kind="stable")
-        low, counts = low[by], counts[by]
-        starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        frequent = low[starts[np.add.reduceat(counts.astype(np.int64), starts) >= LEAST]]
-        own = np.zeros(1 << cells.bits, bool)
-        for spot in cells.spots(frequent):
-            own[spot] = True
-        packed = _zstd().ZstdCompressor(level=1).compress(np.packbits(own, bitorder="little").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], ["segment", "cells"])
+    """(segment, filter, lots) of one segment after another; packed counts come in sorted by segment."""
+    def merged(segment: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, counts, lots = (np.concatenate(x) for x in zip(*parts))
+        by = np.argsort(keys, kind="stable")
+        keys, counts, lots = keys[by], counts[by], lots[by]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        frequent = np.add.reduceat(counts.astype(np.int64), starts) >= LEAST
+        low = cells.of(keys[starts[frequent]]).astype(np.uint32)
+        bits, most = np.zeros(1 << cells.bits, bool), np.zeros(1 << cells.slots, "<u2")
+        for spot in cells.spots(low):
+            bits[spot] = True
+        np.maximum.at(most, low >> np.uint32(32 - cells.slots), np.minimum.reduceat(lots, starts)[frequent])
+        pack = _zstd().ZstdCompressor(level=1).compress
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array(
+            [pack(np.packbits(bits, bitorder="little").tobytes())], pa.binary()), pa.array([pack(most.tobytes())], pa.binary())],
+            ["segment", "bits", "lots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts = None, []
         for batch in batches:
             for segment, own in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if segment != at and parts:
-                    yield bits(at, parts)
+                    yield merged(at, parts)
                     parts = []
                 at = segment
                 parts.append(_unpacked(own.as_py()))
         if parts:
-            yield bits(at, parts)
+            yield merged(at, parts)
     return run
 
 
-_SEGMENTS = "segment int, cells binary"
-
+def level_filter(texts: DataFrame, cells: Cells, held, size: int) -> tuple[bytes, bytes]:
+    """The filter of phrases of ``size`` words that may be frequent, and the lots up to which they are named.
 
-def level_filter(texts: DataFrame, cells: Cells, held, size: int) -> bytes:
-    """The filter of phrases of ``size`` words that may be frequent. It has a fixed number of bits, ``MOST_BITS`` at most."""
-    packed = texts.mapInArrow(_counting(cells, held, size), _SEGMENTS)
-    merged = packed.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merging(cells), _SEGMENTS)
-    out = np.zeros(1 << (cells.bits + cells.segments - 3), np.uint8)
-    width, unpack = 1 << (cells.bits - 3), _zstd().ZstdDecompressor()
-    table = merged.toArrow()
-    for segment, own in zip(table.column(0).to_pylist(), table.column(1)):
-        out[segment * width:(segment + 1) * width] = np.frombuffer(unpack.decompress(own.as_py()), np.uint8)
-    return out.tobytes()
+    Both have a fixed size, of ``MOST_BITS`` bits and an eighth as many numbers at most.
+    """
+    packed = texts.mapInArrow(_counting(cells, held, size), "segment int, cells binary")
+    merged = packed.repartition("segment").sortWithinPartitions("segment").mapInArrow(
+        _merging(cells), "segment int, bits binary, lots binary")
+    bits, lots = cells.empty()
+    unpack, table = _zstd().ZstdDecompressor(), merged.toArrow()
+    for column, whole in ((1, bits), (2, lots)):
+        width = len(whole) >> cells.segments
+        for segment, own in zip(table.column(0).to_pylist(), table.column(column)):
+            whole[segment * width:(segment + 1) * width] = np.frombuffer(unpack.decompress(own.as_py()), whole.dtype)
+    return bits.tobytes(), lots.tobytes()
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -261,14 +296,21 @@ def _phrases(words: _Words, at: np.ndarray, size: int) -> pa.Array:
 
 
 def _naming(cells: Cells, held):
-    """(lang, phrase) of the phrases of two words and more that the filters let pass, about once per task."""
+    """(lang, phrase) of the phrases of two words and more that the filters let pass, mostly once: where the phrase
+    occurs with its lowest lot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, seen = [np.frombuffer(x, np.uint8) for x in held.value], np.zeros(0, np.uint64)
+        filters, most = [np.frombuffer(x, np.uint8) for x, _ in held.value], [np.frombuffer(x, "<u2") for _, x in held.value]
+        seen = np.zeros(0, np.uint64)
         for words, langs, of in _chunks(batches):
             salt = _salt(langs)[of]
             for size in range(2, len(filters) + 1):
                 at = np.flatnonzero(_frequent(words, cells, filters, salt, size))
-                keys, first = np.unique(words.keys(size, salt)[at], return_index=True)
+                if not len(at):
+                    continue
+                keys = words.keys(size, salt)[at]
+                names = cells.named(most[size - 1], keys, _lots(words, keys, at))
+                at = at[names]
+                keys, first = np.unique(keys[names], return_index=True)
                 if len(seen):
                     place = np.minimum(np.searchsorted(seen, keys), len(seen) - 1)
                     new = seen[place] != keys
@@ -289,9 +331,9 @@ def candidates(texts: DataFrame, longest: int = LONGEST) -> DataFrame:
     that aren't frequent. One pass over the texts per level, and one to name them."""
     context = texts.sparkSession.sparkContext
     cells = Cells(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    filters: list[bytes] = []
+    filters: list[tuple[bytes, bytes]] = []
     for size in range(1, longest + 1):
-        held = context.broadcast(list(filters))
+        held = context.broadcast([bits for bits, _ in filters])
         filters.append(level_filter(texts, cells, held, size))
         held.destroy()
     held = context.broadcast(filters)

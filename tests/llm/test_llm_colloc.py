@@ -94,7 +94,7 @@ def test_top_and_ties(spark):
 def test_filters_decide_nothing(spark, monkeypatch):
     rows = corpus(3, 120)
     want = got(colloc.collocations(table(spark, rows)))
-    monkeypatch.setattr(colloc, "level_filter", lambda texts, cells, held, size: b"\xff" * (1 << cells.bits + cells.segments - 3))
+    monkeypatch.setattr(colloc, "level_filter", lambda texts, cells, held, size: tuple(b"\xff" * x.nbytes for x in cells.empty()))
     named = colloc.candidates(colloc_texts(spark, rows))
     found = colloc.scored(colloc.phrase_counts(colloc_texts(spark, rows), named))
     assert {tuple(r) for r in found.collect()} == {(x[0], *x[2:]) for x in want}
