@@ -665,3 +665,8 @@ ORACLES["stream_dedupe"] = "SELECT DISTINCT event_type AS job_id, sha256('https:
 ORACLES["stream_rate"] = f"""SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type,
   count(*) AS events FROM events GROUP BY ALL) WHERE window_start + INTERVAL 6 HOUR <= {_WATERMARK}"""
 ORACLES["stream_completions"] = f"SELECT * FROM ({ORACLES['job_activity']}) WHERE completed_at <= {_WATERMARK}"
+ORACLES["stream_closings"] = ORACLES["stream_completions"]
+ORACLES["stream_check"] = f"""WITH {_BROKEN}
+SELECT DISTINCT job_id, source_url, broken_url, status_code, error_type, error_message, CAST(1 AS INTEGER) AS depth FROM broken"""
+ORACLES["stream_counters"] = """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS total_pages_crawled,
+  CAST(sum(event_id % 7) AS BIGINT) AS total_links_found FROM events WHERE user_id % 10 <> 3 OR user_id % 20 = 3 GROUP BY user_id"""

@@ -22,7 +22,9 @@ from linkspark.operators import urls as U
 from linkspark.plans import fixtures as fx
 from linkspark.session import cut, lookup_table, scratch_dir
 from linkspark.sources import sinks, tables
-from linkspark.streaming.streams import completions_stream, dedupe_stream, job_sessions, rate_stream
+from linkspark.streaming import counters
+from linkspark.streaming.closing import closing_stream, timer_state
+from linkspark.streaming.streams import check_stream, completions_stream, dedupe_stream, job_sessions, rate_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -740,3 +742,40 @@ def stream_rate(spark, sf):
 def stream_completions(spark, sf):
     pages = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").alias("crawled_at"))
     return _drained(spark, completions_stream(pages, "6 hours", "1 hour"))
+
+
+@query
+def stream_closings(spark, sf):
+    pages = _event_stream(spark, sf).select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").alias("crawled_at"))
+    with timer_state(spark):
+        return _drained(spark, closing_stream(pages, "6 hours", "1 hour"))
+
+
+def _in_files(spark, rows, files=3):
+    """``rows`` as a stream of a file per batch."""
+    folder = f"{scratch_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    rows.repartition(files).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+@query
+def stream_check(spark, sf):
+    """All messages, delivered twice; every broken link is told once."""
+    sent = _messages(spark, sf).select("key", "value")
+    messages, folder = _in_files(spark, cut(sent).unionByName(sent))
+    check_stream(messages, fx.responses(spark, sf), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/links").select(
+        "job_id", "source_url", "broken_url", "status_code", "error_type", "error_message", "depth")
+
+
+@query
+def stream_counters(spark, sf):
+    """Pages counted in batches; some jobs deleted after them; a batch delivered again; older batches summed up."""
+    rows = fx.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job_id"), (F.col("event_id") % 7).alias("links_count"))
+    pages, folder = _in_files(spark, rows, 5)
+    counters.counting_stream(pages, f"{folder}/counters", f"{folder}/state").awaitTermination()
+    counters.forget_jobs(rows.filter("job_id % 10 = 3"), f"{folder}/counters", 5)
+    counters.count_batch(rows.filter("job_id % 20 = 3"), f"{folder}/counters", 6)
+    counters.compact(spark, f"{folder}/counters", 4)
+    counters.count_batch(rows.filter("job_id % 20 = 3"), f"{folder}/counters", 6)
+    return counters.read_counters(spark, f"{folder}/counters")

@@ -88,36 +88,43 @@ def broken_in(checked: DataFrame) -> DataFrame:
     return C.broken_links(checked, F.col("job_id"), F.col("depth"), F.current_timestamp())
 
 
+def findings(messages: DataFrame, known: DataFrame) -> DataFrame:
+    """What a stream of link-check messages brings to light, each once: rows with ``_kind`` (links, unseen, rejected).
+
+    A link is known by job, source and target, a bad message by its text. What has been said before is remembered in
+    the state of the stream, keyed, so a batch reads nothing but itself.
+    """
+    checked = check_batch(messages, known).filter(F.col("is_valid").isNull() | ~F.col("is_valid"))
+    told = checked.select(
+        F.when(F.col("is_valid").isNull(), "unseen").otherwise("links").alias("_kind"), "job_id", "source_url",
+        F.coalesce("canonical", "target_url").alias("broken_url"), "anchor_text", "status_code", "error_type", "error_message",
+        F.col("depth").cast("int").alias("depth"), F.current_timestamp().alias("discovered_at"), "target_url")
+    told = told.withColumn("link_key", sinks.broken_link_key())
+    bad = parse_link_jobs(messages)[1].select(F.lit("rejected").alias("_kind"), "value", F.sha2(F.col("value").cast("binary"), 256).alias("link_key"))
+    return told.unionByName(bad, allowMissingColumns=True).dropDuplicates(["_kind", "link_key"])
+
+
 def check_stream(messages: DataFrame, responses: DataFrame, out: str, checkpoint: str,
                  policy: str = "lenient"):
     """Start checking a message stream: broken links go to ``out/links``, targets that the log doesn't know to
     ``out/unseen``, bad messages to ``out/rejected``.
 
-    The log is classified once, before the stream starts. Each batch overwrites its own folder and skips links
-    reported by earlier batches, so a batch that runs twice changes nothing.
+    The log is classified once, before the stream starts. Each batch overwrites its own folders, and links reported
+    by earlier batches are known to the stream's state, so a batch that runs twice changes nothing.
     """
-    spark = messages.sparkSession
     known = lookup_table(C.outcomes(responses, policy))
+    links = ["link_key", "job_id", "source_url", "broken_url", "anchor_text", "status_code", "error_type", "error_message", "depth",
+             "discovered_at"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            checked = check_batch(batch, known)
-            sinks.append_batch(sinks.new_broken_links(broken_in(checked), _earlier(spark, f"{out}/links", batch_id)),
-                               f"{out}/links", batch_id)
-            unseen = C.unseen_targets(checked).select("job_id", "source_url", "depth", "target_url")
-            sinks.append_batch(unseen, f"{out}/unseen", batch_id)
-            sinks.append_batch(parse_link_jobs(batch)[1], f"{out}/rejected", batch_id)
+            for kind, columns in (("links", links), ("unseen", ["job_id", "source_url", "depth", "target_url"]), ("rejected", ["value"])):
+                sinks.append_batch(batch.filter(F.col("_kind") == kind).select(*columns), f"{out}/{kind}", batch_id)
         finally:
             batch.unpersist()
 
-    return foreach_batch(messages, handle, checkpoint)
-
-
-def _earlier(spark, path: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+    return foreach_batch(findings(messages, known), handle, checkpoint)
 
 
 def foreach_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):

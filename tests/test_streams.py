@@ -1,4 +1,6 @@
 """Streams over files: same answers as batch, late rows, restarts, redelivery."""
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from linkspark.operators import admission as A
 from linkspark.sources import sinks
 from linkspark.sources.tables import parse_link_jobs, read_pages
+from linkspark.streaming import closing, counters
 from linkspark.streaming import streams as X
 
 T0 = datetime(2024, 1, 1)
@@ -141,3 +144,110 @@ def test_missing_pages_carry_an_error(spark, tmp_path):
     path = str(tmp_path / "pages")
     spark.createDataFrame([("u", "<p>"), ("v", None)], "url string, html string").write.parquet(path)
     assert {r.url: r.error for r in read_pages(spark, path).collect()} == {"u": None, "v": "No response received"}
+
+
+def _closed(df):
+    return sorted(((r.job_id, r.started_at, r.completed_at, r.pages) for r in df.collect()), key=str)
+
+
+def _append(query, out):
+    return (query.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "_cp")
+            .trigger(availableNow=True).start())
+
+
+def test_closing_by_event_time_with_restart(spark, tmp_path):
+    feed, out = Feed(spark, tmp_path / "in", "job_id string, crawled_at timestamp"), str(tmp_path / "out")
+
+    def drained():
+        with closing.timer_state(spark):
+            _append(closing.closing_stream(feed.stream()), out).awaitTermination(180)
+        return _closed(spark.read.parquet(out))
+    feed.add([("a", at(0)), ("a", at(20)), ("b", at(5)), ("a", at(200)), ("a", None), (None, at(7))])
+    first = drained()
+    # the watermark is at 170 after the first file: what ended by then is closed, the open stretch of a isn't
+    assert set(first) == {("a", at(0), at(50), 2), ("b", at(5), at(35), 1), (None, at(7), at(37), 1)}
+    feed.add([("a", at(225)), ("c", at(190))])  # goes on in a stretch that was open before the restart
+    feed.add([("c", at(900))])
+    rows = drained()
+    assert ("a", at(200), at(255), 2) in rows and ("c", at(190), at(220), 1) in rows and len(rows) == len(set(rows))
+    want = {tuple(r) for r in X.job_sessions(spark.read.parquet(str(tmp_path / "in"))).select(
+        "job_id", "started_at", "completed_at", "pages").collect()}
+    assert want - set(rows) == {("c", at(900), at(930), 1)} and set(rows) <= want
+
+
+def test_a_silent_job_closes_by_the_clock(spark, tmp_path):
+    feed, out = Feed(spark, tmp_path / "in", "job_id string, crawled_at timestamp"), str(tmp_path / "out")
+    feed.add([("a", at(0)), ("a", at(1)), ("a", at(100))])
+    with closing.timer_state(spark):
+        df = closing.closing_stream(feed.stream(), "3 seconds", clock="processing")
+        query = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "_cp")
+                 .trigger(processingTime="1 second").start())
+    try:  # no other event ever comes
+        for _ in range(120):
+            time.sleep(1)
+            if query.exception() is not None:
+                raise query.exception()
+            if (tmp_path / "out" / "_spark_metadata").exists() and _closed(spark.read.schema(df.schema).parquet(out)):
+                break
+    finally:
+        query.stop()
+    assert _closed(spark.read.parquet(out)) == [("a", at(0), at(4), 2), ("a", at(100), at(103), 1)]
+    with pytest.raises(ValueError):
+        closing.closing_stream(feed.stream(), clock="sun")
+
+
+def test_stretches_merge():
+    rnd = random.Random(2)
+    for _ in range(50):
+        times = [rnd.randrange(0, 300) for _ in range(rnd.randrange(0, 40))]
+        want = []
+        for t in sorted(times):
+            if want and t - want[-1][1] <= 9:
+                want[-1] = (want[-1][0], t, want[-1][2] + 1)
+            else:
+                want.append((t, t, 1))
+        cut = rnd.randrange(0, len(times) + 1)
+        assert closing.merged([*closing.merged([(t, t, 1) for t in times[:cut]], 9), *((t, t, 1) for t in times[cut:])], 9) == want
+
+
+def test_a_batch_of_the_check_reads_only_itself(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", "key string, value string")
+    message = '{"job_id":"j","source_url":"http://s/%d","target_urls":["http://b/1"],"depth":1}'
+    responses = spark.createDataFrame([("http://b/1", 404, None, None)], "url string, head_status int, get_status int, net_error string")
+    for i in range(4):
+        feed.add([("j", message % i), ("j", message % 0), ("j", "{broken")])
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    query = X.check_stream(feed.stream(), responses, out, checkpoint)
+    query.awaitTermination(180)
+    links = spark.read.parquet(out + "/links")
+    assert sorted(r.source_url for r in links.collect()) == [f"http://s/{i}" for i in range(4)]
+    assert {(r.batch_id, r.source_url) for r in links.collect()} == {(i, f"http://s/{i}") for i in range(4)}
+    assert spark.read.parquet(out + "/rejected").count() == 1
+    read = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(read) == 4 and len(set(read)) == 1  # the same number for every batch, whatever came before
+
+
+def test_counters_by_batches(spark, tmp_path):
+    path = str(tmp_path / "counters")
+
+    def pages(*rows):
+        return spark.createDataFrame(rows, "job_id string, links_count int, error string")
+
+    def read(upto=None):
+        return {r.job_id: (r.total_pages_crawled, r.total_links_found) for r in counters.read_counters(spark, path, upto).collect()}
+    assert read() == {}
+    counters.count_batch(pages(("a", 2, None), ("a", None, None), ("b", 1, None), ("b", 9, "no page"), (None, 4, None)), path, 0)
+    counters.count_batch(pages(("a", 5, None)), path, 1)
+    whole = {"a": (3, 7), "b": (1, 1), None: (1, 4)}
+    assert read() == whole and read(0) == {"a": (2, 2), "b": (1, 1), None: (1, 4)}
+    counters.count_batch(pages(("a", 5, None)), path, 1)  # delivered again
+    assert read() == whole
+    counters.forget_jobs(pages(("a", 0, None), (None, 0, None)).select("job_id"), path, 2)
+    assert read() == {"b": (1, 1)}
+    counters.count_batch(pages(("a", 1, None)), path, 3)
+    assert read() == {"a": (1, 1), "b": (1, 1)}
+    for _ in range(2):
+        counters.compact(spark, path, 2)
+        assert read() == {"a": (1, 1), "b": (1, 1)}
+    (tmp_path / "counters" / "base" / "upto=3").mkdir()  # a compaction that never ended
+    assert read() == {"a": (1, 1), "b": (1, 1)}
