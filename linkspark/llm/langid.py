@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm import wordhash as W
+
 BUCKETS = 1 << 14
 NGRAMS = (1, 2, 3)
 SMOOTHING = 0.5
 AMBIGUOUS = 0.02  # least lead, as a share of the largest possible loss, that is no near tie
 UNDETERMINED = "und"
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18  # bytes of text that are looked at together
 
 
 def codewords(n: int) -> np.ndarray:
@@ -49,13 +51,6 @@ class Model:
     weights: np.ndarray  # of the bits
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts end to end and where each begins; null is empty."""
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), offsets
-
-
 def _lower() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
@@ -80,7 +75,7 @@ def _features(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about _CHUNK bytes each; one text is never cut."""
+    """Ranges of texts of about _CHUNK bytes each, or of one longer text."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = min(n, max(first + 1, int(np.searchsorted(offsets, offsets[first] + _CHUNK, "right")) - 1))
@@ -88,6 +83,17 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def _stretches(data: np.ndarray, starts: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """``_features`` of a chunk; those of a text longer than a chunk stretch by stretch."""
+    if len(starts) > 1 or len(data) <= _CHUNK:
+        yield _features(data, starts)
+        return
+    for at in range(0, len(data), _CHUNK):
+        before = min(at, 2)  # the n-grams of a stretch's first bytes begin in the stretch before
+        own = _features(data[at - before:at + _CHUNK], starts)
+        yield [x[before:] for x in own]
+
+
 def train(rows: DataFrame, text: str = "text", label: str = "lang") -> Model:
     """Fit on all given rows with a label: n-gram counts per language, added up over the partitions.
 
@@ -102,15 +108,18 @@ def train(rows: DataFrame, text: str = "text", label: str = "lang") -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((len(languages), width), np.int64)
         for batch in batches:
-            data, offsets = _bytes(batch.column(0))
+            data, offsets = W.buffers(batch.column(0))
             labels = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
             for a, b in _chunks(data, offsets):
                 part = data[offsets[a]:offsets[b]]
                 which = np.repeat(labels[a:b], np.diff(offsets[a:b + 1]))
-                for n, feature in enumerate(_features(part, offsets[a:b] - offsets[a])):
-                    cells = which * BUCKETS + feature
-                    found = np.bincount(cells, minlength=len(languages) * BUCKETS).reshape(len(languages), BUCKETS)
-                    totals[:, n * BUCKETS:(n + 1) * BUCKETS] += found
+                seen = 0
+                for features in _stretches(part, offsets[a:b] - offsets[a]):
+                    own = which[seen:seen + len(features[0])]
+                    seen += len(own)
+                    for n, feature in enumerate(features):
+                        found = np.bincount(own * BUCKETS + feature, minlength=len(languages) * BUCKETS)
+                        totals[:, n * BUCKETS:(n + 1) * BUCKETS] += found.reshape(len(languages), BUCKETS)
         language, feature = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(language, pa.int32()), pa.array(feature, pa.int32()),
                                           pa.array(totals[language, feature], pa.int64())], ["language", "feature", "n"])
@@ -161,15 +170,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A text that is null or has no letter is ``und`` with score 0, and so is any text if no language is known.
     Columns of these names are replaced.
     """
-    import re
-    letter = re.compile(r"[^\W\d_]")
     kept = docs.drop("lang_pred", "score", "ambiguous")
     at, names = kept.columns.index(text), kept.columns
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
-            data, offsets = _bytes(texts)
+            data, offsets = W.buffers(texts)
             margins = np.zeros((len(texts), model.odds.shape[1]))
             for a, b in _chunks(data, offsets):
                 part, starts = data[offsets[a]:offsets[b]], offsets[a:b] - offsets[a]
@@ -177,10 +184,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 if not len(full):
                     continue
                 sums = 0
-                for n, feature in enumerate(_features(part, starts)):
-                    sums = sums + np.add.reduceat(model.odds[n * BUCKETS + feature], starts[full], axis=0)
+                for features in _stretches(part, starts):
+                    for n, feature in enumerate(features):
+                        sums = sums + np.add.reduceat(model.odds[n * BUCKETS + feature], starts[full], axis=0)
                 margins[a + full] = sums / (len(NGRAMS) * np.diff(offsets[a:b + 1])[full, None])
-            told = np.array([x is not None and bool(letter.search(x)) for x in texts.to_pylist()], bool)
+            told = np.array([x is not None and any(map(str.isalpha, x)) for x in texts.to_pylist()], bool)
             told &= bool(model.languages)
             if model.languages:
                 best, score, near = decide(model, margins)

@@ -190,3 +190,47 @@ def test_pages_through_archives(spark):
             (6, "revisit", 5), (8, "response", None), (8, "revisit", 8), (4, "response", None)} <= kinds
     assert arc.pages_through_archives(table.limit(0)).count() == 0
     assert {r.record_type for r in arc.pages_through_archives(table.filter("page_id in (5, 6)"), min_bytes=1).collect()} == {"response"}
+
+
+def one_language(model, text):
+    """Margins, losses and the choice for one text, number by number."""
+    low = bytes(c + 32 if 65 <= c <= 90 else 32 if c <= 32 or 48 <= c <= 57 else c for c in text.encode())
+    bits = model.odds.shape[1]
+    sums = [0.0] * bits
+    for i in range(len(low)):
+        code = low[i]
+        for n in range(3):
+            if n:
+                code |= (low[i - n] if i >= n else 32) << (8 * n)
+            feature = (code * int(langid._MIX[n]) & 0xFFFFFFFF) >> 18 if n else code
+            for b in range(bits):
+                sums[b] += float(model.odds[n * langid.BUCKETS + feature, b])
+    margins = [s / (3 * len(low)) for s in sums]
+    losses = [sum((1 - np.tanh(2 * m) * int(c)) / 2 * w for m, c, w in zip(margins, row, model.weights)) for row in model.code]
+    best = min(losses)
+    ordered = sorted(losses)
+    return model.languages[losses.index(best)], 1 / sum(np.exp(-20 * (x - best)) for x in losses), ordered[1] - ordered[0] < langid.AMBIGUOUS
+
+
+def test_languages_number_by_number(spark, sf):
+    learn = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    model = langid.train(learn)
+    assert len(model.languages) == 4 and model.odds.shape == (3 * langid.BUCKETS, 7)
+    texts = ["a", "le", "und der die das", "½ ² ①", "½ x", "1 2 3", "", None, "ñandú 中文", "the " * 90, "Ünï\tx\n9z", "A"]
+    rows = langid.predict(docs(spark, [(i, t, None) for i, t in enumerate(texts)], 2), model).collect()
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score, r.ambiguous) == ("und", 0.0, False)
+            continue
+        lang, score, near = one_language(model, r.text)
+        assert r.lang_pred == lang and r.ambiguous == near and abs(r.score - score) < 1e-4
+
+
+def test_a_long_text_in_stretches(monkeypatch):
+    data = np.frombuffer("the quick brown fox 1 ".encode() * 40, np.uint8)
+    whole = next(langid._stretches(data, np.zeros(1, np.int64)))
+    monkeypatch.setattr(langid, "_CHUNK", 37)
+    parts = list(langid._stretches(data, np.zeros(1, np.int64)))
+    assert len(parts) > 20
+    for n in range(3):
+        assert np.array_equal(np.concatenate([p[n] for p in parts]), whole[n])
