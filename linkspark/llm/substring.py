@@ -12,7 +12,6 @@ reach the second pass, and the result is the same.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +27,9 @@ WINDOW = 35
 ROWS = 2
 LEAST_CELLS, MOST_CELLS = 20, 29  # as powers of two, in a row; two rows of 2**29 bits are 128 MB
 SEGMENT = 20  # cells of a segment, as a power of two
-FLUSH = 4_000_000
+FLUSH = 2_000_000  # windows a task holds before it packs them
+CHUNK = 1 << 19  # bytes of text that are looked at together
 _ROW_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
-_held: dict = {}  # the sketch that this worker process has unpacked last
 
 
 def _zstd():
@@ -92,7 +91,7 @@ def _sketch(cells: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = [], 0
         for batch in batches:
-            for _, _, data, offsets in W.chunks(batch.column(0)):
+            for _, _, data, offsets in W.chunks(batch.column(0), CHUNK):
                 own, *_ = _chunk_windows(data, offsets, size)
                 if len(own):
                     keys.append(own)
@@ -134,18 +133,19 @@ def _repeating_cells(docs: DataFrame, text: str, cells: int, size: int) -> DataF
     return laid.mapInArrow(_merge, "row int, segment int, cells binary")
 
 
-def _estimated(sketch, cells: int, keys: np.ndarray) -> np.ndarray:
+def _unfolded(sketch, cells: int) -> list[np.ndarray]:
+    """The rows of the sketch as bits; a task holds them while it runs, no longer."""
+    rows = [np.zeros(1 << (cells - 3), np.uint8) for _ in range(ROWS)]
+    for row, segment, bits in sketch.value:
+        raw = np.frombuffer(_zstd().ZstdDecompressor().decompress(bits), np.uint8)
+        rows[row][segment << (SEGMENT - 3):(segment + 1) << (SEGMENT - 3)] = raw
+    return rows
+
+
+def _estimated(rows: list[np.ndarray], cells: int, keys: np.ndarray) -> np.ndarray:
     """Whether the sketch allows each window a count of two."""
-    name, segments = sketch.value
-    if _held.get("name") != name:
-        _held.clear()
-        rows = [np.zeros(1 << (cells - 3), np.uint8) for _ in range(ROWS)]
-        for row, segment, bits in segments:
-            raw = np.frombuffer(_zstd().ZstdDecompressor().decompress(bits), np.uint8)
-            rows[row][segment << (SEGMENT - 3):(segment + 1) << (SEGMENT - 3)] = raw
-        _held.update(name=name, rows=rows)
     out = np.ones(len(keys), bool)
-    for row, bits in enumerate(_held["rows"]):
+    for row, bits in enumerate(rows):
         own = _cells(keys, row, cells)
         out &= (bits[own >> np.uint32(3)] >> (own & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
     return out
@@ -192,11 +192,11 @@ def _occurrences(sketch, cells: int, size: int):
             ids.take(pa.array(row[pick])), pa.array(prints[row[pick]])], schema=_OCCURRENCES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, n = [], 0, 0
+        held, rows, n, bits = [], 0, 0, _unfolded(sketch, cells)
         for batch in batches:
-            for a, b, data, offsets in W.chunks(batch.column(0)):
+            for a, b, data, offsets in W.chunks(batch.column(0), CHUNK):
                 keys, text, place, second = _chunk_windows(data, offsets, size)
-                hit = _estimated(sketch, cells, keys)
+                hit = _estimated(bits, cells, keys)
                 if not hit.any():
                     continue
                 held.append((keys[hit], text[hit] + rows, place[hit], batch.column(1)[a:b],
@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = min(MOST_CELLS, max(LEAST_CELLS, int(np.ceil(np.log2(max(1, volume) * 0.7)))))  # some four cells a word
     segments = [tuple(r) for r in _repeating_cells(rows, "text", cells, size).collect()]  # at most ROWS * 2**29 bits
-    sketch = spark.sparkContext.broadcast((uuid.uuid4().hex, segments))
+    sketch = spark.sparkContext.broadcast(segments)
     seen = rows.mapInArrow(_occurrences(sketch, cells, size), _ddl(_OCCURRENCES))
     laid = seen.repartition(shuffle_partitions(docs), "h1").sortWithinPartitions("h1", "x")
     found = laid.mapInArrow(_exact, _ddl(_FOUND))

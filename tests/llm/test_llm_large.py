@@ -156,7 +156,7 @@ def test_a_full_sketch_loses_nothing(spark, monkeypatch):
 def test_windows_with_equal_first_fingerprints_stay_apart(monkeypatch, tasks):
     """All windows share their first fingerprint; in one task or several, the second still tells them apart."""
     monkeypatch.setattr(substring.W, "windows", lambda prints, size: np.zeros(max(0, len(prints) - size + 1), np.uint64))
-    monkeypatch.setattr(substring, "_estimated", lambda sketch, cells, keys: np.ones(len(keys), bool))
+    monkeypatch.setattr(substring, "_unfolded", lambda sketch, cells: [])
     rnd, words = random.Random(4), vocabulary(500)
     passage = [rnd.choice(words) for _ in range(12)]
     texts = [[rnd.choice(words) for _ in range(30)] for _ in range(6)]
