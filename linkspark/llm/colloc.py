@@ -30,7 +30,7 @@ LEAST, LONGEST, TOP, UNKNOWN = 30, 4, 2000, "und"
 MOST = 2_000_000  # phrases of one trie
 CHUNK = 1 << 19  # bytes of text that are looked at together
 FLUSH = 1 << 20  # keys a task holds before it packs them
-SEGMENT = 1 << 22  # words of all texts for each segment of cells
+SEGMENT = 1 << 20  # words of all texts for each segment of cells
 LEAST_BITS, MOST_BITS = 20, 27  # of a level's filter, as powers of two
 BLOCK = 16  # states whose counts are added up together, as a power of two
 _BREAKS = list(b".,;:!?\n\x0b\x0c\r")
