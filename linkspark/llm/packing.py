@@ -11,6 +11,7 @@ half filled with the largest pieces left.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from linkspark.llm.tokens import encoder, tokenizer_path
 from linkspark.operators.skew import Agg, running
-from linkspark.session import cut, shuffle_partitions
+from linkspark.session import cut, scratch_dir, shuffle_partitions
 
 CAPACITY = 2_048
+PER_TASK = 50_000  # pieces for each task and file of a round
 ENOUGH = 0.02  # share of the pieces left that a round has to place, or new sequences are opened
 _GAP, _PIECE, _MATCH = 0, 1, 2
 
@@ -128,8 +130,8 @@ def across(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, i
 _STATE = "kind int, pid bigint, bin bigint, size bigint, at bigint"  # gap: bin, size; piece: pid, size; placed: pid, bin, at
 
 
-def _round(waiting: DataFrame, gaps: DataFrame, width: int, capacity: int) -> DataFrame:
-    """One bulk step over pieces (pid, size) and gaps (bin, size): the new state, stored."""
+def _round(waiting: DataFrame, gaps: DataFrame, width: int, capacity: int, tasks: int) -> DataFrame:
+    """One bulk step over pieces (pid, size) and gaps (bin, size): the new state, stored in ``tasks`` files."""
     spark = waiting.sparkSession
     bundles = waiting.select("pid", "size").mapInArrow(_bundles(width), _UNITS)
     empty = F.lit(None).cast("array<struct<pid:bigint,length:bigint>>").alias("members")
@@ -164,10 +166,10 @@ def _round(waiting: DataFrame, gaps: DataFrame, width: int, capacity: int) -> Da
     kept = over.filter(F.col("kind") == _GAP).select(F.lit(_GAP).alias("kind"), null.alias("pid"), "bin", F.col("gap").alias("size"), null.alias("at"))
     still = over.filter(F.col("kind") == _PIECE).select(F.inline("members")).select(
         F.lit(_PIECE).alias("kind"), "pid", null.alias("bin"), F.col("length").alias("size"), null.alias("at"))
-    return cut(placed.unionByName(smaller).unionByName(kept).unionByName(still))
+    return cut(placed.unionByName(smaller).unionByName(kept).unionByName(still).coalesce(tasks))
 
 
-def _open(waiting: DataFrame, capacity: int) -> DataFrame:
+def _open(waiting: DataFrame, capacity: int, tasks: int) -> DataFrame:
     """New sequences, half filled: the largest pieces up to half of all that is left, in stretches of half a capacity."""
     half = capacity // 2
     lined = running(waiting.select("pid", "size", (-F.col("size")).alias("down")), [], ["down", "pid"],
@@ -184,7 +186,7 @@ def _open(waiting: DataFrame, capacity: int) -> DataFrame:
     gaps = taken.filter((F.col("at") == 0) & (F.col("used") < capacity)).select(
         F.lit(_GAP).alias("kind"), null.alias("pid"), "bin", (F.lit(capacity) - F.col("used")).alias("size"), null.alias("at"))
     still = lined.filter("not taken").select(F.lit(_PIECE).alias("kind"), "pid", null.alias("bin"), "size", null.alias("at"))
-    return cut(placed.unionByName(gaps).unionByName(still))
+    return cut(placed.unionByName(gaps).unionByName(still).coalesce(tasks))
 
 
 def _part(state: DataFrame, kind: int, *columns: str) -> DataFrame:
@@ -194,32 +196,35 @@ def _part(state: DataFrame, kind: int, *columns: str) -> DataFrame:
 def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(pid, bin, at) for every row of ``lengths`` (pid, length): pieces of 1 to ``capacity`` tokens.
 
-    ``bin`` is the pid that opened the sequence; places in a sequence are gapless from 0.
+    ``bin`` is the pid that opened the sequence; places in a sequence are gapless from 0. What a round places is
+    added to one folder and read once at the end, so neither a plan nor a list of files grows with the rounds.
     """
+    folder = f"{scratch_dir(lengths.sparkSession).rstrip('/')}/linkspark/{uuid.uuid4().hex}"
+    tasks = min(shuffle_partitions(lengths), 1 + lengths.count() // PER_TASK)
+
+    def place(rows: DataFrame) -> None:
+        rows.select("pid", "bin", "at").coalesce(tasks).write.mode("append").parquet(folder)
     small = lengths.select("pid", F.col("length").alias("size")).filter(F.col("size") * 2 <= capacity)
     large = lengths.filter(F.col("length") * 2 > capacity)
-    placed = [large.select("pid", F.col("pid").alias("bin"), F.lit(0).cast("bigint").alias("at"))]
+    place(large.select("pid", F.col("pid").alias("bin"), F.lit(0).cast("bigint").alias("at")))
     gaps = large.filter(F.col("length") < capacity).select(F.col("pid").alias("bin"), (F.lit(capacity) - F.col("length")).alias("size"))
     waiting = cut(small.repartitionByRange(shuffle_partitions(lengths), F.desc("size"), "pid").sortWithinPartitions(F.desc("size"), "pid"))
     left, width = waiting.count(), capacity // 4
     holes = gaps.limit(1).count()
     while left:
         if holes:
-            state = _round(waiting, gaps, width, capacity)
-            placed.append(_part(state, _MATCH, "pid", "bin", "at"))
+            state = _round(waiting, gaps, width, capacity, tasks)
+            place(_part(state, _MATCH, "pid", "bin", "at"))
             waiting, gaps = _part(state, _PIECE, "pid", "size"), _part(state, _GAP, "bin", "size")
             after = waiting.count()
             worth = left - after > ENOUGH * left
             left, width = after, max(1, width // 2)
         if left and not (holes and worth):
-            state = _open(waiting, capacity)
-            placed.append(_part(state, _MATCH, "pid", "bin", "at"))
+            state = _open(waiting, capacity, tasks)
+            place(_part(state, _MATCH, "pid", "bin", "at"))
             waiting, gaps = _part(state, _PIECE, "pid", "size"), gaps.unionByName(_part(state, _GAP, "bin", "size"))
             left, holes, width = waiting.count(), 1, capacity // 4
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.unionByName(more)
-    return out
+    return lengths.sparkSession.read.schema("pid bigint, bin bigint, at bigint").parquet(folder)
 
 
 def pack_documents(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None, capacity: int = CAPACITY,
