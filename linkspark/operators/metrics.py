@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.operators.skew import Agg, running
+from linkspark.session import lookup_table
 
 # Bucket bounds (seconds) of the page-crawl histogram, and the customary default ones.
 CRAWL_BOUNDS = (0.5, 1.0, 2.0, 5.0, 10.0, 30.0)
@@ -53,24 +54,76 @@ def _quiet(rates: DataFrame, slide: int, by: list[str]) -> DataFrame:
 
 
 def percentiles(events: DataFrame, col: str, shares: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
-    """Exact and approximate percentiles, a row per share: ``share, exact, approximate``.
+    """Exact percentiles (linear between two ranks), a row per group and share: ``share, exact``.
 
-    The exact ones hold every distinct value of a group; at large scale read the approximate ones, whose
-    rank is off by ``1 / accuracy`` of the rows at most.
+    Ranks are selected without holding a group anywhere. A mergeable sketch, whose ranks are off by ``1 / accuracy``
+    of a group's rows at most, gives two values that surely enclose the asked ranks. Rows below are counted, rows
+    between are counted by value, and running sums over these values, split over tasks, find the ranks.
+    Null values don't count; groups without any other have no row.
     """
-    asked = F.array(*[F.lit(float(q)) for q in shares])
-    grouped = events.groupBy(*by).agg(F.percentile(col, asked).alias("exact"), F.percentile_approx(col, asked, accuracy).alias("approximate"))
-    return grouped.select(*by, F.inline(F.arrays_zip(asked.alias("share"), "exact", "approximate")))
+    keys, asked, off = list(by), [float(q) for q in shares], 2.0 / accuracy
+    own = events.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
+    near = F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, q + d))) for d in (-off, off) for q in asked]), F.lit(accuracy))
+    m = len(asked)
+    ends = F.concat(F.array_repeat(F.min("_v"), m), F.array_repeat(F.max("_v"), m))
+    # a sketch is near enough by half of what is allowed, and two ranks more; those of small groups are enclosed by all rows
+    groups = own.groupBy(*keys).agg(F.count("*").alias("_n"), near.alias("_near"), ends.alias("_ends"))
+    groups = groups.withColumn("_near", F.when(F.col("_n") < 2 * accuracy, F.col("_ends")).otherwise(F.col("_near")))
+    groups = lookup_table(groups.filter("_n > 0").select(
+        *[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "_n",
+        F.slice("_near", 1, m).alias("_low"), F.slice("_near", m + 1, m).alias("_high")))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)], F.lit(True))
+    rows = own.join(groups, same) if keys else own.join(F.broadcast(groups.withColumn("_g", F.lit(0))), F.lit(0) == F.col("_g"))
+    rows = rows.select(*keys, "_v", "_low", "_high", "_n")
+
+    below = rows.groupBy(*keys, "_n").agg(F.array(*[F.count_if(F.col("_v") < F.col("_low")[j]) for j in range(m)]).alias("_below"))
+    below = below.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "_n", F.posexplode("_below").alias("_j", "_base"))
+    inside = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.col("_v").between(F.get("_low", j), F.get("_high", j)))
+    values = rows.select(*keys, "_v", F.explode(inside).alias("_j")).groupBy(*keys, "_j", "_v").agg(F.count("*").alias("_c"))
+    summed = running(values, [*keys, "_j"], ["_v"], [Agg("_upto", "sum", F.col("_c"))])
+
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)], F.col("_j") == F.col("_k"))
+    found = summed.join(lookup_table(below.withColumnRenamed("_j", "_k")), same)
+    place = F.get(F.array(*map(F.lit, asked)), F.col("_j")) * (F.col("_n") - 1)
+    end = F.col("_base") + F.col("_upto")
+
+    def ranked(rank: Column) -> Column:
+        return F.max(F.when((end > rank) & (end - F.col("_c") <= rank), F.col("_v")))
+    picked = found.groupBy(*keys, "_j").agg(ranked(F.floor(place)).alias("_a"), ranked(F.ceil(place)).alias("_b"), F.max(place).alias("_p"))
+    share = F.col("_p") - F.floor("_p")
+    return picked.select(*keys, F.get(F.array(*map(F.lit, asked)), F.col("_j")).alias("share"),
+                         F.when(share == 0, F.col("_a")).otherwise((1 - share) * F.col("_a") + share * F.col("_b")).alias("exact"))
+
+
+def sketches(events: DataFrame, col: str, window: str = "1 minute", by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """(window_start, by, rows, sketch): a mergeable quantile sketch of ``col`` per window. Rows without a value don't count."""
+    own = events.filter(F.col(col).isNotNull())
+    return own.groupBy(F.window(ts, window)["start"].alias("window_start"), *by).agg(
+        F.count("*").alias("rows"), F.kll_sketch_agg_double(F.col(col).cast("double")).alias("sketch"))
+
+
+def rolled_up(parts: DataFrame, window: str = "1 day", by: Sequence[str] = ()) -> DataFrame:
+    """Sketches of wider windows from those of narrower ones; the events aren't read again."""
+    return parts.groupBy(F.window("window_start", window)["start"].alias("window_start"), *by).agg(
+        F.sum("rows").alias("rows"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_percentiles(parts: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """A row per sketch and share: ``share, approximate``."""
+    read = F.array(*[F.struct(F.lit(float(q)).alias("share"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias("approximate"))
+                     for q in shares])
+    return parts.select(*[c for c in parts.columns if c != "sketch"], F.inline(read))
 
 
 def failure_rate(events: DataFrame, window: str = "5 minutes", slide: str | None = None,
                  status: str = "status", ts: str = "ts") -> DataFrame:
     """Failures per second, and their share of all task events, per window."""
-    failed = F.count_if(F.col(status) == "FAILURE")
-    counted = events.groupBy(F.window(ts, window, slide or window).alias("_w")).agg(
-        failed.alias("failures"), F.count("*").alias("events"))
-    return counted.select(F.col("_w.start").alias("window_start"), "failures", "events",
-                          (F.col("failures") / seconds(window)).alias("per_second"),
+    failed = F.coalesce(F.col(status) == "FAILURE", F.lit(False))
+    # counted by slides, as any rate is: the events aren't multiplied by the windows they lie in
+    rates = rate(events.withColumn("_failed", failed), window, slide, ["_failed"], ts)
+    mine = F.when(F.col("_failed"), F.col("events")).otherwise(F.lit(0))
+    counted = rates.groupBy("window_start").agg(F.sum(mine).alias("failures"), F.sum("events").alias("events"))
+    return counted.select("window_start", "failures", "events", (F.col("failures") / seconds(window)).alias("per_second"),
                           (F.col("failures") / F.col("events")).alias("share"))
 
 

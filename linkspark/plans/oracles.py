@@ -656,6 +656,8 @@ s AS (SELECT event_type, unnest(generate_series(min(w), max(w), INTERVAL 1 HOUR)
 c AS (SELECT w AS window_start, event_type, count(*) AS n FROM e GROUP BY ALL)
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, coalesce(n, 0) AS events, round(coalesce(n, 0) / 3600, 9) AS per_second
 FROM s LEFT JOIN c USING (window_start, event_type)"""
+ORACLES["sketched_percentiles"] = """SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, share,
+  count(value) AS rows, true AS near FROM events, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) q(share) WHERE value IS NOT NULL GROUP BY ALL"""
 ORACLES["value_percentiles"] = """SELECT event_type, share, round(CASE share WHEN 0.5 THEN a WHEN 0.95 THEN b ELSE c END, 6) AS exact
 FROM (SELECT event_type, quantile_cont(value, 0.5) AS a, quantile_cont(value, 0.95) AS b, quantile_cont(value, 0.99) AS c FROM events GROUP BY 1),
   (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) q(share)"""

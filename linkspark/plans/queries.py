@@ -649,6 +649,19 @@ def value_percentiles(spark, sf):
     return rows.select("event_type", "share", F.round("exact", 6).alias("exact"))
 
 
+@query
+def sketched_percentiles(spark, sf):
+    """Sketches of hours rolled up to days; ``near`` says that the rank of what they give is off by 3 % at most."""
+    events = _events(spark, sf)
+    days = M.rolled_up(M.sketches(events, "value", "1 hour", ["event_type"]), "1 day", ["event_type"])
+    read = cut(M.sketch_percentiles(days, (0.5, 0.95)))
+    rows = events.filter("value is not null").select(F.window("ts", "1 day")["start"].alias("window_start"), "event_type", "value")
+    ranks = rows.join(read, ["window_start", "event_type"]).groupBy("window_start", "event_type", "share", "rows").agg(
+        F.count_if(F.col("value") < F.col("approximate")).alias("below"), F.count_if(F.col("value") <= F.col("approximate")).alias("upto"))
+    off = F.greatest(F.col("below") / F.col("rows") - F.col("share"), F.col("share") - F.col("upto") / F.col("rows"))
+    return ranks.select("window_start", "event_type", "share", "rows", (off <= 0.03).alias("near"))
+
+
 @query
 def failure_rate(spark, sf):
     rows = M.failure_rate(_events(spark, sf), "6 hours")

@@ -1,4 +1,5 @@
 """Rates, histograms, quantiles, gauges."""
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -62,3 +63,40 @@ def test_gauges(spark):
 def test_totals(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
     assert {r.k: r.total for r in M.totals(df, ["k"]).collect()} == {"a": 2, "b": 1}
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_exact_percentiles_by_ranks(spark, accuracy):
+    rnd = random.Random(accuracy)
+    rows = [("hot", rnd.choice([rnd.gauss(0, 1), 5.0, -1e200, 1e-300])) for _ in range(4000)] + [("one", 7.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    rows += [(None, float(i)) for i in range(11)] + [("same", 3.0)] * 500
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    shares = (0.0, 0.25, 0.5, 0.95, 0.999, 1.0)
+    got = {(r.k, r.share): r.exact for r in M.percentiles(df, "v", shares, ["k"], accuracy).collect()}
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        own = sorted(v for x, v in rows if x == k and v is not None)
+        for q in shares:
+            at = q * (len(own) - 1)
+            a, b = own[math.floor(at)], own[math.ceil(at)]
+            want[k, q] = a if a == b else (1 - at % 1) * a + at % 1 * b
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    whole = {r.share: r.exact for r in M.percentiles(df, "v", (0.5,), accuracy=accuracy).collect()}
+    own = sorted(v for _, v in rows if v is not None)
+    assert whole[0.5] == pytest.approx((own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2)
+    assert M.percentiles(df.filter("k = 'none'"), "v", (0.5,), ["k"]).count() == 0
+
+
+def test_no_group_is_held_for_percentiles(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    plan = M.percentiles(df, "v", (0.5,), ["k"])._jdf.queryExecution().toString()
+    assert " percentile(" not in plan and "collect_list(_v" not in plan
+
+
+def test_sketches_roll_up(spark):
+    df = spark.range(5000).select(F.timestamp_seconds(F.col("id") * 20).alias("ts"), (F.col("id") % 1000).cast("double").alias("v"))
+    parts = M.sketches(df, "v", "1 hour")
+    assert parts.count() > 20
+    read = M.sketch_percentiles(M.rolled_up(parts, "30 days"), (0.1, 0.5, 0.9)).collect()
+    assert [r.rows for r in read] == [5000] * 3
+    assert all(abs(r.approximate - 1000 * r.share) < 30 for r in read)
