@@ -8,6 +8,7 @@ costs a task, not the crawl.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from linkspark.functions import urls as U
 from linkspark.operators import robots as R
 from linkspark.operators.links import MAX_CHILD_LINKS
 from linkspark.operators.skew import Agg, running
-from linkspark.session import cut
+from linkspark.session import cut, scratch_dir
 
 ORD = "decimal(38,0)"  # (links + 1) ^ depth outgrows a long at the deepest allowed crawl
 VISITED = ("success", "error", "robots_denied")
@@ -64,13 +65,14 @@ def crawl(jobs: DataFrame, site: DataFrame, groups: DataFrame | None = None,
     attempts = live.select("job_id", "url", F.sha2("url", 256).alias("url_hash"),
                            F.lit(0).cast(ORD).alias("ord"), F.lit(None).cast("string").alias("parent_url"))
     levels: list[DataFrame] = []
+    # what later rounds need of earlier ones: one narrow table of visited keys, added to round by round and read once
+    # in each, and a count per job; the levels themselves are read at the end only
+    visited, used = _Visited(site.sparkSession), None
     for depth in range(0 if deepest is None else deepest + 1):
-        found = cut(_judge(attempts, levels, flags, live, groups, agent))
+        found = cut(_judge(attempts, visited, flags, live, groups, agent))
         budget = found.groupBy("job_id").agg(F.count_if("ok").alias("_n")).join(
             live.select("job_id", "max_pages"), "job_id")
-        if levels:
-            used = (_union(levels).filter("outcome = 'success'").groupBy("job_id")
-                    .agg(F.count("*").alias("_used")))
+        if used is not None:
             budget = budget.join(used, "job_id", "left")
         else:
             budget = budget.withColumn("_used", F.lit(0))
@@ -86,6 +88,11 @@ def crawl(jobs: DataFrame, site: DataFrame, groups: DataFrame | None = None,
             level = _outcome(found.withColumn("_stop", F.lit(None).cast(ORD))
                              .withColumn("late", F.lit(0).cast("long")), depth)
         levels.append(level)
+        if depth == deepest:
+            break
+        visited.add(level)
+        spent_now = level.filter("outcome = 'success'").groupBy("job_id").agg(F.count("*").alias("_used"))
+        used = cut(spent_now if used is None else used.unionByName(spent_now).groupBy("job_id").agg(F.sum("_used").alias("_used")))
         open_jobs = live.filter(F.col("max_depth") > depth).select("job_id")
         attempts = (level.filter("outcome = 'success'").join(open_jobs, "job_id")
                     .join(site.select("url_hash", "links"), "url_hash")
@@ -102,16 +109,30 @@ def crawl(jobs: DataFrame, site: DataFrame, groups: DataFrame | None = None,
     return _union([*levels, refused])
 
 
-def _judge(attempts: DataFrame, levels: list[DataFrame], flags: DataFrame, live: DataFrame,
+class _Visited:
+    """(job_id, url_hash) of all rounds so far, in one folder. Joins with it are narrowed by Spark's own runtime filters."""
+
+    def __init__(self, spark) -> None:
+        self.spark, self.path, self.schema = spark, f"{scratch_dir(spark).rstrip('/')}/linkspark/{uuid.uuid4().hex}", None
+
+    def add(self, level: DataFrame) -> None:
+        own = level.filter(F.col("outcome").isin(*VISITED)).select("job_id", "url_hash")
+        own.write.mode("append").parquet(self.path)
+        self.schema = own.schema
+
+    def read(self) -> DataFrame | None:
+        return None if self.schema is None else self.spark.read.schema(self.schema).parquet(self.path)
+
+
+def _judge(attempts: DataFrame, visited: _Visited, flags: DataFrame, live: DataFrame,
            groups: DataFrame | None, agent: str) -> DataFrame:
     """First attempt per (job, URL) with everything the gates need to know."""
     rows = (attempts.groupBy("job_id", "url_hash")
             .agg(F.min(F.struct("ord", "url", "parent_url")).alias("_f"), F.count("*").alias("attempts"))
             .select("job_id", "url_hash", "_f.*", "attempts"))
-    if levels:
-        seen = _union(levels).filter(F.col("outcome").isin(*VISITED)).select(
-            "job_id", "url_hash", F.lit(True).alias("seen"))
-        rows = rows.join(seen, ["job_id", "url_hash"], "left")
+    known = visited.read()
+    if known is not None:
+        rows = rows.join(known.withColumn("seen", F.lit(True)), ["job_id", "url_hash"], "left")
     else:
         rows = rows.withColumn("seen", F.lit(None).cast("boolean"))
     rows = rows.withColumn("seen", F.coalesce("seen", F.lit(False))).join(flags, "url_hash", "left")

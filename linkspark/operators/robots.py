@@ -79,18 +79,34 @@ def rule_target(url: str) -> str:
     return f"coalesce(nullif({target}, ''), '/')"
 
 
+def prefix_index(groups: DataFrame, agent: str = DEFAULT_AGENT) -> tuple[DataFrame, DataFrame]:
+    """(host, prefix, first): for every prefix that a host has rules on the first of them, as (seq, allow); and
+    (host, lengths): the lengths of a host's prefixes. ``*`` alone is the empty prefix."""
+    policy = lookup_table(robots_policy(groups, agent).select("host", "rules"))
+    rules = policy.select("host", F.inline("rules")).select(
+        F.col("host").alias("_host"), F.when(F.col("path") == "*", "").otherwise(F.col("path")).alias("_prefix"), "seq", "allow")
+    first = rules.groupBy("_host", "_prefix").agg(F.min(F.struct("seq", "allow")).alias("_first"))
+    lengths = rules.groupBy("_host").agg(F.array_sort(F.collect_set(F.length("_prefix"))).alias("_lengths"))
+    return first, lengths
+
+
 def robots_allowed(urls: DataFrame, groups: DataFrame, agent: str = DEFAULT_AGENT,
                    col: str = "url", respect: bool = True) -> DataFrame:
-    """Add ``allowed``. A host is one row with its rules as an array: no URL-by-rule pairs arise."""
+    """Add ``allowed``: what the first matching rule in file order says, else yes.
+
+    A URL looks up its own prefixes, of the lengths that its host has rules on, in an index of prefixes; a host's
+    rules are never copied to its URLs, however many there are. URLs of one target are looked up once.
+    """
     if not respect:
         return urls.withColumn("allowed", F.lit(True))
-    hosts = lookup_table(robots_policy(groups, agent).select(F.col("host").alias("_host"), "rules"))
-    judged = (urls.withColumn("_host", F.expr(U.host(col)))
-              .withColumn("_target", F.expr(rule_target(col)))
-              .join(hosts, "_host", "left"))
-    match = F.filter("rules", lambda r: (r["path"] == "*") | F.startswith(F.col("_target"), r["path"]))
-    return (judged.withColumn("allowed", F.coalesce(F.get(match, F.lit(0))["allow"], F.lit(True)))
-            .drop("_host", "_target", "rules"))
+    first, lengths = prefix_index(groups, agent)
+    judged = urls.withColumn("_host", F.expr(U.host(col))).withColumn("_target", F.expr(rule_target(col)))
+    asked = judged.select("_host", "_target").distinct().join(lengths, "_host")
+    own = F.transform(F.filter("_lengths", lambda n: n <= F.length("_target")), lambda n: F.substring(F.col("_target"), F.lit(1), n))
+    met = asked.select("_host", "_target", F.explode(own).alias("_prefix")).join(first, ["_host", "_prefix"])
+    verdicts = lookup_table(met.groupBy("_host", "_target").agg(F.min("_first")["allow"].alias("_allow")))
+    return (judged.join(verdicts, ["_host", "_target"], "left")
+            .withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_host", "_target", "_allow").select(*urls.columns, "allowed"))
 
 
 def crawl_delays(hosts: DataFrame, groups: DataFrame, agent: str = DEFAULT_AGENT,

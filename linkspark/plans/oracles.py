@@ -320,6 +320,9 @@ ORACLES["crawl_budget"] = f"WITH {_crawl_sql()} SELECT job_id, url, depth, outco
 ORACLES["crawl_outcomes"] = f"WITH {_attempts_sql(4)}"
 ORACLES["crawl_robots"] = f"WITH {_attempts_sql(100_000, robots=True)}"
 
+ORACLES["crawl_cancelled"] = f"""SELECT * FROM (WITH {_attempts_sql(100_000)}) WHERE length(job_id) % 2 = 1
+UNION ALL SELECT DISTINCT {_HOST}, 'cancelled', CAST(1 AS BIGINT) FROM pages WHERE length({_HOST}) % 2 = 0"""
+
 # --- robots and admission -----------------------------------------------------------------------------------
 
 ORACLES["robots_rules"] = f"""WITH {_ROBOT_HOSTS},
@@ -672,3 +675,9 @@ ORACLES["stream_check"] = f"""WITH {_BROKEN}
 SELECT DISTINCT job_id, source_url, broken_url, status_code, error_type, error_message, CAST(1 AS INTEGER) AS depth FROM broken"""
 ORACLES["stream_counters"] = """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS total_pages_crawled,
   CAST(sum(event_id % 7) AS BIGINT) AS total_links_found FROM events WHERE user_id % 10 <> 3 OR user_id % 20 = 3 GROUP BY user_id"""
+ORACLES["merge_pages"] = ORACLES["upsert_pages"]
+ORACLES["robots_statuses"] = ORACLES["crawl_delays"].replace("WHEN 1 THEN 2 WHEN 3", "WHEN 3")
+ORACLES["jobs_after"] = """WITH j AS (SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CAST(o_custkey AS VARCHAR) AS user_id,
+  CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'IN_PROGRESS' ELSE 'PENDING' END AS status,
+  CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders), l AS (SELECT created_at AS t, job_id AS k FROM j WHERE job_id = '700')
+SELECT j.* FROM j, l WHERE created_at < t OR (created_at = t AND job_id > k) ORDER BY created_at DESC, job_id LIMIT 100"""

@@ -81,8 +81,8 @@ def rejected_link_jobs(spark, sf):
     return tables.parse_link_jobs(_damaged(spark, sf))[1].select("page_id")
 
 
-@query
-def upsert_pages(spark, sf):
+def _page_versions(spark, sf):
+    """Stored pages, and newer and older versions of some."""
     p = fx.table(spark, sf, "pages").select("page_id", "url")
     rows = U.canonicalize(p).select(
         F.lit("job").alias("job_id"), F.sha2("canonical", 256).alias("url_hash"), "page_id",
@@ -90,7 +90,22 @@ def upsert_pages(spark, sf):
     shift = F.when(F.col("page_id") % 2 == 0, F.expr("interval 1 hour")).otherwise(F.expr("interval -1 hour"))
     new = rows.filter("page_id % 3 != 1").withColumn("version", F.lit("new")).withColumn(
         "crawled_at", F.col("crawled_at") + shift)
-    return sinks.upsert_pages(new, rows)
+    return new, rows
+
+
+@query
+def upsert_pages(spark, sf):
+    return sinks.upsert_pages(*_page_versions(spark, sf))
+
+
+@query
+def merge_pages(spark, sf):
+    """A stored table of pages after two merges, the second of them run twice."""
+    new, rows = _page_versions(spark, sf)
+    path = f"{scratch_dir(spark).rstrip('/')}/merged/{uuid.uuid4().hex}"
+    for batch in (rows, new, new):
+        sinks.merge_pages(batch, path)
+    return spark.read.parquet(path).select(*rows.columns)
 
 
 @query
@@ -256,8 +271,25 @@ def crawl_robots(spark, sf):
     return C.crawl_outcomes(_crawl(spark, sf, robots=True), "job_id")
 
 
+@query
+def crawl_cancelled(spark, sf):
+    """Every other job was cancelled before it began."""
+    jobs = fx.jobs(spark, sf).withColumn("status", F.when(F.length("job_id") % 2 == 0, "CANCELLED").otherwise(F.col("status")))
+    return C.crawl_outcomes(C.crawl(jobs, C.crawl_site(fx.linked(spark, sf))), "job_id")
+
+
 # --- robots and admission ----------------------------------------------------------------------
 
+@query
+def robots_statuses(spark, sf):
+    """Delays from stored robots texts some of which were not found: these allow all and delay nothing."""
+    texts = fx.robots(spark, sf).withColumn("status", F.when(F.col("body").contains("/fr/"), 404).otherwise(200))
+    path = f"{scratch_dir(spark).rstrip('/')}/robots/{uuid.uuid4().hex}"
+    texts.write.parquet(path)
+    hosts = fx.table(spark, sf, "pages").select(fx.host().alias("host")).distinct()
+    return B.crawl_delays(hosts, B.robots_groups(tables.read_robots(spark, path, "host string, body string, status int")))
+
+
 @query
 def robots_rules(spark, sf):
     return B.robots_rules(fx.robots(spark, sf)).withColumn("agents", F.array_join("agents", ","))
@@ -480,6 +512,13 @@ def list_jobs(spark, sf):
     return rows
 
 
+@query
+def jobs_after(spark, sf):
+    """The jobs that follow a row in the middle of the list."""
+    last = fx.order_jobs(spark, sf).filter("job_id = '700'").select("created_at", "job_id").first()
+    return J.page_after(fx.order_jobs(spark, sf), "created_at", "job_id", tuple(last), 100)
+
+
 @query
 def job_counters(spark, sf):
     return J.job_counters(_job_pages(spark, sf).select("job_id", "links_count", "error"),

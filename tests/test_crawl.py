@@ -101,3 +101,19 @@ def test_link_cap_and_deep_order(spark):
     out = C.crawl(jobs, _site(spark, chain, 2)).collect()
     assert sorted(r.depth for r in out) == list(range(11))
     assert out[0].url_hash == hashlib.sha256(out[0].url.encode()).hexdigest()
+
+
+def test_a_round_reads_visited_keys_once(spark, monkeypatch):
+    """Rounds after the first read one folder of narrow keys, and no earlier level."""
+    reads, real = [], C._Visited.read
+
+    def counted(self):
+        reads.append(self.schema)
+        return real(self)
+    monkeypatch.setattr(C._Visited, "read", counted)
+    pages = {f"http://h.com/{i}": ([f"http://h.com/{i + 1}", f"http://h.com/{max(0, i - 1)}"], None) for i in range(6)}
+    jobs = spark.createDataFrame([("j", "http://h.com/0", 4, 100, True, "IN_PROGRESS")], JOBS)
+    site = _site(spark, pages, 2)
+    rows = C.crawled_urls(C.crawl(jobs, site)).collect()
+    assert sorted((r.url, r.depth) for r in rows) == [(f"http://h.com/{i}", i) for i in range(5)]
+    assert reads[0] is None and len(reads) == 5 and all(s.names == ["job_id", "url_hash"] for s in reads[1:])

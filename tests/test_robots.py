@@ -81,3 +81,28 @@ def test_robots_source_and_one_text_per_host(spark, tmp_path):
                                 "host string, body string, fetched_at int")
     assert [(r.seq, r.allow, r.path) for r in R.robots_rules(two).orderBy("seq").collect()] == [
         (1, True, "/old/new"), (2, False, "/old")]
+
+
+def test_many_rules_on_one_host(spark):
+    """Ten thousand rules: the first in file order that fits decides, and no URL carries them."""
+    rnd = random.Random(8)
+    paths = ["/" + "".join(rnd.choice("abc/") for _ in range(rnd.randrange(0, 7))) for _ in range(10_000)]
+    rules = [(rnd.choice(["Allow", "Disallow"]), p) for p in paths]
+    body = "User-agent: *\n" + "\n".join(f"{k}: {p}" for k, p in rules)
+    robots = spark.createDataFrame([("h.com", body), ("star.com", "User-agent: *\nAllow: /x\nDisallow: *\n")], "host string, body string")
+    urls = [f"http://h.com/{''.join(rnd.choice('abcd/') for _ in range(rnd.randrange(0, 9)))}" for _ in range(300)]
+    urls += urls[:5] + ["http://star.com/x1", "http://star.com/y", "http://other.com/"]
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "i int, url string, rules int")
+    groups = R.robots_groups(robots)
+    out = R.robots_allowed(df, groups)
+    assert out.columns == ["i", "url", "rules", "allowed"]
+    got = {r.i: r.allowed for r in out.collect()}
+    for i, u in enumerate(urls):
+        if "star" in u or "other" in u:
+            assert got[i]  # a star is quoted like any other character, so it fits nothing here
+            continue
+        target = "/" + u.split("/", 3)[3]
+        want = next((k == "Allow" for k, p in rules if target.startswith(p)), True)
+        assert got[i] == want, u
+    first, lengths = R.prefix_index(groups)
+    assert lengths.agg(F.max(F.size("_lengths"))).first()[0] <= 8 and 1000 < first.filter("_host = 'h.com'").count() <= len(set(paths))

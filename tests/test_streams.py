@@ -251,3 +251,26 @@ def test_counters_by_batches(spark, tmp_path):
         assert read() == {"a": (1, 1), "b": (1, 1)}
     (tmp_path / "counters" / "base" / "upto=3").mkdir()  # a compaction that never ended
     assert read() == {"a": (1, 1), "b": (1, 1)}
+
+
+def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    schema = "job_id string, url_hash string, title string, crawled_at timestamp"
+
+    def pages(*rows):
+        return spark.createDataFrame([("j", h, t, at(s)) for h, t, s in rows], schema)
+
+    def files():
+        return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in sorted((tmp_path / "pages").rglob("*.parquet"))}
+
+    def rows():
+        return {(r.url_hash, r.title) for r in spark.read.parquet(path).collect()}
+    sinks.merge_pages(pages(("aa1", "old", 5), ("aa2", "kept", 5), ("bb1", "other", 5)), path)
+    before = files()
+    sinks.merge_pages(pages(("aa1", "new", 6), ("aa2", "too old", 1), ("cc1", "added", 1)), path)
+    assert rows() == {("aa1", "new"), ("aa2", "kept"), ("bb1", "other"), ("cc1", "added")}
+    after = files()
+    assert {f: t for f, t in after.items() if "part=bb" in f} == {f: t for f, t in before.items() if "part=bb" in f}
+    assert not any("part=aa" in f and f in before for f in after)
+    sinks.merge_pages(pages(("aa1", "new", 6), ("aa2", "too old", 1), ("cc1", "added", 1)), path)
+    assert rows() == {("aa1", "new"), ("aa2", "kept"), ("bb1", "other"), ("cc1", "added")}
