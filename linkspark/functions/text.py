@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from linkspark.functions.sql import lam, let, struct
 
@@ -25,7 +23,8 @@ STOP_WORDS = (
 def tokens(text: Column, analyzer: str = "english") -> Column:
     """Index terms of a text in order; position i of the array is token i of the text.
 
-    ``standard`` lower-cases. ``english`` also drops possessives and stop words and stems.
+    ``standard`` lower-cases. ``english`` also drops possessives and stop words; its terms are the stems of what is
+    left, see :func:`stems`.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     if analyzer == "standard":
@@ -33,13 +32,7 @@ def tokens(text: Column, analyzer: str = "english") -> Column:
     if analyzer != "english":
         raise ValueError(f"unknown analyzer {analyzer!r}")
     bare = F.transform(words, lambda w: F.regexp_replace(w, "['’]s$", ""))
-    kept = F.filter(bare, lambda w: ~w.isin(*STOP_WORDS))
-    return stem_words(kept)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def stem_words(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: [stem(w) for w in ws])
+    return F.filter(bare, lambda w: ~w.isin(*STOP_WORDS))
 
 
 # --- Porter's suffix stripping (An algorithm for suffix stripping, 1980) -----------------
@@ -77,6 +70,68 @@ def _longest(word: str, suffixes) -> str | None:
     return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
 
 
+def _shape_of(word: Column) -> Column:
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    return F.aggregate(letters, F.lit(""), lambda out, c: F.concat(out, F.when(
+        c.isin(*_VOWEL) | ((c == "y") & out.endswith("c")), "v").otherwise("c")))
+
+
+def stems(words: DataFrame, column: str = "word") -> DataFrame:
+    """(column, stem) for every distinct word: the published steps, one column after another.
+
+    Worked out once per word of the vocabulary; texts are joined with it. Words with other than ASCII letters, and
+    those of up to two, are their own stems.
+    """
+    w, shape = F.col("_w"), F.col("_s")
+
+    def head(n) -> Column:  # all but n letters
+        return F.left(w, F.length(w) - n)
+
+    def measure(n) -> Column:
+        return F.regexp_count(F.left(shape, F.length(shape) - n), F.lit("vc"))
+
+    def voiced(n) -> Column:
+        return F.left(shape, F.length(shape) - n).contains("v")
+
+    def ends_cvc(word: Column, own: Column) -> Column:
+        return own.endswith("cvc") & ~F.right(word, F.lit(1)).isin("w", "x", "y")
+
+    def step(df: DataFrame, value: Column) -> DataFrame:
+        return df.withColumn("_w", value).withColumn("_s", _shape_of(F.col("_w")))
+
+    def longest(suffixes, then) -> Column:
+        out = F.when(F.lit(False), w)
+        for suffix in sorted(suffixes, key=len, reverse=True):
+            out = out.when(w.endswith(suffix), then(suffix))
+        return out.otherwise(w)
+    every = words.select(column).distinct()
+    plain = F.col(column).rlike("^[a-z]{3,}$")
+    df = every.filter(plain).withColumn("_w", F.col(column))
+    df = step(df, F.when(w.endswith("sses") | w.endswith("ies"), head(2)).when(w.endswith("s") & ~w.endswith("ss"), head(1)).otherwise(w))
+    # past and progressive forms: what is left of them is mended
+    size = F.when(w.endswith("eed"), None).when(w.endswith("ed") & voiced(2), 2).when(w.endswith("ing") & voiced(3), 3)
+    df = df.withColumn("_eed", F.when(w.endswith("eed") & (measure(3) > 0), head(1))).withColumn("_cut", size)
+    df = df.withColumn("_c", F.left(w, F.length(w) - F.col("_cut"))).withColumn("_cs", F.left(shape, F.length(shape) - F.col("_cut")))
+    c, cs = F.col("_c"), F.col("_cs")
+    last = F.right(c, F.lit(1))
+    double = (F.length(c) > 1) & (last == F.substring(c, -2, 1)) & cs.endswith("c") & ~last.isin("l", "s", "z")
+    mended = (F.when(c.endswith("at") | c.endswith("bl") | c.endswith("iz"), F.concat(c, F.lit("e")))
+              .when(double, F.left(c, F.length(c) - 1))
+              .when((F.regexp_count(cs, F.lit("vc")) == 1) & ends_cvc(c, cs), F.concat(c, F.lit("e"))).otherwise(c))
+    df = step(df, F.when(c.isNotNull(), mended).otherwise(F.coalesce("_eed", w))).drop("_eed", "_cut", "_c", "_cs")
+    df = step(df, F.when(w.endswith("y") & voiced(1), F.concat(head(1), F.lit("i"))).otherwise(w))
+    for table in (_STEP2, _STEP3):
+        df = step(df, longest(table, lambda s, t=table: F.when(
+            measure(len(s)) > 0, F.concat(head(len(s)), F.lit(t[s]))).otherwise(w)))
+    enough = lambda s: (measure(len(s)) > 1) & (
+        head(3).endswith("s") | head(3).endswith("t") if s == "ion" else F.lit(True))
+    df = step(df, longest(_STEP4, lambda s: F.when(enough(s), head(len(s))).otherwise(w)))
+    short = ends_cvc(head(1), F.left(shape, F.length(shape) - 1))
+    df = step(df, F.when(w.endswith("e") & ((measure(1) > 1) | ((measure(1) == 1) & ~short)), head(1)).otherwise(w))
+    df = step(df, F.when(w.endswith("ll") & (measure(1) > 1), head(1)).otherwise(w))
+    return df.select(column, w.alias("stem")).unionByName(every.filter(~plain).select(column, F.col(column).alias("stem")))
+
+
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     if len(word) <= 2 or not word.isascii() or not word.isalpha():

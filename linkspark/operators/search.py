@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from linkspark.functions import text as T
-from linkspark.session import cut, shuffle_partitions
+from linkspark.session import cut, lookup_table, shuffle_partitions
 
 K1, B = 1.2, 0.75
 BOOSTS = {"title": 3.0, "content": 1.0}
@@ -142,18 +142,41 @@ def analyze(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str, ana
     names = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in names.items()])
     rows = df.select(F.col(doc).alias("doc_id"), F.inline(fields))
-    return rows.select("field", "doc_id", T.tokens(F.col("text"), analyzer).alias("tokens"))
+    rows = rows.select("field", "doc_id", T.tokens(F.col("text"), analyzer).alias("tokens"))
+    if analyzer == "standard":
+        return rows
+    # a row's words get their stems, and come together again in their order
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    words = rows.select("_row", F.posexplode("tokens").alias("pos", "word"))
+    told = words.join(lookup_table(T.stems(words)), "word").groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("_stems"))
+    return rows.join(told, "_row", "left").select(
+        "field", "doc_id", F.coalesce(F.col("_stems.stem"), F.array().cast("array<string>")).alias("tokens"))
+
+
+def _words(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str, analyzer: str, positions: bool) -> DataFrame:
+    """(field, term, doc_id, length, tf): the words of every document, counted; english ones by their stems."""
+    names = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in names.items()])
+    rows = df.select(F.col(doc).alias("doc_id"), F.inline(fields))
+    rows = rows.select("field", "doc_id", T.tokens(F.col("text"), analyzer).alias("tokens"))
+    words = rows.select("field", "doc_id", F.size("tokens").alias("length"),
+                        F.posexplode_outer("tokens").alias("pos", "term")).filter("term is not null")
+    extra = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
+    # all tokens of a document sit in one partition, so counting is nearly done before the shuffle;
+    # the text is analysed once, everything else comes from the written postings
+    counted = cut(words.groupBy("field", "term", "doc_id", "length").agg(F.count("*").alias("tf"), *extra))
+    if analyzer == "standard":
+        return counted
+    # the stems of the distinct words are worked out once, and join the counted words
+    own = counted.join(lookup_table(T.stems(counted, "term")), "term")
+    extra = [F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")] if positions else []
+    return cut(own.groupBy("field", F.col("stem").alias("term"), "doc_id", "length").agg(F.sum("tf").alias("tf"), *extra))
 
 
 def build_index(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str = "doc_id",
                 analyzer: str = "english", positions: bool = False) -> Index:
-    analyzed = analyze(df, columns, doc, analyzer)
-    words = analyzed.select("field", "doc_id", F.size("tokens").alias("length"),
-                            F.posexplode_outer("tokens").alias("pos", "term")).filter("term is not null")
-    extra = [F.sort_array(F.collect_list("pos")).alias("positions")] if positions else []
-    # all tokens of a document sit in one partition, so counting is nearly done before the shuffle;
-    # the text is analysed once, everything else comes from the written postings
-    postings = cut(words.groupBy("field", "term", "doc_id", "length").agg(F.count("*").alias("tf"), *extra))
+    postings = _words(df, columns, doc, analyzer, positions)
     lengths = postings.groupBy("field", "doc_id").agg(F.max("length").alias("length"))
     stats = cut(lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length")))
     rated = postings.join(F.broadcast(stats.select("field", "mean_length")), "field")  # a row per field
@@ -167,10 +190,17 @@ def term_stats(index: Index) -> DataFrame:
         F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
+def term_frequencies(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str = "doc_id", analyzer: str = "english") -> DataFrame:
+    """(field, term, tf): occurrences of every term."""
+    return _words(df, columns, doc, analyzer, False).groupBy("field", "term").agg(F.sum("tf").alias("tf"))
+
+
 def query_terms(queries: DataFrame, analyzer: str = "english") -> DataFrame:
     """(query_id, qterm, qtf) of ``queries(query_id, query)``."""
-    words = queries.select("query_id", F.explode_outer(T.tokens(F.col("query"), analyzer)).alias("qterm"))
-    return words.filter("qterm is not null").groupBy("query_id", "qterm").agg(F.count("*").alias("qtf"))
+    words = queries.select("query_id", F.explode_outer(T.tokens(F.col("query"), analyzer)).alias("qterm")).filter("qterm is not null")
+    if analyzer != "standard":
+        words = words.join(lookup_table(T.stems(words, "qterm")), "qterm").select("query_id", F.col("stem").alias("qterm"))
+    return words.groupBy("query_id", "qterm").agg(F.count("*").alias("qtf"))
 
 
 def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:
@@ -193,14 +223,14 @@ def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int | None = N
     return found.select("field", "qterm", "term", "edits", "weight", "df")
 
 
-def _words(vocabulary: DataFrame) -> DataFrame:
+def _vocabulary(vocabulary: DataFrame) -> DataFrame:
     # testing or unfolding a term costs far more than its few bytes, so they are spread wide
     return vocabulary.select("term").repartition(shuffle_partitions(vocabulary), "term").distinct()
 
 
 def _near_pairs(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(qterm, term) that may be close: every pair within the edits that the query term allows, and some more."""
-    words = _words(vocabulary)
+    words = _vocabulary(vocabulary)
     short = wanted.filter(F.length("qterm") < LONG_WORD)
     left = _unfolded(short, "qterm", T.edits_allowed("qterm"))
     # only vocabulary whose length is within reach of some query term is unfolded

@@ -601,8 +601,7 @@ def analyze_standard(spark, sf):
 
 @query
 def analyze_english(spark, sf):
-    rows = S.analyze(fx.documents(spark, sf), {"content": "text"}, "doc_id", "english")
-    return rows.select(F.explode_outer("tokens").alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("tf"))
+    return S.term_frequencies(fx.documents(spark, sf), {"content": "text"}).select("term", "tf")
 
 
 @query

@@ -32,6 +32,21 @@ def test_stems():
     assert {w: T.stem(w) for w in STEMS} == STEMS
 
 
+def test_stems_of_a_vocabulary(spark, sf):
+    """The columns say what the letter-by-letter form says, for the published pairs and for whatever is in the texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rnd = random.Random(3)
+    ends = [*T._STEP2, *T._STEP3, *T._STEP4, "ed", "ing", "eed", "s", "sses", "ies", "y", "e", "ll", "yy", ""]
+    made = {"".join(rnd.choice("aeioubcdstylyz") for _ in range(rnd.randrange(1, 6))) + rnd.choice(ends) for _ in range(3000)}
+    words = spark.createDataFrame([(w,) for w in [*STEMS, *made, "", "a", "été", "x1ing", "don't"]], "word string")
+    words = words.unionByName(docs.select(F.explode(T.tokens(F.col("text"), "standard")).alias("word")))
+    got = {r.word: r.stem for r in T.stems(words).collect()}
+    assert len(got) > 4000 and all(got[w] == s for w, s in STEMS.items())
+    assert {w: s for w, s in got.items() if T.stem(w) != s} == {}
+    plan = T.stems(words)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_analyzers(spark):
     df = spark.createDataFrame([(1, "The Cat's running, cats ran: don't e.g. stop_it 3.5 été")], "doc_id int, t string")
     english = S.analyze(df, ["t"], "doc_id").first().tokens
