@@ -32,11 +32,12 @@ _GAP, _PIECE, _MATCH = 0, 1, 2
 
 
 def pieces(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None, capacity: int = CAPACITY,
-           key: str = "doc_id", text: str = "text") -> DataFrame:
+           key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """(pid, doc_id, piece, start, length, ids_crc32) of every document, stored.
 
     A document is the ids of its whole text and ``end_id`` (null: the end alone); only a longer one than
-    ``capacity`` is cut, and what is over stands in its first piece.
+    ``capacity`` is cut, and what is over stands in its first piece. ``keep`` leaves the pieces of words that a
+    worker process knows to its later tasks; without it a task gives them up when it ends.
     """
     path, end = tokenizer or tokenizer_path(), np.array([end_id], "<u4")
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -53,6 +54,8 @@ def pieces(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None, capac
                     for column, value in zip(out, (k, i, a, b - a, zlib.crc32(raw[4 * a:4 * b]))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+        if not keep:
+            encoder.cache_clear()
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         cut_up, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
@@ -228,13 +231,13 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None, capacity: int = CAPACITY,
-                   key: str = "doc_id", text: str = "text") -> DataFrame:
+                   key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
 
     A null or empty text is the end id alone. Repeated rows are documents of their own. An empty table gives no
     rows. Other columns are not read.
     """
-    rows = pieces(docs, end_id, tokenizer, capacity, key, text)
+    rows = pieces(docs, end_id, tokenizer, capacity, key, text, keep)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = rows.filter(F.col("length") == capacity).select(*columns, F.col("pid").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     part = rows.filter(F.col("length") < capacity)
