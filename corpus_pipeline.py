@@ -51,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, keep=False)  # the workers go on to other stages and runs
 
 
 STAGES = [
