@@ -26,6 +26,7 @@ from linkspark.operators.skew import Agg, running
 from linkspark.session import cut, scratch_dir, shuffle_partitions
 
 CAPACITY = 2_048
+KNOWN = 1_000_000  # pieces of words that a worker process knows at most; others are worked out each time
 PER_TASK = 50_000  # pieces for each task and file of a round
 ENOUGH = 0.02  # share of the pieces left that a round has to place, or new sequences are opened
 _GAP, _PIECE, _MATCH = 0, 1, 2
@@ -43,7 +44,7 @@ def pieces(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None, capac
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, KNOWN).encode
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for k, own in zip(batch.column(0).to_pylist(), encode(batch.column(1))):

@@ -68,7 +68,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KNOWN_PIECES):
+        self.most = most  # pieces to keep
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -174,7 +175,7 @@ class Encoder:
             at[new] = known + np.cumsum(lengths) - lengths
         flat = np.array(self._flat, np.uint32)
         if len(new):
-            if len(self._keys) + len(new) <= KNOWN_PIECES:
+            if len(self._keys) + len(new) <= self.most:
                 order = new[np.argsort(distinct[new])]
                 place = np.searchsorted(self._keys, distinct[order])
                 self._at = np.insert(self._at, place, at[order])
@@ -186,6 +187,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = KNOWN_PIECES) -> Encoder:
     """One per worker process; workers outlive tasks, and so do the pieces they know."""
-    return Encoder(path)
+    return Encoder(path, most)
