@@ -63,27 +63,35 @@ def build(ids: np.ndarray, vectors: np.ndarray, largest: float, leaf: int = LEAF
             "nodes": nodes, "largest": largest}
 
 
-def search(tree: dict, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(entries, scores) of the best ``k`` + _SPARE entries found for each query; -1 where there are fewer."""
+def search(tree: dict, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
+    """The best ``k`` + _SPARE entries found for each query; -1 where there are fewer.
+
+    A first visit finds the k-th score, in steps of a 2**-40th of the largest; a second collects everything that comes
+    as near to it and decides by exact scores, ties by the smallest id, so none is lost, however many there are.
+    """
     points, nodes = tree["points"].astype(np.float64), tree["nodes"]
     q = queries.astype(np.float64)
     base = (q ** 2).sum(axis=1) + tree["largest"] ** 2
-    keep = k + _SPARE
+    keep, unit = k + _SPARE, max(tree["largest"] ** 2, 1e-300) * 2.0 ** -40
+    least = np.append(tree["ids"][tree["starts"]], np.iinfo(np.int64).max)  # smallest id of each entry; none comes last
     best = np.full((len(q), keep), -np.inf)
     entry = np.full((len(q), keep), -1, np.int64)
 
     def reach(rows: np.ndarray) -> np.ndarray:
-        """Distance of the k-th best found so far."""
-        kth = np.partition(best[rows], keep - k, axis=1)[:, keep - k]
-        return np.sqrt(np.maximum(0.0, base[rows] - 2 * kth))
+        """Distance of the k-th best found so far, and a little more for what rounding may have moved."""
+        kth = best[rows, k - 1] - 2 * unit
+        return np.sqrt(np.maximum(0.0, base[rows] - 2 * kth)) + 1e-7 * tree["largest"]
 
     def visit(at: int, rows: np.ndarray) -> None:
         node = nodes[at]
         if len(node) == 2:
             first, last = node
-            scores = np.concatenate([best[rows], q[rows] @ points[first:last].T], axis=1)
-            names = np.concatenate([entry[rows], np.broadcast_to(np.arange(first, last), (len(rows), last - first))], axis=1)
-            top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+            new = np.round(q[rows] @ points[first:last].T / unit) * unit
+            some = new.max(axis=1) >= best[rows, -1]  # a leaf that holds nothing as good as the last changes nothing
+            rows, new = rows[some], new[some]
+            scores = np.concatenate([best[rows], new], axis=1)
+            names = np.concatenate([entry[rows], np.broadcast_to(np.arange(first, last), new.shape)], axis=1)
+            top = np.lexsort((least[names], -scores), axis=1)[:, :keep]
             best[rows], entry[rows] = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
             return
         point, ranges, *sides = node
@@ -99,15 +107,50 @@ def search(tree: dict, queries: np.ndarray, k: int, factor: float) -> tuple[np.n
                 if len(more):
                     visit(sides[there], more)
 
+    def exact(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``keep`` entries of each query by their exact scores, of equal ones by the smallest id."""
+        row, own = (np.concatenate(x) for x in zip(*pairs))
+        scores = np.concatenate([(points[own[i:i + 65_536]] * q[row[i:i + 65_536]]).sum(axis=1) for i in range(0, len(own), 65_536)])
+        by = np.lexsort((least[own], -scores, row))
+        row, own = row[by], own[by]
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        first = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row)))) < keep
+        return row[first], own[first]
+
+    def collect(at: int, rows: np.ndarray, pairs: list) -> None:
+        """All entries that are as good as the last that counts, or nearly: rounding must not decide between ties."""
+        node = nodes[at]
+        if len(node) == 2:
+            new = q[rows] @ points[node[0]:node[1]].T
+            r, own = np.nonzero(new >= (best[rows, k - 1] - 2 * unit)[:, None])
+            if len(r):
+                pairs.append((rows[r], own + node[0]))
+            if sum(len(x) for x, _ in pairs[1:]) > 1 << 21:
+                pairs[:] = [exact(pairs)]
+            return
+        point, ranges, *sides = node
+        far = np.sqrt(np.maximum(0.0, base[rows] - 2 * (q[rows] @ point[:-1]) - tree["largest"] ** 2 + (point ** 2).sum()))
+        for side, (low, high) in zip(sides, ranges):
+            own = rows[np.maximum(low - far, far - high) <= factor * reach(rows)]
+            if len(own):
+                collect(side, own, pairs)
+
     if len(q) and len(points):
         for first in range(0, len(q), 1024):
-            visit(0, np.arange(first, min(len(q), first + 1024)))
-    return entry, best
+            rows, pairs = np.arange(first, min(len(q), first + 1024)), []
+            visit(0, rows)
+            collect(0, rows, pairs)
+            entry[rows] = -1
+            if pairs:
+                row, own = exact(pairs)
+                starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                entry[row, np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))] = own
+    return entry
 
 
 def nearest(tree: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
     """(query id, id, score) of each query's ``k`` nearest in the shard; its own row is no candidate."""
-    entries, _ = search(tree, queries, k + 1, factor)  # its own row may be among them
+    entries = search(tree, queries, k + 1, factor)  # its own row may be among them
     out_q, out_i, out_s = [], [], []
     for i, own in enumerate(query_ids.tolist()):
         found = entries[i][entries[i] >= 0]

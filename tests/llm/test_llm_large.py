@@ -338,6 +338,27 @@ def test_recall_on_vectors_with_structure(spark, kind):
     assert len(got) == 20 * len(want) and sum(r.vec_id in want[r.query_id][0] for r in got) >= 0.999 * len(got)
 
 
+@pytest.mark.parametrize("kind", ["same score", "signs", "small numbers"])
+def test_ties_between_different_vectors(kind):
+    """Thousands of different vectors of one score: the smallest ids come first, whatever tree they are in."""
+    rng = np.random.default_rng(8)
+    if kind == "same score":
+        vectors = np.concatenate([np.ones((3000, 1)), rng.choice([-1.0, 1.0], (3000, 15))], axis=1)
+        queries = np.zeros((3, 16))
+        queries[:, 0] = 1
+    else:
+        vectors = rng.choice([-1.0, 1.0], (3000, 12)) if kind == "signs" else rng.integers(-2, 3, (3000, 6)) / 10
+        queries = vectors[:40]
+    ids = rng.permutation(3000) * 7
+    largest = float(np.sqrt((vectors ** 2).sum(axis=1).max()))
+    q, i, s = vptree.nearest(vptree.build(ids, vectors, largest * (1 + 1e-12), 64), ids[:len(queries)], queries, 20, 1.0)
+    for n, own in enumerate(ids[:len(queries)].tolist()):
+        exact = (vectors * queries[n]).sum(axis=1)
+        order = [j for j in np.lexsort((ids, -exact)).tolist() if ids[j] != own][:20]
+        assert i[20 * n:20 * n + 20] == ids[order].tolist()
+        assert s[20 * n:20 * n + 20] == exact[order].tolist()
+
+
 # --- packing -------------------------------------------------------------------------------------------------
 
 def _check_packing(rows, capacity):
