@@ -36,6 +36,7 @@ SCORE_DIGITS = 6
 LONG_WORD = 16  # letters from which words are cut into parts instead of shortened
 BLOCK = 256  # postings of a block
 PUSHED = 256  # terms up to which a query's terms go to the scan one by one
+SPREAD = 50_000  # rows up to which what is asked of a large table is broadcast
 EARLY = 2_000  # postings per query that the floor is worked out from, besides those of its rarest term
 MARGIN = 2e-6  # scores are rounded to six digits, so what is nearer to the floor may tie with it
 
@@ -216,7 +217,7 @@ def expand_terms(qterms: DataFrame, vocabulary: DataFrame, limit: int | None = N
              .filter(f"edits <= {most}")
              .withColumn("weight", 1 - F.col("edits") / F.least(F.length("qterm"), F.length("term")))
              .filter("weight > 0"))
-    found = vocabulary.join(exact, "term")
+    found = _asked_of(exact, vocabulary, ["term"])
     if limit is not None:
         best = Window.partitionBy("field", "qterm").orderBy(F.desc("weight"), "term")
         found = found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= limit)
@@ -239,14 +240,26 @@ def _near_pairs(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
         f"sequence(length(qterm) - ({most}), length(qterm) + ({most}))")).alias("_len")).distinct()
     close = words.filter(F.length("term") < LONG_WORD + 2).withColumn("_len", F.length("term")).join(near, "_len", "left_semi").drop("_len")
     right = _unfolded(close, "term", "CASE WHEN length(term) >= 4 THEN 2 WHEN length(term) >= 2 THEN 1 ELSE 0 END")
-    one = left.join(right, "_key").select("qterm", "term")
+    one = _asked_of(left, right, ["_key"]).select("qterm", "term")
 
     long = wanted.filter(F.length("qterm") >= LONG_WORD).select("qterm", F.inline_outer(F.expr(T.parts("qterm"))))
     others = words.filter(F.length("term") >= LONG_WORD - 2).select("term", F.inline_outer(F.expr(T.near_parts("term"))))
-    two = long.join(others, ["size", "part", "piece"]).select("qterm", "term")
+    two = _asked_of(long, others, ["size", "part", "piece"]).select("qterm", "term")
     return one.unionByName(two).distinct()
 
 
+def _asked_of(asked: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """The join of both, in which ``table``, the unfolded vocabulary or all terms of an index, is never broadcast.
+
+    Spark goes by the size of packed files and takes unfolded words for as small as the words themselves, so in memory
+    the table can be fifty times what it looks. What is asked is written, and its rows decide: few are broadcast, with
+    more of them both sides are shuffled.
+    """
+    asked = cut(asked)
+    few = asked.limit(SPREAD + 1).count() <= SPREAD
+    return table.join(F.broadcast(asked) if few else asked.hint("merge"), on)
+
+
 def _unfolded(words: DataFrame, col: str, most: str) -> DataFrame:
     # outer, so that the optimizer does not compute the array once more to test its size
     return words.select(col, F.explode_outer(F.expr(T.deletions(col, most))).alias("_key"))
@@ -258,15 +271,16 @@ def weighted_terms(index: Index, queries: DataFrame, fuzzy: bool = True) -> Data
     if fuzzy:
         expanded = expand_terms(qterms, index.terms)
     else:
-        expanded = index.terms.join(qterms.select(F.col("qterm").alias("term")).distinct(), "term").select(
+        expanded = _asked_of(qterms.select(F.col("qterm").alias("term")).distinct(), index.terms, ["term"]).select(
             "field", F.col("term").alias("qterm"), "term", F.lit(1.0).alias("weight"), "df")
+    expanded = cut(expanded)  # read twice
     top_df = expanded.groupBy("field", "qterm").agg(F.max("df").alias("df"))
     weighted = (expanded.drop("df").join(top_df, ["field", "qterm"]).join(qterms, "qterm")
                 .select("query_id", "field", "term", (F.col("weight") * F.col("qtf")).alias("weight"), "df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     summed = weighted.join(index.stats, "field").groupBy("query_id", "field", "term", "mean_length").agg(
         F.sum(F.col("weight") * idf).alias("weight"))
-    return summed.join(index.terms.select("field", "term", "df", "most"), ["field", "term"])
+    return _asked_of(summed, index.terms.select("field", "term", "df", "most"), ["field", "term"])
 
 
 def _best(index: Index, boosts: Mapping[str, float], value: str = "part") -> Column:
@@ -283,7 +297,7 @@ def _parts(postings: DataFrame, weighted: DataFrame, *others: str) -> DataFrame:
 
 def score(index: Index, queries: DataFrame, fuzzy: bool = True, boosts: Mapping[str, float] = BOOSTS) -> DataFrame:
     """(query_id, doc_id, score): BM25 summed over terms, best boosted field wins."""
-    weighted = weighted_terms(index, queries, fuzzy)
+    weighted = cut(weighted_terms(index, queries, fuzzy))  # read twice
     # the document length sits in the posting, and one grouping serves all fields: a single shuffle
     return _parts(index.of_terms(weighted).postings, weighted).groupBy("query_id", "doc_id").agg(
         _best(index, boosts).alias("score"))

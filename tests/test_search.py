@@ -1,4 +1,5 @@
 """Analysis, fuzzy expansion and ranking against brute force."""
+import itertools
 import math
 import random
 import re
@@ -259,3 +260,29 @@ def test_fragments():
     assert len(marked) == 2 and "<em>alpha</em> <em>beta</em>" in marked[0] and "<em>alpha</em>" in marked[1]
     assert all(len(re.sub("</?em>", "", m)) <= 200 for m in marked)
     assert T.mark("nothing here", {"alpha"}, "standard", 2, 200) == []
+
+
+def _broadcasts(df):
+    """The plans of what is broadcast in a join, one text each."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [re.search(r"[A-Z]", x).start() if re.search(r"[A-Z]", x) else 0 for x in lines]
+    return ["\n".join([x, *itertools.takewhile(lambda y: depth[lines.index(y)] > depth[i], lines[i + 1:])])
+            for i, x in enumerate(lines) if "BroadcastExchange" in x]
+
+
+def test_vocabulary_is_not_broadcast(spark, monkeypatch):
+    """Unfolded words are many times what the planner takes them for; a driver can't hold those of a large index."""
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choices("abcd", k=rnd.randrange(2, 20))) for _ in range(120)})
+    near = [w[1:] for w in words if len(w) > 2] + words
+    vocabulary = spark.createDataFrame([("content", w, i + 1, 0.5) for i, w in enumerate(words[:40])], "field string, term string, df long, most double")
+    asked = spark.createDataFrame([(w,) for w in near], "qterm string")
+    found = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(S, "SPREAD", most, raising=False)
+        pairs = S._near_pairs(asked, vocabulary)
+        held = _broadcasts(pairs)
+        assert len(held) == (2 if most else 0)
+        assert not any("Generate" in x for x in held)
+        found.append(sorted(map(tuple, S.expand_terms(asked, vocabulary).collect())))
+    assert found[0] == found[1] and len(found[0]) > 40
