@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,22 @@ def merged(spans: list[tuple[int, int, int]], idle: int) -> list[tuple[int, int,
     return out
 
 
+def stretches(moments: np.ndarray, idle: int) -> list[tuple[int, int, int]]:
+    """(first, last, pages) of the stretches of some times."""
+    if not len(moments):
+        return []
+    own = np.sort(moments)
+    starts = np.flatnonzero(np.diff(own, prepend=own[:1] - idle - 1) > idle)
+    ends = np.append(starts[1:], len(own))
+    return list(zip(own[starts].tolist(), own[ends - 1].tolist(), (ends - starts).tolist()))
+
+
 class Closing(StatefulProcessor):
-    """Open stretches of one job, in microseconds; a timer per stretch, or one for the job by the machine's clock."""
+    """Open stretches of one job, in microseconds, and one timer: for the stretch that ends first, or by the machine's clock.
+
+    Every call of the state or the timers goes from the worker to its executor and back, so there are a few for a job and
+    none for a stretch.
+    """
 
     def __init__(self, idle: int, clock: str) -> None:
         self.idle, self.clock = idle, clock
@@ -65,30 +80,40 @@ class Closing(StatefulProcessor):
         else:
             self.open.clear()
 
+    def _due_first(self, spans: list[tuple[int, int, int]]) -> int:
+        return self._due(min(last for _, last, _ in spans))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spans = [tuple(map(int, s)) for s in self.open.get()]
-        for batch in rows:
-            spans = merged([*spans, *((t, t, 1) for t in batch["moment"].tolist())], self.idle)
+        before = [tuple(map(int, s)) for s in self.open.get()]
+        fresh = [s for batch in rows for s in stretches(batch["moment"].to_numpy(), self.idle)]
+        if not fresh:
+            return iter([])
+        spans = merged([*before, *fresh], self.idle)
         self._keep(spans)
         if self.clock == "event":
-            wanted = {self._due(last) for _, last, _ in spans}
+            wanted = self._due_first(spans)
         else:
-            wanted = {timerValues.getCurrentProcessingTimeInMs() + self.idle // 1000}
-        for at in list(self.handle.listTimers()):
-            if at not in wanted:
+            wanted = timerValues.getCurrentProcessingTimeInMs() + self.idle // 1000
+        # by the clock event a job without open stretches has no timer to come
+        known = list(self.handle.listTimers()) if before or self.clock != "event" else []
+        for at in known:
+            if at != wanted:
                 self.handle.deleteTimer(at)
-            wanted.discard(at)
-        for at in sorted(wanted):
-            self.handle.registerTimer(at)
+        if wanted not in known:
+            self.handle.registerTimer(wanted)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         spans = [tuple(map(int, s)) for s in self.open.get()]
-        closed = spans
+        closed, left = spans, []
         if self.clock == "event":
             now = timerValues.getCurrentWatermarkInMs()
             closed = [s for s in spans if self._due(s[1]) <= now]
-        self._keep([s for s in spans if s not in closed])
+            left = [s for s in spans if self._due(s[1]) > now]
+        if closed:
+            self._keep(left)
+        if left:
+            self.handle.registerTimer(self._due_first(left))
         if closed:
             yield pd.DataFrame([(*key, *s) for s in closed], columns=["job_id", "first", "last", "pages"])
 

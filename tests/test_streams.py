@@ -3,6 +3,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,58 @@ def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     assert not any("part=aa" in f and f in before for f in after)
     sinks.merge_pages(pages(("aa1", "new", 6), ("aa2", "too old", 1), ("cc1", "added", 1)), path)
     assert rows() == {("aa1", "new"), ("aa2", "kept"), ("bb1", "other"), ("cc1", "added")}
+
+
+class Calls:
+    """What a job's processor asks of its executor."""
+
+    def __init__(self):
+        self.spans, self.timers, self.made, self.watermark = [], set(), 0, 0
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        self.made += 1
+        return iter(self.spans)
+
+    def put(self, spans):
+        self.made, self.spans = self.made + 1, list(spans)
+
+    def clear(self):
+        self.put([])
+
+    def listTimers(self):
+        self.made += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.made += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.made += 1
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_job_with_many_stretches_asks_little():
+    job, own = Calls(), closing.Closing(10_000, "event")
+    own.init(job)
+    rnd = random.Random(4)
+    times, told = [rnd.randrange(0, 5_000_000) for _ in range(600)], []
+    for cut in (0, 200, 400):  # three batches; the watermark stays behind
+        batch = pd.DataFrame({"moment": times[cut:cut + 200]})
+        own.handleInputRows(("a",), iter([batch[:50], batch[:0], batch[50:]]), job)
+    assert job.made <= 3 * 5 and len(job.timers) == 1
+    want = closing.merged([(t, t, 1) for t in times], 10_000)
+    assert len(want) > 100 and job.spans == want
+    for job.watermark in (1000, 3000, 6000):
+        while due := [t for t in sorted(job.timers) if t <= job.watermark]:
+            for frame in own.handleExpiredTimer(("a",), job, None):
+                told += [tuple(r[1:]) for r in frame.itertuples(index=False)]
+            job.timers.discard(due[0])
+        assert told == [s for s in want if -(-(s[1] + 10_000) // 1000) <= job.watermark]
+    assert told == want and not job.spans and not job.timers and job.made <= 3 * 5 + 3 * 3
