@@ -29,10 +29,15 @@ def tokens(text: Column, analyzer: str = "english") -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     if analyzer == "standard":
         return words
+    return F.filter(F.transform(words, lambda w: kept(w, analyzer)), lambda w: w.isNotNull())
+
+
+def kept(word: Column, analyzer: str = "english") -> Column:
+    """What an analyzer keeps of a word, null of a stop word."""
     if analyzer != "english":
         raise ValueError(f"unknown analyzer {analyzer!r}")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, "['’]s$", ""))
-    return F.filter(bare, lambda w: ~w.isin(*STOP_WORDS))
+    bare = F.regexp_replace(word, "['’]s$", "")
+    return F.when(~bare.isin(*STOP_WORDS), bare)
 
 
 # --- Porter's suffix stripping (An algorithm for suffix stripping, 1980) -----------------
@@ -77,10 +82,14 @@ def _shape_of(word: Column) -> Column:
 
 
 def stems(words: DataFrame, column: str = "word") -> DataFrame:
-    """(column, stem) for every distinct word: the published steps, one column after another.
+    """(column, stem) for every distinct word, worked out once per word of the vocabulary; texts are joined with it."""
+    return stemmed(words.select(column).distinct(), column)
+
+
+def stemmed(words: DataFrame, column: str = "word") -> DataFrame:
+    """``words`` plus ``stem``: the published steps, one column after another.
 
-    Worked out once per word of the vocabulary; texts are joined with it. Words with other than ASCII letters, and
-    those of up to two, are their own stems.
+    Words with other than ASCII letters, and those of up to two, are their own stems.
     """
     w, shape = F.col("_w"), F.col("_s")
 
@@ -104,9 +113,8 @@ def stems(words: DataFrame, column: str = "word") -> DataFrame:
         for suffix in sorted(suffixes, key=len, reverse=True):
             out = out.when(w.endswith(suffix), then(suffix))
         return out.otherwise(w)
-    every = words.select(column).distinct()
     plain = F.col(column).rlike("^[a-z]{3,}$")
-    df = every.filter(plain).withColumn("_w", F.col(column))
+    df = words.filter(plain).withColumn("_w", F.col(column))
     df = step(df, F.when(w.endswith("sses") | w.endswith("ies"), head(2)).when(w.endswith("s") & ~w.endswith("ss"), head(1)).otherwise(w))
     # past and progressive forms: what is left of them is mended
     size = F.when(w.endswith("eed"), None).when(w.endswith("ed") & voiced(2), 2).when(w.endswith("ing") & voiced(3), 3)
@@ -129,7 +137,7 @@ def stems(words: DataFrame, column: str = "word") -> DataFrame:
     short = ends_cvc(head(1), F.left(shape, F.length(shape) - 1))
     df = step(df, F.when(w.endswith("e") & ((measure(1) > 1) | ((measure(1) == 1) & ~short)), head(1)).otherwise(w))
     df = step(df, F.when(w.endswith("ll") & (measure(1) > 1), head(1)).otherwise(w))
-    return df.select(column, w.alias("stem")).unionByName(every.filter(~plain).select(column, F.col(column).alias("stem")))
+    return df.select(*words.columns, w.alias("stem")).unionByName(words.filter(~plain).withColumn("stem", F.col(column)))
 
 
 @lru_cache(maxsize=200_000)

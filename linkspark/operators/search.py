@@ -192,8 +192,19 @@ def term_stats(index: Index) -> DataFrame:
 
 
 def term_frequencies(df: DataFrame, columns: Mapping[str, str] | list[str], doc: str = "doc_id", analyzer: str = "english") -> DataFrame:
-    """(field, term, tf): occurrences of every term."""
-    return _words(df, columns, doc, analyzer, False).groupBy("field", "term").agg(F.sum("tf").alias("tf"))
+    """(field, term, tf): occurrences of every term.
+
+    The words are counted as they stand in the texts, before the shuffle; all that is done to a word is done once for
+    the vocabulary.
+    """
+    names = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in names.items()])
+    rows = df.select(F.inline(fields)).select("field", F.explode_outer(T.tokens(F.col("text"), "standard")).alias("word"))
+    counted = cut(rows.filter("word is not null").groupBy("field", "word").agg(F.count("*").alias("tf")))
+    if analyzer != "standard":
+        kept = counted.select("field", T.kept(F.col("word"), analyzer).alias("word"), "tf").filter("word is not null")
+        counted = T.stemmed(kept).select("field", F.col("stem").alias("word"), "tf")
+    return counted.groupBy("field", F.col("word").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def query_terms(queries: DataFrame, analyzer: str = "english") -> DataFrame:

@@ -286,3 +286,29 @@ def test_vocabulary_is_not_broadcast(spark, monkeypatch):
         assert not any("Generate" in x for x in held)
         found.append(sorted(map(tuple, S.expand_terms(asked, vocabulary).collect())))
     assert found[0] == found[1] and len(found[0]) > 40
+
+
+def test_term_frequencies_write_the_vocabulary_only(spark, monkeypatch):
+    """What is written is as large as the vocabulary, not as the texts' words."""
+    words = ["running", "ran", "The", "dog's", "dogs", "DOG", "it's", "über", "x1", "and", "ponies"]
+    rnd = random.Random(6)
+    rows = [(i % 150, " ".join(rnd.choices(words, k=30)), rnd.choice([None, "", "Dogs and ponies"])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, title string")
+    columns, written = {"content": "text", "title": "title"}, []
+
+    def cut(df, keep=S.cut):
+        written.append((out := keep(df)).count())
+        return out
+    for name in ("cut", "lookup_table"):
+        monkeypatch.setattr(S, name, cut)
+    for analyzer in ("english", "standard"):
+        want = Counter()
+        for _, text, title in rows:
+            for field, own in (("content", text), ("title", title or "")):
+                for w in own.lower().split():
+                    w = re.sub("'s$", "", w) if analyzer == "english" else w
+                    if analyzer == "standard" or w not in T.STOP_WORDS:
+                        want[field, T.stem(w) if analyzer == "english" else w] += 1
+        got = S.term_frequencies(docs, columns, analyzer=analyzer)
+        assert {(r.field, r.term): r.tf for r in got.collect()} == want
+        assert got.count() == len(want) and max(written) <= len(words) + 3
