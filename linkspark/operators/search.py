@@ -319,6 +319,9 @@ def _missing(asked: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFra
 
     A row per pair and term of its query, whatever the term's postings; those are read once for all queries.
     """
+    wanted = cut(terms.select("field", "term").distinct())
+    if wanted.limit(SPREAD + 1).count() <= SPREAD:  # postings of other terms aren't shuffled
+        postings = postings.join(F.broadcast(wanted), ["field", "term"], "left_semi")
     return asked.join(terms, ["query_id", "field"]).join(postings, ["field", "term", "doc_id"]).select(
         "query_id", "doc_id", "field", (F.col("weight") * _share()).alias("part"))
 

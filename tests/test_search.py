@@ -312,3 +312,18 @@ def test_term_frequencies_write_the_vocabulary_only(spark, monkeypatch):
         got = S.term_frequencies(docs, columns, analyzer=analyzer)
         assert {(r.field, r.term): r.tf for r in got.collect()} == want
         assert got.count() == len(want) and max(written) <= len(words) + 3
+
+
+def test_only_postings_of_missing_terms_are_shuffled(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "content", d) for d in range(30)], "query_id int, field string, doc_id long")
+    terms = spark.createDataFrame([(1, "content", "b", 2.0, 3.0), (1, "content", "c", 1.0, 3.0)],
+                                  "query_id int, field string, term string, weight double, mean_length double")
+    postings = spark.createDataFrame([("content", t, d, 3, 1 + d % 2) for t in "abc" for d in range(0, 40, 2)],
+                                     "field string, term string, doc_id long, length int, tf long")
+    found = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(S, "SPREAD", most, raising=False)
+        df = S._missing(asked, terms, postings)
+        assert ("LeftSemi" in df._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+        found.append(sorted(map(tuple, df.collect())))
+    assert found[0] == found[1] and len(found[0]) == 30
