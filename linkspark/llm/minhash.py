@@ -32,6 +32,7 @@ SHINGLE, PERCENT = 5, 75
 K, MATCHES = 64, 31
 LONG, LONG_MATCHES = 1024, 703  # one byte each; at a similarity of 0.75 fewer agree with odds of about 10**-6
 BLOCK = 1_024  # members of a list that one task compares with each other or with another such block
+PER_TASK = 20_000  # edges for each task and file of a step of ``components``
 _RNG = np.random.default_rng(3)
 _FLIP = _RNG.integers(1, 1 << 64, K, np.uint64)
 _TURN = _RNG.integers(1, 1 << 64, K, np.uint64) | np.uint64(1)
@@ -171,37 +172,49 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(_linked, "a bigint, b bigint"))
 
 
+def _tasks(df: DataFrame, rows: int) -> int:
+    """Tasks for a step over so many narrow rows: all cores at least, no more than shuffles have partitions."""
+    return min(shuffle_partitions(df), max(df.sparkSession.sparkContext.defaultParallelism, 1 + rows // PER_TASK))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (a, b): comp is the smallest node that can be reached.
 
-    Alternating large and small stars; each round is written. Hubs cost nothing special: neighbours are
-    never collected, only their smallest is.
+    Alternating large and small stars; each step is written, in as many files as its rows are worth. Hubs cost
+    nothing special: neighbours are never collected, only counted, and their smallest is kept. The rounds end as
+    soon as all edges form stars around their smallest node, which the counts of the next round's first step tell.
     """
-    def star(directed: DataFrame) -> DataFrame:
-        low = cut(directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        return directed.join(low, "u")
+    tasks = _tasks(edges, edges.count())
+
+    def few(df: DataFrame) -> DataFrame:
+        return df if tasks == shuffle_partitions(df) else df.coalesce(tasks)
+
+    def lowest(directed: DataFrame) -> DataFrame:
+        return cut(few(directed.groupBy("u").agg(
+            F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"),
+            F.count_if(F.col("v") > F.col("u")).alias("above"))))
 
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    def star(directed: DataFrame, low: DataFrame) -> DataFrame:
+        return few(directed.join(low.select("u", "m"), "u"))
 
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = state(now)
+    ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = cut(few(ordered.distinct()))
     while True:
-        ways = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = cut(star(ways).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
-        down = star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = cut(small.filter("a <> b").distinct())
-        if (after := state(now)) == seen:
+        down = now.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        ways = down.unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        low = lowest(ways)
+        if not low.filter("below > 1 or below = 1 and above > 0").limit(1).count():
             break
-        seen = after
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
-    return cut(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots))
+        large = cut(few(star(ways, low).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()))
+        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        down = star(down, lowest(down))
+        small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        now = cut(few(few(small.filter("a <> b")).distinct()))
+    return low.select(F.col("u").alias("node"), F.col("m").alias("comp"))
 
 
 def _links(classes: DataFrame, texts) -> DataFrame:
-    """Links (a, b) that hold every component of ``classes`` (cid, sign) together; ``texts`` fetches (cid, text)."""
+    """Edges (a, b) that hold every component of ``classes`` (cid, sign) together; ``texts`` fetches (cid, text)."""
     posts = classes.select("cid", F.posexplode("sign").alias("at", "value")).select(
         "cid", (F.col("at").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("key"))
     often = cut(posts.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1"))
@@ -214,7 +227,7 @@ def _links(classes: DataFrame, texts) -> DataFrame:
     some = texts(prefix.select("cid"))
     signs = cut(classes.join(prefix.select("cid"), "cid", "left_semi").select("cid", "sign"))
     lists = cut(prefix.select("cid", "weight", F.inline("own")).select("cid", "weight", "key"))
-    found, comp = None, None
+    comp = None
 
     for rank in (F.struct("weight", -F.col("cid")), F.struct(F.xxhash64("cid", F.lit("other")))):
         here = _with_components(lists, comp)
@@ -225,8 +238,7 @@ def _links(classes: DataFrame, texts) -> DataFrame:
         pairs = pairs.join(signs.select(F.col("cid").alias("a"), F.col("sign").alias("sa")), "a").join(
             signs.select(F.col("cid").alias("b"), F.col("sign").alias("sb")), "b").filter(_matching("sa", "sb") >= MATCHES)
         links = _confirmed(pairs.select("a", "b"), some)
-        found = links if found is None else found.unionByName(links)
-        comp = components(found)
+        comp = components(links if comp is None else _stars(comp).unionByName(links))
 
     # lists that still hold several components: every pair across two of them, one block against another
     here = _with_components(lists, comp)
@@ -243,7 +255,12 @@ def _links(classes: DataFrame, texts) -> DataFrame:
                                               "side", "cid", "comp", "mask", "sign", "long")
     laid = rows.repartition(shuffle_partitions(rows), "key", "low", "high").sortWithinPartitions("key", "low", "high")
     last = _confirmed(cut(laid.mapInArrow(_across, "a bigint, b bigint")), some)
-    return found.unionByName(last)
+    return _stars(comp).unionByName(last)
+
+
+def _stars(comp: DataFrame) -> DataFrame:
+    """Known components (node, comp) as edges: what they were found from isn't gone through again."""
+    return comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).filter("a <> b")
 
 
 def _packed(sign: str) -> Column:

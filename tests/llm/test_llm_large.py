@@ -103,6 +103,29 @@ def test_components_of_long_chains_and_hubs(spark):
     assert {comp[i] for i in [*range(100, 161), *range(200, 400), 7]} == {7} and comp[501] == comp[500] == 500
 
 
+def test_components_take_as_many_tasks_as_their_edges_are_worth(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(100, 130)] + [(7, i) for i in range(200, 300)] + [(5, 5)]
+    edges, files, cut = spark.createDataFrame(pairs, "a long, b long"), [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df: files.append(len((out := cut(df)).inputFiles())) or out)
+    default = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = minhash.components(edges)
+        assert {(r.node, r.comp) for r in found.collect()} == {(i, 100) for i in range(100, 131)} | {(i, 7) for i in [7, *range(200, 300)]}
+        assert max(files) <= spark.sparkContext.defaultParallelism
+        files.clear()
+        again = minhash.components(found.toDF("a", "b"))  # stars already: nothing is gone through twice
+        assert sorted(again.collect()) == sorted(found.collect()) and len(files) == 2
+        files.clear()
+        monkeypatch.setattr(minhash, "PER_TASK", 1)  # many edges for a task: all partitions
+        assert sorted(minhash.components(edges).collect()) == sorted(found.collect())
+        assert max(files) > spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", default)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # --- repeated passages ---------------------------------------------------------------------------------------
 
 def _repeats(rows, size):
