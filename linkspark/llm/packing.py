@@ -162,15 +162,21 @@ def _round(waiting: DataFrame, gaps: DataFrame, width: int, capacity: int, tasks
         both = both.unionByName(pairs.select("bin", "gap", "size", "members"))
         over = over.filter("match is null")
 
-    null = F.lit(None).cast("bigint")
-    before = F.aggregate(F.slice("members", F.lit(1), F.col("i")), F.lit(0).cast("bigint"), lambda n, m: n + m["length"])
-    placed = both.select("bin", "gap", "members", F.posexplode("members").alias("i", "m")).select(
-        F.lit(_MATCH).alias("kind"), F.col("m.pid").alias("pid"), "bin", null.alias("size"), (F.lit(capacity) - F.col("gap") + before).alias("at"))
-    smaller = both.filter("gap > size").select(F.lit(_GAP).alias("kind"), null.alias("pid"), "bin", (F.col("gap") - F.col("size")).alias("size"), null.alias("at"))
-    kept = over.filter(F.col("kind") == _GAP).select(F.lit(_GAP).alias("kind"), null.alias("pid"), "bin", F.col("gap").alias("size"), null.alias("at"))
-    still = over.filter(F.col("kind") == _PIECE).select(F.inline("members")).select(
-        F.lit(_PIECE).alias("kind"), "pid", null.alias("bin"), F.col("length").alias("size"), null.alias("at"))
-    return cut(placed.unionByName(smaller).unionByName(kept).unionByName(still).coalesce(tasks))
+    def line(kind: int, pid=None, own=None, size=None, at=None):
+        values = zip(("pid", "bin", "size", "at"), (pid, own, size, at))
+        return F.struct(F.lit(kind).alias("kind"), *[(F.lit(None).cast("bigint") if v is None else v).alias(n) for n, v in values])
+
+    def before(i):
+        return F.aggregate(F.slice("members", F.lit(1), i), F.lit(0).cast("bigint"), lambda n, m: n + m["length"])
+
+    # all rows of the new state that come of one row at once: each input is gone through once
+    placed = F.transform("members", lambda m, i: line(_MATCH, m["pid"], F.col("bin"), at=F.lit(capacity) - F.col("gap") + before(i)))
+    smaller = F.array(line(_GAP, own=F.col("bin"), size=F.col("gap") - F.col("size")))
+    kept = F.array(line(_GAP, own=F.col("bin"), size=F.col("gap")))
+    still = F.transform("members", lambda m: line(_PIECE, m["pid"], size=m["length"]))
+    new = both.select(F.inline(F.when(F.col("gap") > F.col("size"), F.concat(placed, smaller)).otherwise(placed))).unionByName(
+        over.select(F.inline(F.when(F.col("kind") == _GAP, kept).otherwise(still))))
+    return cut(new.select("kind", "pid", "bin", "size", "at").coalesce(tasks))
 
 
 def _open(waiting: DataFrame, capacity: int, tasks: int) -> DataFrame:

@@ -413,6 +413,26 @@ def test_matching_across_ranges():
     assert packing.across([(0, 5, 0), (1, 0, 1)]) == []
 
 
+def test_a_round_reads_what_was_swept_once_for_each_input(spark, monkeypatch):
+    pieces = [(i, 40 + i % 200) for i in range(300)]
+    gaps = spark.createDataFrame([(1000 + i, 60 + i) for i in range(150)], "bin long, size long")
+    plans, cut = [], packing.cut
+    monkeypatch.setattr(packing, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    state = packing._round(spark.createDataFrame(pieces, "pid long, size long"), gaps, 100, 1000, 2).collect()
+    assert plans[-1].count("parquet") <= 4  # matched ones, two sides of what ranges leave over, and the rest
+    size, gap = dict(pieces), {r.bin: r.size for r in gaps.collect()}
+    placed = [r for r in state if r.kind == packing._MATCH]
+    assert sorted([r.pid for r in placed] + [r.pid for r in state if r.kind == packing._PIECE]) == sorted(size)
+    assert placed and all(r.size == size[r.pid] for r in state if r.kind == packing._PIECE)
+    left = {r.bin: r.size for r in state if r.kind == packing._GAP}
+    for own, free in gap.items():
+        at = 1000 - free
+        for r in sorted((r for r in placed if r.bin == own), key=lambda r: r.at):
+            assert r.at == at
+            at += size[r.pid]
+        assert left.get(own, 0) == 1000 - at
+
+
 def test_packed_documents(spark):
     library = Encoder(tokenizer_path()).library
     rows = [*HARD, (50, "alpha beta " * 3000), (51, "x"), (52, "word " * 2047)]
